@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing, quality, simhash
+from . import chat_format, fingerprints, licenses, mixing, packing, quality, simhash, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_license_scan": licenses.op2_license_scan,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_near_duplicates": simhash.op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.OP2_SQL,
+    "op6_chat_format": chat_format.OP6_SQL,
+}
