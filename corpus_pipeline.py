@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import packing, simhash
+from folioscan.llm import langid, mixing, packing, pii, simhash
 from folioscan.llm.common import table
 from folioscan.session import ship
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised stay."""
+    ship(spark)
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, words=5)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("personal_data", personal_data), ("source_mix", source_mix), ("packing", pack)]
 
 #: Tokenisation, models and an iterated dual aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

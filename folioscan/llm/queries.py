@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, licenses, mixing, packing, quality, simhash, url_filter
+from . import chat_format, fingerprints, langid, licenses, mixing, packing, pii, quality, simhash, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_license_scan": licenses.op2_license_scan,
+    "op3_personal_data": pii.op3_personal_data,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_chat_format": chat_format.op6_chat_format,
+    "op7_language_id": langid.op7_language_id,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_near_duplicates": simhash.op10_near_duplicates,
