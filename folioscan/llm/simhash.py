@@ -115,7 +115,7 @@ class VantageTree:
                 continue
             vantage, cuts, children = node
             d = distance(points[index], vantage)
-            for child, low, high in zip(children, cuts, cuts[1:], strict=True):
+            for child, low, high in zip(children, cuts[:-1], cuts[1:], strict=True):
                 near = (d >= low - radius) & (d < high + radius)
                 if near.any():
                     stack.append((child, index[near], (member & (d >= low) & (d < high))[near]))
