@@ -16,9 +16,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id."""
+    """One document of each group of near duplicates stays: the one with the least id.
+
+    Near duplicates share 0.8 of their five-word shingles or more, as 512 bits of SimHash tell.
+    """
     ship(spark)
-    return simhash.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

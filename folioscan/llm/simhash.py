@@ -18,6 +18,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ from .components import connected_components
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: Lanes of 64 bits where a similarity, not a radius, is asked for.
+LANES = 8
 #: Fingerprints that the sharding tree is built on, at most about.
 SAMPLE = 40_000
 #: Members a shard is meant to have.
@@ -40,42 +43,66 @@ SHARD = 50_000
 _EDGE_BUFFER = 2_000_000
 
 
-def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The unsigned 64-bit fingerprint."""
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64-bit hashes of the same shingles, from a first one."""
+    h = hashes * np.uint64((2 * lane + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1) | 1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    """Eight bytes: the bits that over half the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def simhash_lanes(text: str | None, words: int = SHINGLE_WORDS, lanes: int = 1) -> bytes:
+    """The fingerprint's eight bytes, and as many more for each lane beyond the first."""
     # bytes.lower() and bytes.split() know ASCII letters and ASCII white space only
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return bytes(8 * lanes)
     joined = b" ".join(tokens)
     h64 = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return h64(joined, SEED)  # one shingle has the majority alone
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    starts = np.concatenate(([0], ends[:-words])).tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
-    hashes = np.fromiter((h64(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+        hashes = np.array([h64(joined, SEED)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+        starts = np.concatenate(([0], ends[:-words])).tolist()
+        stops = (ends[words - 1 :] - 1).tolist()
+        hashes = np.fromiter((h64(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return b"".join(_majority(_mixed(hashes, lane) if lane else hashes) for lane in range(lanes))
+
+
+def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The unsigned 64-bit fingerprint."""
+    return int.from_bytes(simhash_lanes(text, words), "big")
+
+
+def _content(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, content, fp): fp is the fingerprint as a signed long, content a hash of the text. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
+    """(doc_id, content, key, fp, more) of each row, without a shuffle.
+
+    fp is the fingerprint as a signed long, more its lanes beyond the first, key a
+    hash of both (fp itself if there is one lane), content a hash of the text.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "content", "fp"])
+            raw = [simhash_lanes(t.as_py(), words, lanes) for t in batch.column(2)]
+            fps = np.fromiter((int.from_bytes(r[:8], "big") for r in raw), np.uint64, len(raw)).view(np.int64)
+            keys = fps if lanes == 1 else np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(fps), pa.array([r[8:] for r in raw], pa.binary())], names=["doc_id", "content", "key", "fp", "more"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, fp long")
-
-
-def _content(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, key long, fp long, more binary")
 
 
 def distance(points: np.ndarray, point) -> np.ndarray:
@@ -169,62 +196,88 @@ def _rings(points: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     return [((int(v) // 65, int(v) % 65), part) for v, part in zip(values, np.split(order, at[1:]), strict=True)]
 
 
-def link_shard(points: np.ndarray, member: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of points: equal if linked by pairs within the radius of which one is a member at least."""
+def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+    """Labels of points: equal if linked by pairs within the radius of which one is a member at least.
+
+    more: further lanes, a row for each point; all lanes of a pair then differ in `most` bits at most.
+    """
     forest = Forest(len(points))
     rings = _rings(points)
     for i, ((p, q), own) in enumerate(rings):
         near = [part for (x, y), part in rings[i:] if abs(x - p) <= radius and abs(y - q) <= radius]
         others = np.concatenate(near)  # the ring itself comes first
-        for k in range(0, len(own), 1024):
-            rows = own[k : k + 1024]
-            for j in range(0, len(others), 65_536 // 4):
-                columns = others[j : j + 65_536 // 4]
+        for k in range(0, len(own), 128):
+            rows = own[k : k + 128]
+            for j in range(0, len(others), 4096):
+                columns = others[j : j + 4096]
                 hit = np.bitwise_count(points[rows, None] ^ points[None, columns]) <= radius
                 a, b = np.nonzero(hit)
                 a, b = rows[a], columns[b]
                 keep = (a != b) & (member[a] | member[b])
-                if keep.any():
-                    forest.add(a[keep], b[keep])
+                a, b = a[keep], b[keep]
+                if more is not None and len(a):
+                    apart = forest.label[a] != forest.label[b]  # what is together needn't be measured
+                    a, b = a[apart], b[apart]
+                    bits = np.bitwise_count(points[a] ^ points[b]) + np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64)
+                    a, b = a[bits <= most], b[bits <= most]
+                if len(a):
+                    forest.add(a, b)
+        if more is not None:
+            forest.settle()
     return forest.settle()
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Edges (u, v) of a spanning forest of each component of distinct fingerprints (fp: long)."""
+def bits_for(similarity: float, bits: int) -> int:
+    """Differing bits of `bits` that texts of this Jaccard similarity of shingles stay within, but for one pair in thirty."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * angle + 1.8 * math.sqrt(bits * angle * (1 - angle)))
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, most: int | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """Edges (u, v) of keys: a spanning forest of each component of the distinct (key, fp, more)."""
     count = distinct.count()
     share = min(1.0, sample / max(count, 1))
-    chosen = distinct if share == 1 else distinct.filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = distinct if share == 1 else distinct.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
     taken = np.array([r.fp for r in chosen.select("fp").collect()], np.int64).view(np.uint64)
     tree = VantageTree(taken, shard * share)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            points = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             if len(points):
                 index, to, member = tree.deal(points, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(points[index].view(np.int64)), pa.array(member)], names=["shard", "fp", "member"])
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(member), *(batch.column(c).take(pa.array(index)) for c in range(3))], names=["shard", "member", "key", "fp", "more"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("fp", ignore_index=True)
-        points = pdf["fp"].to_numpy(np.int64)
-        label = link_shard(points.view(np.uint64), pdf["member"].to_numpy(bool), radius)
+        pdf = pdf.sort_values(["fp", "key"], ignore_index=True)
+        keys, points = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        more = None if most is None else np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(len(pdf), -1)
+        label = link_shard(points, pdf["member"].to_numpy(bool), radius, more, most or 0)
         linked = label != np.arange(len(label))
-        return pd.DataFrame({"u": points[linked], "v": points[label[linked]]})
+        return pd.DataFrame({"u": keys[linked], "v": keys[label[linked]]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp long, member boolean")
+    dealt = distinct.select("key", "fp", "more").mapInArrow(deal, "shard int, member boolean, key long, fp long, more binary")
     return dealt.groupBy("shard").applyInPandas(link, "u long, v long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, content, fp, root, component_id) of each row; rows of a group share root, a fingerprint."""
-    each = durable(fingerprints(docs, id_col, text_col, words))
-    distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = durable(connected_components(link_fingerprints(distinct, radius)).select(F.col("node").alias("fp"), "root"))
-    named = distinct.join(roots, "fp")
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """(doc_id, content, fp, root, component_id) of each row; rows of a group share root, a key.
+
+    Without `similarity`, fingerprints within `radius` bits are linked. With it, a
+    fingerprint has LANES lanes; the vantage-point search is over the first, with the
+    radius that its estimate of the similarity needs, and all lanes together decide.
+    """
+    most = None if similarity is None else bits_for(similarity, 64 * LANES)
+    radius = radius if similarity is None else bits_for(similarity, 64) + 2
+    each = durable(fingerprints(docs, id_col, text_col, words, 1 if similarity is None else LANES))
+    distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")))
+    each = each.select("doc_id", "content", "key", "fp")
+    roots = durable(connected_components(link_fingerprints(distinct, radius, most)).select(F.col("node").alias("key"), "root"))
+    named = distinct.select("key", "least").join(roots, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    alone = distinct.join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    return each.join(linked.union(alone), "fp")
+    linked = named.select("key", "root").join(least, "root").select("key", "root", "component_id")
+    alone = distinct.join(roots, "key", "left_anti").select("key", F.col("key").alias("root"), F.col("least").alias("component_id"))
+    return each.join(linked.union(alone), "key").drop("key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -236,13 +289,13 @@ def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """The rows of docs with all columns, less all but one row of each group of near duplicates.
 
     The row with the least id stays (rows without one come last), of equal ids one
     text, of rows that repeat both any one.
     """
-    rows = durable(grouped(docs, id_col, text_col, words, radius).select("doc_id", "content", "root"))
+    rows = durable(grouped(docs, id_col, text_col, words, radius, similarity).select("doc_id", "content", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "content")).alias("first")
     kept = durable(rows.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first.content").alias("_content")))
     same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("content") == F.col("_content"))
