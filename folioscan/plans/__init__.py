@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from . import registry, text_queries  # noqa: F401
+    from . import mention_queries, registry, text_queries  # noqa: F401
 
     return registry.QUERIES, registry.SQL
