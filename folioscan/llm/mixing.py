@@ -29,7 +29,9 @@ from .common import SPACE, durable, table, text_or_empty
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-NEWTON_ROUNDS = 12
+NEWTON_ROUNDS = 6
+#: A table with a row a source is broadcast up to so many sources (about 5 MB); beyond, it is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 BINS = 4096
 SEED = 11
 
@@ -63,6 +65,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return per.select("source", "source_size", F.when(F.col("full"), F.col("top")).otherwise(F.least(F.col("top"), level * F.col("weight"))).alias("target"))
 
 
+def _small(per_source: DataFrame) -> DataFrame:
+    """per_source (a checkpointed table with a row a source), to be broadcast if its counted rows allow it."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
+
+
 def _rate(lam: Column, tilt: Column, most: float) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), lam * tilt)))
 
@@ -70,18 +77,21 @@ def _rate(lam: Column, tilt: Column, most: float) -> Column:
 def solve(sizes: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = NEWTON_ROUNDS) -> DataFrame:
     """(source, source_size, target, mean, lam) by Newton steps on the histogram (source, size, n)."""
     key = F.col("source").eqNullSafe
+    sure = math.log(most)
     shape = sizes.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"))
     start = targets.join(shape.withColumnRenamed("source", "s"), key(F.col("s")), "left").select(
         "source", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"),
-        F.lit(0.0).alias("lam"), F.lit(-200.0).alias("low"), (F.lit(math.log(most)) * F.col("source_size") / F.col("docs") / F.col("least")).alias("high"),
+        (F.lit(sure) * F.col("source_size") / F.col("docs") / F.col("least")).alias("high"),
     )
-    state = durable(start)
+    # from the rate that a document of mean size would have; a target of `most` times the size needs the upper end
+    guess = F.when(F.col("target") >= most * F.col("source_size"), F.col("high")).when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(-200.0))
+    state = durable(start.select("source", "source_size", "target", "mean", guess.alias("lam"), F.lit(-200.0).alias("low"), "high"))
     counts = sizes.filter("size > 0").select(F.col("source").alias("s"), "size", "n")
     for _ in range(rounds):
         tilt = F.col("size") / F.col("mean")
         rate = _rate(F.col("lam"), tilt, most)
         mass = F.col("size") * F.col("n") * rate
-        joined = counts.join(state, key(F.col("s")))
+        joined = counts.join(_small(state), key(F.col("s")))
         moments = joined.groupBy("s").agg(F.sum(mass).alias("got"), F.sum(F.when(rate < most, mass * tilt).otherwise(F.lit(0.0))).alias("slope"))
         over = F.col("got") > F.col("target")
         low = F.when(over, F.col("low")).otherwise(F.col("lam"))
@@ -131,7 +141,7 @@ def _shifts(rounded: DataFrame, bins: int = BINS) -> DataFrame:
     need = all_sure.select("source", (F.col("target") - F.col("sure")).alias("need"))
     found = durable(crossing(first.filter("bin is not null"), need))
     narrow = width / bins
-    inside = rounded.join(found.select(F.col("source").alias("s"), F.col("bin").alias("at")), F.col("source").eqNullSafe(F.col("s"))).filter(wide == F.col("at"))
+    inside = rounded.join(_small(found).select(F.col("source").alias("s"), F.col("bin").alias("at")), F.col("source").eqNullSafe(F.col("s"))).filter(wide == F.col("at"))
     fine = inside.groupBy("source", F.floor((F.col("gap") - low - F.col("at") * width) / narrow).alias("bin")).agg(F.sum("size").alias("extra"))
     second = crossing(fine, found.select("source", "need")).select(F.col("source").alias("s"), F.col("bin").alias("fine_bin"), F.col("need").alias("left_over"))
     half = fine.select(F.col("source").alias("fs"), F.col("bin").alias("fbin"), "extra")
@@ -155,11 +165,11 @@ def _flips(rounded: DataFrame, cuts: DataFrame) -> DataFrame:
     delta = F.when(F.col("gap").isNotNull(), F.when(extra, -F.col("size")).otherwise(F.col("size")))
     held = held.select("source", "size", "gap", "target", delta.alias("delta"), (F.col("size") * (F.col("whole") + F.when(extra, 1).otherwise(0))).alias("taken"))
     miss = held.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("miss")).withColumnRenamed("source", "m")
-    aimed = held.filter("delta is not null").join(miss, F.col("source").eqNullSafe(F.col("m")))
+    aimed = held.filter("delta is not null").join(_small(durable(miss)), F.col("source").eqNullSafe(F.col("m")))
     best = durable(aimed.groupBy("source", "miss").agg(F.min_by(F.struct("gap", "size", "delta"), F.abs(F.col("miss") - F.col("delta"))).alias("b")).select(F.col("source").alias("f"), "miss", "b.*"))
     b = best.select("f", "miss", F.col("gap").alias("flip_gap"), F.col("size").alias("flip_size"), F.col("delta").alias("flip_delta"))
     same = F.col("source").eqNullSafe(F.col("f")) & (F.col("gap") == F.col("flip_gap")) & (F.col("size") == F.col("flip_size"))
-    counted = held.join(b, same).groupBy("f", "miss", "flip_gap", "flip_size", "flip_delta").agg(F.count("*").alias("n"))
+    counted = held.join(_small(b), same).groupBy("f", "miss", "flip_gap", "flip_size", "flip_delta").agg(F.count("*").alias("n"))
     return counted.filter(F.abs(F.col("miss") - F.col("n") * F.col("flip_delta")) < F.abs("miss")).select("f", "flip_gap", "flip_size")
 
 
@@ -173,11 +183,11 @@ def balance(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     narrow = durable(sized.select("doc_id", "source", "size"))
     counts = durable(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     solved = solve(counts, source_targets(counts, weights, share, most), most)
-    rounded = _rounded(narrow, solved, most)
-    cuts = durable(_shifts(rounded))
+    rounded = _rounded(narrow, _small(solved), most)
+    cuts = _small(durable(_shifts(rounded)))
     flips = _flips(rounded, cuts)
     final = solved.join(cuts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
-    final = durable(final.join(flips, F.col("s").eqNullSafe(F.col("f")), "left").drop("f"))
+    final = _small(durable(final.join(flips, F.col("s").eqNullSafe(F.col("f")), "left").drop("f")))
     rows = narrow if set(sized.columns) == set(narrow.columns) else sized
     whole, gap = _plan(most)
     flipped = (gap == F.col("flip_gap")) & (F.col("size") == F.col("flip_size"))
