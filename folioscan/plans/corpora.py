@@ -64,10 +64,10 @@ def ledger(read) -> DataFrame:
     """doc_id (order), idx, text: a line of a ledger for each line item, its date as numbers."""
     li = read("lineitem")
     text = F.concat(F.date_format("l_shipdate", "MM/dd/yyyy"), F.lit(" PAYMENT Part "), F.col("l_partkey").cast("string"), F.lit(" $"), F.format_string("%.2f", "l_extendedprice"))
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("idx"), text.alias("text"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("idx"), text.alias("text"))
 
 
-LEDGER_SQL = "ledger AS (SELECT l_orderkey AS doc_id, l_linenumber AS idx, strftime(l_shipdate, '%m/%d/%Y') || ' PAYMENT Part ' || l_partkey || ' $' || printf('%.2f', l_extendedprice) AS text FROM lineitem)"
+LEDGER_SQL = "ledger AS (SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey AS idx, strftime(l_shipdate, '%m/%d/%Y') || ' PAYMENT Part ' || l_partkey || ' $' || printf('%.2f', l_extendedprice) AS text FROM lineitem)"
 
 
 def jobs(read) -> DataFrame:
