@@ -31,7 +31,7 @@ from .common import table
 DIMENSIONS = 1 << 13
 NGRAMS = (1, 2, 3)
 #: Training texts of a language, at most; languages, at most.
-PER_LANGUAGE = 400
+PER_LANGUAGE = 200
 MOST_LANGUAGES = 500
 CENTROIDS = 3
 #: Rejected if the cosine is under this share of the least similar hundredth of training texts.
@@ -109,23 +109,27 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def train(languages: list[str], tf: np.ndarray, centroids: int = CENTROIDS) -> Model:
-    """The model of labelled count vectors, a row each."""
-    if not len(languages):
-        return Model(np.zeros(DIMENSIONS), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 0.1
-    model = Model(idf, np.zeros((0, DIMENSIONS)), [], np.zeros(0))
-    x = model.vectors(tf)
-    names = np.array(languages)
-    rows, labels, floors = [], [], []
-    for lang in sorted(set(languages)):
-        own = x[names == lang]
+def train(rows: dict[str, list[tuple[np.ndarray, np.ndarray]]], centroids: int = CENTROIDS) -> Model:
+    """The model of labelled texts: for each language, (dimensions, counts) of each text. One language is dense at a time."""
+    seen, n = np.zeros(DIMENSIONS), 0
+    for texts in rows.values():
+        for dims, _ in texts:
+            seen[dims] += 1
+            n += 1
+    model = Model(np.log((1 + n) / (1 + seen)) + 0.1, np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+    found, labels, floors = [], [], []
+    for lang in sorted(rows):
+        own = np.zeros((len(rows[lang]), DIMENSIONS), np.float32)
+        for k, (dims, tf) in enumerate(rows[lang]):
+            own[k, dims] = tf
+        own = model.vectors(own).astype(np.float32)
         c = spherical_kmeans(own, centroids)
         best = (own @ c.T).max(axis=1)
-        rows.append(c)
+        found.append(c)
         labels += [lang] * len(c)
         floors += [REJECT_SHARE * float(np.quantile(best, 0.01))] * len(c)
-    model.centroids, model.languages, model.floors = np.concatenate(rows).astype(np.float32), labels, np.array(floors)
+    if found:
+        model.centroids, model.languages, model.floors = np.concatenate(found).astype(np.float32), labels, np.array(floors)
     return model
 
 
@@ -137,27 +141,30 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn from documents that aren't held out, by their text and language alone.
 
-    First pass: labels are counted, no text is read. Second: about twice
+    First pass: labels are counted, no text is read. Second: somewhat over
     per_language texts of each language are picked by hash; the executors make
-    them count vectors, and the least hashes go to the driver.
+    them sparse counts, and those with the least hashes are kept on the driver.
     """
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
-        return train([], np.zeros((0, DIMENSIONS)))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, 2 * per_language / r["count"]))])
+        return train({})
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, (1.25 * per_language + 40) / r["count"]))])
     u = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     picked = usable.withColumn("u", u).filter((F.col("u") < share[F.col("lang")] * (1 << 30)) & F.col("text").rlike(r"\p{L}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tf = [counts(t.as_py()).astype(np.float32).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tf, pa.binary())], names=["lang", "u", "tf"])
-
-    rows = picked.select("lang", "u", "text").mapInArrow(run, "lang string, u long, tf binary").toPandas()
-    rows = rows.sort_values(["lang", "u"], kind="stable").groupby("lang").head(per_language)
-    tf = np.stack([np.frombuffer(b, np.float32) for b in rows["tf"]]).astype(np.float64) if len(rows) else np.zeros((0, DIMENSIONS))
-    return train(list(rows["lang"]), tf)
+            sparse = [(np.nonzero(tf)[0].astype(np.uint16), tf[tf > 0].astype(np.float32)) for tf in (counts(t.as_py()) for t in batch.column(2))]
+            arrays = [batch.column(0), batch.column(1), *(pa.array([x[k].tobytes() for x in sparse], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "u", "dims", "tf"])
+
+    rows: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in sorted(picked.select("lang", "u", "text").mapInArrow(run, "lang string, u long, dims binary, tf binary").collect(), key=lambda r: (r.lang, r.u, bytes(r.tf))):
+        own = rows.setdefault(r.lang, [])
+        if len(own) < per_language:
+            own.append((np.frombuffer(r.dims, np.uint16), np.frombuffer(r.tf, np.float32)))
+    return train(rows)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
