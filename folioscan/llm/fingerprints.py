@@ -102,7 +102,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     bounds = keyed.select(F.col("key").cast("double")).approxQuantile("key", at, 1 / (4 * slots)) if at else []
     splits = [-math.inf, *sorted(set(bounds) - {-math.inf, math.inf}), math.inf]
     keyed = keyed.withColumn("as_double", F.col("key").cast("double"))
-    dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket").transform(keyed)
+    dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket").transform(keyed) if len(splits) > 2 else keyed.withColumn("bucket", F.lit(0.0))
     dealt = dealt.select("doc_id", "text", "key", "tie", F.col("bucket").cast("int").alias("slot"))
     # one row for each slot: the first in reading order
     first = sorted((r.slot, r.top.key, r.top.tie) for r in dealt.groupBy("slot").agg(F.max(F.struct("key", "tie")).alias("top")).collect())

@@ -1,0 +1,44 @@
+from __future__ import annotations
+
+import re
+
+from folioscan.llm import url_filter as uf
+
+URLS = [
+    None, "no scheme", "http://WWW.Example.com/en/x", "https://a.example.com/en/", "https://example.com/fr", "http://b.example.net/es/1?q=/fr/", "x://net/fr/", "http://anet/fr/1", "http://com", "http://com/", "a://b://c.com/d",
+    "http://m.casino-win.example.org/en/1", "http://www.cheap-pills.example.org/", "http://therhing.example.org/en/853", "http://", "https://é.example.net/fr/ü#x", "http://x.com?/en/", "http://spam-farm.example.org#y",
+]
+
+
+def brute(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), re.split("[/?#]", rest)[0])
+    path = re.split("[?#]", rest[len(host) :])[0]
+    fits = [r for _, r in uf.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_rules_match_brute_force(spark):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    for r in uf.judge(pages).collect():
+        assert (r.host, r.path, r.rule) == brute(URLS[r.page_id])
+        assert r.verdict == (dict((b, a) for a, b in uf.RULES)[r.rule] if r.rule else "block" if r.score >= uf.THRESHOLD else "allow")
+
+
+def test_the_model_blocks_kinds_of_hosts_it_has_not_seen(spark):
+    score = uf.score(["m.casino-win.example.org", "free-bets.example.org", "blog.thhaon.example.org", "library2.example.net"], ["/en/1", "/fr/2", "/en/853", "/about"])
+    assert (score[:2] > 0.5).all() and (score[2:] < 0.5).all()
+
+
+def test_held_out_accuracy():
+    rows = uf.labelled()
+    got = uf.score([r[0].replace("www.", "m.") for r in rows], [r[1] + "9" for r in rows]) >= 0.5
+    assert sum(g == bool(r[2]) for g, r in zip(got, rows, strict=True)) >= 0.98 * len(rows)
+
+
+def test_edges(spark):
+    pages = spark.createDataFrame([(1, None, "h"), (None, "http://a.org/x", "h"), (2, "http://a.org/" + "y" * 50_000, "h"), (2, "http://a.org/x", "h")], "page_id long, url string, score string")
+    assert uf.judge(pages).count() == 4 and uf.judge(pages.limit(0)).count() == 0
+    assert uf.judge(pages, rules=[]).filter("rule IS NOT NULL").count() == 0
