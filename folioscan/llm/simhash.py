@@ -59,27 +59,28 @@ def _majority(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
-def simhash_lanes(text: str | None, words: int = SHINGLE_WORDS, lanes: int = 1) -> bytes:
-    """The fingerprint's eight bytes, and as many more for each lane beyond the first."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; a shorter text is one shingle, one without words none."""
     # bytes.lower() and bytes.split() know ASCII letters and ASCII white space only
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return bytes(8 * lanes)
     joined = b" ".join(tokens)
     h64 = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = np.array([h64(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-        starts = np.concatenate(([0], ends[:-words])).tolist()
-        stops = (ends[words - 1 :] - 1).tolist()
-        hashes = np.fromiter((h64(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+        return np.array([h64(joined, SEED)] * bool(tokens), np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    stops = (ends[words - 1 :] - 1).tolist()
+    return np.fromiter((h64(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def simhash_lanes(hashes: np.ndarray, lanes: int = 1) -> bytes:
+    """The fingerprint's eight bytes, and as many more for each lane beyond the first."""
     return b"".join(_majority(_mixed(hashes, lane) if lane else hashes) for lane in range(lanes))
 
 
 def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """The unsigned 64-bit fingerprint."""
-    return int.from_bytes(simhash_lanes(text, words), "big")
+    return int.from_bytes(simhash_lanes(shingle_hashes(text, words)), "big")
 
 
 def _content(text_col: str):
@@ -87,22 +88,27 @@ def _content(text_col: str):
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
-    """(doc_id, content, key, fp, more) of each row, without a shuffle.
+    """(doc_id, content, key, fp, more, shingles) of each row, without a shuffle.
 
     fp is the fingerprint as a signed long, more its lanes beyond the first, key a
-    hash of both (fp itself if there is one lane), content a hash of the text.
+    hash of both (fp itself if there is one lane), content a hash of the text,
+    shingles the number of different ones (0 if there is one lane).
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [simhash_lanes(t.as_py(), words, lanes) for t in batch.column(2)]
+            raw, sizes = [], []
+            for t in batch.column(2):
+                hashes = shingle_hashes(t.as_py(), words)
+                raw.append(simhash_lanes(hashes, lanes))
+                sizes.append(len(np.unique(hashes)) if lanes > 1 else 0)
             fps = np.fromiter((int.from_bytes(r[:8], "big") for r in raw), np.uint64, len(raw)).view(np.int64)
             keys = fps if lanes == 1 else np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(fps), pa.array([r[8:] for r in raw], pa.binary())], names=["doc_id", "content", "key", "fp", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(fps), pa.array([r[8:] for r in raw], pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "content", "key", "fp", "more", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, key long, fp long, more binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, key long, fp long, more binary, shingles int")
 
 
 def distance(points: np.ndarray, point) -> np.ndarray:
@@ -132,7 +138,7 @@ class VantageTree:
         return self.shards - 1
 
     def deal(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, shard, is_member): each point's own shard and the later ones it must visit."""
+        """(index, shard, home): each shard that may hold points within the radius of each point, and the point's own."""
         found: list[tuple] = []
         stack = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
         while stack:
@@ -149,8 +155,7 @@ class VantageTree:
         index, shard, member = (np.concatenate(x) for x in zip(*found, strict=True))
         home = np.empty(len(points), np.int64)
         home[index[member]] = shard[member]
-        keep = member | (shard > home[index])
-        return index[keep], shard[keep], member[keep]
+        return index, shard, home[index]
 
 
 class Forest:
@@ -196,10 +201,11 @@ def _rings(points: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     return [((int(v) // 65, int(v) % 65), part) for v, part in zip(values, np.split(order, at[1:]), strict=True)]
 
 
-def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.ndarray | None = None, most: int = 0, sizes: np.ndarray | None = None, ratio: float = 0) -> np.ndarray:
     """Labels of points: equal if linked by pairs within the radius of which one is a member at least.
 
-    more: further lanes, a row for each point; all lanes of a pair then differ in `most` bits at most.
+    more: further lanes, a row for each point; all lanes of a pair then differ in `most`
+    bits at most, and its sizes are within the ratio of one another.
     """
     forest = Forest(len(points))
     rings = _rings(points)
@@ -218,6 +224,8 @@ def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.nda
                 if more is not None and len(a):
                     apart = forest.label[a] != forest.label[b]  # what is together needn't be measured
                     a, b = a[apart], b[apart]
+                    fit = np.minimum(sizes[a], sizes[b]) >= ratio * np.maximum(sizes[a], sizes[b])
+                    a, b = a[fit], b[fit]
                     bits = np.bitwise_count(points[a] ^ points[b]) + np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64)
                     a, b = a[bits <= most], b[bits <= most]
                 if len(a):
@@ -233,30 +241,53 @@ def bits_for(similarity: float, bits: int) -> int:
     return math.floor(bits * angle + 1.8 * math.sqrt(bits * angle * (1 - angle)))
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, most: int | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Edges (u, v) of keys: a spanning forest of each component of the distinct (key, fp, more)."""
+def size_class(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Sets of this Jaccard similarity have sizes of one class or of two that follow one another."""
+    return np.floor(np.log(np.maximum(shingles, 1)) / -math.log(similarity)).astype(np.int32)
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, similarity: float | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """Edges (u, v) of keys: a spanning forest of each component of the distinct (key, fp, more, shingles).
+
+    With a similarity, fingerprints are also dealt out by size class: each is a member
+    of its own class and visits the next.
+    """
+    most = None if similarity is None else bits_for(similarity, 64 * LANES)
     count = distinct.count()
     share = min(1.0, sample / max(count, 1))
     chosen = distinct if share == 1 else distinct.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    taken = np.array([r.fp for r in chosen.select("fp").collect()], np.int64).view(np.uint64)
-    tree = VantageTree(taken, shard * share)
+    rows = chosen.select("fp", "shingles").collect()
+    taken = np.array([r.fp for r in rows], np.int64).view(np.uint64)
+    # shards of the largest class have the size that is meant
+    largest = 1.0 if similarity is None or not rows else np.bincount(size_class(np.array([r.shingles for r in rows]), similarity)).max() / len(rows)
+    tree = VantageTree(taken, shard * share / largest)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if len(points):
-                index, to, member = tree.deal(points, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(member), *(batch.column(c).take(pa.array(index)) for c in range(3))], names=["shard", "member", "key", "fp", "more"])
+            if not len(points):
+                continue
+            index, to, home = tree.deal(points, radius)
+            own = to >= home  # the other direction is the other point's visit
+            index_all, place, member = index[own], to[own].astype(np.int64), (to == home)[own]
+            if similarity is not None:
+                classes = size_class(batch.column(3).to_numpy(zero_copy_only=False), similarity).astype(np.int64)
+                place = np.concatenate([place + classes[index_all] * tree.shards, to + (classes[index] + 1) * tree.shards])
+                member = np.concatenate([member, np.zeros(len(index), bool)])
+                index_all = np.concatenate([index_all, index])
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(member), *(batch.column(c).take(pa.array(index_all)) for c in range(4))], names=["shard", "member", "key", "fp", "more", "shingles"])
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fp", "key"], ignore_index=True)
         keys, points = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        more = None if most is None else np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(len(pdf), -1)
-        label = link_shard(points, pdf["member"].to_numpy(bool), radius, more, most or 0)
+        member, label = pdf["member"].to_numpy(bool), np.arange(len(pdf))
+        if member.any():
+            more = None if similarity is None else np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(len(pdf), -1)
+            label = link_shard(points, member, radius, more, most or 0, pdf["shingles"].to_numpy(), similarity or 0)
         linked = label != np.arange(len(label))
         return pd.DataFrame({"u": keys[linked], "v": keys[label[linked]]})
 
-    dealt = distinct.select("key", "fp", "more").mapInArrow(deal, "shard int, member boolean, key long, fp long, more binary")
+    dealt = distinct.select("key", "fp", "more", "shingles").mapInArrow(deal, "shard long, member boolean, key long, fp long, more binary, shingles int")
     return dealt.groupBy("shard").applyInPandas(link, "u long, v long")
 
 
@@ -267,12 +298,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     fingerprint has LANES lanes; the vantage-point search is over the first, with the
     radius that its estimate of the similarity needs, and all lanes together decide.
     """
-    most = None if similarity is None else bits_for(similarity, 64 * LANES)
     radius = radius if similarity is None else bits_for(similarity, 64) + 2
     each = durable(fingerprints(docs, id_col, text_col, words, 1 if similarity is None else LANES))
-    distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more")))
+    distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("shingles").alias("shingles")))
     each = each.select("doc_id", "content", "key", "fp")
-    roots = durable(connected_components(link_fingerprints(distinct, radius, most)).select(F.col("node").alias("key"), "root"))
+    roots = durable(connected_components(link_fingerprints(distinct, radius, similarity)).select(F.col("node").alias("key"), "root"))
     named = distinct.select("key", "least").join(roots, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("key", "root").join(least, "root").select("key", "root", "component_id")

@@ -35,7 +35,8 @@ def test_targets_and_taken_words(documents):
         largest[r.source] = max(largest[r.source], r.size)
     want = brute_targets(sizes)
     for s in sizes:
-        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= max(1, 0.03 * want[s])
+        # ten documents a source here: a source ends within half of its largest one
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= largest[s] / 2
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.taken_words(documents).collect()))
 
 
