@@ -62,9 +62,8 @@ def term_table(questions: DataFrame, expand: bool = True) -> DataFrame:
 def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_document: bool = False, depth: int | None = DEPTH) -> DataFrame:
     """question_id, note_id, doc_id, score (negative, lower is better), rank.
 
-    notes: note_id, doc_id, text. A text is read once to arrays of tokens; each
-    distinct phrase is counted in each note, so nothing is shuffled but the counts
-    of phrases that occur. Phrases (terms of several tokens) must stand together in order.
+    notes: note_id, doc_id, text. Tokens meet the broadcast terms before anything is
+    shuffled, so that only counts of phrases that occur are. Phrases (terms of several tokens) must stand together in order.
     """
     terms = term_table(questions, expand)
     phrases = terms.select("phrase", "is_prefix").distinct()
@@ -74,12 +73,12 @@ def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_docume
     sizes = toks.groupBy(*["doc_id"] * per_document).agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
     singles = phrases.filter((F.size("phrase") == 1)).select(F.get("phrase", F.lit(0)).alias("p"), "is_prefix", "phrase")
     several = phrases.filter((F.size("phrase") > 1))
-    each = toks.select("note_id", "doc_id", "length", F.explode("t").alias("tok")).groupBy("note_id", "doc_id", "length", "tok").count()
+    each = toks.select("note_id", "doc_id", "length", F.explode("t").alias("tok"))
     # a prefix term has four letters or more: equal openings make the prefix test an equi join
     opening = lambda c: F.substring(c, 1, 4)
     exact = each.join(F.broadcast(singles.filter("NOT is_prefix")), F.col("tok") == F.col("p"))
     prefix = each.join(F.broadcast(singles.filter("is_prefix")), (opening(F.col("tok")) == opening(F.col("p"))) & F.startswith(F.col("tok"), F.col("p")))
-    counted = exact.unionByName(prefix).groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.sum("count").alias("f"))
+    counted = exact.unionByName(prefix).groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.count("*").alias("f"))
     if several.limit(1).count():
         n = F.size("phrase")
         last = lambda i: F.get("t", i + n - 1)

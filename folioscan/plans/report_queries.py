@@ -90,7 +90,7 @@ def spelled_two_ways(read):
     return fx.spelled_two_ways(corpora.diary_documents(read), cap=None).select("doc_id", "a", "b")
 
 
-@query("ambiguous_dates", f"""WITH {corpora.LEDGER_SQL}, m AS (SELECT doc_id, idx, substr(text, 1, 10) AS raw, substr(text, 1, 2)::INT AS a, substr(text, 4, 2)::INT AS b FROM ledger), r AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM m WHERE a <> b AND a <= 12 AND b <= 12) SELECT doc_id, raw AS label, raw, n FROM r WHERE n + 0 <= 3""")
+@query("ambiguous_dates", f"""WITH {corpora.LEDGER_SQL}, m AS (SELECT doc_id, idx, substr(text, 1, 10) AS raw, substr(text, 1, 2)::INT AS a, substr(text, 4, 2)::INT AS b FROM ledger), r AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY idx, raw) AS n FROM m WHERE a <> b AND a <= 12 AND b <= 12) SELECT doc_id, raw AS label, raw, n FROM r WHERE n + 0 <= 3""")
 def ambiguous_dates(read):
     from ..functions import dates
 
