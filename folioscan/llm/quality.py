@@ -121,3 +121,29 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     # the contract compares whole numbers, so that no rounding of a ratio counts
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"))
+
+
+def _sql() -> str:
+    stop = "[" + ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS))) + "]"
+    per = lambda a, b: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / {b} ELSE 0.0 END"
+    measured = {
+        "n_words": "n_words", "repeat_percent": per("100 * n_repeat_words", "n_words"), "mean_word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "word_chars"),
+        "stop_ratio": per("n_stop", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "upper_ratio": per("n_upper", "n_letters"),
+    }
+    broken = " OR ".join(f"({measured[m]}) {op} {bound}" for _, m, low, high in RULES for op, bound in (("<", low), (">", high)) if bound is not None)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT n, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT n, i, array_to_string(words[i : i + {WINDOW - 1}], ' ') AS k FROM (SELECT n, words, unnest(range(1, greatest(len(words) - {WINDOW - 2}, 1))) AS i FROM w)),
+c AS (SELECT n, i, count(*) OVER (PARTITION BY n, k) AS times FROM g),
+s AS (SELECT n, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY n ORDER BY i) - i, {WINDOW})) AS step FROM c WHERE times > 1),
+r AS (SELECT n, sum(step)::BIGINT AS n_repeat_words FROM s GROUP BY n),
+m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(list_filter(words, lambda x: list_contains({stop}, lower(x)))) AS n_stop,
+  len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(text, '\p{{L}}')) AS n_letters FROM w LEFT JOIN r USING (n))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT ({broken}) AS kept FROM m
+"""
+
+
+OP8_SQL = _sql()

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": licenses.OP2_SQL,
     "op6_chat_format": chat_format.OP6_SQL,
+    "op8_quality_rules": quality.OP8_SQL,
 }
