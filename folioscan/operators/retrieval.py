@@ -71,24 +71,18 @@ def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_docume
         raise ValueError(f"at most {MOST_TERMS} different terms at once")
     toks = notes.select("note_id", "doc_id", tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
     sizes = toks.groupBy(*["doc_id"] * per_document).agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
-    singles = phrases.filter((F.size("phrase") == 1)).select(F.get("phrase", F.lit(0)).alias("p"), "is_prefix", "phrase")
-    several = phrases.filter((F.size("phrase") > 1))
-    each = toks.select("note_id", "doc_id", "length", F.explode("t").alias("tok"))
-    # a prefix term has four letters or more: equal openings make the prefix test an equi join
+    # one pass: each token with those that follow it meets the terms that open with its first four letters
+    longest = phrases.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
+    windows = toks.select("note_id", "doc_id", "length", F.explode(F.transform("t", lambda _, i: F.slice("t", i + 1, longest))).alias("w"))
     opening = lambda c: F.substring(c, 1, 4)
-    exact = each.join(F.broadcast(singles.filter("NOT is_prefix")), F.col("tok") == F.col("p"))
-    prefix = each.join(F.broadcast(singles.filter("is_prefix")), (opening(F.col("tok")) == opening(F.col("p"))) & F.startswith(F.col("tok"), F.col("p")))
-    counted = exact.unionByName(prefix).groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.count("*").alias("f"))
-    if several.limit(1).count():
-        n = F.size("phrase")
-        last = lambda i: F.get("t", i + n - 1)
-        ends = lambda i: F.when(F.col("is_prefix"), F.startswith(last(i), F.element_at("phrase", -1))).otherwise(last(i) == F.element_at("phrase", -1))
-        head = lambda i: F.slice("t", i + 1, n - 1) == F.slice("phrase", F.lit(1), n - 1)
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("t") - n, F.lit(0))), lambda i: head(i) & ends(i))
-        # the first token of a phrase must be in the note
-        held = toks.join(F.broadcast(several), F.array_contains("t", F.get("phrase", F.lit(0))) & (F.size("t") >= n))
-        more = held.select("note_id", "doc_id", "length", "phrase", "is_prefix", F.size(at).cast("long").alias("f")).filter("f > 0")
-        counted = counted.unionByName(more)
+    first = F.get("w", F.lit(0))
+    n = F.size("phrase")
+    last, wanted = F.get("w", n - 1), F.element_at("phrase", -1)
+    ends = F.when(F.col("is_prefix"), F.startswith(last, wanted)).otherwise(last == wanted)
+    head = (n == 1) | (F.slice("w", F.lit(1), n - 1) == F.slice("phrase", F.lit(1), n - 1))
+    # a prefix term of one token has four letters or more, so that equal openings are an equi join for all
+    met = windows.join(F.broadcast(phrases), (opening(first) == opening(F.get("phrase", F.lit(0)))) & head & F.coalesce(ends, F.lit(False)))
+    counted = met.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.count("*").alias("f"))
     scope = ["doc_id"] if per_document else []
     df = counted.groupBy("phrase", "is_prefix", *scope).agg(F.count("*").alias("n"))
     hits = counted.join(df, ["phrase", "is_prefix", *scope])
