@@ -74,6 +74,7 @@ def _numeric_month(m: re.Match, hint: int | None):
     return None, int(m["m"]), int(m["y"]), False
 
 
+_DIGIT = re.compile(r"[0-9]")
 _SHAPES = [
     (re.compile(r"\b(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})\b", re.A), _iso),
     (re.compile(rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?P<m>{_NAMES})\.?,?\s*(?P<y>\d{{4}})?(?!\d)", re.A | re.I), _named),
@@ -87,6 +88,8 @@ _SHAPES = [
 def find_dates(text: str | None, hint: int | None = None) -> list[Hit]:
     """All dates of a text in reading order; hint: the year of those that name none."""
     hits: list[tuple[int, int, Hit]] = []
+    if not _DIGIT.search(text or ""):
+        return []  # every shape has digits
     for pattern, read in _SHAPES:
         for m in pattern.finditer(text or ""):
             day, month, year, inferred = read(m, hint)

@@ -24,7 +24,7 @@ from ..functions.binding import bind
 BLANK = r"\n\s*\n"
 RUN, GROUP = 12, 10
 WINDOW, OVERLAP, REACH = 220, 40, 60
-_WORD = re.compile(r"[^\W_]+(?:['’-]|[^\W_])*|['’-]+(?:['’-]|[^\W_])*")
+_WORD = re.compile(r"[\w'’-]+")
 
 
 def blocks_of(text: Column) -> Column:
@@ -179,9 +179,13 @@ def split_runs(text: str, run: int = RUN, group: int = GROUP) -> list[str]:
     return pieces if len(pieces) > 1 and "".join(pieces) == text else [text]
 
 
+def _word_places(text: str) -> Iterator[re.Match]:
+    return _WORD.finditer(text.replace("_", " "))  # letters, digits, apostrophes and hyphens: no underscores
+
+
 def cut_notes(text: str, window: int = WINDOW, overlap: int = OVERLAP, reach: int = REACH) -> list[tuple[str, int, int]]:
     """(text, start, end) of overlapping notes of about `window` words that end with a sentence where one is near."""
-    spans = [m.span() for m in _WORD.finditer(text)]
+    spans = [m.span() for m in _word_places(text)]
     if len(spans) <= window:
         return [(text, 0, len(text))]
     out, cursor = [], 0
@@ -214,7 +218,7 @@ def notes(entry_rows: DataFrame) -> DataFrame:
                 name = r.date or r.date_raw or r.heading or f"Entry {r.idx + 1}"
                 for part, (piece, first) in enumerate(cut):
                     label = f"{name} ({part + 1}/{len(cut)})" if len(cut) > 1 else name
-                    out.append((r.doc_id, r.idx, part, len(cut), r.heading if first else None, r.date, r.date_raw, label, piece, len(_WORD.findall(piece))))
+                    out.append((r.doc_id, r.idx, part, len(cut), r.heading if first else None, r.date, r.date_raw, label, piece, sum(1 for _ in _word_places(piece))))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in NOTES.split(", ")])
 
