@@ -3,9 +3,9 @@
 Each document gets a rate, its expected number of copies. Among all rates up to
 `most` that meet the sources' token targets, those of least relative entropy to
 one copy each are exponentially tilted by size: rate = min(most, exp(lambda *
-size / mean size)), with one lambda for each source. The dual is convex; Newton
-steps, kept within a bracket, solve it on a histogram of sizes. Rates are then
-rounded: a document takes floor(rate) copies and one more if a hash of it falls
+size / mean size)), with one lambda for each source. The dual is convex; a
+bracket that holds lambda is narrowed on a histogram of sizes until every source's
+expected tokens are within a tolerance of its target. Rates are then rounded: a document takes floor(rate) copies and one more if a hash of it falls
 under its fraction plus a shift, and the shift is set by two rounds of
 histograms, and then one document flipped, so that each source's tokens meet its
 target to within about a small document.
@@ -29,7 +29,11 @@ from .common import SPACE, durable, table, text_or_empty
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-NEWTON_ROUNDS = 6
+#: The dual is solved when each source's expected tokens are within this share of its target.
+TOLERANCE = 1e-6
+#: Values of lambda measured in a round for each source; rounds after which no solution is an error.
+POINTS = 32
+MOST_ROUNDS = 20
 #: A table with a row a source is broadcast up to so many sources (about 5 MB); beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 BINS = 4096
@@ -74,32 +78,47 @@ def _rate(lam: Column, tilt: Column, most: float) -> Column:
     return F.least(F.lit(float(most)), F.exp(F.least(F.lit(50.0), lam * tilt)))
 
 
-def solve(sizes: DataFrame, targets: DataFrame, most: float = MOST, rounds: int = NEWTON_ROUNDS) -> DataFrame:
-    """(source, source_size, target, mean, lam) by Newton steps on the histogram (source, size, n)."""
+def solve(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, mean, lam) by a bracketed search on the histogram (source, size, n).
+
+    With r = target / size of the source, |lam| is between |log r| over the largest and over
+    the least tilt. Each round measures POINTS magnitudes at equal ratios within the
+    bracket, in one pass for all sources, until every source meets its target to within
+    TOLERANCE of it; it is an error if one doesn't in MOST_ROUNDS.
+    """
     key = F.col("source").eqNullSafe
-    sure = math.log(most)
-    shape = sizes.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"))
+    shape = sizes.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"), F.max("size").alias("largest"))
+    mean = F.col("source_size") / F.col("docs")
+    wanted = F.log(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     start = targets.join(shape.withColumnRenamed("source", "s"), key(F.col("s")), "left").select(
-        "source", "source_size", "target", (F.col("source_size") / F.col("docs")).alias("mean"),
-        (F.lit(sure) * F.col("source_size") / F.col("docs") / F.col("least")).alias("high"),
+        "source", "source_size", "target", mean.alias("mean"), F.signum(wanted).alias("sign"),
+        (F.abs(wanted) * mean / F.col("largest")).alias("low"), (F.abs(wanted) * mean / F.col("least")).alias("high"),
     )
-    # from the rate that a document of mean size would have; a target of `most` times the size needs the upper end
-    guess = F.when(F.col("target") >= most * F.col("source_size"), F.col("high")).when(F.col("target") > 0, F.log(F.col("target") / F.col("source_size"))).otherwise(F.lit(-200.0))
-    state = durable(start.select("source", "source_size", "target", "mean", guess.alias("lam"), F.lit(-200.0).alias("low"), "high"))
+    # nothing is taken for a target of 0, and all at the upper rate for one of `most` times the size
+    given = F.when(F.coalesce(F.col("target"), F.lit(0.0)) <= 0, F.lit(float("-inf"))).when(F.col("low") == 0, F.lit(0.0)).when(F.col("target") >= most * F.col("source_size"), F.lit(math.log(most)) * F.col("high") / F.abs(wanted))
+    state = durable(start.withColumn("lam", given).withColumn("miss", F.when(F.col("lam").isNotNull(), F.lit(0.0))))
     counts = sizes.filter("size > 0").select(F.col("source").alias("s"), "size", "n")
-    for _ in range(rounds):
-        tilt = F.col("size") / F.col("mean")
-        rate = _rate(F.col("lam"), tilt, most)
-        mass = F.col("size") * F.col("n") * rate
-        joined = counts.join(_small(state), key(F.col("s")))
-        moments = joined.groupBy("s").agg(F.sum(mass).alias("got"), F.sum(F.when(rate < most, mass * tilt).otherwise(F.lit(0.0))).alias("slope"))
-        over = F.col("got") > F.col("target")
-        low = F.when(over, F.col("low")).otherwise(F.col("lam"))
-        high = F.when(over, F.col("lam")).otherwise(F.col("high"))
-        step = F.col("lam") + (F.col("target") - F.col("got")) / F.nullif(F.col("slope"), F.lit(0.0))
-        inside = (step > low) & (step < high)
-        to = F.when(F.col("got").isNull(), F.col("lam")).when(F.coalesce(inside, F.lit(False)), step).otherwise((low + high) / 2)
-        state = durable(state.join(moments, key(F.col("s")), "left").select("source", "source_size", "target", "mean", to.alias("lam"), low.alias("low"), high.alias("high")))
+    open_ = ~F.coalesce(F.col("miss") <= TOLERANCE * F.col("target"), F.col("lam").isNotNull())
+    for _ in range(MOST_ROUNDS):
+        unsolved = state.filter(open_)
+        if unsolved.isEmpty():
+            return state.select("source", "source_size", "target", "mean", "lam")
+        grid = [F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(k / (POINTS - 1))) for k in range(POINTS)]
+        points = durable(unsolved.select(F.col("source").alias("p"), F.col("mean").alias("p_mean"), F.array(*[F.col("sign") * m for m in grid]).alias("points")))
+        tilt = F.col("size") / F.col("p_mean")
+        joined = counts.join(_small(points), F.col("s").eqNullSafe(F.col("p")))
+        sums = joined.groupBy("s").agg(*[F.sum(F.col("size") * F.col("n") * _rate(F.col("points")[k], tilt, most)).alias(f"got_{k}") for k in range(POINTS)])
+        measured = points.join(sums, F.col("p").eqNullSafe(F.col("s"))).select("p", F.arrays_zip("points", F.array(*[f"got_{k}" for k in range(POINTS)]).alias("got")).alias("tried"))
+        every = state.join(measured, key(F.col("p")), "left")
+        # the rate of every document falls with |lam| if lam is negative
+        past = lambda x: F.col("sign") * (x["got"] - F.col("target")) > 0
+        best = F.array_min(F.transform("tried", lambda x: F.struct(F.abs(x["got"] - F.col("target")).alias("miss"), x["points"].alias("lam"))))
+        low = F.array_max(F.transform(F.filter("tried", lambda x: ~past(x)), lambda x: F.abs(x["points"])))
+        high = F.array_min(F.transform(F.filter("tried", past), lambda x: F.abs(x["points"])))
+        kept = lambda new, old: F.coalesce(new, F.col(old)).alias(old)
+        state = durable(every.select("source", "source_size", "target", "mean", "sign", kept(low, "low"), kept(high, "high"), kept(best["lam"], "lam"), kept(best["miss"], "miss")))
+    if not state.filter(open_).isEmpty():
+        raise ArithmeticError(f"targets aren't met to within {TOLERANCE} in {MOST_ROUNDS} rounds: {state.filter(open_).limit(5).collect()}")
     return state.select("source", "source_size", "target", "mean", "lam")
 
 

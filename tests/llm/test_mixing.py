@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
@@ -60,3 +61,26 @@ def test_a_null_source_is_a_source_of_its_own(spark):
     docs = spark.createDataFrame([(k, "a b c d", None if k % 2 else "z") for k in range(200)], "doc_id long, text string, source string")
     target = {r.source: r.target for r in mixing.taken_words(docs).collect()}
     assert target == pytest.approx(brute_targets({"z": 400, None: 400}))
+
+
+def test_a_few_huge_documents_with_most_words(spark):
+    """lambda settles, and words meet the target, whatever the sizes and the target."""
+    sizes = [(3, 1000), (40, 800), (700, 150), (2_000_000, 8)]
+    rows = [(f"s{share}", size, n) for share in (3, 9, 15, 17, 20) for size, n in sizes]
+    counts = spark.createDataFrame(rows, "source string, size long, n long")
+    whole = sum(size * n for size, n in sizes)
+    targets = counts.select("source").distinct().selectExpr("source", f"{whole}L AS source_size", f"CAST(substr(source, 2) AS double) / 10 * {whole} AS target")
+    for r in mixing.solve(counts, targets).collect():
+        got = sum(size * n * min(2.0, math.exp(min(50.0, r.lam * size / r.mean))) for size, n in sizes)
+        assert abs(got - r.target) <= 2e-6 * r.target
+
+    docs = spark.createDataFrame([(k, "a", z) for k, z in enumerate(z for z, n in sizes for _ in range(n))], "doc_id long, source string, size long")
+    for share in (0.3, 1.5, 1.7):
+        own = mixing.balance(docs, weights=(1,), share=share).collect()
+        assert own[0].target == pytest.approx(share * whole) and abs(sum(x.copies * x.size for x in own) - own[0].target) <= 1_000_000
+
+
+def test_a_source_of_empty_texts_takes_nothing(spark):
+    docs = spark.createDataFrame([(k, s, k * k if s == "b" else 0) for s in ("a", "b") for k in range(100)], "doc_id long, source string, size long")
+    rows = mixing.balance(docs).collect()
+    assert all(r.copies == 0 and r.target == 0 for r in rows if r.source == "a") and sum(r.copies for r in rows) > 0
