@@ -5,10 +5,14 @@
    bounded sample: each node splits by Hamming distance to its vantage point.
    A fingerprint is a member of one shard; by the triangle bound it also visits
    each later shard that may hold fingerprints within the radius.
+   Where a similarity is asked for, not a radius, fingerprints are of the distinct
+   shingles, and links are candidates: step 5 confirms them.
 3. Within a shard a second, finer tree prunes blocks of fingerprints, and exact
    distances decide. The shard reports a spanning forest of its links, not its
    pairs, so a group of n near copies gives n - 1 edges at most.
 4. Components of all edges are found by distributed star contraction.
+5. With a similarity, the Jaccard similarity of distinct shingles is computed within
+   each component of candidates, and its components are of pairs that reach it.
 
 Null text is empty; a text with no word has fingerprint zero and links like any
 other. Rows with null ids take part; a component's id is its least non-null id
@@ -40,6 +44,8 @@ LANES = 8
 SAMPLE = 40_000
 #: Members a shard is meant to have.
 SHARD = 50_000
+#: Candidates that are broadcast, at most (about 15 MB); more are joined by a shuffle.
+BROADCAST_SUSPECTS = 200_000
 _EDGE_BUFFER = 2_000_000
 
 
@@ -90,21 +96,24 @@ def _content(text_col: str):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, lanes: int = 1) -> DataFrame:
     """(doc_id, content, key, fp, more, shingles) of each row, without a shuffle.
 
-    fp is the fingerprint as a signed long, more its lanes beyond the first, key a
-    hash of both (fp itself if there is one lane), content a hash of the text,
-    shingles the number of different ones (0 if there is one lane).
+    fp is the fingerprint as a signed long, more its lanes beyond the first, content a
+    hash of the text. With one lane, key is fp and shingles 0; with more, all are of the
+    distinct shingles: key is a hash of their set and shingles their number.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, sizes = [], []
+            raw, sizes, sets = [], [], []
             for t in batch.column(2):
                 hashes = shingle_hashes(t.as_py(), words)
+                if lanes > 1:
+                    hashes = np.unique(hashes)
+                    sets.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 raw.append(simhash_lanes(hashes, lanes))
-                sizes.append(len(np.unique(hashes)) if lanes > 1 else 0)
+                sizes.append(len(hashes) if lanes > 1 else 0)
             fps = np.fromiter((int.from_bytes(r[:8], "big") for r in raw), np.uint64, len(raw)).view(np.int64)
-            keys = fps if lanes == 1 else np.fromiter((xxhash.xxh64_intdigest(r) for r in raw), np.uint64, len(raw)).view(np.int64)
+            keys = fps if lanes == 1 else np.array(sets, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(fps), pa.array([r[8:] for r in raw], pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "content", "key", "fp", "more", "shingles"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
@@ -236,9 +245,9 @@ def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.nda
 
 
 def bits_for(similarity: float, bits: int) -> int:
-    """Differing bits of `bits` that texts of this Jaccard similarity of shingles stay within, but for one pair in thirty."""
+    """Differing bits of `bits` that texts of this Jaccard similarity of shingles stay within, but for one pair in 700."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * angle + 1.8 * math.sqrt(bits * angle * (1 - angle)))
+    return math.floor(bits * angle + 3 * math.sqrt(bits * angle * (1 - angle)))
 
 
 def size_class(shingles: np.ndarray, similarity: float) -> np.ndarray:
@@ -291,18 +300,77 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, similarity: flo
     return dealt.groupBy("shard").applyInPandas(link, "u long, v long")
 
 
+def jaccard_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of sets (distinct hashes each): equal if linked by pairs of this Jaccard similarity or more.
+
+    A search from each set over those not reached yet: sets that are alike are reached at once.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    owner, flag = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(values), bool)
+    label, open_ = np.full(len(sets), -1), np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        reached, open_[start], label[start] = [start], False, start
+        while reached:
+            i = reached.pop()
+            flag[own[i]] = True
+            both = np.bincount(owner[flag[ids]], minlength=len(sets))
+            flag[own[i]] = False
+            near = np.nonzero(open_ & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))[0]
+            label[near], open_[near] = start, False
+            reached.extend(near.tolist())
+            if len(near):
+                rest = open_[owner]
+                owner, ids = owner[rest], ids[rest]
+            if not len(owner):
+                break
+    return label
+
+
+def confirmed(docs: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(key, root) of keys that exact Jaccard similarities link, from candidates (key, root).
+
+    The shingles of one row of each candidate key are hashed again; only these sets are shuffled.
+    """
+    suspects = durable(distinct.select("key", "rep.*").join(roots, "key").withColumnsRenamed({"doc_id": "_id", "content": "_content"}))
+    few = suspects.count() <= BROADCAST_SUSPECTS
+    rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("root", "key", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "key", "hashes"])
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
+        keys = pdf["key"].to_numpy(np.int64)
+        label = jaccard_components([np.frombuffer(h, np.uint64) for h in pdf["hashes"]], similarity)
+        linked = np.bincount(label, minlength=len(label))[label] > 1
+        return pd.DataFrame({"key": keys[linked], "root": keys[label[linked]]})
+
+    return texts.mapInArrow(hashed, "root long, key long, hashes binary").groupBy("root").applyInPandas(confirm, "key long, root long")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """(doc_id, content, fp, root, component_id) of each row; rows of a group share root, a key.
 
     Without `similarity`, fingerprints within `radius` bits are linked. With it, a
     fingerprint has LANES lanes; the vantage-point search is over the first, with the
-    radius that its estimate of the similarity needs, and all lanes together decide.
+    radius that its estimate of the similarity needs, all lanes together propose, and
+    the exact similarity of distinct shingles decides.
     """
-    radius = radius if similarity is None else bits_for(similarity, 64) + 2
+    radius = radius if similarity is None else bits_for(similarity, 64)
     each = durable(fingerprints(docs, id_col, text_col, words, 1 if similarity is None else LANES))
-    distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("shingles").alias("shingles")))
+    distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("shingles").alias("shingles"), F.min(F.struct("doc_id", "content")).alias("rep")))
     each = each.select("doc_id", "content", "key", "fp")
     roots = durable(connected_components(link_fingerprints(distinct, radius, similarity)).select(F.col("node").alias("key"), "root"))
+    if similarity is not None:
+        roots = durable(confirmed(docs, distinct, roots, id_col, text_col, words, similarity))
     named = distinct.select("key", "least").join(roots, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("key", "root").join(least, "root").select("key", "root", "component_id")

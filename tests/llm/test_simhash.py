@@ -114,3 +114,37 @@ def test_edges(odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(10) == 1 and 11 not in ids and ids.count(None) == 1  # the null text is a copy of the empty one
     assert sh.near_duplicates(empty).count() == 0 and sh.keep_one(empty).count() == 0
+
+
+def brute_kept(texts: dict[int, str], similarity=0.8) -> set[int]:
+    sets = {k: set(zip(*(t.lower().split()[j:] for j in range(5)), strict=False)) for k, t in texts.items()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    return {k for k in root if root[k] == k}
+
+
+def test_repeated_lines_and_near_pairs_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    line = fresh(12)
+    texts = [fresh(200) + line * 15, fresh(200) + line * 15, fresh(200) + ["na"] * 300, fresh(200) + ["na"] * 300]
+    body = fresh(400)
+    texts += [body + line * n for n in (2, 12)]
+    for changes in range(2, 20):  # similarities about and under 0.9, over and under 0.8
+        b = fresh(400)
+        c = list(b)
+        for j in rng.choice(400, changes, replace=False):
+            c[j] = "other"
+        texts += [b, c]
+    rows = {k: " ".join(t) for k, t in enumerate(texts)}
+    kept = {r.doc_id for r in sh.keep_one(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), words=5, similarity=0.8).collect()}
+    assert kept == brute_kept(rows) and {0, 1, 2, 3} <= kept and 5 not in kept
+
+
+def test_jaccard_components_follow_chains():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 30, 500, 900, 905)] + [np.zeros(0, np.uint64)]
+    assert sh.jaccard_components(sets, 0.8).tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
