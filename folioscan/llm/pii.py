@@ -228,8 +228,9 @@ def _added(text: Column, base: Column, model: Boosted, threshold: float) -> Colu
     return F.transform(let(likely, pick), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
 
 
-#: A text without any of these has no candidate.
-_HINT = r"[0-9@]|(?i:[\[({]at[\])}]|\x20dot\x20)"
+#: A text without any of these has no candidate: numbers need a digit, and addresses one of _AT, of which
+#: the plain word is too frequent and needs what must follow it as well.
+_HINT = rf"[0-9@]|(?i:[\[({{]at[\])}}]|\x20at\x20\x20?[a-z0-9-]{{1,63}}{_DOT}[a-z0-9-])"
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 

@@ -89,3 +89,19 @@ def test_trees_as_columns_equal_trees(spark):
     rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
     got = np.array([r.p for r in rows.select(model.column(lambda k: F.col("abc"[k])).alias("p")).collect()])
     assert np.allclose(got, p)
+
+
+def test_every_candidate_has_a_hint(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [(a, d) for a in ("@", " @ ", "[at]", " [AT] ", "(at)", " (at) ", "{at}", " {at} ", " at ", "  at  ", " At ") for d in (".", " . ", "[dot]", " [dot] ", "(dot)", " (DOT) ", "{dot}", " {dot} ", " dot ", " Dot ")]
+    texts = [f"write to anna{a}example{d}com today" for a, d in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("text", F.size(pii.candidates(F.col("text"))).alias("n"), F.col("text").rlike(pii._HINT).alias("hint")).collect()
+    assert all(r.hint for r in rows if r.n) and sum(r.n > 0 for r in rows) == len(rows)
+    plain = [(1, "write mail to anna at example.com today"), (2, "write mail to anna at example [dot] com today")]
+    for r in pii.find(spark.createDataFrame([*plain, *((k + 10, t + " 7") for k, t in plain)], "doc_id long, text string")).collect():
+        other = plain[(r.doc_id % 10) - 1][1]
+        model, threshold = pii.fitted(spark)
+        scored = spark.createDataFrame([(other,)], "text string").select(pii._added(F.col("text"), pii.base_spans(F.col("text")), model, threshold).alias("a")).first().a
+        assert [s.value for s in r.added] == [s.value for s in scored]
