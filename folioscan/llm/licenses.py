@@ -1,8 +1,10 @@
 """Licence recognition by known sentences and ordered rules.
 
-A text is cut into sentences (at line ends and at a full stop, question or
-exclamation mark before white space). Normalised sentences are looked up in a
-table of known licence sentences; the identifiers found, in order, are matched
+A text is cut into pieces (at line ends and at a full stop, question or
+exclamation mark before white space). A known licence sentence is found where one
+piece, or several that follow one another, normalise to it: sentences may be wrapped,
+stand behind comment marks, or hold a full stop. Found ones don't overlap, and of
+those that begin at a piece the shortest counts. The identifiers, in order, are matched
 against an ordered list of licence rules, of which the first that fits names
 the licence. Lookup and rules are literals in one projection: no shuffle, no join.
 
@@ -90,14 +92,11 @@ def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip(" ")
 
 
-def normalise(sentence: Column) -> Column:
-    """ASCII letters in lower case; all but ASCII letters and digits is one space."""
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
-
-
-def sentences(text: Column) -> Column:
-    return F.split(text, r"\n+|(?<=[.?!])[\x20\t\r]+")
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, a line end before and after each; none is empty."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = F.regexp_replace(lower, r"\n+|(?<=[.?!])[\x20\t\r]+", "\n")
+    return F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(cut, r"[^a-z0-9\n]+", " "), F.lit("\n")), r"\x20?\n[\x20\n]*", "\n")
 
 
 def anchors() -> list[str]:
@@ -115,10 +114,10 @@ def anchors() -> list[str]:
 def identify(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order, repeats included."""
     known = F.create_map(*[F.lit(x) for s, i in sorted({normalised(s): i for i, s in SENTENCES}.items()) for x in (s, i)])
-    longest = max(len(s) for _, s in SENTENCES)
-    # a sentence much longer than any known one can't be equal to one, and needn't be normalised
-    short = F.filter(sentences(text), lambda s: F.length(s) <= 2 * longest)
-    found = F.array_compact(F.transform(short, lambda s: F.try_element_at(known, normalise(s))))
+    # a cut may be between any two words; shorter sentences are tried first
+    every = sorted({normalised(s) for _, s in SENTENCES}, key=lambda s: (len(s), s))
+    pattern = r"(?<=\n)(?:" + "|".join(s.replace(" ", r"[\x20\n]") for s in every) + r")(?=\n)"
+    found = F.transform(F.regexp_extract_all(pieces(text), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     return F.when(text.rlike("(?i)" + "|".join(anchors())), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -29,3 +29,27 @@ def test_every_known_sentence_is_found(spark):
 
 def test_edges(odd, empty):
     assert lc.scan(odd).count() == odd.count() and lc.scan(empty).count() == 0
+
+
+def test_sentences_with_full_stops_wrapped_and_behind_comment_marks(spark):
+    import textwrap
+
+    shapes = [(width, mark) for width in (400, 72, 30) for mark in ("", " * ", "# ", "// ")]
+    cases = [(i, "Some text here.\n" + textwrap.indent(textwrap.fill(s, width), mark, lambda _: True) + "\nMore.") for i, s in lc.SENTENCES for width, mark in shapes]
+    found = scan(spark, [text for _, text in cases])
+    for k, (i, text) in enumerate(cases):
+        assert found[k][1].split()[0] == i, text
+    mpl = next(s for i, s in lc.SENTENCES if i == "mpl-notice")
+    bsd = [next(s for i, s in lc.SENTENCES if i == b) for b in ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")]
+    found = scan(spark, [f"{mpl} It is.", "\n".join(textwrap.fill(s, 60) for s in bsd), "Licensed" + " -" * 600 + " under the MIT License."])
+    assert [found[k][0] for k in range(3)] == ["MPL-2.0", "BSD-3-Clause", "MIT"]
+
+
+def test_equal_to_its_sql_on_the_given_tables(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    path = "/root/testdata/sf0.01"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, n_licence_sentences, sentence_ids, licence, licences FROM ({lc.OP2_SQL})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in lc.op2_license_scan(spark, path).collect())
