@@ -3,9 +3,9 @@
 Each document gets a rate, its expected number of copies. Among all rates up to
 `most` that meet the sources' token targets, those of least relative entropy to
 one copy each are exponentially tilted by size: rate = min(most, exp(lambda *
-size / mean size)), with one lambda for each source. The dual is convex; a
-bracket that holds lambda is narrowed on a histogram of sizes until every source's
-expected tokens are within a tolerance of its target. Rates are then rounded: a document takes floor(rate) copies and one more if a hash of it falls
+size / mean size)), with one lambda for each source. The dual is convex; Newton
+iterations on a histogram of sizes, within a bracket that holds lambda, run until every
+source's expected tokens are within a tolerance of its target. Rates are then rounded: a document takes floor(rate) copies and one more if a hash of it falls
 under its fraction plus a shift, and the shift is set by two rounds of
 histograms, and then one document flipped, so that each source's tokens meet its
 target to within about a small document.
@@ -32,8 +32,8 @@ MOST = 2
 #: The dual is solved when each source's expected tokens are within this share of its target.
 TOLERANCE = 1e-6
 #: Values of lambda measured in a round for each source; rounds after which no solution is an error.
-POINTS = 32
-MOST_ROUNDS = 20
+POINTS = 6
+MOST_ROUNDS = 40
 #: A table with a row a source is broadcast up to so many sources (about 5 MB); beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 BINS = 4096
@@ -52,7 +52,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     What a source can't take is shared out again by weight. Filled sources leave in
     the order of most * size / weight: with sources in that order, source k is filled
     if it is below its share of what the earlier ones left. One window over the
-    table of sources, which has a row for each.
+    table of sources, which has a row for each: one task, fine for some millions of sources.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     named = Window.orderBy(F.col("source").asc_nulls_last())
@@ -79,47 +79,61 @@ def _rate(lam: Column, tilt: Column, most: float) -> Column:
 
 
 def solve(sizes: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
-    """(source, source_size, target, mean, lam) by a bracketed search on the histogram (source, size, n).
+    """(source, source_size, target, mean, lam) by Newton iterations on the histogram (source, size, n).
 
     With r = target / size of the source, |lam| is between |log r| over the largest and over
-    the least tilt. Each round measures POINTS magnitudes at equal ratios within the
-    bracket, in one pass for all sources, until every source meets its target to within
-    TOLERANCE of it; it is an error if one doesn't in MOST_ROUNDS.
+    the least tilt. A round measures the expected words and their slope at a few lam of
+    each source, in one pass for all: the Newton step (on the logarithm of the words)
+    from the best lam so far, and points at equal ratios within the bracket, so that the
+    bracket closes even where a step fails. Rounds end when every source meets its target
+    to within TOLERANCE of it; it is an error if one doesn't in MOST_ROUNDS.
     """
     key = F.col("source").eqNullSafe
-    shape = sizes.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"), F.max("size").alias("largest"))
+    # decimals: a sum of doubles depends on the order in which rows come
+    exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+    shape = sizes.filter("size > 0").groupBy("source").agg(F.sum("n").alias("docs"), F.min("size").alias("least"), F.max("size").alias("largest"), exact(F.col("size").cast("double") * F.col("size") * F.col("n")).alias("squares"))
     mean = F.col("source_size") / F.col("docs")
     wanted = F.log(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))
     start = targets.join(shape.withColumnRenamed("source", "s"), key(F.col("s")), "left").select(
         "source", "source_size", "target", mean.alias("mean"), F.signum(wanted).alias("sign"),
         (F.abs(wanted) * mean / F.col("largest")).alias("low"), (F.abs(wanted) * mean / F.col("least")).alias("high"),
+        # the Newton step from lam = 0
+        (F.abs(wanted) * mean * F.col("source_size") / F.col("squares")).alias("step"),
     )
     # nothing is taken for a target of 0, and all at the upper rate for one of `most` times the size
     given = F.when(F.coalesce(F.col("target"), F.lit(0.0)) <= 0, F.lit(float("-inf"))).when(F.col("low") == 0, F.lit(0.0)).when(F.col("target") >= most * F.col("source_size"), F.lit(math.log(most)) * F.col("high") / F.abs(wanted))
-    state = durable(start.withColumn("lam", given).withColumn("miss", F.when(F.col("lam").isNotNull(), F.lit(0.0))))
+
+    def points(step: Column) -> Column:
+        """lam of the next round: the step, if it is within the bracket, and POINTS - 1 others."""
+        low, high = F.col("low"), F.col("high")
+        inside = F.when((step >= low) & (step <= high), step).otherwise(F.sqrt(low) * F.sqrt(high))
+        return F.array(*[F.col("sign") * m for m in (inside, *(low * F.pow(high / F.nullif(low, F.lit(0.0)), F.lit(k / (POINTS - 2))) for k in range(POINTS - 1)))])
+
+    state = start.withColumn("lam", given).withColumn("miss", F.when(F.col("lam").isNotNull(), F.lit(0.0)))
+    state = durable(state.withColumn("points", points(F.col("step"))).drop("step"))
     counts = sizes.filter("size > 0").select(F.col("source").alias("s"), "size", "n")
     open_ = ~F.coalesce(F.col("miss") <= TOLERANCE * F.col("target"), F.col("lam").isNotNull())
     for _ in range(MOST_ROUNDS):
-        unsolved = state.filter(open_)
-        if unsolved.isEmpty():
+        unsolved = state.filter(open_).select(F.col("source").alias("p"), F.col("mean").alias("p_mean"), "points")
+        n = unsolved.count()
+        if not n:
             return state.select("source", "source_size", "target", "mean", "lam")
-        grid = [F.col("low") * F.pow(F.col("high") / F.col("low"), F.lit(k / (POINTS - 1))) for k in range(POINTS)]
-        points = durable(unsolved.select(F.col("source").alias("p"), F.col("mean").alias("p_mean"), F.array(*[F.col("sign") * m for m in grid]).alias("points")))
         tilt = F.col("size") / F.col("p_mean")
-        joined = counts.join(_small(points), F.col("s").eqNullSafe(F.col("p")))
-        sums = joined.groupBy("s").agg(*[F.sum(F.col("size") * F.col("n") * _rate(F.col("points")[k], tilt, most)).alias(f"got_{k}") for k in range(POINTS)])
-        measured = points.join(sums, F.col("p").eqNullSafe(F.col("s"))).select("p", F.arrays_zip("points", F.array(*[f"got_{k}" for k in range(POINTS)]).alias("got")).alias("tried"))
-        every = state.join(measured, key(F.col("p")), "left")
+        joined = counts.join(F.broadcast(unsolved) if n <= BROADCAST_SOURCES else unsolved, F.col("s").eqNullSafe(F.col("p")))
+        rates = joined.select("p", *[(F.col("size") * F.col("n") * _rate(F.col("points")[k], tilt, most)).alias(f"w{k}") for k in range(POINTS)], *[(F.col("points")[k] * tilt < math.log(most)).alias(f"free{k}") for k in range(POINTS)], tilt.alias("tilt"))
+        sums = rates.groupBy("p").agg(F.array(*[exact(F.col(f"w{k}")) for k in range(POINTS)]).alias("got"), F.array(*[exact(F.when(F.col(f"free{k}"), F.col(f"w{k}") * F.col("tilt")).otherwise(0.0)) for k in range(POINTS)]).alias("slope"))
+        every = state.join(sums, key(F.col("p")), "left").withColumn("tried", F.arrays_zip("points", "got", "slope"))
         # the rate of every document falls with |lam| if lam is negative
         past = lambda x: F.col("sign") * (x["got"] - F.col("target")) > 0
-        best = F.array_min(F.transform("tried", lambda x: F.struct(F.abs(x["got"] - F.col("target")).alias("miss"), x["points"].alias("lam"))))
+        best = F.array_min(F.transform("tried", lambda x: F.struct(F.abs(x["got"] - F.col("target")).alias("miss"), x["points"].alias("lam"), x["got"].alias("got"), x["slope"].alias("slope"))))
         low = F.array_max(F.transform(F.filter("tried", lambda x: ~past(x)), lambda x: F.abs(x["points"])))
         high = F.array_min(F.transform(F.filter("tried", past), lambda x: F.abs(x["points"])))
         kept = lambda new, old: F.coalesce(new, F.col(old)).alias(old)
-        state = durable(every.select("source", "source_size", "target", "mean", "sign", kept(low, "low"), kept(high, "high"), kept(best["lam"], "lam"), kept(best["miss"], "miss")))
-    if not state.filter(open_).isEmpty():
-        raise ArithmeticError(f"targets aren't met to within {TOLERANCE} in {MOST_ROUNDS} rounds: {state.filter(open_).limit(5).collect()}")
-    return state.select("source", "source_size", "target", "mean", "lam")
+        measured = every.withColumn("best", F.when(F.col("got").isNotNull(), best))
+        state = measured.select("source", "source_size", "target", "mean", "sign", kept(low, "low"), kept(high, "high"), kept(F.col("best.lam"), "lam"), kept(F.col("best.miss"), "miss"), "best")
+        step = F.col("sign") * (F.col("best.lam") - F.log(F.col("best.got") / F.nullif(F.col("target"), F.lit(0.0))) * F.col("best.got") / F.nullif(F.col("best.slope"), F.lit(0.0)))
+        state = durable(state.withColumn("points", points(step)).drop("best"))
+    raise ArithmeticError(f"targets aren't met to within {TOLERANCE} in {MOST_ROUNDS} rounds: {state.filter(open_).limit(5).collect()}")
 
 
 def _plan(most: float) -> tuple[Column, Column]:
@@ -177,7 +191,8 @@ def _shifts(rounded: DataFrame, bins: int = BINS) -> DataFrame:
 def _flips(rounded: DataFrame, cuts: DataFrame) -> DataFrame:
     """(f, flip_gap, flip_size): for each source, the document whose other rounding ends nearest to the target.
 
-    Only where it ends nearer than before; rows that repeat are flipped, and counted, together.
+    Only where it ends nearer than before; of documents that end equally near, the one of
+    least gap, then size. Rows that repeat are flipped, and counted, together.
     """
     held = rounded.join(cuts, F.col("source").eqNullSafe(F.col("s"))).filter("gap is not null or whole > 0")
     extra = F.col("gap") < F.col("cut")
@@ -185,7 +200,7 @@ def _flips(rounded: DataFrame, cuts: DataFrame) -> DataFrame:
     held = held.select("source", "size", "gap", "target", delta.alias("delta"), (F.col("size") * (F.col("whole") + F.when(extra, 1).otherwise(0))).alias("taken"))
     miss = held.groupBy("source").agg((F.first("target") - F.sum("taken")).alias("miss")).withColumnRenamed("source", "m")
     aimed = held.filter("delta is not null").join(_small(durable(miss)), F.col("source").eqNullSafe(F.col("m")))
-    best = durable(aimed.groupBy("source", "miss").agg(F.min_by(F.struct("gap", "size", "delta"), F.abs(F.col("miss") - F.col("delta"))).alias("b")).select(F.col("source").alias("f"), "miss", "b.*"))
+    best = durable(aimed.groupBy("source", "miss").agg(F.min(F.struct(F.abs(F.col("miss") - F.col("delta")).alias("left"), "gap", "size", "delta")).alias("b")).select(F.col("source").alias("f"), "miss", "b.*"))
     b = best.select("f", "miss", F.col("gap").alias("flip_gap"), F.col("size").alias("flip_size"), F.col("delta").alias("flip_delta"))
     same = F.col("source").eqNullSafe(F.col("f")) & (F.col("gap") == F.col("flip_gap")) & (F.col("size") == F.col("flip_size"))
     counted = held.join(_small(b), same).groupBy("f", "miss", "flip_gap", "flip_size", "flip_delta").agg(F.count("*").alias("n"))
