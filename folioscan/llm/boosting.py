@@ -107,7 +107,6 @@ def threshold_for(probability: np.ndarray, y: np.ndarray, precision: float) -> f
     best = 1.0
     for t in sorted({*probability.tolist(), 0.5}, reverse=True):
         above = probability >= t
-        if above.any() and y[above].mean() < precision:
-            break
-        best = t
+        if above.any() and y[above].mean() >= precision:
+            best = t
     return max(0.5, best - 1e-9)

@@ -8,8 +8,12 @@ clash with no base span and no better candidate are added.
 
 All of it is one projection: matches and their places come from extracting and
 splitting by the same pattern, trees are CASE expressions. Texts without any
-digit or @, and without a disguised @, skip every pattern. The patterns are possessive, so that a
-text of any length is read in linear time.
+digit or @, and without a disguised @, skip every pattern. Patterns are possessive,
+places are running totals, contexts are cut from the chunks of a text, and overlaps are
+counted along sorted events, so that texts of any length and with any number of
+matches take near linear time. Generators are as wide as the formats: a disguised address
+has 64 characters before its sign and 63 a label at most, a number 19 digits (base
+spans have no such bounds). Of candidates that tie, the one of least place, end, kind stays.
 
 Null text is empty and has no spans. Repeated rows get repeated results; an
 empty table gives an empty result; find() ignores extra columns, redact() keeps
@@ -47,7 +51,11 @@ GENERATORS = [
 ]
 CONTEXT = 32
 PRECISION = 0.95
-FEATURES = ("kind", "digits", "luhn", "length", "groups", "joined_before", "joined_after", "near_word", "other_word", "different_digits", "card_prefix", "octets", "known_end", "disguised", "signed")
+#: Elements that one fold may copy at each step; code points of a chunk of a text; pairs compared one by one.
+BLOCK = 64
+CHUNK = 256
+FEW_PAIRS = 1024
+FEATURES = ("kind", "digits", "luhn", "length", "groups", "joined_before", "joined_after", "near_word", "other_word", "different_digits", "card_prefix", "octets", "known_end", "disguised", "bracketed", "spaced_dot", "signed")
 _NEAR = {
     "email": r"mail|contact|write|reach|address|correo|adresse",
     "ip": r"\bip\b|host|server|address|login|client|adresse",
@@ -58,19 +66,51 @@ _OTHER = r"order|invoice|version|isbn|serial|part|sku|ref|build|rev|chapter|sect
 _ENDS = r"(?i)\b(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 
 
+def running(values: Column, op=lambda a, b: a + b) -> Column:
+    """The running totals of an array of ints by an associative op.
+
+    Totals within blocks, then of the blocks: a fold that copies its array at each step
+    is quadratic, but short here.
+    """
+
+    def scan(xs: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            to = F.when(a["at"].isNull(), x).otherwise(op(a["at"], x))
+            return F.struct(to.alias("at"), F.concat(a["out"], F.array(to)).alias("out"))
+
+        return F.aggregate(xs, F.struct(F.lit(None).cast("int").alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+
+    def blocked(xs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(xs), F.lit(BLOCK))
+
+        def spread(blocks: Column) -> Column:
+            totals = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+            return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: op(F.get(t, i - 1), x))))))
+
+        return let(F.transform(starts, lambda i: scan(F.slice(xs, i, F.lit(BLOCK)))), spread)
+
+    return let(values, lambda xs: F.when(F.size(xs) <= BLOCK, scan(xs)).otherwise(blocked(xs)))
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in pieces of CHUNK code points, in which between() finds a place at once."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of the text that was cut into chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    held = F.slice(chunks, first + 1, F.floor((end - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(end > start, F.substring(F.array_join(held, ""), start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+
 def _all(text: Column, pattern: str) -> Column:
     """array of (start, end, value): all matches, leftmost and non-overlapping."""
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["before"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
-
     def places(values: Column) -> Column:
-        pairs = F.zip_with(F.split(text, pattern, -1), values, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-        placed = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
-        return F.when(F.size(values) > 0, placed).otherwise(none)
+        ends = running(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), values, lambda b, v: F.length(b) + F.length(v)))
+        placed = F.zip_with(ends, values, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+        return F.when(F.size(values) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
@@ -123,23 +163,24 @@ def candidates(text: Column) -> Column:
     return F.concat(*[_kinded(_all(text, p), k) for k, p in GENERATORS])
 
 
-def features(text: Column, c: Column) -> Column:
-    """A struct of FEATURES of candidate c (kind, start, end, value)."""
-    value = c["value"]
-    before = F.lower(F.substring(text, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT))))
-    after = F.substring(text, c["end"] + 1, F.lit(1))
-    near = F.lit(False)
-    for k, kind in enumerate(KINDS):
-        near = near | ((c["kind"] == k) & before.rlike(_NEAR[kind]))
-    digits = digits_of(value)
-    short = F.substring(digits, 1, 24)
-    flags = {
-        "kind": c["kind"], "digits": F.length(digits), "luhn": (F.length(digits) > 11) & luhn(short), "length": F.length(value),
-        "groups": F.size(F.split(value, "[^0-9A-Za-z]+")), "joined_before": before.rlike("[A-Za-z0-9._/+-]$"), "joined_after": after.rlike("[A-Za-z0-9_/-]"),
-        "near_word": near, "other_word": before.rlike(_OTHER), "different_digits": F.size(F.array_distinct(F.split(short, ""))),
-        "card_prefix": digits.rlike("^[3-6]"), "octets": _octets(value), "known_end": value.rlike(_ENDS), "disguised": value.rlike(r"(?i)\Wat\W|\Wdot\W"), "signed": before.rlike(r"\+$"),
-    }
-    return F.struct(*[flags[f].cast("double").alias(f) for f in FEATURES])
+def features(chunks: Column, c: Column) -> Column:
+    """A struct of FEATURES of candidate c (kind, start, end, value) in a text cut into chunks."""
+
+    def described(x: Column) -> Column:
+        value, before, after, digits = c["value"], x["before"], x["after"], x["digits"]
+        near = F.lit(False)
+        for k, kind in enumerate(KINDS):
+            near = near | ((c["kind"] == k) & before.rlike(_NEAR[kind]))
+        flags = {
+            "kind": c["kind"], "digits": F.length(digits), "luhn": (F.length(digits) > 11) & luhn(digits), "length": F.length(value),
+            "groups": F.size(F.split(value, "[^0-9A-Za-z]+")), "joined_before": before.rlike("[A-Za-z0-9._/+-]$"), "joined_after": after.rlike("[A-Za-z0-9_/-]"),
+            "near_word": near, "other_word": before.rlike(_OTHER), "different_digits": F.size(F.array_distinct(F.split(digits, ""))),
+            "card_prefix": digits.rlike("^[3-6]"), "octets": _octets(value), "known_end": value.rlike(_ENDS), "disguised": value.rlike(r"(?i)\Wat\W|\Wdot\W"), "spaced_dot": value.rlike(r"\.\x20"), "bracketed": value.rlike(r"(?i)[\[({]at[\])}]"), "signed": before.rlike(r"\+$"),
+        }
+        return F.struct(*[flags[f].cast("double").alias(f) for f in FEATURES])
+
+    before = F.lower(between(chunks, F.greatest(c["start"] - CONTEXT, F.lit(0)), c["start"]))
+    return let(F.struct(before.alias("before"), between(chunks, c["end"], c["end"] + 1).alias("after"), digits_of(c["value"]).alias("digits")), described)
 
 
 def training_table() -> list[tuple[str, str]]:
@@ -167,12 +208,14 @@ def training_table() -> list[tuple[str, str]]:
     words = "the and lorem with ipsum over dolor under sit then amet here quia not vel more".split()
     some = lambda: " ".join(words[draw(len(words))] for _ in range(2 + draw(4)))
     rows = []
-    for _ in range(14):
+    for _ in range(20):
         octet = [str(draw(256)) for _ in range(4)]
-        name, host = words[draw(16)] + number(2), words[draw(16)]
-        for at, dot in (("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")):
-            rows.append((f"{some()} mail {some()}", f"{name}{at}{host}{dot}com"))
-        rows += [(f"{some()} look at {host}.{words[draw(16)]} {some()}", ""), (f"{some()} meet at noon. Then {some()}", "")]
+        host = words[draw(16)]
+        for at, dot in (("@", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("{at}", "{dot}"), (" (at) ", " (dot) ")):
+            name = words[draw(16)] + ["", number(2), "." + words[draw(16)], "_" + number(1), "-" + words[draw(16)]][draw(5)]
+            lead = [f"{some()} mail {some()}", f"{some()} contact", some()][draw(3)]
+            rows.append((lead, f"{name}{at}{host}{dot}{['com', 'org', 'net', 'de', 'info', 'fr'][draw(6)]}"))
+        rows += [(f"{some()} look at {host}.{words[draw(16)]} {some()}", ""), (f"{some()} meet at noon. Then {some()}", ""), (f"{some()} stay at {words[draw(16)]}. {['Com', 'Org', 'Net', 'De', 'Info', 'Fr'][draw(6)]} {some()}", "")]
         rows += [(f"{some()} server ", "[.]".join(octet)), (f"{some()} host ip ", "(.)".join(octet)), (f"{some()}", ".".join(octet))]
         rows += [(f"version {'.'.join(str(300 + draw(600)) for _ in range(4))} {some()}", ""), (f"section {draw(9)} . {draw(9)} . {draw(9)} . {draw(9)} {some()}", "")]
         for n in (13, 15, 16, 16, 19):
@@ -186,11 +229,17 @@ def training_table() -> list[tuple[str, str]]:
     return rows
 
 
-_fitted: list[tuple[Boosted, float]] = []
+_fitted: list[tuple[Boosted, list[float]]] = []
 
 
-def fitted(spark: SparkSession) -> tuple[Boosted, float]:
-    """The model and its threshold, trained once a process on training_table().
+def described(rows: DataFrame) -> DataFrame:
+    """rows (k, text, truth) by candidate: k, truth, kind, value, f (features), y: 1 if it is the truth."""
+    each = rows.select("k", "text", "truth", chunks_of(F.col("text")).alias("chunks"), F.explode(candidates(F.col("text"))).alias("c"))
+    return each.select("k", "truth", "c.kind", "c.value", features(F.col("chunks"), F.col("c")).alias("f"), (F.col("c.value") == F.col("truth")).cast("int").alias("y"))
+
+
+def fitted(spark: SparkSession) -> tuple[Boosted, list[float]]:
+    """The model and the threshold of each kind, trained once a process on training_table().
 
     The same expressions as in find() propose and describe its candidates. Trees are
     fitted on half of the texts, calibrated and thresholded on the others.
@@ -199,33 +248,92 @@ def fitted(spark: SparkSession) -> tuple[Boosted, float]:
         return _fitted[0]
     values = ", ".join(f"({k}, {sql_literal(text + ('' if not truth else ' ' if text[-1:] != ' ' else '') + truth)}, {sql_literal(truth)})" for k, (text, truth) in enumerate(training_table()))
     rows = spark.sql(f"SELECT * FROM VALUES {values} AS t(k, text, truth)")
-    each = rows.select("k", "text", "truth", F.explode(candidates(F.col("text"))).alias("c"))
-    described = each.select("k", features(F.col("text"), F.col("c")).alias("f"), (F.col("c.value") == F.col("truth")).cast("int").alias("y"))
-    data = sorted((r.k, tuple(r.f), r.y) for r in described.collect())  # as many rows as the fixed table proposes
-    k, x, y = np.array([d[0] for d in data]), np.array([d[1] for d in data]), np.array([d[2] for d in data], float)
+    taught = described(rows).filter("y = 1 OR NOT contains(truth, value)")  # a part of the truth is no mistake
+    data = sorted((r.k, tuple(r.f), r.y, r.kind) for r in taught.collect())  # as many rows as the fixed table proposes
+    k, x, y, kind = (np.array([d[j] for d in data], t) for j, t in ((0, int), (1, float), (2, float), (3, int)))
     held = k % 2 == 1
     model = calibrate(boost(x[~held], y[~held]), x[held], y[held])
-    _fitted.append((model, threshold_for(model.probability(x[held]), y[held], PRECISION)))
+    _fitted.append((model, [threshold_for(model.probability(x[held & (kind == j)]), y[held & (kind == j)], PRECISION) for j in range(len(KINDS))]))
     return _fitted[0]
 
 
-def _added(text: Column, base: Column, model: Boosted, threshold: float) -> Column:
-    """Candidates over the threshold that overlap no base span; of overlapping ones the most probable stays."""
+def overlapped(found: Column, spans: Column) -> Column:
+    """array of booleans: whether each of `found` (start, end) overlaps any of `spans`.
+
+    The spans that start before an end, less those that end by a start. Both are counted
+    along sorted events; a few pairs are compared directly.
+    """
+
+    def one_by_one(c: Column) -> Column:
+        return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
-    def scored(c: Column) -> Column:
-        p = let(features(text, c), lambda f: model.column(lambda k: f[FEATURES[k]]))
+    def counted(at_span: str, at_found: str, spans_first: bool) -> Column:
+        event = lambda at, first, add, i: F.struct(at.alias("at"), F.lit(0 if first else 1).alias("order"), F.lit(add).alias("add"), i.alias("i"))
+        mine = F.transform(found, lambda c, i: event(c[at_found], not spans_first, 0, i))
+        events = F.array_sort(F.concat(mine, F.transform(spans, lambda s: event(s[at_span], spans_first, 1, F.lit(-1)))))
+
+        def numbers(e: Column) -> Column:
+            each = F.zip_with(running(F.transform(e, lambda x: x["add"])), e, lambda n, x: F.struct(x["i"].alias("i"), n.alias("n")))
+            return F.transform(F.array_sort(F.filter(each, lambda x: x["i"] >= 0)), lambda x: x["n"])
+
+        return let(events, numbers)
+
+    along = F.zip_with(counted("start", "end", False), counted("end", "start", True), lambda a, b: a > b)
+    return F.when(F.size(found) * F.size(spans) <= FEW_PAIRS, F.transform(found, one_by_one)).otherwise(along)
+
+
+def not_overlapping(found: Column) -> Column:
+    """Of overlapping (order, start, end, ...) the one of least order stays, and so on; the rest in order of place.
+
+    Candidates are compared within a run of overlapping ones only.
+    """
+
+    def pick(own: Column) -> Column:
+        def step(kept: Column, c: Column) -> Column:
+            return F.when(F.exists(kept, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), kept).otherwise(F.concat(kept, F.array(c)))
+
+        return F.aggregate(F.array_sort(own), F.slice(own, F.lit(1), F.lit(0)), step)
+
+    def runs(x: Column) -> Column:
+        own = F.transform(x["firsts"], lambda f, j: F.slice(x["placed"], f + 1, F.coalesce(F.get(x["firsts"], j + 1), F.size(x["placed"])) - f))
+        return F.flatten(F.transform(own, lambda c: F.when(F.size(c) == 1, c).otherwise(pick(c))))
+
+    def placed(p: Column) -> Column:
+        return let(F.struct(p.alias("placed"), first_of_runs(p).alias("firsts")), runs)
+
+    by_place = F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).otherwise(a["kind"] - b["kind"]))
+    chosen = F.transform(let(by_place, placed), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value")))
+    return F.when(F.size(found) > 0, F.array_sort(chosen)).otherwise(F.slice(chosen, F.lit(1), F.lit(0)))
+
+
+def first_of_runs(spans: Column) -> Column:
+    """Indices of the spans, in order of start, that overlap none before them."""
+
+    def of(ends: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(ends, i - 1)))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
+
+
+def _added(text: Column, base: Column, model: Boosted, thresholds: list[float]) -> Column:
+    """Candidates over their kind's threshold that overlap no base span; of overlapping ones the most probable stays."""
+
+    def scored(chunks: Column, c: Column) -> Column:
+        p = let(features(chunks, c), lambda f: model.column(lambda k: f[FEATURES[k]]))
         return F.struct((-p).alias("order"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["value"].alias("value"))
 
-    def clear(c: Column, spans: Column) -> Column:
-        return ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    def judged(clear: Column) -> Column:
+        least = F.array(*[F.lit(t) for t in thresholds])
+        every = let(chunks_of(text), lambda chunks: F.transform(clear, lambda c: scored(chunks, c)))
+        return let(F.filter(every, lambda c: -c["order"] >= F.get(least, c["kind"])), not_overlapping)
 
-    def pick(found: Column) -> Column:
-        none = F.array().cast("array<struct<order:double,start:int,end:int,kind:int,value:string>>")
-        return F.aggregate(found, none, lambda kept, c: F.when(clear(c, kept), F.concat(kept, F.array(c))).otherwise(kept))
+    def proposed(found: Column) -> Column:
+        marked = F.zip_with(found, overlapped(found, base), lambda c, o: F.struct(c.alias("c"), o.alias("o")))
+        return let(F.transform(F.filter(marked, lambda m: ~m["o"]), lambda m: m["c"]), lambda clear: F.when(F.size(clear) > 0, in_order(judged(clear))).otherwise(none))
 
-    proposed = F.filter(candidates(text), lambda c: clear(c, base))
-    likely = F.array_sort(F.filter(F.transform(proposed, scored), lambda c: c["order"] <= -threshold))
-    return F.transform(let(likely, pick), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
+    in_order = lambda spans: F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
+    none = F.array().cast(_SPANS)
+    return let(candidates(text), lambda found: F.when(F.size(found) > 0, proposed(found)).otherwise(none))
 
 
 #: A text without any of these has no candidate: numbers need a digit, and addresses one of _AT, of which
@@ -234,39 +342,42 @@ _HINT = rf"[0-9@]|(?i:[\[({{]at[\])}}]|\x20at\x20\x20?[a-z0-9-]{{1,63}}{_DOT}[a-
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def spans_of(text: Column, model: Boosted, threshold: float) -> Column:
+def spans_of(text: Column, model: Boosted, thresholds: list[float]) -> Column:
     """struct(base, added): arrays of (kind, start, end, value)."""
     none = F.array().cast(_SPANS)
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _added(text, b, model, threshold).alias("added")))
+    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _added(text, b, model, thresholds).alias("added")))
     return F.when(text.rlike(_HINT), both).otherwise(F.struct(none.alias("base"), none.alias("added")))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added: arrays of (kind, start, end, value) of each row."""
-    model, threshold = fitted(docs.sparkSession)
-    found = docs.select(F.col(id_col).alias("doc_id"), spans_of(text_or_empty(text_col), model, threshold).alias("s"))
+    model, thresholds = fitted(docs.sparkSession)
+    found = docs.select(F.col(id_col).alias("doc_id"), spans_of(text_or_empty(text_col), model, thresholds).alias("s"))
     return found.select("doc_id", "s.base", "s.added")
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by its first span's kind in brackets."""
+    """The text with each run of overlapping spans (one at least) replaced by its first span's kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(a: Column, s: Column) -> Column:
-        apart = s["start"] >= a["at"]
-        out = F.when(apart, F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+    def joined(x: Column) -> Column:
+        # where the run before ends: nothing of it reaches beyond
+        after = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(x["ends"], F.get(x["firsts"], j) - 1))
+        parts = F.transform(x["firsts"], lambda f, j: F.concat(between(x["chunks"], after(j), F.get(x["spans"], f)["start"]), F.get(names, F.get(x["spans"], f)["kind"])))
+        return F.concat(F.array_join(parts, ""), between(x["chunks"], F.element_at(x["ends"], -1), x["length"]))
+
+    def measured(s: Column) -> Column:
+        ends = running(F.transform(s, lambda x: x["end"]), F.greatest)
+        return let(F.struct(s.alias("spans"), ends.alias("ends"), first_of_runs(s).alias("firsts"), chunks_of(text).alias("chunks"), F.length(text).alias("length")), joined)
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rest = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), measured)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with personal data replaced by its kind; a column of lengths, if there is one, follows the text."""
-    model, threshold = fitted(docs.sparkSession)
+    model, thresholds = fitted(docs.sparkSession)
     text = F.col(f"row.{text_col}")
-    held = docs.select(F.struct("*").alias("row")).withColumn("s", spans_of(F.coalesce(text, F.lit("")), model, threshold))
+    held = docs.select(F.struct("*").alias("row")).withColumn("s", spans_of(F.coalesce(text, F.lit("")), model, thresholds))
     held = held.withColumn("all", F.concat("s.base", "s.added"))
     clean = F.when(F.size("all") > 0, redacted(text, F.col("all"))).otherwise(text)
     held = held.select("row", "all", clean.alias("clean"))
