@@ -1,8 +1,10 @@
 """URL filtering: host and path rules, then logistic regression on hashed character n-grams.
 
-The model is fitted to a small labelled table of URLs (LABELLED); each URL is a
-bag of hashed n-grams of its host and of its path. Rules come first; the
-longest that fits decides.
+The model is fitted once, on the driver, to a small labelled table of URLs made by
+rule (labelled()); each URL is a bag of hashed n-grams of its host and of its path.
+Rules come first; the longest that fits decides, of equally long ones the first by
+name. They are looked up by the host's suffixes, so that a URL costs as many lookups
+as its host has labels, whatever the number of rules.
 
 A null url, or one without `://`, has an empty host and path; no rule fits it
 and the model's bias alone scores it. Equal URLs get equal verdicts, extra
@@ -25,8 +27,8 @@ from .common import table
 DIMENSIONS = 1 << 14
 NGRAMS = (3, 4, 5)
 THRESHOLD = 0.5
-#: Rules that one projection may hold.
-MOST_RULES = 2000
+#: Rules that are sent to every worker, at most (about 300 MB); more are an error.
+MOST_RULES = 1_000_000
 
 #: (action, rule): a rule is a host and a path prefix; the host stands for its subdomains too.
 RULES = [
@@ -35,26 +37,28 @@ RULES = [
 ]
 
 #: Words of hosts and paths from which the labelled table is made.
-BLOCKED_WORDS = """spam spam-farm cheap cheap-pills pills casino poker betting slots jackpot viagra porn xxx adult-cams escort
+BLOCKED_WORDS = """spam spam-farm cheap pills casino poker betting bets slots jackpot viagra porn xxx adult-cams escort
 payday loans replica warez torrent crack keygen free-money click-farm link-farm seo-links doorway fake-news-mill miracle-cure""".split()
 CLEAN_WORDS = """blog news wiki docs library museum school university garden recipes history science weather travel sports music
 journal archive forum health city market studio letters notes books art film maps data project open community review""".split()
 PLACES = ["example.com", "example.org", "example.net"]
 PATHS = ["/en/1", "/fr/22", "/de/333.html", "/es/44/", "/about", "/articles/2020/05/today", "/index.html", "/"]
+#: What stands around a word in a host; `free` and `best` may stand before either kind.
+SHAPES = ["{}", "{}-win", "{}24", "my{}", "best-{}", "free-{}", "{}online", "the{}", "{}-world", "{}7"]
 
 
 def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, blocked): each word as a host's label with each place and two paths, and within paths."""
+    """(host, path, blocked): each word in each shape as a host's label, and within paths of invented hosts."""
     rows = []
     for words, label in ((BLOCKED_WORDS, 1), (CLEAN_WORDS, 0)):
         for k, w in enumerate(words):
-            for j, place in enumerate(PLACES):
+            for j, shape in enumerate(SHAPES):
                 prefix = ["", "www.", "m.", "blog."][(k + j) % 4]
-                rows += [(f"{prefix}{w}.{place}", PATHS[(k + j) % len(PATHS)], label), (f"{w}{k}.{place}", PATHS[(k + 3 * j + 1) % len(PATHS)], label)]
+                rows.append((f"{prefix}{shape.format(w)}.{PLACES[(k + j) % 3]}", PATHS[(k + 3 * j) % len(PATHS)], label))
             rows.append((f"www.site{k}.example.org", f"/{w}/{k}", label))
     # invented hosts: syllables in any order are no reason to block
     syllables = "th re on an in er es st en ti ea ou nd la mi vo".split()
-    for k in range(160):
+    for k in range(240):
         name = syllables[k % 16] + syllables[k * 7 % 16] + syllables[k * 3 // 2 % 16]
         rows.append((f"{['', 'www.', 'm.', 'blog.'][k % 4]}{name}.{PLACES[k % 3]}", PATHS[k % len(PATHS)], 0))
     return rows
@@ -86,10 +90,8 @@ def _sums(weights: np.ndarray, rows: np.ndarray, dims: np.ndarray, n: int) -> np
     return np.bincount(rows, weights[dims], minlength=n) / np.sqrt(np.maximum(counts, 1))
 
 
-@cache
-def fitted(rounds: int = 400, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by full gradient steps on the labelled table; the same on every run."""
-    rows = labelled()
+def train(rows: list[tuple[str, str, int]], rounds: int = 400, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by full gradient steps on labelled rows; the same on every run."""
     r, d = features([x[0] for x in rows], [x[1] for x in rows])
     y = np.array([x[2] for x in rows], float)
     scale = 1 / np.sqrt(np.maximum(np.bincount(r, minlength=len(rows)), 1))
@@ -101,12 +103,46 @@ def fitted(rounds: int = 400, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.n
     return w, b
 
 
-def score(hosts: list[str], paths: list[str]) -> np.ndarray:
+@cache
+def fitted() -> tuple[np.ndarray, float]:
+    """The model of the whole labelled table."""
+    return train(labelled())
+
+
+def score(hosts: list[str], paths: list[str], model: tuple[np.ndarray, float] | None = None) -> np.ndarray:
     """Probability that each URL is to be blocked."""
-    w, b = fitted()
+    w, b = model or fitted()
     return 1 / (1 + np.exp(-(_sums(w, *features(hosts, paths), len(hosts)) + b)))
 
 
+class RuleBook:
+    """Rules by host; the longest that fits a host's suffix and the path's beginning is found."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        if len(rules) > MOST_RULES:
+            raise ValueError(f"at most {MOST_RULES} rules")
+        self.by_host: dict[str, list[tuple[str, str, str]]] = {}
+        for action, rule in sorted(rules, key=lambda x: (-len(x[1]), x[1])):
+            name, prefix = rule.split("/", 1)
+            self.by_host.setdefault(name, []).append(("/" + prefix, action, rule))
+        self.longest = max(map(len, self.by_host), default=-1)
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """(action, rule), or nulls."""
+        best: tuple = (None, None)
+        at = 0 if len(host) <= self.longest else host.find(".", len(host) - self.longest - 1) + 1
+        while at or len(host) <= self.longest:
+            for prefix, action, rule in self.by_host.get(host[at:], ()):
+                if path.startswith(prefix):
+                    if best[1] is None or (-len(rule), rule) < (-len(best[1]), best[1]):
+                        best = (action, rule)
+                    break
+            at = host.find(".", at) + 1
+            if not at:
+                break
+        return best
+
+
 def host_of(url: Column) -> Column:
     """From the first `://` to `/`, `?`, `#` or the end, A-Z in lower case; else empty."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
@@ -117,34 +153,24 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """struct(action, rule) of the longest rule that fits, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
-    found = None
-    for action, rule in sorted(rules, key=lambda x: (-len(x[1]), x[1])):
-        name, prefix = rule.split("/", 1)
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + prefix)
-        value = F.struct(F.lit(action).alias("action"), F.lit(rule).alias("rule"))
-        found = F.when(fits, value) if found is None else found.when(fits, value)
-    return F.lit(None).cast("struct<action:string,rule:string>") if found is None else found
-
-
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, score, verdict; only ids and URLs are read, nothing is shuffled."""
     kind = pages.schema[id_col].dataType.simpleString()
     url = F.col(url_col)
     cut = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    model = fitted()  # once, here; weights and rules go to the workers with the function
+    book = RuleBook(RULES if rules is None else rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["page_id", "host", "path", "score"])
+            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            scores = score(hosts, paths, model)
+            actions, found = zip(*(book.find(h, p) for h, p in zip(hosts, paths, strict=True)), strict=True) if hosts else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(actions, pa.string())], names=["page_id", "host", "path", "rule", "score", "action"])
 
-    scored = cut.mapInArrow(run, f"page_id {kind}, host string, path string, score double")
-    found = scored.withColumn("found", rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules))
+    scored = cut.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, score double, action string")
     by_model = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", F.col("found.rule").alias("rule"), "score", F.coalesce(F.col("found.action"), by_model).alias("verdict"))
+    return scored.select("page_id", "host", "path", "rule", "score", F.coalesce("action", by_model).alias("verdict"))
 
 
 def op4_url_filter(spark, sf_dir: str) -> DataFrame:
