@@ -139,20 +139,30 @@ def op2_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """The same for DuckDB, without a pattern of all sentences: each piece that a sentence may begin at is compared.
+
+    P holds a text's pieces with a line end before and after each, W the same with spaces. Found
+    sentences are then taken from left to right by a recursive query.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in sorted({normalised(s): i for i, s in SENTENCES}.items()))
     cases = [f"CASE WHEN regexp_matches(line, {quote(rule_pattern(ids))}) THEN {quote(name)} END" for name, ids in RULES]
     firsts = ", ".join(cases)
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}),
-lines AS (SELECT doc_id, n, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
-  FROM (SELECT doc_id, text, row_number() OVER () AS n FROM documents)),
-cut AS (SELECT doc_id, n, k, unnest(string_split(regexp_replace(line, '([.?!])[ \t\r]+', '\1' || chr(1), 'g'), chr(1))) AS s,
-    generate_subscripts(string_split(regexp_replace(line, '([.?!])[ \t\r]+', '\1' || chr(1), 'g'), chr(1)), 1) AS j FROM lines),
-tidy AS (SELECT n, k, j, trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ') AS sentence FROM cut),
-found AS (SELECT n, count(*) AS c, string_agg(id, ' ' ORDER BY k, j) AS ids FROM tidy JOIN known USING (sentence) GROUP BY n),
-every AS (SELECT doc_id, coalesce(c, 0) AS n_licence_sentences, coalesce(ids, '') AS sentence_ids, ' ' || coalesce(ids, '') || ' ' AS line
-  FROM (SELECT doc_id, row_number() OVER () AS n FROM documents) LEFT JOIN found USING (n))
+WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
+d AS (SELECT doc_id, row_number() OVER () AS n, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+cut AS (SELECT n, regexp_replace(regexp_replace(t, '\n+', chr(10), 'g'), '([.?!])[ \t\r]+', '\1' || chr(10), 'g') AS t FROM d),
+p AS (SELECT n, regexp_replace(chr(10) || regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g') || chr(10), ' ?\n[ \n]*', chr(10), 'g') AS p FROM cut),
+w AS (SELECT n, p, replace(p, chr(10), ' ') AS w FROM p),
+near AS (SELECT n, p, w, sentence, id FROM w JOIN known ON contains(w, ' ' || sentence || ' ')),
+begins AS (SELECT n, p, w, unnest(list_filter(range(1, length(p) + 1), lambda k: p[k] = chr(10))) AS pos FROM (SELECT DISTINCT n, p, w FROM near)),
+hits AS (SELECT b.n, b.pos, min(b.pos + length(k.sentence) + 1) AS upto, arg_min(k.id, length(k.sentence)) AS id FROM begins b JOIN known k
+  ON substr(b.w, b.pos + 1, length(k.sentence)) = k.sentence AND substr(b.p, b.pos + length(k.sentence) + 1, 1) = chr(10) GROUP BY 1, 2),
+taken AS (
+  SELECT n, pos, upto, id FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) AS r FROM hits) WHERE r = 1
+  UNION ALL SELECT n, pos, upto, id FROM (SELECT h.*, row_number() OVER (PARTITION BY h.n ORDER BY h.pos) AS r FROM taken t JOIN hits h ON h.n = t.n AND h.pos >= t.upto) WHERE r = 1),
+found AS (SELECT n, count(*) AS c, string_agg(id, ' ' ORDER BY pos) AS ids FROM taken GROUP BY n),
+every AS (SELECT doc_id, coalesce(c, 0) AS n_licence_sentences, coalesce(ids, '') AS sentence_ids, ' ' || coalesce(ids, '') || ' ' AS line FROM d LEFT JOIN found USING (n))
 SELECT doc_id, n_licence_sentences, sentence_ids, coalesce({firsts}) AS licence,
   array_to_string([x FOR x, i IN list_filter([{firsts}], lambda v: v IS NOT NULL) IF i = list_position(list_filter([{firsts}], lambda v: v IS NOT NULL), x)], ',') AS licences
 FROM every
