@@ -113,15 +113,9 @@ def read_turns(formatted: Column, template: Template = Template()) -> Column:
     return F.transform(parts, turn)
 
 
-def loss_text(formatted: Column, segments: Column, template: Template = Template()) -> Column:
-    """The unescaped text of `formatted` under the loss mask: its segments' lengths and flags cut it out."""
-
-    def step(a: Column, s: Column) -> Column:
-        n = F.length(s["text"])
-        under = F.when(s["loss"], F.concat(a["held"], F.substring(formatted, a["at"], n))).otherwise(a["held"])
-        return F.struct((a["at"] + n).alias("at"), under.alias("held"))
-
-    return template.unescape(F.aggregate(segments, F.struct(F.lit(1).alias("at"), F.lit("").alias("held")), step, lambda a: a["held"]))
+def loss_text(segments: Column, template: Template = Template()) -> Column:
+    """The unescaped text under the loss mask: the segments that are flagged, joined."""
+    return template.unescape(F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: s["text"]), ""))
 
 
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -129,7 +123,7 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = spark.sql(f"SELECT -7L AS conv_id, turn, role, {said} AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     out = format_conversations(rows)
-    read = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("segments")).alias("loss"))
+    read = out.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),

@@ -7,6 +7,7 @@ Digests of similar texts differ in few quartiles.
 
 Null text counts as empty, a text under three bytes has no triplets and all
 its buckets are in the lowest quartile; equal texts always have equal digests.
+Rows that repeat both id and text stand next to one another, in any order.
 Extra columns are ignored, repeated rows give repeated results, and an empty
 table gives an empty result.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,33 +89,46 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def with_following(docs: DataFrame) -> DataFrame:
+def with_following(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """Rows (slot, borrowed, key, tie, doc_id, text) dealt out so that each slot, read in
     order, is followed by the next row of the whole table by descending doc_id.
 
-    One pass over the ids finds range bounds; the texts are shuffled once. The first
+    There are as many slots as shuffle partitions or as partitions of the input, whichever
+    are more. One pass over the ids finds range bounds; the texts are shuffled once. The first
     row of the next slot is sent along as well (borrowed); after the last slot, the
-    first of all. Null ids come last, equal ids in the order of a hash of their text.
+    first of all. Null ids come last, equal ids in the order of a hash of their text; an
+    id that fills several slots is cut by that hash.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    slots = shuffle_partitions(spark)
+    slots = slots or max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     at = [k / slots for k in range(1, slots)]
-    bounds = keyed.select(F.col("key").cast("double")).approxQuantile("key", at, 1 / (4 * slots)) if at else []
+    bounds = Counter(keyed.select(F.col("key").cast("double")).approxQuantile("key", at, 1 / (4 * slots)) if at else [])
     splits = [-math.inf, *sorted(set(bounds) - {-math.inf, math.inf}), math.inf]
     keyed = keyed.withColumn("as_double", F.col("key").cast("double"))
     dealt = Bucketizer(splits=splits, inputCol="as_double", outputCol="bucket").transform(keyed) if len(splits) > 2 else keyed.withColumn("bucket", F.lit(0.0))
-    dealt = dealt.select("doc_id", "text", "key", "tie", F.col("bucket").cast("int").alias("slot"))
+    # an id that is a bound several times opens its bucket: ids below it (only of the same double), parts of it, ids above
+    hot = [(float(splits.index(v)), int(v), n) for v, n in sorted(bounds.items()) if n > 1]
+    parts = max((n for *_, n in hot), default=0)
+    part = F.lit(0)
+    if hot:
+        dealt = dealt.join(F.broadcast(spark.createDataFrame(hot, "bucket double, value long, n int")), "bucket", "left")
+        own = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("n")).cast("int")
+        within = F.when(F.col("key") < F.col("value"), F.lit(0)).when(F.col("key") > F.col("value"), F.lit(parts + 1)).otherwise(F.least(own, F.col("n") - 1) + 1)
+        part = F.when(F.col("value").isNull(), F.lit(0)).otherwise(within)
+    dealt = dealt.select("doc_id", "text", "key", "tie", (F.col("bucket").cast("long") * (parts + 2) + part).alias("code"))
     # one row for each slot: the first in reading order
-    first = sorted((r.slot, r.top.key, r.top.tie) for r in dealt.groupBy("slot").agg(F.max(F.struct("key", "tie")).alias("top")).collect())
-    lent = [(first[k][1], first[k][2], first[(k + 1) % len(first)][0]) for k in range(len(first))]
+    first = sorted((r.code, r.top.key, r.top.tie) for r in dealt.groupBy("code").agg(F.max(F.struct("key", "tie")).alias("top")).collect())
+    numbers = spark.createDataFrame([(code, k) for k, (code, _, _) in enumerate(first)], "code long, slot int")
+    lent = [(first[k][1], first[k][2], (k + 1) % len(first)) for k in range(len(first))]
     to = spark.createDataFrame(lent, "first_key long, first_tie long, borrower int")
-    both = dealt.join(F.broadcast(to), (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie")), "left")
+    numbered = dealt.join(F.broadcast(numbers), "code")
+    both = numbered.join(F.broadcast(to), (F.col("key") == F.col("first_key")) & (F.col("tie") == F.col("first_tie")), "left")
     own = F.struct(F.col("slot").alias("slot"), F.lit(0).alias("borrowed"))
     borrowed = F.struct(F.col("borrower").alias("slot"), F.lit(1).alias("borrowed"))
     both = both.withColumn("place", F.explode(F.when(F.col("borrower").isNull(), F.array(own)).otherwise(F.array(own, borrowed))))
     rows = both.select("place.slot", "place.borrowed", "key", "tie", "doc_id", "text")
-    return rows.repartitionById(len(splits) - 1, F.col("slot")).sortWithinPartitions(F.col("slot"), F.col("borrowed"), F.col("key").desc(), F.col("tie").desc())
+    return rows.repartitionById(max(len(first), 1), F.col("slot")).sortWithinPartitions(F.col("slot"), F.col("borrowed"), F.col("key").desc(), F.col("tie").desc())
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

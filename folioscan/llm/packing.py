@@ -8,7 +8,9 @@ leftovers of all partitions are merged in groups of bounded size.
 
 Null text is empty: its only id is the end id. Null or repeated doc_ids and
 repeated rows are packed like any others, each row on its own. Very long
-texts become full windows and a remainder. An empty table gives no pieces.
+texts become full windows and a remainder. Of windows that fit equally well the one
+opened first is taken, of equally full ones too. Extra columns are ignored. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations

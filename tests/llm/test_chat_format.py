@@ -15,7 +15,7 @@ def test_round_trip(spark):
     turns = [(c, t, role, SAID[(c * 5 + t) % len(SAID)]) for c in range(len(SAID)) for t, role in enumerate(["system", "user", "assistant", "user", "assis:tant"])]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     out = cf.format_conversations(rows)
-    read = out.select("conv_id", "valid", "broken_at", cf.read_turns(F.col("formatted")).alias("t"), cf.loss_text(F.col("formatted"), F.col("segments")).alias("loss")).collect()
+    read = out.select("conv_id", "valid", "broken_at", cf.read_turns(F.col("formatted")).alias("t"), cf.loss_text(F.col("segments")).alias("loss")).collect()
     for r in read:
         want = [(role, text or "") for c, _, role, text in turns if c == r.conv_id]
         assert [tuple(x) for x in r.t] == want
@@ -51,3 +51,9 @@ def test_query_by_definition(spark):
     for r in got:
         loss = "".join(t for role, t in by[r.conv_id] if role == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(by[r.conv_id]), sha("".join(f"{a}\n{b}\n" for a, b in by[r.conv_id])), len(loss), sha(loss))
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    clash = rows.withColumn("turns", F.lit(3)).withColumn("segments", F.lit("s")).withColumn("formatted", F.lit(None).cast("int")).withColumn("late", F.lit(True)).withColumn("end", F.lit(1))
+    assert sorted(map(str, cf.format_conversations(clash).collect())) == sorted(map(str, cf.format_conversations(rows).collect()))

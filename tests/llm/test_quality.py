@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from folioscan.llm import quality
 
 
@@ -47,3 +49,8 @@ def test_one_projection(documents):
 
 def test_empty(empty):
     assert quality.judge(empty).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark, odd):
+    clash = odd.withColumn("m", F.lit("x")).withColumn("n_words", F.lit(-1)).withColumn("failed", F.lit(None).cast("string")).withColumn("kept", F.lit(7))
+    assert sorted(map(str, quality.judge(clash).collect())) == sorted(map(str, quality.judge(odd).collect()))
