@@ -5,14 +5,17 @@
    bounded sample: each node splits by Hamming distance to its vantage point.
    A fingerprint is a member of one shard; by the triangle bound it also visits
    each later shard that may hold fingerprints within the radius.
-   Where a similarity is asked for, not a radius, fingerprints are of the distinct
-   shingles, and links are candidates: step 5 confirms them.
-3. Within a shard a second, finer tree prunes blocks of fingerprints, and exact
-   distances decide. The shard reports a spanning forest of its links, not its
-   pairs, so a group of n near copies gives n - 1 edges at most.
+   A shard with more rows than a task is meant to hold is cut into cells: blocks of
+   its members, and of its visitors, that meet two by two in tasks of their own.
+3. Within a cell a second, finer tree prunes blocks of fingerprints, and exact
+   distances decide. A cell reports a spanning forest of its links, not its
+   pairs, so a group of n near copies gives n - 1 edges a cell at most.
 4. Components of all edges are found by distributed star contraction.
-5. With a similarity, the Jaccard similarity of distinct shingles is computed within
-   each component of candidates, and its components are of pairs that reach it.
+5. Where a similarity is asked for, not a radius, fingerprints are of the distinct
+   shingles, the forests are of candidate pairs, and each pair's exact Jaccard
+   similarity decides. Components of candidates with a pair that fails are searched
+   again, for pairs that aren't linked or refused yet, until there are none. All is
+   row by row; no group of documents comes together in a task.
 
 Null text is empty; a text with no word has fingerprint zero and links like any
 other. Rows with null ids take part; a component's id is its least non-null id
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,8 +48,15 @@ LANES = 8
 SAMPLE = 40_000
 #: Members a shard is meant to have.
 SHARD = 50_000
-#: Candidates that are broadcast, at most (about 15 MB); more are joined by a shuffle.
+#: Rows of a block of a shard that is cut; shards of up to two blocks aren't. With a similarity a quarter of it.
+CELL = 40_000
+#: Shards that are cut and candidates, at most, that are broadcast (some 15 MB); more are joined by a shuffle.
+BROADCAST_SHARDS = 500_000
 BROADCAST_SUSPECTS = 200_000
+#: Pairs with one document that a task gets; candidate pairs of a document in the second search, and how these grow.
+PAIRS_A_TASK = 1000
+PAIRS, PAIRS_GROWTH = 16, 16
+MOST_SEARCHES = 30
 _EDGE_BUFFER = 2_000_000
 
 
@@ -168,11 +179,12 @@ class VantageTree:
 
 
 class Forest:
-    """Components of points 0..n-1, kept as labels; edges come in blocks."""
+    """Components of points 0..n-1, kept as labels; edges come in blocks, and `tree` holds those that joined components."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
         self.held: list[np.ndarray] = []
+        self.tree: list[np.ndarray] = []
         self.size = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -190,7 +202,12 @@ class Forest:
                 if not apart.any():
                     break
                 a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-                np.minimum.at(self.label, np.maximum(x, y), np.minimum(x, y))
+                high, low = np.maximum(x, y), np.minimum(x, y)
+                order = np.lexsort((low, high))
+                # of each component the edge to the least one
+                first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+                self.tree.append(np.where(x[first] > y[first], np.stack([a[first], b[first]]), np.stack([b[first], a[first]])))
+                self.label[high[first]] = low[first]
                 while (up := self.label[self.label]).tobytes() != self.label.tobytes():
                     self.label = up
             self.held, self.size = [], 0
@@ -210,14 +227,12 @@ def _rings(points: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     return [((int(v) // 65, int(v) % 65), part) for v, part in zip(values, np.split(order, at[1:]), strict=True)]
 
 
-def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.ndarray | None = None, most: int = 0, sizes: np.ndarray | None = None, ratio: float = 0) -> np.ndarray:
-    """Labels of points: equal if linked by pairs within the radius of which one is a member at least.
-
-    more: further lanes, a row for each point; all lanes of a pair then differ in `most`
-    bits at most, and its sizes are within the ratio of one another.
-    """
-    forest = Forest(len(points))
+def _near(points: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (a, b) of pairs within the radius: both of group 0, or of different groups."""
     rings = _rings(points)
+    ring = np.zeros(len(points), np.int64)
+    for i, (_, own) in enumerate(rings):
+        ring[own] = i
     for i, ((p, q), own) in enumerate(rings):
         near = [part for (x, y), part in rings[i:] if abs(x - p) <= radius and abs(y - q) <= radius]
         others = np.concatenate(near)  # the ring itself comes first
@@ -225,25 +240,64 @@ def link_shard(points: np.ndarray, member: np.ndarray, radius: int, more: np.nda
             rows = own[k : k + 128]
             for j in range(0, len(others), 4096):
                 columns = others[j : j + 4096]
-                hit = np.bitwise_count(points[rows, None] ^ points[None, columns]) <= radius
-                a, b = np.nonzero(hit)
+                a, b = np.nonzero(np.bitwise_count(points[rows, None] ^ points[None, columns]) <= radius)
                 a, b = rows[a], columns[b]
-                keep = (a != b) & (member[a] | member[b])
-                a, b = a[keep], b[keep]
-                if more is not None and len(a):
-                    apart = forest.label[a] != forest.label[b]  # what is together needn't be measured
-                    a, b = a[apart], b[apart]
-                    fit = np.minimum(sizes[a], sizes[b]) >= ratio * np.maximum(sizes[a], sizes[b])
-                    a, b = a[fit], b[fit]
-                    bits = np.bitwise_count(points[a] ^ points[b]) + np.bitwise_count(more[a] ^ more[b]).sum(axis=1, dtype=np.int64)
-                    a, b = a[bits <= most], b[bits <= most]
-                if len(a):
-                    forest.add(a, b)
-        if more is not None:
-            forest.settle()
+                keep = ((group[a] != group[b]) | (group[a] == 0)) & ((ring[a] != ring[b]) | (a < b))
+                if keep.any():
+                    yield a[keep], b[keep]
+
+
+def link_cell(points: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of points: equal if linked by pairs within the radius, both of group 0 or of different groups."""
+    forest = Forest(len(points))
+    for a, b in _near(points, group, radius):
+        forest.add(a, b)
     return forest.settle()
 
 
+@dataclass
+class Lanes:
+    """What candidates of a similarity are measured by, beside their first lane."""
+
+    more: np.ndarray  # further lanes, a row a point
+    sizes: np.ndarray
+    label: np.ndarray  # points of one label are linked already
+    refused: np.ndarray  # pairs that aren't, as lower index * n + higher
+    most: int  # differing bits of all lanes
+    ratio: float
+
+
+def candidate_pairs(points: np.ndarray, group: np.ndarray, radius: int, lanes: Lanes, each: int | None) -> np.ndarray:
+    """Pairs (2, n) that may be similar: of each point `each` at most, or those of a spanning forest."""
+    n, forest, found = len(points), Forest(len(points)), []
+    taken = np.zeros(n, np.int64)
+    for a, b in _near(points, group, radius):
+        label = forest.label if each is None else lanes.label
+        apart = label[a] != label[b]  # what is together needn't be measured
+        a, b = a[apart], b[apart]
+        fit = np.minimum(lanes.sizes[a], lanes.sizes[b]) >= lanes.ratio * np.maximum(lanes.sizes[a], lanes.sizes[b])
+        a, b = a[fit], b[fit]
+        bits = np.bitwise_count(points[a] ^ points[b]) + np.bitwise_count(lanes.more[a] ^ lanes.more[b]).sum(axis=1, dtype=np.int64)
+        a, b = a[bits <= lanes.most], b[bits <= lanes.most]
+        if len(lanes.refused):
+            new = ~np.isin(np.minimum(a, b) * n + np.maximum(a, b), lanes.refused)
+            a, b = a[new], b[new]
+        if not len(a):
+            continue
+        if each is None:
+            forest.add(a, b)
+            forest.settle()
+            continue
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = taken[a] + rank < each
+        found.append(np.stack([a[keep], b[keep]]))
+        taken += np.bincount(a[keep], minlength=n)
+    forest.settle()
+    return np.concatenate([np.zeros((2, 0), np.int64), *found, *forest.tree], axis=1)
+
+
 def bits_for(similarity: float, bits: int) -> int:
     """Differing bits of `bits` that texts of this Jaccard similarity of shingles stay within, but for one pair in 700."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -255,13 +309,12 @@ def size_class(shingles: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(shingles, 1)) / -math.log(similarity)).astype(np.int32)
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, similarity: float | None = None, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """Edges (u, v) of keys: a spanning forest of each component of the distinct (key, fp, more, shingles).
+def _dealt(distinct: DataFrame, radius: int, similarity: float | None, sample: int, shard: int) -> DataFrame:
+    """Rows of distinct (key, fp, more, shingles, ...) with shard and member, once for each shard they belong to or visit.
 
     With a similarity, fingerprints are also dealt out by size class: each is a member
     of its own class and visits the next.
     """
-    most = None if similarity is None else bits_for(similarity, 64 * LANES)
     count = distinct.count()
     share = min(1.0, sample / max(count, 1))
     chosen = distinct if share == 1 else distinct.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
@@ -270,90 +323,158 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, similarity: flo
     # shards of the largest class have the size that is meant
     largest = 1.0 if similarity is None or not rows else np.bincount(size_class(np.array([r.shingles for r in rows]), similarity)).max() / len(rows)
     tree = VantageTree(taken, shard * share / largest)
+    names = distinct.columns
+    at_fp, at_size = names.index("fp"), names.index("shingles")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            points = batch.column(at_fp).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(points):
                 continue
             index, to, home = tree.deal(points, radius)
             own = to >= home  # the other direction is the other point's visit
             index_all, place, member = index[own], to[own].astype(np.int64), (to == home)[own]
             if similarity is not None:
-                classes = size_class(batch.column(3).to_numpy(zero_copy_only=False), similarity).astype(np.int64)
+                classes = size_class(batch.column(at_size).to_numpy(zero_copy_only=False), similarity).astype(np.int64)
                 place = np.concatenate([place + classes[index_all] * tree.shards, to + (classes[index] + 1) * tree.shards])
                 member = np.concatenate([member, np.zeros(len(index), bool)])
                 index_all = np.concatenate([index_all, index])
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(member), *(batch.column(c).take(pa.array(index_all)) for c in range(4))], names=["shard", "member", "key", "fp", "more", "shingles"])
+            for k in range(0, len(index_all), 100_000):
+                part = pa.array(index_all[k : k + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(place[k : k + 100_000]), pa.array(member[k : k + 100_000]), *(c.take(part) for c in batch.columns)], names=["shard", "member", *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema.fields)
+    return distinct.mapInArrow(deal, "shard long, member boolean, " + schema)
+
+
+def _celled(dealt: DataFrame, cell: int) -> DataFrame:
+    """dealt with (shard, first, second) of a cell and the row's group in it.
+
+    Shards of over two cells' rows are cut: a cell is a block of members alone (group 0),
+    or a block of members (1) with a later one or with a block of visitors (2).
+    """
+    big = dealt.groupBy("shard").agg(F.count_if("member").alias("members"), F.count("*").alias("rows")).filter(F.col("rows") > 2 * cell)
+    blocks = lambda n: F.ceil(n / cell).cast("int")
+    cut = durable(big.select("shard", blocks(F.col("members")).alias("own"), blocks(F.col("rows") - F.col("members")).alias("others")))
+    joined = dealt.join(F.broadcast(cut) if cut.count() <= BROADCAST_SHARDS else cut, "shard", "left")
+    block = lambda n: F.pmod(F.xxhash64("key", F.lit(5)), F.greatest(n, F.lit(1))).cast("int")
+    place = lambda first, second, group: F.struct(F.lit(first).alias("first") if isinstance(first, int) else first.alias("first"), F.lit(second).alias("second") if isinstance(second, int) else second.alias("second"), group.alias("group"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    own, others = F.col("own"), F.col("others")
+    mine, theirs = block(own), block(others)
+    of_members = F.concat(
+        F.transform(upto(own), lambda k: place(F.least(mine, k), F.greatest(mine, k), F.when(k == mine, 0).when(mine < k, 1).otherwise(2))),
+        F.transform(upto(others), lambda k: place(mine, own + k, F.lit(1))),
+    )
+    of_visitors = F.transform(upto(own), lambda k: place(k, own + theirs, F.lit(2)))
+    whole = F.array(place(0, 0, F.when(F.col("member"), 0).otherwise(2)))
+    placed = joined.withColumn("place", F.explode(F.when(own.isNull(), whole).when(F.col("member"), of_members).otherwise(of_visitors)))
+    return placed.select("shard", "place.first", "place.second", "place.group", *[c for c in dealt.columns if c not in ("shard", "member")])
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL) -> DataFrame:
+    """Edges (u, v) of keys: a spanning forest of each component of the distinct (key, fp, shingles) within the radius."""
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fp", "key"], ignore_index=True)
         keys, points = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        member, label = pdf["member"].to_numpy(bool), np.arange(len(pdf))
-        if member.any():
-            more = None if similarity is None else np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(len(pdf), -1)
-            label = link_shard(points, member, radius, more, most or 0, pdf["shingles"].to_numpy(), similarity or 0)
+        group = pdf["group"].to_numpy(np.int8)
+        label = link_cell(points, group, radius) if (group != 2).any() else np.arange(len(pdf))
         linked = label != np.arange(len(label))
         return pd.DataFrame({"u": keys[linked], "v": keys[label[linked]]})
 
-    dealt = distinct.select("key", "fp", "more", "shingles").mapInArrow(deal, "shard long, member boolean, key long, fp long, more binary, shingles int")
-    return dealt.groupBy("shard").applyInPandas(link, "u long, v long")
+    dealt = _celled(_dealt(distinct.select("key", "fp", "shingles"), radius, None, sample, shard), cell)
+    return dealt.groupBy("shard", "first", "second").applyInPandas(link, "u long, v long")
 
 
-def jaccard_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Labels of sets (distinct hashes each): equal if linked by pairs of this Jaccard similarity or more.
+def link_candidates(active: DataFrame, similarity: float, each: int | None, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL // 4) -> DataFrame:
+    """Pairs (u, v) of keys that may reach the similarity, of active (key, fp, more, shingles, label, refused).
 
-    A search from each set over those not reached yet: sets that are alike are reached at once.
+    Of each component of candidates a spanning forest; with `each`, so many pairs of a key a cell at
+    most, of keys whose labels differ and that `refused` of neither holds.
     """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(ids, np.cumsum(sizes)[:-1])
-    owner, flag = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(values), bool)
-    label, open_ = np.full(len(sets), -1), np.ones(len(sets), bool)
-    for start in range(len(sets)):
-        if not open_[start]:
-            continue
-        reached, open_[start], label[start] = [start], False, start
-        while reached:
-            i = reached.pop()
-            flag[own[i]] = True
-            both = np.bincount(owner[flag[ids]], minlength=len(sets))
-            flag[own[i]] = False
-            near = np.nonzero(open_ & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))[0]
-            label[near], open_[near] = start, False
-            reached.extend(near.tolist())
-            if len(near):
-                rest = open_[owner]
-                owner, ids = owner[rest], ids[rest]
-            if not len(owner):
-                break
-    return label
-
-
-def confirmed(docs: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(key, root) of keys that exact Jaccard similarities link, from candidates (key, root).
-
-    The shingles of one row of each candidate key are hashed again; only these sets are shuffled.
-    """
-    suspects = durable(distinct.select("key", "rep.*").join(roots, "key").withColumnsRenamed({"doc_id": "_id", "content": "_content"}))
+    radius, most = bits_for(similarity, 64), bits_for(similarity, 64 * LANES)
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fp", "key"], ignore_index=True)
+        keys, points = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        group, n = pdf["group"].to_numpy(np.int8), len(pdf)
+        if not (group != 2).any() or n < 2:
+            return pd.DataFrame({"u": keys[:0], "v": keys[:0]})
+        order = np.argsort(keys)
+        lengths = pdf["refused"].map(len).to_numpy()
+        other = np.concatenate([np.zeros(0, np.int64), *pdf["refused"]]).astype(np.int64)
+        at = order[np.minimum(np.searchsorted(keys, other, sorter=order), n - 1)]
+        mine, here = np.repeat(np.arange(n), lengths), keys[at] == other
+        refused = np.unique((np.minimum(mine, at) * n + np.maximum(mine, at))[here])
+        lanes = Lanes(np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(n, -1), pdf["shingles"].to_numpy(), pdf["label"].to_numpy(), refused, most, similarity)
+        u, v = candidate_pairs(points, group, radius, lanes, each)
+        return pd.DataFrame({"u": keys[u], "v": keys[v]})
+
+    dealt = _celled(_dealt(active, radius, similarity, sample, shard), cell)
+    return dealt.groupBy("shard", "first", "second").applyInPandas(link, "u long, v long")
+
+
+def shingle_sets(docs: DataFrame, suspects: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(key, hashes): the distinct shingles of one row of each of the suspects (key, _id, _content), hashed again."""
     few = suspects.count() <= BROADCAST_SUSPECTS
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
-    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("root", "key", "text")
+    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("key", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "key", "hashes"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["key", "hashes"])
 
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
-        keys = pdf["key"].to_numpy(np.int64)
-        label = jaccard_components([np.frombuffer(h, np.uint64) for h in pdf["hashes"]], similarity)
-        linked = np.bincount(label, minlength=len(label))[label] > 1
-        return pd.DataFrame({"key": keys[linked], "root": keys[label[linked]]})
+    return texts.mapInArrow(hashed, "key long, hashes array<long>").dropDuplicates(["key"])
 
-    return texts.mapInArrow(hashed, "root long, key long, hashes binary").groupBy("root").applyInPandas(confirm, "key long, root long")
+
+def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, alike) of pairs (u, v) by the exact Jaccard similarity of sets (key, hashes).
+
+    A document of many pairs is sent to several tasks, each with a part of them.
+    """
+    parts = F.ceil(F.count("*") / PAIRS_A_TASK).cast("int")
+    busy = pairs.groupBy("v").agg(parts.alias("parts"))
+    part = F.pmod(F.xxhash64("u", F.lit(9)), F.col("parts")).cast("int")
+    left = pairs.join(busy, "v").select("u", "v", part.alias("part")).join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), "u")
+    spread = sets.join(busy, sets["key"] == busy["v"]).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hashes").alias("b"))
+    both = left.join(spread, ["v", "part"])
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("u", "v", (common * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).alias("alike"))
+
+
+def similar_components(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(key, root) of the distinct keys that are linked by pairs of this Jaccard similarity or more."""
+    points = distinct.select("key", "fp", "more", "shingles")
+    none = F.array().cast("array<long>")
+    pairs = durable(link_candidates(points.withColumns({"label": F.col("key"), "refused": none}), similarity, None).distinct())
+    suspects = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
+    reps = durable(distinct.join(suspects, "key", "left_semi").select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.content").alias("_content")))
+    sets = durable(shingle_sets(docs, reps, id_col, text_col, words))
+    checked = durable(judged(pairs, sets, similarity))
+    roots = durable(connected_components(checked.filter("alike").select("u", "v")).withColumnRenamed("node", "key"))
+    unsettled = checked.filter("NOT alike")
+    if unsettled.isEmpty():
+        return roots
+    # components of candidates, of which some pair failed, are searched again
+    groups = durable(connected_components(pairs).withColumnsRenamed({"node": "key", "root": "grp"}))
+    each = PAIRS
+    for _ in range(MOST_SEARCHES):
+        open_groups = unsettled.select(F.col("u").alias("key")).join(groups, "key").select("grp").distinct()
+        groups = durable(groups.join(open_groups, "grp", "left_semi"))
+        refused = checked.filter("NOT alike").groupBy("u").agg(F.collect_set("v").alias("refused")).withColumnRenamed("u", "key")
+        labelled = points.join(groups, "key", "left_semi").join(roots.withColumnRenamed("root", "label"), "key", "left").join(refused, "key", "left")
+        active = durable(labelled.select(*points.columns, F.coalesce("label", "key").alias("label"), F.coalesce("refused", none).alias("refused")))
+        unsettled = durable(judged(durable(link_candidates(active, similarity, each).distinct()), sets, similarity))
+        if unsettled.isEmpty():
+            return roots
+        checked = durable(checked.union(unsettled))
+        roots = durable(connected_components(checked.filter("alike").select("u", "v")).withColumnRenamed("node", "key"))
+        each *= PAIRS_GROWTH
+    raise RuntimeError(f"candidates haven't settled after {MOST_SEARCHES} searches")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
@@ -364,13 +485,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     radius that its estimate of the similarity needs, all lanes together propose, and
     the exact similarity of distinct shingles decides.
     """
-    radius = radius if similarity is None else bits_for(similarity, 64)
     each = durable(fingerprints(docs, id_col, text_col, words, 1 if similarity is None else LANES))
     distinct = durable(each.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("shingles").alias("shingles"), F.min(F.struct("doc_id", "content")).alias("rep")))
     each = each.select("doc_id", "content", "key", "fp")
-    roots = durable(connected_components(link_fingerprints(distinct, radius, similarity)).select(F.col("node").alias("key"), "root"))
-    if similarity is not None:
-        roots = durable(confirmed(docs, distinct, roots, id_col, text_col, words, similarity))
+    if similarity is None:
+        roots = durable(connected_components(link_fingerprints(distinct, radius)).withColumnRenamed("node", "key"))
+    else:
+        roots = similar_components(docs, distinct, id_col, text_col, words, similarity)
     named = distinct.select("key", "least").join(roots, "key")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.select("key", "root").join(least, "root").select("key", "root", "component_id")
@@ -391,7 +512,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of docs with all columns, less all but one row of each group of near duplicates.
 
     The row with the least id stays (rows without one come last), of equal ids one
-    text, of rows that repeat both any one.
+    text, of rows that repeat both the one whose other columns come first as JSON.
     """
     rows = durable(grouped(docs, id_col, text_col, words, radius, similarity).select("doc_id", "content", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "content")).alias("first")
@@ -401,7 +522,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("doc_id"), _content(text_col).alias("content"))
     out = whole.join(kept, same, "left_semi")
     if repeated:
-        out = out.groupBy("doc_id", "content").agg(F.first("_row").alias("_row"))
+        out = out.groupBy("doc_id", "content").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
     return out.select("_row.*")
 
 

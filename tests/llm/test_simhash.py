@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -54,9 +56,9 @@ def test_shards_lose_no_link(spark):
     points = near_points()
     frame = spark.createDataFrame([(int(p), int(p), b"", 0) for p in points.view(np.int64)], "key long, fp long, more binary, shingles int")
     want = brute_components(points.tolist())
-    for shard in (100, 700, 10**6):
-        edges = sh.link_fingerprints(frame, shard=shard)
-        assert edges.count() <= 3 * len(points)
+    for shard, cell in ((100, 10**6), (700, 150), (10**6, 300)):
+        edges = sh.link_fingerprints(frame, shard=shard, cell=cell)
+        assert edges.count() <= 9 * len(points)
         roots = {r.node: r.root for r in connected_components(edges).collect()}
         groups: dict[int, set] = {}
         for k, p in enumerate(points.view(np.int64).tolist()):
@@ -145,6 +147,75 @@ def test_repeated_lines_and_near_pairs_match_brute_force(spark):
     assert kept == brute_kept(rows) and {0, 1, 2, 3} <= kept and 5 not in kept
 
 
-def test_jaccard_components_follow_chains():
-    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 30, 500, 900, 905)] + [np.zeros(0, np.uint64)]
-    assert sh.jaccard_components(sets, 0.8).tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
+def brute_links(texts: dict[int, str], similarity=0.8) -> list[tuple[int, int]]:
+    """All pairs whose sets of five-word shingles reach the similarity, by an inverted index."""
+    sets = {k: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", t.lower())) else set() for k, t in texts.items()}
+    holders = defaultdict(list)
+    for k, own in sets.items():
+        for x in own:
+            holders[x].append(k)
+    common = Counter((a, b) for held in holders.values() for a, b in itertools.combinations(sorted(held), 2))
+    return [(a, b) for (a, b), n in common.items() if n >= similarity * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_recall_on_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) < 60000")
+    texts = {r.doc_id: r.text.translate(ASCII_LOWER) for r in docs.collect()}
+    root = {r.doc_id: r.root for r in sh.grouped(docs, words=5, similarity=0.8).collect()}
+    links = brute_links(texts)
+    together = sum(root[a] == root[b] for a, b in links)
+    assert len(links) > 100 and together >= 0.99 * len(links)
+    # nothing else is together
+    apart = {k: k for k in texts}
+    for a, b in links:
+        old, new = max(apart[a], apart[b]), min(apart[a], apart[b])
+        apart = {k: new if r == old else r for k, r in apart.items()}
+    first = {}
+    for k in sorted(root):
+        assert apart[first.setdefault(root[k], k)] == apart[k]
+
+
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def test_candidates_that_fail_are_searched_again(spark, monkeypatch):
+    """Variants of a few texts, most of them less alike than is asked for, in cells of a few rows."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(4):
+        body = [f"v{x}" for x in rng.integers(0, 10**9, 400)]
+        for _ in range(40):
+            b = list(body)
+            for j in rng.choice(400, int(rng.integers(2, 24)), replace=False):
+                b[j] = f"x{rng.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    searches = []
+    link = sh.link_candidates
+    monkeypatch.setattr(sh, "link_candidates", lambda active, similarity, each: searches.append(each) or link(active, similarity, each, cell=32))
+    monkeypatch.setattr(sh, "PAIRS_A_TASK", 3)
+    monkeypatch.setattr(sh, "PAIRS", 2)
+    root = {r.doc_id: r.root for r in sh.grouped(docs, words=5, similarity=0.8).collect()}
+    label = {k: k for k, _ in rows}
+    for a, b in brute_links(dict(rows)):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {k: new if r == old else r for k, r in label.items()}
+    least = {}
+    for k, _ in rows:
+        least.setdefault(root[k], k)
+    assert {k: least[root[k]] for k, _ in rows} == label and len(searches) > 2 and len(set(label.values())) > 5
+
+
+def test_rows_that_repeat_id_and_text_keep_the_same_one(spark):
+    docs = spark.createDataFrame([(1, "one two three four", x) for x in "cab"] + [(2, "other words here now", "z")], "doc_id long, text string, extra string")
+    for n in (1, 3):
+        assert sorted((r.doc_id, r.extra) for r in sh.keep_one(docs.repartition(n)).collect()) == [(1, "a"), (2, "z")]
+
+
+def test_visits_of_the_tree_grow_as_the_readme_says():
+    """Shards that a random fingerprint visits at radius 4, with the sample and shards of production."""
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 2**64, sh.SAMPLE, dtype=np.uint64)
+    points = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+    visits = {n: len(sh.VantageTree(sample, sh.SHARD * sh.SAMPLE / n).deal(points, 4)[0]) / len(points) for n in (10**6, 10**7)}
+    assert visits[10**6] < 20 and visits[10**7] < 110
