@@ -12,10 +12,10 @@
    pairs, so a group of n near copies gives n - 1 edges a cell at most.
 4. Components of all edges are found by distributed star contraction.
 5. Where a similarity is asked for, not a radius, fingerprints are of the distinct
-   shingles, the forests are of candidate pairs, and each pair's exact Jaccard
-   similarity decides. Components of candidates with a pair that fails are searched
-   again, for pairs that aren't linked or refused yet, until there are none. All is
-   row by row; no group of documents comes together in a task.
+   shingles, the forests are of candidate pairs, and exact Jaccard similarities decide:
+   together in one task for a component of candidates of up to TOGETHER shingles. In
+   larger ones each pair is judged by itself, and where one fails, the component is
+   searched again, for pairs that aren't linked or refused yet, until there are none.
 
 Null text is empty; a text with no word has fingerprint zero and links like any
 other. Rows with null ids take part; a component's id is its least non-null id
@@ -48,8 +48,11 @@ LANES = 8
 SAMPLE = 40_000
 #: Members a shard is meant to have.
 SHARD = 50_000
-#: Rows of a block of a shard that is cut; shards of up to two blocks aren't. With a similarity a quarter of it.
-CELL = 40_000
+#: Rows of a block of a shard that is cut; shards of up to two blocks aren't.
+CELL = 100_000
+#: Shingles of the candidates of one component, at most, that a task confirms together (64 MB of hashes); larger
+#: components are confirmed pair by pair.
+TOGETHER = 8_000_000
 #: Shards that are cut and candidates, at most, that are broadcast (some 15 MB); more are joined by a shuffle.
 BROADCAST_SHARDS = 500_000
 BROADCAST_SUSPECTS = 200_000
@@ -387,7 +390,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, sample: int = S
     return dealt.groupBy("shard", "first", "second").applyInPandas(link, "u long, v long")
 
 
-def link_candidates(active: DataFrame, similarity: float, each: int | None, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL // 4) -> DataFrame:
+def link_candidates(active: DataFrame, similarity: float, each: int | None, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL) -> DataFrame:
     """Pairs (u, v) of keys that may reach the similarity, of active (key, fp, more, shingles, label, refused).
 
     Of each component of candidates a spanning forest; with `each`, so many pairs of a key a cell at
@@ -416,19 +419,19 @@ def link_candidates(active: DataFrame, similarity: float, each: int | None, samp
 
 
 def shingle_sets(docs: DataFrame, suspects: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(key, hashes): the distinct shingles of one row of each of the suspects (key, _id, _content), hashed again."""
+    """(grp, key, hashes): the distinct shingles of one row of each of the suspects (grp, key, _id, _content), hashed again."""
     few = suspects.count() <= BROADCAST_SUSPECTS
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
-    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("key", "text")
+    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("grp", "key", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["key", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["grp", "key", "hashes"])
 
-    return texts.mapInArrow(hashed, "key long, hashes array<long>").dropDuplicates(["key"])
+    return texts.mapInArrow(hashed, "grp long, key long, hashes array<long>")
 
 
 def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -446,37 +449,92 @@ def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", (common * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).alias("alike"))
 
 
-def similar_components(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(key, root) of the distinct keys that are linked by pairs of this Jaccard similarity or more."""
-    points = distinct.select("key", "fp", "more", "shingles")
+def jaccard_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of sets (distinct hashes each): equal if linked by pairs of this Jaccard similarity or more.
+
+    A search from each set over those not reached yet: sets that are alike are reached at once.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    owner, flag = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(values), bool)
+    label, open_ = np.full(len(sets), -1), np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not open_[start]:
+            continue
+        reached, open_[start], label[start] = [start], False, start
+        while reached:
+            i = reached.pop()
+            flag[own[i]] = True
+            both = np.bincount(owner[flag[ids]], minlength=len(sets))
+            flag[own[i]] = False
+            near = np.nonzero(open_ & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))[0]
+            label[near], open_[near] = start, False
+            reached.extend(near.tolist())
+            if len(near):
+                rest = open_[owner]
+                owner, ids = owner[rest], ids[rest]
+            if not len(owner):
+                break
+    return label
+
+
+def confirmed_together(grouped_sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, root) of keys that are linked, from (grp, key, hashes) of components of up to TOGETHER shingles."""
+
+    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
+        keys = pdf["key"].to_numpy(np.int64)
+        label = jaccard_components([np.asarray(h, np.int64) for h in pdf["hashes"]], similarity)
+        linked = np.bincount(label, minlength=len(label))[label] > 1
+        return pd.DataFrame({"key": keys[linked], "root": keys[label[linked]]})
+
+    return grouped_sets.groupBy("grp").applyInPandas(confirm, "key long, root long")
+
+
+def confirmed_by_pairs(points: DataFrame, groups: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, root) of keys that are linked, from candidate pairs (u, v) and their components (key, grp).
+
+    Each pair is judged by itself. Components with a pair that fails are searched again, for
+    pairs of keys that aren't linked yet, until there are none.
+    """
     none = F.array().cast("array<long>")
-    pairs = durable(link_candidates(points.withColumns({"label": F.col("key"), "refused": none}), similarity, None).distinct())
-    suspects = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    reps = durable(distinct.join(suspects, "key", "left_semi").select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.content").alias("_content")))
-    sets = durable(shingle_sets(docs, reps, id_col, text_col, words))
     checked = durable(judged(pairs, sets, similarity))
-    roots = durable(connected_components(checked.filter("alike").select("u", "v")).withColumnRenamed("node", "key"))
-    unsettled = checked.filter("NOT alike")
-    if unsettled.isEmpty():
-        return roots
-    # components of candidates, of which some pair failed, are searched again
-    groups = durable(connected_components(pairs).withColumnsRenamed({"node": "key", "root": "grp"}))
-    each = PAIRS
+    unsettled, each = checked.filter("NOT alike"), PAIRS
     for _ in range(MOST_SEARCHES):
+        roots = durable(connected_components(checked.filter("alike").select("u", "v")).withColumnRenamed("node", "key"))
+        if unsettled.isEmpty():
+            return roots
         open_groups = unsettled.select(F.col("u").alias("key")).join(groups, "key").select("grp").distinct()
         groups = durable(groups.join(open_groups, "grp", "left_semi"))
         refused = checked.filter("NOT alike").groupBy("u").agg(F.collect_set("v").alias("refused")).withColumnRenamed("u", "key")
         labelled = points.join(groups, "key", "left_semi").join(roots.withColumnRenamed("root", "label"), "key", "left").join(refused, "key", "left")
         active = durable(labelled.select(*points.columns, F.coalesce("label", "key").alias("label"), F.coalesce("refused", none).alias("refused")))
         unsettled = durable(judged(durable(link_candidates(active, similarity, each).distinct()), sets, similarity))
-        if unsettled.isEmpty():
-            return roots
         checked = durable(checked.union(unsettled))
-        roots = durable(connected_components(checked.filter("alike").select("u", "v")).withColumnRenamed("node", "key"))
         each *= PAIRS_GROWTH
     raise RuntimeError(f"candidates haven't settled after {MOST_SEARCHES} searches")
 
 
+def similar_components(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(key, root) of the distinct keys that are linked by pairs of this Jaccard similarity or more."""
+    points = distinct.select("key", "fp", "more", "shingles")
+    fresh = points.withColumns({"label": F.col("key"), "refused": F.array().cast("array<long>")})
+    pairs = durable(link_candidates(fresh, similarity, None).distinct())
+    groups = connected_components(pairs).withColumnsRenamed({"node": "key", "root": "grp"})
+    suspects = durable(distinct.select("key", "shingles", F.col("rep.doc_id").alias("_id"), F.col("rep.content").alias("_content")).join(groups, "key"))
+    large = durable(suspects.groupBy("grp").agg(F.sum("shingles").alias("total")).filter(F.col("total") > TOGETHER).select("grp"))
+    sets = shingle_sets(docs, suspects.drop("shingles"), id_col, text_col, words)
+    if large.isEmpty():
+        return durable(confirmed_together(sets, similarity))
+    sets = durable(sets.dropDuplicates(["key"]))
+    together = confirmed_together(sets.join(large, "grp", "left_anti"), similarity)
+    big = sets.join(large, "grp", "left_semi")
+    members = durable(big.select("key", "grp"))
+    apart = confirmed_by_pairs(points, members, pairs.join(members.select(F.col("key").alias("u")), "u", "left_semi"), big.select("key", "hashes"), similarity)
+    return durable(together.union(apart))
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """(doc_id, content, fp, root, component_id) of each row; rows of a group share root, a key.
 

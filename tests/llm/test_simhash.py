@@ -195,6 +195,7 @@ def test_candidates_that_fail_are_searched_again(spark, monkeypatch):
     monkeypatch.setattr(sh, "link_candidates", lambda active, similarity, each: searches.append(each) or link(active, similarity, each, cell=32))
     monkeypatch.setattr(sh, "PAIRS_A_TASK", 3)
     monkeypatch.setattr(sh, "PAIRS", 2)
+    monkeypatch.setattr(sh, "TOGETHER", 3000)
     root = {r.doc_id: r.root for r in sh.grouped(docs, words=5, similarity=0.8).collect()}
     label = {k: k for k, _ in rows}
     for a, b in brute_links(dict(rows)):
@@ -206,6 +207,11 @@ def test_candidates_that_fail_are_searched_again(spark, monkeypatch):
     assert {k: least[root[k]] for k, _ in rows} == label and len(searches) > 2 and len(set(label.values())) > 5
 
 
+def test_jaccard_components_follow_chains():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 30, 500, 900, 905)] + [np.zeros(0, np.uint64)]
+    assert sh.jaccard_components(sets, 0.8).tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
+
+
 def test_rows_that_repeat_id_and_text_keep_the_same_one(spark):
     docs = spark.createDataFrame([(1, "one two three four", x) for x in "cab"] + [(2, "other words here now", "z")], "doc_id long, text string, extra string")
     for n in (1, 3):
