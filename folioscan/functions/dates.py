@@ -75,6 +75,7 @@ def _numeric_month(m: re.Match, hint: int | None):
 
 
 _DIGIT = re.compile(r"[0-9]")
+#: The shapes of dates and the order in which they are tried decide the result.
 _SHAPES = [
     (re.compile(r"\b(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})\b", re.A), _iso),
     (re.compile(rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?\s+(?P<m>{_NAMES})\.?,?\s*(?P<y>\d{{4}})?(?!\d)", re.A | re.I), _named),

@@ -18,6 +18,7 @@ from ..lexicons import ENTITIES, SECTION_WORDS
 from ..regex import B1, WORD
 from .binding import batched
 
+#: The block-like tags that tell HTML.
 TAGS = "p|div|br|h[1-6]|li|ul|ol|table|tr|td|span|img|a|section|article"
 VERSION = 9
 

@@ -118,10 +118,10 @@ def mentions_in(pieces: DataFrame, values: DataFrame) -> DataFrame:
     """
     escaped = F.regexp_replace(F.col("value"), r"([\\.*+?^${}()|\[\]])", r"\\$1")
     pattern = F.concat(F.lit(f"(?i){B0}"), escaped, F.lit(B1))
-    held = pieces.select("doc_id", "idx", "text").join(values.select("doc_id", "kind", "value"), "doc_id")
+    mine = values.select("doc_id", "kind", "value", F.lower("value").alias("_low"), pattern.alias("_pattern"))
+    held = pieces.select("doc_id", "idx", "text", F.lower("text").alias("_text")).join(mine, "doc_id")
     # a plain search first: most values aren't in most pieces, and a pattern of its own is compiled for each row
-    there = F.contains(F.lower("text"), F.lower("value"))
-    return held.filter(there & F.regexp_like(F.col("text"), pattern)).select("doc_id", "idx", "kind", "value")
+    return held.filter(F.contains("_text", "_low") & F.regexp_like(F.col("text"), F.col("_pattern"))).select("doc_id", "idx", "kind", "value")
 
 
 def tally(rows: DataFrame) -> DataFrame:

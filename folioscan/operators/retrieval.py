@@ -108,7 +108,8 @@ def cosine_ranking(vectors: DataFrame, questions: DataFrame, depth: int = DEPTH)
     if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
         raise ValueError(f"at most {MOST_QUESTIONS} questions in one pass over the vectors")
     scored = vectors.join(F.broadcast(questions), how="cross").select("question_id", "note_id", cosine(F.col("v"), F.col("q")).alias("score"))
-    return ranked(scored, F.desc("score"), F.col("note_id"), depth=depth)
+    # products are summed in any order: ties are by the rounded score
+    return ranked(scored, F.desc(F.round("score", 9)), F.col("note_id"), depth=depth)
 
 
 MOST_QUESTIONS = 10_000
@@ -157,7 +158,10 @@ def lift_asked_dates(shown: DataFrame, asked: DataFrame) -> DataFrame:
 def rerank(candidates: DataFrame, scorer, depth: int = SHOWN) -> DataFrame:
     """candidates (question_id, question, note_id, text, rank) by scorer(question, text), a column function, highest first.
 
-    Pass only what is left after the cut to CANDIDATES: the scorer may be a model.
+    Pass only what is left after the cut to CANDIDATES: the scorer may be a model. A question
+    of which it leaves any note without a score (null) keeps the fused order, rerank null.
     """
     scored = candidates.filter(F.col("rank") <= CANDIDATES).withColumn("rerank", scorer(F.col("question"), F.col("text")))
-    return ranked(scored.withColumnRenamed("rank", "fused_rank"), F.desc("rerank"), F.col("fused_rank"), depth=depth)
+    whole = F.count_if(F.col("rerank").isNull()).over(Window.partitionBy("question_id")) == 0
+    scored = scored.withColumn("rerank", F.when(whole, F.col("rerank").cast("double")))
+    return ranked(scored.withColumnRenamed("rank", "fused_rank"), F.desc_nulls_last("rerank"), F.col("fused_rank"), depth=depth)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CITIES = ["Hamilton", "Toronto", "Grimsby", "London", "Paris", "Lisbon", "Oslo"]
-NAMES = ["Necole Fielder", "Andrea Holt", "Martin Price", "Cecilia Brown", "Dr. Smith", "James Stone"]
+NAMES = ["Marita Okafor", "Andrea Holt", "Martin Price", "Cecilia Brown", "Dr. Smith", "James Stone"]
 SPELLINGS = ["Fairview", "Fairveiw", "Lakeside", "Lakesise", "Ridgeway"]
 
 

@@ -127,7 +127,7 @@ def people_pairs(read):
 def lone_names(read):
     """First names alone in conversations' texts, by document."""
     said = read("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("text"))
-    text = F.concat(F.lit("we saw Necole there. Then Necole said so. "), "text")
+    text = F.concat(F.lit("we saw Marita there. Then Marita said so. "), "text")
     return said.select("conv_id", F.explode(F.array_distinct(en.lone_names(text, en.places(text)))).alias("name"))
 
 
@@ -219,11 +219,11 @@ def first_last_dated(read):
     return d.groupBy("doc_id").agg(F.count("*").alias("dated"), F.min("idx").cast("long").alias("first_idx"), F.max("idx").cast("long").alias("last_idx"))
 
 
-@query("image_pins", r"""WITH i AS (SELECT doc_id, 0 AS pos, 'u' || doc_id AS url, substr(text, 10, 60) AS caption FROM documents WHERE doc_id % 3 = 0 AND length(text) > 80), e AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents),
+@query("image_pins", r"""WITH i AS (SELECT doc_id, 0 AS pos, 'u' || doc_id AS url, substr(text, 10, 60) AS caption FROM documents WHERE length(text) > 80), e AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS idx, unnest(string_split(text, chr(10))) AS text FROM documents),
 h AS (SELECT i.doc_id, i.pos, min(e.idx) AS idx FROM i JOIN e USING (doc_id) WHERE contains(e.text, substr(i.caption, 1, 40)) GROUP BY 1, 2)
 SELECT i.doc_id, i.url, coalesce(h.idx, -1) AS entry_idx FROM i LEFT JOIN h USING (doc_id, pos)""")
 def image_pins(read):
     d = read("documents")
-    images = d.filter("doc_id % 3 = 0 AND length(text) > 80").select("doc_id", F.lit(0).alias("pos"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 10, 60).alias("caption"))
+    images = d.filter("length(text) > 80").select("doc_id", F.lit(0).alias("pos"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.substring("text", 10, 60).alias("caption"))
     rows = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
     return en.pin_images(images, rows).select("doc_id", "url", F.col("entry_idx").cast("long").alias("entry_idx"))

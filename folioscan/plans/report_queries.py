@@ -15,7 +15,8 @@ from . import corpora
 from .corpora import DIARY_SQL, DIARY_TEXT_SQL, JOBS_SQL
 from .mention_queries import _FOUND, _PRESENT, found_mentions, present_mentions
 from .registry import query
-from .search_queries import ASKED_SQL, asked
+from ..session import durable
+from .search_queries import ASKED_SQL, PROPER_NOUNS_SQL, SUBJECT_TERMS_SQL, asked
 
 _LIST = lambda words: "[" + ", ".join(quoted(w) for w in words) + "]"
 
@@ -27,31 +28,29 @@ def range_facts(read):
     return fx.range_facts(corpora.diary(read))
 
 
-_TERM_FACTS = rf"""asked AS (SELECT * FROM (VALUES (2::BIGINT, 'boiler', false), (2, 'grimsby', true), (2, 'march', true), (2, '1995', false), (5, 'cecilia', true), (5, 'pay', false), (5, 'boiler', false), (5, 'april', true), (5, 'may', true)) t(question_id, term, proper)),
-tc AS (SELECT doc_id, question_id, term, proper, sum(len(regexp_extract_all(lower(text), '\b' || term || '\w{{0,3}}\b')))::BIGINT AS n, count(*) FILTER (WHERE regexp_matches(lower(text), '\b' || term)) AS hits,
-  arg_min_null(date, idx) FILTER (WHERE regexp_matches(lower(text), '\b' || term)) AS f, arg_max_null(date, idx) FILTER (WHERE regexp_matches(lower(text), '\b' || term)) AS l FROM diary, asked GROUP BY 1, 2, 3, 4),
-tf AS (SELECT question_id, doc_id, CASE WHEN n > 0 THEN 'count' ELSE 'absent' END AS kind, term, n AS value, CASE WHEN n > 0 THEN hits END AS entries, CASE WHEN n > 0 THEN f END AS first_date, CASE WHEN n > 0 THEN l END AS last_date FROM tc WHERE n > 0 OR proper)"""
-
-
-def _asked_two(read):
-    return asked(read).filter("question_id IN (2, 5)")
+_TERM_FACTS = rf"""{ASKED_SQL}, st AS ({SUBJECT_TERMS_SQL}), pn AS ({PROPER_NOUNS_SQL}),
+asked AS (SELECT question_id, term, list_contains(string_split(names, '|'), term) AS proper FROM (SELECT question_id, unnest(string_split(terms, '|')) AS term FROM st WHERE terms <> '') JOIN pn USING (question_id)),
+hit AS (SELECT doc_id, idx, date, term, len(regexp_extract_all(lower(text), '\b' || term || '\w{{0,3}}\b')) AS n FROM diary, (SELECT DISTINCT term FROM asked) WHERE regexp_matches(lower(text), '\b' || term)),
+found AS (SELECT doc_id, term, sum(n)::BIGINT AS n, count(*) AS hits, arg_min_null(date, idx) AS f, arg_max_null(date, idx) AS l FROM hit GROUP BY 1, 2),
+tf AS (SELECT question_id, doc_id, CASE WHEN coalesce(n, 0) > 0 THEN 'count' ELSE 'absent' END AS kind, term, coalesce(n, 0) AS value, CASE WHEN n > 0 THEN hits END AS entries, CASE WHEN n > 0 THEN f END AS first_date, CASE WHEN n > 0 THEN l END AS last_date
+  FROM asked CROSS JOIN (SELECT DISTINCT doc_id FROM diary) LEFT JOIN found USING (doc_id, term) WHERE n > 0 OR proper)"""
 
 
 @query("question_facts", f"WITH {DIARY_SQL}, {_TERM_FACTS} SELECT * FROM tf")
 def question_facts(read):
-    """Facts of questions 2 and 5 about every diary."""
-    return fx.term_facts(corpora.diary(read), _asked_two(read))
+    """Facts of every question about every diary."""
+    return fx.term_facts(corpora.diary(read), asked(read))
 
 
 @query("absent_terms", f"WITH {DIARY_SQL}, {_TERM_FACTS} SELECT question_id, term, count(*) AS documents FROM tf WHERE kind = 'absent' GROUP BY 1, 2")
 def absent_terms(read):
-    return fx.term_facts(corpora.diary(read), _asked_two(read)).filter("kind = 'absent'").groupBy("question_id", "term").agg(F.count("*").alias("documents"))
+    return fx.term_facts(corpora.diary(read), asked(read)).filter("kind = 'absent'").groupBy("question_id", "term").agg(F.count("*").alias("documents"))
 
 
-@query("fact_sentences", f"""WITH {DIARY_SQL}, {_TERM_FACTS} SELECT question_id, doc_id, CASE WHEN kind = 'absent' THEN '- "' || term || '" appears NOWHERE in the document. Not once.'
- ELSE '- "' || term || '" appears ' || value || ' times, in ' || entries || ' entries' || CASE WHEN first_date IS NOT NULL THEN ', first ' || strftime(first_date, '%Y-%m-%d') || ' and last ' || strftime(last_date, '%Y-%m-%d') ELSE '' END || '.' END AS sentence FROM tf WHERE last_date IS NOT NULL OR first_date IS NULL""")
+@query("fact_sentences", f"""WITH {DIARY_SQL}, {_TERM_FACTS} SELECT question_id, doc_id, CASE WHEN kind = 'absent' THEN '* "' || term || '": looked for in all entries, found in none.'
+ ELSE '* "' || term || '": counted ' || value || ' times, within ' || entries || ' entries' || CASE WHEN first_date IS NOT NULL THEN ' (from ' || strftime(first_date, '%Y-%m-%d') || ' to ' || strftime(last_date, '%Y-%m-%d') || ')' ELSE '' END || '.' END AS sentence FROM tf WHERE last_date IS NOT NULL OR first_date IS NULL""")
 def fact_sentences(read):
-    f = fx.term_facts(corpora.diary(read), _asked_two(read)).filter("last_date IS NOT NULL OR first_date IS NULL")
+    f = fx.term_facts(corpora.diary(read), asked(read)).filter("last_date IS NOT NULL OR first_date IS NULL")
     c = F.col
     return f.select("question_id", "doc_id", fx.fact_sentence(c("kind"), c("term"), c("value"), c("entries"), c("first_date"), c("last_date")).alias("sentence"))
 
@@ -126,22 +125,22 @@ def empty_months(read):
 _GRID_ROWS = """gr AS (SELECT doc_id, kind, key, n, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, key) AS rank FROM (SELECT doc_id, kind, key, count(*) AS n FROM present GROUP BY 1, 2, 3)), rows3 AS (SELECT * FROM gr WHERE rank + 0 <= 3)"""
 
 
-def grid_rows_of(read):
-    p = present_mentions(read)
+def grid_rows_of(p):
     t = p.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("count"))
     return en.top_mentions(t, tl.GRID_ROWS)
 
 
 @query("grid_rows", f"WITH {_PRESENT}, {_GRID_ROWS} SELECT doc_id, kind, key, n, rank FROM rows3")
 def grid_rows(read):
-    return grid_rows_of(read).select("doc_id", "kind", F.lower("value").alias("key"), F.col("count").alias("n"), F.col("rank").cast("long").alias("rank"))
+    return grid_rows_of(present_mentions(read)).select("doc_id", "kind", F.lower("value").alias("key"), F.col("count").alias("n"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("mention_grid", f"""WITH {_PRESENT}, {_GRID_ROWS}, {_AXIS}, ed AS (SELECT d.doc_id, d.idx, coalesce(x.month, 'undated') AS month FROM diary d LEFT JOIN axis x USING (doc_id, month)),
 c AS (SELECT p.doc_id, p.kind, p.key, e.month, count(*) AS notes FROM present p JOIN rows3 USING (doc_id, kind, key) JOIN ed e USING (doc_id, idx) GROUP BY 1, 2, 3, 4),
 ax AS (SELECT doc_id, month FROM axis UNION SELECT doc_id, month FROM c WHERE month = 'undated') SELECT doc_id, r.kind, r.key, month, coalesce(notes, 0) AS notes FROM rows3 r JOIN ax USING (doc_id) LEFT JOIN c USING (doc_id, kind, key, month)""")
 def mention_grid(read):
-    g = tl.mention_grid(present_mentions(read), grid_rows_of(read), month_series(read).select("doc_id", "month"), corpora.diary(read))
+    held = durable(present_mentions(read))  # found once, read twice
+    g = tl.mention_grid(held, grid_rows_of(held), month_series(read).select("doc_id", "month"), corpora.diary(read))
     return g.select("doc_id", "kind", F.lower("value").alias("key"), "month", F.col("notes").cast("long").alias("notes"))
 
 

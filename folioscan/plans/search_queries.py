@@ -96,8 +96,7 @@ _COSINE = f"""q AS ({_Q}), by_vector AS (SELECT * FROM (SELECT question_id, note
 def vector_ranking(read):
     e = read("embeddings").select("vec_id", vx.doubles(F.col("embedding")).alias("v"))
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("v").alias("q"))
-    all_scores = e.join(F.broadcast(q), how="cross").select("question_id", F.col("vec_id").alias("note_id"), vx.cosine(F.col("v"), F.col("q")).alias("score"))
-    return rt.ranked(all_scores, F.desc(F.round("score", 9)), F.col("note_id"), depth=rt.DEPTH)
+    return rt.cosine_ranking(e.withColumnRenamed("vec_id", "note_id"), q)
 
 
 @query("cosine_topk", f"WITH {_COSINE} SELECT question_id, note_id, round(score, 6) AS score, rank FROM by_vector")
@@ -129,11 +128,11 @@ def hash_embed(read):
 
 _LEX60 = f"{bm25_sql(_DIARY_NOTES, expand=False)}, by_words AS (SELECT question_id, note_id, score, rank FROM lexical)"
 # a second ranking of the same notes, by a hash of their ids, stands for the vectors of a model
-_OTHER = "by_vector AS (SELECT * FROM (SELECT question_id, note_id, 1.0 / (1 + (note_id * 37 + question_id * 11) % 1009) AS score, row_number() OVER (PARTITION BY question_id ORDER BY (note_id * 37 + question_id * 11) % 1009, note_id) AS rank FROM questions, (SELECT doc_id * 1000 + idx AS note_id FROM diary WHERE doc_id % 5 = 0)) WHERE rank <= 60)"
+_OTHER = "by_vector AS (SELECT * FROM (SELECT question_id, note_id, 1.0 / (1 + (note_id * 37 + question_id * 11) % 1009) AS score, row_number() OVER (PARTITION BY question_id ORDER BY (note_id * 37 + question_id * 11) % 1009, note_id) AS rank FROM questions, (SELECT doc_id * 1000 + idx AS note_id FROM diary)) WHERE rank <= 60)"
 
 
 def other_ranking(read):
-    n = diary_notes(read).filter("doc_id % 5 = 0").select("note_id")
+    n = diary_notes(read).select("note_id")
     k = (F.col("note_id") * 37 + F.col("question_id") * 11) % 1009
     rows = n.join(F.broadcast(asked(read)), how="cross").select("question_id", "note_id", (1.0 / (1 + k)).alias("score"), k.alias("k"))
     return rt.ranked(rows, F.col("k"), F.col("note_id"), depth=rt.DEPTH).drop("k")
@@ -174,9 +173,9 @@ def whole_doc_budget(read):
     return rt.within_budget(n, 900).select("doc_id", F.col("note_id").alias("idx"), "used")
 
 
-@query("asked_date_lift", f"WITH {DIARY_SQL}, s AS (SELECT doc_id AS question_id, idx + 1 AS rank, date FROM diary WHERE idx % 1000 < 8), a AS (SELECT doc_id AS question_id, max(date) AS asked FROM diary WHERE idx % 1000 < 8 GROUP BY 1) SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY (coalesce(date = asked, false)) DESC, rank) AS place FROM s JOIN a USING (question_id)")
+@query("asked_date_lift", f"WITH {DIARY_SQL}, s AS (SELECT doc_id AS question_id, idx + 1 AS rank, date FROM diary), a AS (SELECT doc_id AS question_id, max(date) AS asked FROM diary GROUP BY 1) SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY (coalesce(date = asked, false)) DESC, rank) AS place FROM s JOIN a USING (question_id)")
 def asked_date_lift(read):
-    d = corpora.diary(read).filter("idx < 8").select(F.col("doc_id").alias("question_id"), (F.col("idx") + 1).cast("long").alias("rank"), "date")
+    d = corpora.diary(read).select(F.col("doc_id").alias("question_id"), (F.col("idx") + 1).cast("long").alias("rank"), "date")
     a = d.groupBy("question_id").agg(F.max("date").alias("date"))
     return rt.lift_asked_dates(d, a).select("question_id", "rank", F.col("place").cast("long").alias("place"))
 
@@ -213,13 +212,17 @@ def offered_questions(read):
     return rows.withColumn("everything", qs.wants_everything(F.col("question")))
 
 
-@query("subject_terms", rf"""WITH {ASKED_SQL}, t AS (SELECT question_id, list_filter(list_transform(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}''’-]{{2,}}'), lambda t: regexp_replace(t, '([''’]s|[''’-]+)$', '')), lambda t: length(t) >= 3 AND NOT list_contains({_LIST(sorted(set(SUBJECT_STOP_WORDS)))}, t)) AS t FROM questions)
-SELECT question_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:6], '|') AS terms FROM t""")
+SUBJECT_TERMS_SQL = rf"""WITH t AS (SELECT question_id, list_filter(list_transform(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}''’-]{{2,}}'), lambda t: regexp_replace(t, '([''’]s|[''’-]+)$', '')), lambda t: length(t) >= 3 AND NOT list_contains({_LIST(sorted(set(SUBJECT_STOP_WORDS)))}, t)) AS t FROM questions)
+SELECT question_id, array_to_string(list_filter(t, lambda x, i: list_position(t, x) = i)[1:6], '|') AS terms FROM t"""
+PROPER_NOUNS_SQL = rf"""SELECT question_id, array_to_string(list_transform(regexp_extract_all(regexp_replace('_' || substr(question, 2), '^_[\p{{L}}''’.-]*', ''), '\b\p{{Lu}}[\p{{L}}''’.-]*'), lambda w: regexp_replace(lower(w), '[''’]s$', '')), '|') AS names FROM questions"""
+
+
+@query("subject_terms", f"WITH {ASKED_SQL}, st AS ({SUBJECT_TERMS_SQL}) SELECT * FROM st")
 def subject_terms(read):
     return asked(read).select("question_id", F.array_join(qs.subject_terms(F.col("question")), "|").alias("terms"))
 
 
-@query("proper_nouns", rf"""WITH {ASKED_SQL} SELECT question_id, array_to_string(list_transform(regexp_extract_all(regexp_replace('_' || substr(question, 2), '^_[\p{{L}}''’.-]*', ''), '\b\p{{Lu}}[\p{{L}}''’.-]*'), lambda w: regexp_replace(lower(w), '[''’]s$', '')), '|') AS names FROM questions""")
+@query("proper_nouns", f"WITH {ASKED_SQL}, pn AS ({PROPER_NOUNS_SQL}) SELECT * FROM pn")
 def proper_nouns(read):
     return asked(read).select("question_id", F.array_join(qs.proper_nouns(F.col("question")), "|").alias("names"))
 

@@ -221,10 +221,10 @@ def image_references(read):
 
 
 @query("stack_frames", r"""
-WITH s AS (SELECT event_id, 'at f' || (event_id % 7) || ' (http://x.example/a.js?v=' || event_id || ':' || user_id || ':' || (event_id % 90) || ')' AS line FROM events WHERE event_type = 'error' OR event_id % 10 = 0)
+WITH s AS (SELECT event_id, 'at f' || (event_id % 7) || ' (http://x.example/a.js?v=' || event_id || ':' || user_id || ':' || (event_id % 90) || ')' AS line FROM events)
 SELECT event_id, regexp_extract(line, '\((.*):([0-9]+):([0-9]+)\)$', 1) AS filename, regexp_extract(line, '\((.*):([0-9]+):([0-9]+)\)$', 2)::INT AS lineno, regexp_extract(line, '\((.*):([0-9]+):([0-9]+)\)$', 3)::INT AS colno, regexp_extract(line, '^at (.*) \(', 1) AS method FROM s""")
 def stack_frames(read):
-    e = read("events").filter("event_type = 'error' OR event_id % 10 = 0")
+    e = read("events")
     s = lambda c: F.col(c).cast("string")
     line = F.concat(F.lit("Error: x\n   at f"), (F.col("event_id") % 7).cast("string"), F.lit(" (http://x.example/a.js?v="), s("event_id"), F.lit(":"), s("user_id"), F.lit(":"), (F.col("event_id") % 90).cast("string"), F.lit(")\nnoise"))
     return e.select("event_id", F.explode(tx.stack_frames(line)).alias("f")).select("event_id", "f.filename", "f.lineno", "f.colno", "f.method")

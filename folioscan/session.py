@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +24,18 @@ def session(master: str | None = None, **extra: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written to the folder that spark.checkpoint.dir names, with no lineage; on a local master a folder of its own will do."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioscan-checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, so that they needn't have it installed."""
     sc = spark.sparkContext

@@ -50,7 +50,7 @@ class Store:
         rows, commits, deleted = self._read(name), self._read("commits"), self._read("deleted")
         if rows is None or commits is None:
             return None
-        rows = rows.join(F.broadcast(commits.select("batch").distinct()), "batch", "left_semi")
+        rows = rows.join(commits.select("batch").distinct(), "batch", "left_semi")
         if deleted is not None:
             later = deleted.groupBy("doc_id").agg(F.max("deleted_at").alias("deleted_at"))
             rows = rows.join(later, "doc_id", "left").filter(F.col("deleted_at").isNull() | (F.col("inserted_at") > F.col("deleted_at"))).drop("deleted_at")
