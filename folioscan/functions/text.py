@@ -219,6 +219,26 @@ def redact_urls(text: Column, limit: int) -> Column:
     return F.substring(text, 1, limit)
 
 
+#: Characters that each field of a fault may keep.
+FAULT_LIMITS = {"route": 200, "message": 300, "stack": 4000, "source": 300}
+
+
+def clean_fault(fault: Column) -> Column:
+    """struct(route, message, stack, source, line, column) of a fault of strings, queries cut and lengths capped; null without a message.
+
+    A route that is no path becomes `/`, a place that is no positive number 0.
+    """
+    field = {name: redact_urls(fault[name], limit) for name, limit in FAULT_LIMITS.items()}
+
+    def whole(name: str) -> Column:
+        n = F.coalesce(fault[name].try_cast("double"), F.lit(0.0))
+        return F.when((n > 0) & (n < 2.0**53), F.floor(n + 0.5)).otherwise(F.lit(0)).cast("long")
+
+    route = F.when(F.startswith(field["route"], F.lit("/")), field["route"]).otherwise(F.lit("/"))
+    kept = F.struct(route.alias("route"), field["message"].alias("message"), field["stack"].alias("stack"), field["source"].alias("source"), whole("line").alias("line"), whole("column").alias("column"))
+    return F.when(field["message"] != "", kept)
+
+
 def stack_frames(stack: Column) -> Column:
     """array of (filename, lineno, colno, method), the most recent call last."""
     calls = F.filter(F.transform(F.split(stack, "\n"), trimmed), lambda x: x.startswith("at "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
@@ -24,6 +24,18 @@ def details(shown: DataFrame) -> DataFrame:
     return rows.select("question_id", F.slice(F.array_distinct(F.transform("l", lambda x: x["label"])), 1, LABELS).alias("labels"), F.col("d").alias("dates"), "first_date", "last_date", "notes")
 
 
+def tallies(shown: DataFrame, top: int = TOP) -> DataFrame:
+    """question_id, kind, value as first written, notes, rank: places, people, amounts and images of the shown notes, the most frequent first.
+
+    shown: question_id, rank, and the arrays places, people, amounts, images.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.col(c)).alias("values")) for k, c in (("place", "places"), ("person", "people"), ("amount", "amounts"), ("image", "images"))])
+    each = shown.select("question_id", "rank", F.explode(kinds).alias("k")).select("question_id", F.col("rank").alias("at"), "k.kind", F.explode("k.values").alias("value"))
+    counted = each.groupBy("question_id", "kind", F.lower("value").alias("key")).agg(F.min_by("value", "at").alias("value"), F.count("*").alias("notes"))
+    w = Window.partitionBy("question_id", "kind").orderBy(F.desc("notes"), "key")
+    return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("key")
+
+
 def prompt(question: Column, facts: Column, notes: Column, shown: Column, total: Column, dated: Column) -> Column:
     """The request to a model: counted facts first, then notes, the question, and what may be said."""
     coverage = F.when(shown < total, F.concat(F.lit("You see "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" notes."))).otherwise(F.lit("You see every note of the document."))

@@ -83,17 +83,57 @@ def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_docume
     # a prefix term of one token has four letters or more, so that equal openings are an equi join for all
     met = windows.join(F.broadcast(phrases), (opening(first) == opening(F.get("phrase", F.lit(0)))) & head & F.coalesce(ends, F.lit(False)))
     counted = met.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.count("*").alias("f"))
+    return _scored(counted, sizes, terms, per_document, depth)
+
+
+def _scored(counted: DataFrame, sizes: DataFrame, terms: DataFrame, per_document: bool, depth: int | None) -> DataFrame:
+    """The ranking from counted (note_id, doc_id, length, phrase, is_prefix, f) and sizes (notes, mean)."""
     scope = ["doc_id"] if per_document else []
     df = counted.groupBy("phrase", "is_prefix", *scope).agg(F.count("*").alias("n"))
-    hits = counted.join(df, ["phrase", "is_prefix", *scope])
+    # a row a phrase: of counted size unless it is by document
+    hits = counted.join(df if scope else F.broadcast(df), ["phrase", "is_prefix", *scope])
     hits = hits.join(sizes, scope) if scope else hits.crossJoin(F.broadcast(sizes))
     idf = F.greatest(F.log((F.col("notes") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.select("note_id", "doc_id", "phrase", "is_prefix", part.alias("part"))
-    per = terms.join(scored, ["phrase", "is_prefix"]).groupBy("question_id", "note_id", "doc_id").agg((-F.sum("part")).alias("score"))
+    per = scored.join(F.broadcast(terms), ["phrase", "is_prefix"]).groupBy("question_id", "note_id", "doc_id").agg((-F.sum("part")).alias("score"))
     return ranked(per, F.col("score"), F.col("note_id"), depth=depth)
 
 
+def postings(notes: DataFrame) -> DataFrame:
+    """token, note_id, doc_id, length, positions: the index that bm25_indexed() reads, made once when notes are stored."""
+    toks = notes.select("note_id", "doc_id", tokens(F.col("text")).alias("t"))
+    each = toks.select("note_id", "doc_id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
+    return each.groupBy("token", "note_id", "doc_id", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, questions: DataFrame, expand: bool = True, per_document: bool = False, depth: int | None = DEPTH) -> DataFrame:
+    """bm25() from postings and lengths (note_id, doc_id, length of every note): no text is read.
+
+    The terms' tokens, a broadcast, meet postings by the first letters of each; the tokens of
+    a phrase then meet by note, where their places must follow one another.
+    """
+    terms = term_table(questions, expand)
+    phrases = terms.select("phrase", "is_prefix").distinct()
+    if phrases.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} different terms at once")
+    sizes = lengths.groupBy(*["doc_id"] * per_document).agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
+    wanted = phrases.select("phrase", "is_prefix", F.posexplode("phrase").alias("k", "want"))
+    wanted = wanted.withColumn("open", F.col("is_prefix") & (F.col("k") == F.size("phrase") - 1)).withColumn("shared", F.least(F.length("want"), F.lit(4)))
+    fits = F.when(F.col("open"), F.startswith("token", "want")).otherwise(F.col("token") == F.col("want"))
+    met = None
+    for n in sorted(r.shared for r in wanted.select("shared").distinct().collect()):
+        part = index.join(F.broadcast(wanted.filter(F.col("shared") == n)), F.substring("token", 1, n) == F.substring("want", 1, n)).filter(fits)
+        part = part.select("note_id", "doc_id", "length", "phrase", "is_prefix", "k", F.transform("positions", lambda p: p - F.col("k")).alias("starts"))
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        met = index.select("note_id", "doc_id", "length", F.array("token").alias("phrase"), F.lit(True).alias("is_prefix"), F.lit(0).alias("k"), F.col("positions").alias("starts")).limit(0)
+    by_token = met.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix", "k").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    whole = by_token.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.collect_list("starts").alias("s")).filter(F.size("s") == F.size("phrase"))
+    counted = whole.withColumn("f", F.size(F.aggregate(F.slice("s", 2, 1000), F.get("s", F.lit(0)), lambda a, x: F.array_intersect(a, x))).cast("long")).drop("s").filter("f > 0")
+    return _scored(counted, sizes, terms, per_document, depth)
+
+
 def ranked(rows: DataFrame, *order: Column, by=("question_id",), depth: int | None = None) -> DataFrame:
     """rows with their rank from 1 within `by`; rows beyond depth go (a partial top-k runs before the shuffle)."""
     out = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -140,18 +180,18 @@ def silence(by_vector: DataFrame, by_words: DataFrame, questions: DataFrame, flo
     return rows.withColumn("silent", (F.col("matched") == 0) & (F.coalesce("best", F.lit(0.0)) < floor))
 
 
-def within_budget(notes: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Notes (doc_id, note_id, text) of each document in order while their characters fit; the first always."""
-    w = Window.partitionBy("doc_id").orderBy("note_id").rowsBetween(Window.unboundedPreceding, 0)
+def within_budget(notes: DataFrame, budget: int = BUDGET, order: str = "note_id") -> DataFrame:
+    """Notes (doc_id, text and the column of their order) of each document in order while their characters fit; the first always."""
+    w = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     run = notes.withColumn("used", F.sum(F.length("text")).over(w)).withColumn("nth", F.count("*").over(w))
     return run.filter((F.col("used") <= budget) | (F.col("nth") == 1)).drop("nth")
 
 
-def lift_asked_dates(shown: DataFrame, asked: DataFrame) -> DataFrame:
-    """shown (question_id, rank, date) reordered: notes of a date that the question names come first, else by rank."""
+def lift_asked_dates(shown: DataFrame, asked: DataFrame, by: str = "rank") -> DataFrame:
+    """shown (question_id, rank, date) with a place: notes of a date that the question names come first, else by rank."""
     named = asked.select("question_id", "date").distinct().withColumn("asked", F.lit(True))
     rows = shown.join(named, ["question_id", "date"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    w = Window.partitionBy("question_id").orderBy(F.desc("asked"), "rank")
+    w = Window.partitionBy("question_id").orderBy(F.desc("asked"), by)
     return rows.withColumn("place", F.row_number().over(w))
 
 

@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
@@ -125,32 +125,18 @@ def dominant_year(text: Column) -> Column:
     return bind(years, best)
 
 
-def line_runs_of(text: Column, run: int = RUN, group: int = GROUP) -> Column:
-    """array of (line, n, place, piece): for each non-blank line its run's length, its place in it and its group.
+def line_runs(docs: DataFrame, run: int = RUN, group: int = GROUP) -> DataFrame:
+    """doc_id, i, line, island, n, place, piece: for each non-blank line its run's length, its place in it and its group.
 
-    Runs of `run` lines or more are cut into equal groups of at most `group`; shorter ones are one group (0).
+    Runs of `run` lines or more are cut into equal groups of at most `group`; shorter ones
+    are one group (0). Windows by document over rows of a line each.
     """
-
-    def step(a: Column, x: Column) -> Column:
-        blank = tx.trimmed(x) == ""
-        island = F.when(blank, a["island"] + 1).otherwise(a["island"])
-        row = F.struct(x.alias("line"), island.alias("island"), (a["i"] + 0).alias("i"))
-        return F.struct((a["i"] + 1).alias("i"), island.alias("island"), F.when(blank, a["rows"]).otherwise(F.concat(a["rows"], F.array(row))).alias("rows"))
-
-    none = F.array().cast("array<struct<line:string,island:int,i:int>>")
-    rows = F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("i"), F.lit(0).alias("island"), none.alias("rows")), step, lambda a: a["rows"])
-
-    def measured(found: Column) -> Column:
-        def of(r: Column) -> Column:
-            own = F.filter(found, lambda x: x["island"] == r["island"])
-            n = F.size(own)
-            per = F.ceil(n / F.ceil(n / group))
-            place = r["i"] - F.get(own, F.lit(0))["i"]
-            return F.struct(r["line"].alias("line"), n.alias("n"), place.alias("place"), F.when(n >= run, F.floor(place / per)).otherwise(0).cast("int").alias("piece"))
-
-        return F.transform(found, of)
-
-    return bind(rows, measured)
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("blank", tx.trimmed(F.col("line")) == "")
+    islands = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(Window.partitionBy("doc_id").orderBy("i"))).filter(~F.col("blank"))
+    own = Window.partitionBy("doc_id", "island")
+    placed = islands.withColumns({"n": F.count("*").over(own), "place": F.row_number().over(own.orderBy("i")) - 1})
+    per = F.ceil(F.col("n") / F.ceil(F.col("n") / group))
+    return placed.select("doc_id", "i", "line", "island", "n", "place", F.when(F.col("n") >= run, F.floor(F.col("place") / per)).otherwise(0).cast("long").alias("piece"))
 
 
 def split_runs(text: str, run: int = RUN, group: int = GROUP) -> list[str]:

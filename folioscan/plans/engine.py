@@ -7,21 +7,48 @@ a question and a text (default: none), `chat` a function of prompts (default: qu
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
+from ..functions import dates
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import answers, entities, facts, questions, retrieval, segment, stats, timeline
-from ..session import ship
+from ..session import durable, ship
 from ..sources.readers import admit
 from ..sources.store import Store
 
 DAY = "INTERVAL 24 HOURS"
 
 
+class Busy(RuntimeError):
+    """As many jobs of a kind as are allowed run already; come back later."""
+
+
+class Gate:
+    """Lets so many callers in at once and refuses the rest; cancel() stops the Spark jobs of those within."""
+
+    def __init__(self, spark: SparkSession, name: str, most: int):
+        self.spark, self.tag, self.most = spark, f"folioscan-{name}", most
+        self.places = threading.BoundedSemaphore(most)
+
+    def __enter__(self) -> None:
+        if not self.places.acquire(blocking=False):
+            raise Busy(f"{self.most} at once are allowed")
+        self.spark.sparkContext.addJobTag(self.tag)
+
+    def __exit__(self, *_) -> None:
+        self.spark.sparkContext.removeJobTag(self.tag)
+        self.places.release()
+
+    def cancel(self) -> None:
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -32,87 +59,207 @@ class Engine:
     chat: object = None
     finders: dict = field(default_factory=lambda: {"place": entities.places, "person": entities.full_names})
 
+    config: Config = field(default_factory=Config.read)
+
     def __post_init__(self) -> None:
         ship(self.spark)
         self.store = Store(self.spark, self.path)
+        self.indexing, self.asking = Gate(self.spark, "index", self.config.indexing), Gate(self.spark, "ask", self.config.asking)
 
     # ---- index ---------------------------------------------------------------
 
     def tables(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """documents, entries, notes and vectors of prepared documents (doc_id, text, title, year_hint, source_name)."""
+        """documents, entries, notes, vectors and postings of prepared documents (doc_id, text, title, year_hint, source_name)."""
         entries = segment.entries(docs)
-        notes = segment.notes(entries).withColumn("note_id", F.xxhash64("doc_id", "entry_idx", "part"))
-        vectors = notes.select("note_id", "doc_id", self.embed(tx.searchable(F.col("heading"), F.col("text"))).alias("v"))
+        text = F.col("text")
+        notes = segment.notes(entries).withColumns({
+            "note_id": F.xxhash64("doc_id", "entry_idx", "part"), "tokens": F.size(retrieval.tokens(text)), "places": entities.places(text), "people": entities.full_names(text),
+            "amounts": entities.amounts(text), "images": F.regexp_extract_all(text, F.lit(r"\[image: ([^\]]+)\]"), F.lit(1)),
+        })
+        vectors = notes.select("note_id", "doc_id", self.embed(tx.searchable(F.col("heading"), text)).alias("v"))
         documents = docs.select(
-            "doc_id", F.coalesce("title", tx.guess_title(F.col("text"))).alias("title"), "source_name", tx.fingerprint(F.col("text"), self.model).alias("fingerprint"),
+            "doc_id", F.coalesce("title", tx.guess_title(text)).alias("title"), "source_name", tx.fingerprint(text, self.model).alias("fingerprint"),
             F.length("text").alias("characters"), F.current_timestamp().alias("created_at"), F.expr(f"current_timestamp() + {DAY}").alias("expires_at"),
         )
-        return {"documents": documents, "entries": entries, "notes": notes, "vectors": vectors}
+        return {"documents": documents, "entries": entries, "notes": notes, "vectors": vectors, "postings": retrieval.postings(notes)}
 
     def add(self, docs: DataFrame) -> dict[str, int]:
         """Store documents that aren't known yet by content; returns how many were added and refused."""
-        fit, refused = admit(docs)
-        fit = fit.withColumn("fingerprint", tx.fingerprint(F.col("text"), self.model)).dropDuplicates(["fingerprint"])
-        known = self.store.table("documents")
-        if known is not None:
-            fit = fit.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
-        fit = fit.drop("fingerprint").persist()
-        try:
-            counts = {"added": fit.count(), "refused": refused.count()}
-            if counts["added"]:
-                self.store.insert(self.tables(fit), {"documents": counts["added"]})
-        finally:
-            fit.unpersist()
-        return counts
+        with self.indexing:
+            fit, refused = admit(docs)
+            fit = fit.withColumn("fingerprint", tx.fingerprint(F.col("text"), self.model)).dropDuplicates(["fingerprint"])
+            known = self.store.table("documents")
+            if known is not None:
+                fit = fit.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+            fit = fit.drop("fingerprint").persist()
+            try:
+                counts = {"added": fit.count(), "refused": refused.count()}
+                if counts["added"]:
+                    self.store.insert(self.tables(fit), {"documents": counts["added"]})
+            finally:
+                fit.unpersist()
+            return counts
+
+    def stages(self) -> DataFrame:
+        """batch, stage, seconds, share: how long each part of each insert took."""
+        return self.store.timings()
 
     # ---- ask -----------------------------------------------------------------
 
     def rank(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(vector ranking, word ranking, fused ranking) of questions (question_id, question)."""
-        notes, vectors = self.store.table("notes"), self.store.table("vectors")
-        q = asked.select("question_id", self.embed(F.col("question")).alias("q"))
-        by_vector = retrieval.cosine_ranking(vectors.select("note_id", "v"), q)
-        by_words = retrieval.bm25(notes.select("note_id", "doc_id", "text"), asked).select("question_id", "note_id", "score", "rank")
+        """(vector ranking, word ranking, fused ranking) of questions (question_id, question).
+
+        With a doc_id, a question is put to that document: only its notes are ranked, and
+        the statistics of words are its own.
+        """
+        notes, vectors, index = (self.store.table(t) for t in ("notes", "vectors", "postings"))
+        q = asked.select("question_id", self.embed(F.col("question")).alias("q"), *[F.col("doc_id").alias("_asked")] * ("doc_id" in asked.columns))
+        lengths = notes.select("note_id", "doc_id", F.col("tokens").alias("length"))
+        if "doc_id" not in asked.columns:
+            by_words = retrieval.bm25_indexed(index, lengths, asked).select("question_id", "note_id", "score", "rank")
+            by_vector = retrieval.cosine_ranking(vectors.select("note_id", "v"), q)
+            return by_vector, by_words, retrieval.fuse(by_vector, by_words)
+        where = asked.select("question_id", "doc_id")
+        ids = where.select("doc_id").distinct()
+        own = retrieval.bm25_indexed(index.join(ids, "doc_id", "left_semi"), lengths.join(ids, "doc_id", "left_semi"), asked, per_document=True, depth=None)
+        by_words = retrieval.ranked(own.drop("rank").join(where, ["question_id", "doc_id"]), F.col("score"), F.col("note_id"), depth=retrieval.DEPTH).select("question_id", "note_id", "score", "rank")
+        near = vectors.join(q, F.col("doc_id") == F.col("_asked")).select("question_id", "note_id", vx.cosine(F.col("v"), F.col("q")).alias("score"))
+        by_vector = retrieval.ranked(near, F.desc(F.round("score", 9)), F.col("note_id"), depth=retrieval.DEPTH)
         return by_vector, by_words, retrieval.fuse(by_vector, by_words)
 
     def ask(self, asked: DataFrame) -> dict[str, DataFrame]:
-        """Panels for questions (question_id, question): shown notes, silence, facts, gaps, contradictions, replies."""
+        """Panels for questions (question_id, question, and doc_id if a question is put to one document).
+
+        A question to a document that asks for a list is answered from every note, in the
+        document's order, as far as the budget goes; others from the notes that rank best, those of
+        a date that the question names first. Counted facts go to the model, and where
+        they answer a question about dates, a silent search doesn't refuse it.
+        """
+        with self.asking:
+            return self._ask(asked)
+
+    def _ask(self, asked: DataFrame) -> dict[str, DataFrame]:
         notes, entries = self.store.table("notes"), self.store.table("entries")
+        scoped = "doc_id" in asked.columns
+        question = F.col("question")
+        whole_document = questions.wants_everything(question) if scoped else F.lit(False)
+        q = asked.withColumns({"everything": whole_document, "asks_range": questions.asks_for_range(question)})
         by_vector, by_words, fused = self.rank(asked)
-        silence = retrieval.silence(by_vector, by_words, asked)
+        # ---- facts, over whole documents
+        ids = asked.select("doc_id").distinct() if scoped else None
+        own_entries = entries.join(ids, "doc_id", "left_semi") if scoped else entries
+        pairs = (lambda rows: rows.join(asked.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_semi")) if scoped else (lambda rows: rows)
+        counted = pairs(facts.term_facts(own_entries, asked))
+        ranges = facts.range_facts(own_entries)
+        c = F.col
+        sentence = facts.fact_sentence(c("kind"), c("term"), c("value"), c("entries"), c("first_date"), c("last_date"))
+        sentences = counted.select("question_id", "doc_id", "kind", sentence.alias("sentence"))
+        if scoped:
+            spans = ranges.join(asked.select("question_id", "doc_id"), "doc_id").withColumns({"term": F.lit(None).cast("string"), "value": F.lit(None).cast("long")})
+            sentences = sentences.unionByName(spans.select("question_id", "doc_id", "kind", sentence.alias("sentence")))
+        # ---- silence: never for a question answered from all notes, nor for one that a fact answers
+        total = self._totals(q, notes, scoped)
+        searched = retrieval.silence(by_vector, by_words, asked).join(q.select("question_id", "everything", "asks_range"), "question_id").join(total, "question_id", "left")
+        has_range = sentences.filter("kind = 'date-range'").select("question_id").distinct().withColumn("has_range", F.lit(True))
+        judged = searched.join(has_range, "question_id", "left").na.fill(False, ["has_range"]).na.fill(0, ["total"])
+        nothing = F.when(F.col("everything"), F.col("total") == 0).otherwise(F.col("silent"))
+        judged = judged.withColumn("silent", nothing & ~(F.col("asks_range") & F.col("has_range")))
+        # ---- what is shown
+        columns = ["note_id", "doc_id", "label", "date", "text", "places", "people", "amounts", "images"]
+        live = judged.filter("NOT silent").select("question_id")
         depth = retrieval.SHOWN if self.scorer is None else retrieval.CANDIDATES
-        top = fused.filter(F.col("rank") <= depth).join(notes.select("note_id", "doc_id", "label", "date", "text"), "note_id").join(asked, "question_id")
-        top = top.join(silence.filter("NOT silent").select("question_id"), "question_id", "left_semi")
+        best = fused.filter(F.col("rank") <= depth).join(q.filter("NOT everything").select("question_id", "question"), "question_id").join(live, "question_id", "left_semi")
+        best = best.join(notes.select(*columns), "note_id")
         if self.scorer is not None:
-            top = retrieval.rerank(top, self.scorer)
-        texts = self.store.text()
-        replies = self.replies(asked, top)
+            best = retrieval.rerank(best, self.scorer)
+        named = asked.select("question_id", F.explode(dates.date_hits(question)).alias("h")).select("question_id", F.col("h.date").alias("date")).filter("date IS NOT NULL")
+        lifted = retrieval.lift_asked_dates(best.withColumnRenamed("rank", "ranked"), named, by="ranked")
+        shown = lifted.select("question_id", *columns, F.col("place").alias("rank"), "fused", "vector", "lexical", (F.col("rerank") if self.scorer is not None else F.lit(None).cast("double")).alias("rerank"))
+        if scoped:
+            shown = shown.unionByName(self._whole(q.filter("everything"), notes, columns), allowMissingColumns=True)
+        seen = shown.groupBy("question_id").agg(F.count("*").alias("shown"), F.count_if(F.col("rerank").isNotNull()).alias("reranked"))
+        coverage = judged.join(seen, "question_id", "left").na.fill(0, ["shown", "reranked"])
+        ranked = fused.groupBy("question_id").agg(F.count("*").alias("ranked"))
+        steps = coverage.join(ranked, "question_id", "left").select("question_id", "silent", F.col("total").alias("notes"), F.when(~F.col("everything"), F.col("ranked")).alias("ranked"), F.when(F.col("reranked") > 0, F.col("reranked")).alias("reranked"), "shown")
+        replies = self.replies(asked, shown, sentences, coverage)
+        texts = self.store.text().join(ids, "doc_id", "left_semi") if scoped else self.store.text()
+        found = pairs(facts.gaps(texts, asked))
+        refused = replies.join(coverage.select("question_id", "silent", "asks_range", "has_range"), "question_id")
+        mentions = entities.tally(self._mentions(own_entries))
         return {
-            "shown": top, "silence": silence, "details": answers.details(top), "facts": facts.term_facts(entries, asked), "range": facts.range_facts(entries), "gaps": facts.gap_report(facts.gaps(texts, asked)),
-            "out_of_order": facts.out_of_order(entries), "spelled_two_ways": facts.spelled_two_ways(texts), "ambiguous": facts.ambiguous_dates(entries), "replies": replies,
+            "shown": shown, "silence": judged, "coverage": coverage, "details": answers.details(shown), "tallies": answers.tallies(shown), "facts": counted, "range": ranges, "sentences": sentences,
+            "gaps": facts.gap_report(found), "said_once": facts.said_once(mentions), "out_of_order": facts.out_of_order(own_entries), "spelled_two_ways": facts.spelled_two_ways(texts), "ambiguous": facts.ambiguous_dates(own_entries),
+            "replies": replies.drop("reply"), "refused": refused.select("question_id", answers.refused_by(F.col("silent"), F.col("has_range"), F.col("asks_range"), F.col("reply")).alias("refused_by")),
+            "funnel": timeline.funnel(steps), "warnings": self.warnings(coverage),
         }
 
-    def replies(self, asked: DataFrame, top: DataFrame) -> DataFrame:
-        """question_id, says, suggests, refused: from the chat model, or quotes of the best notes."""
+    @staticmethod
+    def _totals(q: DataFrame, notes: DataFrame, scoped: bool) -> DataFrame:
+        """question_id, total: notes that the question could be answered from."""
+        if scoped:
+            return q.select("question_id", "doc_id").join(notes.select("doc_id"), "doc_id").groupBy("question_id").agg(F.count("*").alias("total"))
+        return q.select("question_id").crossJoin(F.broadcast(notes.agg(F.count("*").alias("total"))))
+
+    def _whole(self, q: DataFrame, notes: DataFrame, columns: list[str]) -> DataFrame:
+        """The notes of each question's document in order, as far as the budget goes, with their cosine."""
+        at = F.struct("entry_idx", "part").alias("at")
+        ordered = notes.join(q.select("doc_id").distinct(), "doc_id", "left_semi").select(*columns, at)
+        kept = retrieval.within_budget(ordered, order="at").join(q.select("question_id", "doc_id", self.embed(F.col("question")).alias("q")), "doc_id")
+        near = kept.join(self.store.table("vectors").select("note_id", "v"), "note_id").withColumn("vector", vx.cosine(F.col("v"), F.col("q")))
+        rank = F.row_number().over(Window.partitionBy("question_id").orderBy("at"))
+        return near.select("question_id", *columns, rank.alias("rank"), "vector")
+
+    @staticmethod
+    def _mentions(entries: DataFrame) -> DataFrame:
+        """doc_id, idx, kind, value, pos of places, people and amounts of entries."""
+        text = F.col("text")
+        kinds = (("place", entities.places(text)), ("person", entities.full_names(text)), ("amount", entities.amounts(text)))
+        found = F.array(*[F.struct(F.lit(kind).alias("kind"), values.alias("values")) for kind, values in kinds])
+        each = entries.select("doc_id", "idx", F.explode(found).alias("k"))
+        return each.select("doc_id", "idx", "k.kind", F.posexplode("k.values").alias("pos", "value"))
+
+    def warnings(self, coverage: DataFrame) -> DataFrame:
+        """question_id, warnings: what the reader should know of how the notes were chosen."""
+        n = lambda name: F.col(name).cast("string")
+        every = F.col("everything") & (F.col("total") > 0)
+        said = [
+            F.when(every & (F.col("shown") >= F.col("total")), F.concat(F.lit("This asks for a list: all "), n("total"), F.lit(" notes were read in order."))),
+            F.when(every & (F.col("shown") < F.col("total")), F.concat(F.lit("This asks for a list, but only the first "), n("shown"), F.lit(" of "), n("total"), F.lit(" notes fit: it may be incomplete."))),
+            F.when(F.col("silent"), F.lit("No note matched the question, and no counted fact answers it.")),
+            F.when(F.lit(self.scorer is not None) & ~F.col("everything") & ~F.col("silent") & (F.col("reranked") == 0), F.lit("The reranker gave no scores: notes are in the order of the search.")),
+        ]
+        return coverage.select("question_id", F.array_compact(F.array(*said)).alias("warnings")).filter(F.size("warnings") > 0)
+
+    def prompts(self, asked: DataFrame, shown: DataFrame, sentences: DataFrame, coverage: DataFrame) -> DataFrame:
+        """question_id, prompt: counted facts, what is shown of how much, notes and the question."""
+        listed = sentences.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list("sentence")), "\n").alias("facts"))
+        notes = answers.notes_text(shown)
+        rows = asked.join(coverage.filter("NOT silent").select("question_id", "shown", "total", "asks_range"), "question_id").join(notes, "question_id", "left").join(listed, "question_id", "left")
+        text = answers.prompt(F.col("question"), F.col("facts"), F.coalesce("notes", F.lit("None.")), F.col("shown"), F.col("total"), F.col("asks_range"))
+        return rows.select("question_id", text.alias("prompt"))
+
+    def replies(self, asked: DataFrame, shown: DataFrame, sentences: DataFrame, coverage: DataFrame) -> DataFrame:
+        """question_id, reply, says, suggests, refused: from the chat model, or quotes of the best notes; range facts where they answer."""
         if self.chat is None:
-            said = answers.extractive_reply(top)
+            said = answers.extractive_reply(shown)
+            facts_say = sentences.filter("kind = 'date-range'").groupBy("question_id").agg(F.concat(F.lit("WHAT THE DOCUMENT SAYS\n"), F.min("sentence")).alias("dated"))
+            ranges = coverage.filter("asks_range").select("question_id").join(facts_say, "question_id")
+            said = said.join(ranges, "question_id", "full_outer").select("question_id", F.coalesce("dated", "reply").alias("reply"))
         else:
-            prompts = answers.notes_text(top).join(asked, "question_id")
-            text = answers.prompt(F.col("question"), F.lit(None).cast("string"), F.col("notes"), F.lit(retrieval.SHOWN), F.lit(retrieval.SHOWN), F.lit(False))
-            said = prompts.select("question_id", self.chat(text).alias("reply"))
+            said = self.prompts(asked, shown, sentences, coverage).select("question_id", self.chat(F.col("prompt")).alias("reply"))
         said = asked.select("question_id").join(said, "question_id", "left").withColumn("reply", F.coalesce("reply", F.lit(answers.REFUSAL)))
         shape: Column = answers.read_reply(F.col("reply"))
-        return said.select("question_id", shape["says"].alias("says"), shape["suggests"].alias("suggests"), answers.is_refusal(F.col("reply")).alias("refused"))
+        return said.select("question_id", "reply", shape["says"].alias("says"), shape["suggests"].alias("suggests"), answers.is_refusal(F.col("reply")).alias("refused"))
 
     def whole(self, doc_id) -> DataFrame:
         """The notes of a document in order, as far as the budget for a whole-document question goes."""
-        n = self.store.table("notes").filter(F.col("doc_id") == doc_id).withColumn("at", F.col("entry_idx") * 100_000 + F.col("part"))
-        return retrieval.within_budget(n.select("doc_id", F.col("at").alias("note_id"), "label", "text"))
+        n = self.store.table("notes").filter(F.col("doc_id") == doc_id)
+        return retrieval.within_budget(n.select("doc_id", F.struct("entry_idx", "part").alias("at"), "label", "text"), order="at")
 
     # ---- describe ------------------------------------------------------------
 
     def describe(self) -> dict[str, DataFrame]:
-        """Kinds, statistics, months, periods, mentions and note shares of all documents."""
+        """Kinds, statistics, months, periods, mentions, grid, spine and note shares of all documents, and stage timings."""
         entries, notes = self.store.table("entries"), self.store.table("notes")
         texts = self.store.text()
         counted = stats.document_stats(entries)
@@ -120,9 +267,11 @@ class Engine:
         kinds = kinds.withColumn("label", questions.kind_label(F.col("kind"))).withColumn("suggestions", questions.suggestions(F.col("kind")))
         months = timeline.continuous_months(stats.entries_per_month(entries), counted)
         label = F.coalesce("heading", "date_raw", F.concat(F.lit("Entry "), (F.col("idx") + 1).cast("string")))
-        periods = timeline.lanes(timeline.spans(entries.select("doc_id", "idx", label.alias("label"), "month", "end_month", "open_ended")))
-        held = entities.mentions_in(entries, entities.accepted(texts, self.finders))
+        labelled = entries.select("doc_id", "idx", label.alias("label"), "month", "end_month", "open_ended")
+        held = durable(entities.mentions_in(entries, entities.accepted(texts, self.finders)))
+        rows = entities.top_mentions(held.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("count")), timeline.GRID_ROWS)
         return {
-            "kinds": kinds, "stats": counted, "months": months, "periods": periods, "mentions": held.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("entries")),
-            "note_map": timeline.note_map(notes.select("doc_id", "note_id", "text")),
+            "kinds": kinds, "stats": counted, "months": months, "periods": timeline.lanes(timeline.spans(labelled)), "mentions": held.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("entries")),
+            "grid": timeline.mention_grid(held, rows, months.select("doc_id", "month"), entries), "spine": timeline.spine(labelled.select("doc_id", "idx", "label", "month"), labelled.select("doc_id", "idx").limit(0), timeline.SPINE_LIMIT),
+            "note_map": timeline.note_map(notes.select("doc_id", "note_id", "text")), "stages": self.stages(),
         }

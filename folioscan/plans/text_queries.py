@@ -165,15 +165,9 @@ f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*$') THEN 1 ELSE 0 END) O
 n AS (SELECT doc_id, i, island, count(*) OVER (PARTITION BY doc_id, island) AS n, row_number() OVER (PARTITION BY doc_id, island ORDER BY i) - 1 AS place FROM f WHERE NOT blank)
 SELECT doc_id, n, CASE WHEN n >= 12 THEN (place // ceil(n / ceil(n / 10.0))::BIGINT) ELSE 0 END AS piece, count(*) AS lines FROM n GROUP BY doc_id, island, n, piece""")
 def line_run_groups(read):
-    """How many lines each group of each run of lines has; one window over (doc_id), no row wider than a line."""
-    from pyspark.sql import Window
-
-    rows = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("blank", tx.trimmed(F.col("line")) == "")
-    islands = rows.withColumn("island", F.sum(F.col("blank").cast("int")).over(Window.partitionBy("doc_id").orderBy("i"))).filter(~F.col("blank"))
-    own = Window.partitionBy("doc_id", "island")
-    n = islands.withColumn("n", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("i")) - 1)
-    piece = F.when(F.col("n") >= 12, F.floor(F.col("place") / F.ceil(F.col("n") / F.ceil(F.col("n") / 10)))).otherwise(0).cast("long")
-    return n.groupBy("doc_id", "island", "n", piece.alias("piece")).agg(F.count("*").alias("lines")).select("doc_id", "n", "piece", "lines")
+    """How many lines each group of each run of lines has."""
+    n = segment.line_runs(read("documents"))
+    return n.groupBy("doc_id", "island", "n", "piece").agg(F.count("*").alias("lines")).select("doc_id", "n", "piece", "lines")
 
 
 @query("entries")
@@ -182,14 +176,12 @@ def entries(read):
     return segment.entries(prepared(read))
 
 
-@query("entries_lossless", "SELECT 0 AS broken FROM range(0)")
+@query("entries_lossless", f"WITH {_BLOCKS} SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM blocks GROUP BY 1")
 def entries_lossless(read):
-    """Entries that aren't the text between their places (none, blank runs aside)."""
-    pages = prepared(read)
-    e = segment.entries(pages, dated=False).join(pages.withColumnRenamed("text", "whole"), "doc_id")
-    folded = lambda c: F.regexp_replace(c, r"\n\s*\n", "\n\n")
-    cut = F.substring(F.col("whole"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return e.filter(folded(cut) != folded(F.col("text"))).select(F.lit(0).alias("broken"))
+    """Entries joined again are the blocks of the page."""
+    from ..sources.store import document_text
+
+    return document_text(segment.entries(prepared(read), dated=False))
 
 
 @query("notes")
@@ -198,11 +190,16 @@ def notes(read):
     return segment.notes(segment.entries(read("documents").select("doc_id", "text")))
 
 
-@query("notes_within_window", "SELECT 0 AS broken FROM range(0)")
+@query("notes_within_window", rf"""WITH w AS (SELECT doc_id, regexp_extract_all(replace(text, '_', ' '), '[\p{{L}}\p{{N}}''’-]+') AS w FROM documents)
+SELECT doc_id, len(list_distinct(w)) AS words, len(w) <= {segment.WINDOW} AS one_window, true AS fits FROM w WHERE len(w) > 0""")
 def notes_within_window(read):
-    """Notes longer than a window and its reach (none)."""
+    """Notes of a document have all its words, none has more than a window and its reach, and short documents are one stretch of words."""
     n = segment.notes(segment.entries(read("documents").select("doc_id", "text")))
-    return n.filter(F.col("words") > segment.WINDOW + segment.REACH).select(F.lit(0).alias("broken"))
+    words = F.explode(F.regexp_extract_all(F.replace("text", F.lit("_"), F.lit(" ")), F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0)))
+    counted = n.select("doc_id", words.alias("w")).groupBy("doc_id").agg(F.count_distinct("w").alias("words"), F.count("*").alias("all"))
+    per = n.groupBy("doc_id").agg(F.sum("words").alias("held"), F.max("words").alias("longest"))
+    both = counted.join(per, "doc_id")
+    return both.select("doc_id", "words", (F.col("held") <= segment.WINDOW).alias("one_window"), (F.col("longest") <= segment.WINDOW + segment.REACH).alias("fits"))
 
 
 @query("searchable_text", f"WITH p AS ({PREPARED_SQL}), t AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS h FROM p) SELECT doc_id, CASE WHEN h IS NULL OR starts_with(text, CASE WHEN doc_id % 2 = 0 THEN h ELSE 'Page ' || doc_id END) THEN text ELSE 'Page ' || doc_id || chr(10) || text END AS searchable FROM t")

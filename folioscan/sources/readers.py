@@ -25,6 +25,25 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return with_ids(spark.read.schema(schema).option("columnNameOfCorruptRecord", "corrupt").json(path).filter("corrupt IS NULL"))
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of newline-delimited JSON: kind (result, error, event, web page or unreadable), type, error, line. Blank lines go."""
+    rows = spark.read.text(path).select(tx.trimmed(F.col("value")).alias("line")).filter("line <> ''")
+    field = lambda name: F.get_json_object("line", f"$.{name}")
+    json = F.try_parse_json("line").isNotNull()
+    kind = F.when(~json & F.col("line").rlike(r"(?i)^<(?:!doctype|html)"), "web page").when(~json, "unreadable").when(field("type").isin("result", "error"), field("type")).otherwise("event")
+    error = F.when(kind == "error", F.coalesce(field("error"), F.lit("no reason was given"))).when(kind.isin("web page", "unreadable"), F.substring("line", 1, 100))
+    return rows.select(kind.alias("kind"), F.when(json, field("type")).alias("type"), error.alias("error"), "line")
+
+
+def result_of(events: DataFrame) -> str:
+    """The result line of read_events(); an error if a line is one or can't be read, or if there is no result."""
+    if bad := events.filter("kind NOT IN ('result', 'event')").select("kind", "error").first():
+        raise ValueError(f"{bad.kind}: {bad.error}")
+    if (found := events.filter("kind = 'result'").select("line").first()) is None:
+        raise ValueError("no result came")
+    return found.line
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Text, Markdown, CSV and HTML files, each one document as it is written."""
     rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_name"))
@@ -45,7 +64,11 @@ def read_pdfs(spark: SparkSession, path: str, extract) -> DataFrame:
                 if not bytes(data[:4]) == b"%PDF":
                     out.append((name, None, "not a PDF file"))
                     continue
-                text = extract(bytes(data))
+                try:
+                    text = extract(bytes(data))
+                except Exception as e:  # one file that can't be read is refused, and the batch goes on
+                    out.append((name, None, f"the PDF file can't be read: {e}"[:200]))
+                    continue
                 out.append((name, text if text.strip() else None, None if text.strip() else "no text in the PDF file"))
             yield pd.DataFrame(out, columns=["source_name", "text", "reason"])
 

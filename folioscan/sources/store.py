@@ -10,13 +10,14 @@ Columns that older batches lack are read as nulls (schema merging).
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-TABLES = ("documents", "entries", "notes", "vectors")
+TABLES = ("documents", "entries", "notes", "vectors", "postings")
 
 
 class Store:
@@ -33,18 +34,28 @@ class Store:
 
     def insert(self, tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> str:
         """Write one batch. Notes and vectors must be equally many; `expected` counts are checked as well."""
-        batch = uuid.uuid4().hex
+        batch, seconds = uuid.uuid4().hex, []
         for name in TABLES:
             if name in tables:
+                began = time.perf_counter()
                 tables[name].withColumn("inserted_at", F.current_timestamp()).write.parquet(f"{self.path}/{name}/batch={batch}")
+                seconds.append((batch, name, time.perf_counter() - began))
         counts = {name: self.spark.read.parquet(f"{self.path}/{name}/batch={batch}").count() for name in TABLES if name in tables}
         if "vectors" in counts and counts["vectors"] != counts.get("notes"):
             raise ValueError(f"{counts.get('notes')} notes but {counts['vectors']} vectors")
         if wrong := {k: n for k, n in (expected or {}).items() if counts.get(k) != n}:
             raise ValueError(f"expected {wrong}, wrote {counts}")
         self.spark.sql(f"SELECT '{batch}' AS batch, current_timestamp() AS committed_at").write.mode("append").parquet(f"{self.path}/commits")
+        self.spark.createDataFrame(seconds, "batch string, stage string, seconds double").coalesce(1).write.mode("append").parquet(f"{self.path}/timings")
         return batch
 
+    def timings(self) -> DataFrame:
+        """batch, stage, seconds, share of the batch: how long each table of an insert took."""
+        rows = self._read("timings")
+        if rows is None:
+            return self.spark.createDataFrame([], "batch string, stage string, seconds double, share double")
+        return rows.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy("batch")))
+
     def table(self, name: str) -> DataFrame | None:
         """Committed rows of documents that aren't deleted; None before the first insert."""
         rows, commits, deleted = self._read(name), self._read("commits"), self._read("deleted")
