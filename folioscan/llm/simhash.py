@@ -47,7 +47,7 @@ LANES = 8
 #: Fingerprints that the sharding tree is built on, at most about.
 SAMPLE = 40_000
 #: Members a shard is meant to have.
-SHARD = 50_000
+SHARD = 16_000
 #: Rows of a block of a shard that is cut; shards of up to two blocks aren't.
 CELL = 100_000
 #: Shingles of the candidates of one component, at most, that a task confirms together (64 MB of hashes); larger
