@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, shuffle_partitions, table
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -58,6 +58,8 @@ BROADCAST_SHARDS = 500_000
 BROADCAST_SUSPECTS = 200_000
 #: Pairs with one document that a task gets; candidate pairs of a document in the second search, and how these grow.
 PAIRS_A_TASK = 1000
+#: Tasks of a search, at most, beyond the number of shuffle partitions.
+MOST_TASKS = 20_000
 PAIRS, PAIRS_GROWTH = 16, 16
 MOST_SEARCHES = 30
 _EDGE_BUFFER = 2_000_000
@@ -350,8 +352,8 @@ def _dealt(distinct: DataFrame, radius: int, similarity: float | None, sample: i
     return distinct.mapInArrow(deal, "shard long, member boolean, " + schema)
 
 
-def _celled(dealt: DataFrame, cell: int) -> DataFrame:
-    """dealt with (shard, first, second) of a cell and the row's group in it.
+def _celled(dealt: DataFrame, cell: int, tasks: int) -> DataFrame:
+    """dealt with (shard, first, second) of a cell and the row's group in it, a cell's rows together in one of the tasks.
 
     Shards of over two cells' rows are cut: a cell is a block of members alone (group 0),
     or a block of members (1) with a later one or with a block of visitors (2).
@@ -372,7 +374,13 @@ def _celled(dealt: DataFrame, cell: int) -> DataFrame:
     of_visitors = F.transform(upto(own), lambda k: place(k, own + theirs, F.lit(2)))
     whole = F.array(place(0, 0, F.when(F.col("member"), 0).otherwise(2)))
     placed = joined.withColumn("place", F.explode(F.when(own.isNull(), whole).when(F.col("member"), of_members).otherwise(of_visitors)))
-    return placed.select("shard", "place.first", "place.second", "place.group", *[c for c in dealt.columns if c not in ("shard", "member")])
+    rows = placed.select("shard", "place.first", "place.second", "place.group", *[c for c in dealt.columns if c not in ("shard", "member")])
+    # so many tasks whatever the bytes: the work of a cell grows with the square of its rows
+    return rows.repartition(tasks, "shard", "first", "second")
+
+
+def _tasks(distinct: DataFrame, shard: int) -> int:
+    return max(shuffle_partitions(distinct.sparkSession), min(MOST_TASKS, 2 * distinct.count() // shard))
 
 
 def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD, cell: int = CELL) -> DataFrame:
@@ -386,7 +394,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, sample: int = S
         linked = label != np.arange(len(label))
         return pd.DataFrame({"u": keys[linked], "v": keys[label[linked]]})
 
-    dealt = _celled(_dealt(distinct.select("key", "fp", "shingles"), radius, None, sample, shard), cell)
+    dealt = _celled(_dealt(distinct.select("key", "fp", "shingles"), radius, None, sample, shard), cell, _tasks(distinct, shard))
     return dealt.groupBy("shard", "first", "second").applyInPandas(link, "u long, v long")
 
 
@@ -414,7 +422,7 @@ def link_candidates(active: DataFrame, similarity: float, each: int | None, samp
         u, v = candidate_pairs(points, group, radius, lanes, each)
         return pd.DataFrame({"u": keys[u], "v": keys[v]})
 
-    dealt = _celled(_dealt(active, radius, similarity, sample, shard), cell)
+    dealt = _celled(_dealt(active, radius, similarity, sample, shard), cell, _tasks(active, shard))
     return dealt.groupBy("shard", "first", "second").applyInPandas(link, "u long, v long")
 
 
