@@ -238,18 +238,23 @@ def _near(points: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[
     ring = np.zeros(len(points), np.int64)
     for i, (_, own) in enumerate(rings):
         ring[own] = i
-    for i, ((p, q), own) in enumerate(rings):
-        near = [part for (x, y), part in rings[i:] if abs(x - p) <= radius and abs(y - q) <= radius]
-        others = np.concatenate(near)  # the ring itself comes first
-        for k in range(0, len(own), 128):
-            rows = own[k : k + 128]
-            for j in range(0, len(others), 4096):
-                columns = others[j : j + 4096]
-                a, b = np.nonzero(np.bitwise_count(points[rows, None] ^ points[None, columns]) <= radius)
-                a, b = rows[a], columns[b]
-                keep = ((group[a] != group[b]) | (group[a] == 0)) & ((ring[a] != ring[b]) | (a < b))
-                if keep.any():
-                    yield a[keep], b[keep]
+    here = [own[group[own] != 2] for _, own in rings]
+    visiting = [own[group[own] == 2] for _, own in rings]
+    for i, ((p, q), _) in enumerate(rings):
+        near = [j for j in range(i, len(rings)) if abs(rings[j][0][0] - p) <= radius and abs(rings[j][0][1] - q) <= radius]
+        # visitors don't meet one another
+        meetings = ((here[i], [here[j] for j in near] + [visiting[j] for j in near]), (visiting[i], [here[j] for j in near[1:]]))
+        for own, parts in meetings:
+            others = np.concatenate([own[:0], *parts])
+            for k in range(0, len(own), 128):
+                rows = own[k : k + 128]
+                for j in range(0, len(others), 4096):
+                    columns = others[j : j + 4096]
+                    a, b = np.nonzero(np.bitwise_count(points[rows, None] ^ points[None, columns]) <= radius)
+                    a, b = rows[a], columns[b]
+                    keep = ((group[a] != group[b]) | (group[a] == 0)) & ((ring[a] != ring[b]) | (group[b] == 2) | (a < b))
+                    if keep.any():
+                        yield a[keep], b[keep]
 
 
 def link_cell(points: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
