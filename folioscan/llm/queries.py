@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, langid, licenses, mixing, packing, pii, quality, simhash, url_filter
+from . import chat_format, fingerprints, langid, licenses, mixing, packing, periodic, pii, quality, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_near_duplicates": simhash.op10_near_duplicates,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
