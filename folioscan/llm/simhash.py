@@ -12,10 +12,15 @@
    pairs, so a group of n near copies gives n - 1 edges a cell at most.
 4. Components of all edges are found by distributed star contraction.
 5. Where a similarity is asked for, not a radius, fingerprints are of the distinct
-   shingles, the forests are of candidate pairs, and exact Jaccard similarities decide:
-   together in one task for a component of candidates of up to TOGETHER shingles. In
-   larger ones each pair is judged by itself, and where one fails, the component is
-   searched again, for pairs that aren't linked or refused yet, until there are none.
+   shingles and have LANES lanes. Two documents are linked if and only if their fingerprints
+   are within the bits that the similarity needs and the exact Jaccard similarity of their
+   shingles reaches it, whatever else there is. The forests are of such candidate pairs, to be confirmed:
+   a component of candidates of up to TOGETHER shingles in one task, over an inverted index of
+   each set's rarest shingles. Larger ones, and those that turn out to need more than MOST_WORK,
+   pair by pair: where a pair fails, the component is searched again, for pairs that aren't linked
+   or refused yet, until there are none. Both ways judge by the same rule, so they agree.
+   Equal sets of shingles are known by a 64-bit hash: at 10**9 different sets some three in a hundred
+   runs take two of them for equal.
 
 Null text is empty; a text with no word has fingerprint zero and links like any
 other. Rows with null ids take part; a component's id is its least non-null id
@@ -50,9 +55,10 @@ SAMPLE = 40_000
 SHARD = 16_000
 #: Rows of a block of a shard that is cut; shards of up to two blocks aren't.
 CELL = 100_000
-#: Shingles of the candidates of one component, at most, that a task confirms together (64 MB of hashes); larger
-#: components are confirmed pair by pair.
+#: Shingles of the candidates of one component, at most, that a task confirms together (64 MB of hashes), and the
+#: shingles and index entries it may compare for that; what needs more is confirmed pair by pair, by the same rule.
 TOGETHER = 8_000_000
+MOST_WORK = 4_000_000_000
 #: Shards that are cut and candidates, at most, that are broadcast (some 15 MB); more are joined by a shuffle.
 BROADCAST_SHARDS = 500_000
 BROADCAST_SUSPECTS = 200_000
@@ -432,19 +438,21 @@ def link_candidates(active: DataFrame, similarity: float, each: int | None, samp
 
 
 def shingle_sets(docs: DataFrame, suspects: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(grp, key, hashes): the distinct shingles of one row of each of the suspects (grp, key, _id, _content), hashed again."""
+    """(grp, key, fp, more, hashes): suspects (grp, key, fp, more, _id, _content) with the distinct shingles of their row, hashed again."""
     few = suspects.count() <= BROADCAST_SUSPECTS
     rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
-    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select("grp", "key", "text")
+    names = ["grp", "key", "fp", "more"]
+    texts = rows.join(F.broadcast(suspects) if few else suspects, same).select(*names, "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(2)]
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(4)]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["grp", "key", "hashes"])
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], hashes], names=[*names, "hashes"])
 
-    return texts.mapInArrow(hashed, "grp long, key long, hashes array<long>")
+    return texts.mapInArrow(hashed, "grp long, key long, fp long, more binary, hashes array<long>")
 
 
 def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -462,47 +470,115 @@ def judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("u", "v", (common * (1 + similarity) >= similarity * (F.size("a") + F.size("b")) - 1e-9).alias("alike"))
 
 
-def jaccard_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Labels of sets (distinct hashes each): equal if linked by pairs of this Jaccard similarity or more.
+class PrefixIndex:
+    """Which sets share one of their rarest elements: alike ones must (rare: in few of these sets).
 
-    A search from each set over those not reached yet: sets that are alike are reached at once.
+    A set of n elements whose Jaccard similarity with another is s or more has an element in common with it
+    among the rarest n - ceil(s n) + 1 of each, in one order of all elements.
     """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.split(ids, np.cumsum(sizes)[:-1])
-    owner, flag = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(values), bool)
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        values, ids, often = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(values), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(values))
+        owner, ids, often = np.repeat(np.arange(len(sets)), self.sizes), rank[ids], np.sort(often)
+        order = np.lexsort((ids, owner))
+        self.ids, starts = ids[order], np.cumsum(self.sizes) - self.sizes
+        self.starts, self.values = starts, len(values)
+        rarest = self.sizes - np.ceil(similarity * self.sizes - 1e-9).astype(np.int64) + 1
+        place = np.arange(len(self.ids)) - np.repeat(starts, self.sizes)
+        mine = (place < np.repeat(rarest, self.sizes)) & (often[self.ids] > 1)  # what one set alone has finds nothing
+        self.keep(owner[mine], self.ids[mine])
+        # a set's own entries, in order of owners
+        self.own, self.own_starts = self.ids[mine], np.searchsorted(owner[mine], np.arange(len(sets) + 1))
+
+    def keep(self, owner: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.owner, self.entry = owner[order], ids[order]
+        self.first = np.searchsorted(self.entry, np.arange(self.values + 1))
+
+    def drop_closed(self, open_: np.ndarray) -> None:
+        live = open_[self.owner]
+        self.keep(self.owner[live], self.entry[live])
+
+    def sharing(self, i: int) -> np.ndarray:
+        """Owners of entries of set i's rarest elements, repeats included."""
+        own = self.own[self.own_starts[i] : self.own_starts[i + 1]]
+        a, many = self.first[own], self.first[own + 1] - self.first[own]
+        return self.owner[np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+
+    def common(self, i: int, others: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """How many elements set i has in common with each of the others (none of them empty)."""
+        mine = self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]
+        many = self.sizes[others]
+        ends = np.cumsum(many)
+        flag[mine] = True
+        there = flag[self.ids[np.repeat(self.starts[others] - (ends - many), many) + np.arange(ends[-1])]]
+        flag[mine] = False
+        return np.add.reduceat(there, ends - many, dtype=np.int64)
+
+
+def jaccard_components(sets: list[np.ndarray], fps: np.ndarray, more: np.ndarray, similarity: float, most_work: float = MOST_WORK) -> np.ndarray | None:
+    """Labels of sets (distinct hashes each, none empty): equal if linked by pairs that are within the bits of their
+    lanes (fps, and a row of `more` each) and of this Jaccard similarity or more. None if that takes more than most_work.
+
+    A search from each set over those not reached yet; what is reached leaves the index.
+    """
+    radius, most = bits_for(similarity, 64), bits_for(similarity, 64 * LANES)
+    index = PrefixIndex(sets, similarity)
+    sizes, flag = index.sizes, np.zeros(index.values, bool)
     label, open_ = np.full(len(sets), -1), np.ones(len(sets), bool)
+    work, closed, left = 0, 0, len(sets)
     for start in range(len(sets)):
         if not open_[start]:
             continue
         reached, open_[start], label[start] = [start], False, start
-        while reached:
+        closed, left = closed + 1, left - 1
+        while reached and left:
             i = reached.pop()
-            flag[own[i]] = True
-            both = np.bincount(owner[flag[ids]], minlength=len(sets))
-            flag[own[i]] = False
-            near = np.nonzero(open_ & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))[0]
-            label[near], open_[near] = start, False
-            reached.extend(near.tolist())
+            found = index.sharing(i)
+            work += len(found)
+            near = np.unique(found[open_[found]])
             if len(near):
-                rest = open_[owner]
-                owner, ids = owner[rest], ids[rest]
-            if not len(owner):
-                break
+                first = np.bitwise_count(fps[near] ^ fps[i])
+                bits = first + np.bitwise_count(more[near] ^ more[i]).sum(axis=1, dtype=np.int64)
+                fit = np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]) - 1e-9
+                near = near[(first <= radius) & (bits <= most) & fit]
+            if len(near):
+                work += int(sizes[near].sum())
+                both = index.common(i, near, flag)
+                near = near[both * (1 + similarity) >= similarity * (sizes[near] + sizes[i]) - 1e-9]
+                label[near], open_[near] = start, False
+                reached.extend(near.tolist())
+                closed, left = closed + len(near), left - len(near)
+            if work > most_work:
+                return None
+            if 2 * closed > left:
+                index.drop_closed(open_)
+                closed = 0
+        if not left:
+            break
     return label
 
 
 def confirmed_together(grouped_sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, root) of keys that are linked, from (grp, key, hashes) of components of up to TOGETHER shingles."""
+    """(grp, key, root) of keys that are linked, from (grp, key, fp, more, hashes) of components of up to TOGETHER shingles;
+    of a component that needs more than MOST_WORK one row, without a key.
+    """
+    most_work = MOST_WORK
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key").sort_values("key", ignore_index=True)
         keys = pdf["key"].to_numpy(np.int64)
-        label = jaccard_components([np.asarray(h, np.int64) for h in pdf["hashes"]], similarity)
+        more = np.frombuffer(b"".join(pdf["more"]), np.uint64).reshape(len(pdf), -1)
+        label = jaccard_components([np.asarray(h, np.int64) for h in pdf["hashes"]], pdf["fp"].to_numpy(np.int64).view(np.uint64), more, similarity, most_work)
+        if label is None:
+            return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "key": [None], "root": [None]})
         linked = np.bincount(label, minlength=len(label))[label] > 1
-        return pd.DataFrame({"key": keys[linked], "root": keys[label[linked]]})
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "key": keys[linked], "root": keys[label[linked]]})
 
-    return grouped_sets.groupBy("grp").applyInPandas(confirm, "key long, root long")
+    return grouped_sets.groupBy("grp").applyInPandas(confirm, "grp long, key long, root long")
 
 
 def confirmed_by_pairs(points: DataFrame, groups: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -535,17 +611,23 @@ def similar_components(docs: DataFrame, distinct: DataFrame, id_col: str, text_c
     fresh = points.withColumns({"label": F.col("key"), "refused": F.array().cast("array<long>")})
     pairs = durable(link_candidates(fresh, similarity, None).distinct())
     groups = connected_components(pairs).withColumnsRenamed({"node": "key", "root": "grp"})
-    suspects = durable(distinct.select("key", "shingles", F.col("rep.doc_id").alias("_id"), F.col("rep.content").alias("_content")).join(groups, "key"))
+    suspects = durable(distinct.select("key", "fp", "more", "shingles", F.col("rep.doc_id").alias("_id"), F.col("rep.content").alias("_content")).join(groups, "key"))
     large = durable(suspects.groupBy("grp").agg(F.sum("shingles").alias("total")).filter(F.col("total") > TOGETHER).select("grp"))
+    none_large = large.isEmpty()
     sets = shingle_sets(docs, suspects.drop("shingles"), id_col, text_col, words)
-    if large.isEmpty():
-        return durable(confirmed_together(sets, similarity))
-    sets = durable(sets.dropDuplicates(["key"]))
-    together = confirmed_together(sets.join(large, "grp", "left_anti"), similarity)
-    big = sets.join(large, "grp", "left_semi")
-    members = durable(big.select("key", "grp"))
-    apart = confirmed_by_pairs(points, members, pairs.join(members.select(F.col("key").alias("u")), "u", "left_semi"), big.select("key", "hashes"), similarity)
-    return durable(together.union(apart))
+    if not none_large:
+        sets = durable(sets.dropDuplicates(["key"]))
+    together = durable(confirmed_together(sets if none_large else sets.join(large, "grp", "left_anti"), similarity))
+    heavy = together.filter("key IS NULL").select("grp")
+    together = together.filter("key IS NOT NULL").select("key", "root")
+    if none_large and heavy.isEmpty():
+        return together
+    apart = durable(large.union(heavy).distinct())
+    own = suspects.join(apart, "grp", "left_semi")
+    big = durable(shingle_sets(docs, own.drop("shingles"), id_col, text_col, words).dropDuplicates(["key"])) if none_large else sets.join(apart, "grp", "left_semi")
+    members = durable(own.select("key", "grp"))
+    by_pairs = confirmed_by_pairs(points, members, pairs.join(members.select(F.col("key").alias("u")), "u", "left_semi"), big.select("key", "hashes"), similarity)
+    return durable(together.union(by_pairs))
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -207,9 +208,94 @@ def test_candidates_that_fail_are_searched_again(spark, monkeypatch):
     assert {k: least[root[k]] for k, _ in rows} == label and len(searches) > 2 and len(set(label.values())) > 5
 
 
+def lanes_of(sets):
+    """Fingerprints of sets of hashes: first lanes, and further ones as rows."""
+    raw = [np.frombuffer(sh.simhash_lanes(sh._mixed(np.asarray(x, np.uint64), 31), sh.LANES), np.uint64) for x in sets]
+    table = np.array(raw).reshape(len(sets), sh.LANES)
+    return table[:, 0].copy(), table[:, 1:].copy()
+
+
 def test_jaccard_components_follow_chains():
     sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 10, 20, 30, 500, 900, 905)] + [np.zeros(0, np.uint64)]
-    assert sh.jaccard_components(sets, 0.8).tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
+    near = np.zeros(len(sets), np.uint64), np.zeros((len(sets), sh.LANES - 1), np.uint64)
+    assert sh.jaccard_components(sets, *near, 0.8).tolist() == [0, 0, 0, 0, 4, 5, 5, 7]
+    far = np.array([0, 2**63 + 2**40 - 1, 0, 0, 0, 0, 0, 0], np.uint64), near[1]
+    assert sh.jaccard_components(sets, *far, 0.8).tolist() == [0, 1, 2, 2, 4, 5, 5, 7]  # alike, but not within the bits
+    assert sh.jaccard_components(sets, *near, 0.8, most_work=100) is None
+
+
+def test_jaccard_components_against_all_pairs():
+    """Families of sets about the similarity, with elements that all share and ones that few do."""
+    draw = np.random.default_rng(5)
+    for trial in range(60):
+        universe = int(draw.choice([30, 130, 2000]))
+        base = [draw.choice(universe, min(universe, 25), replace=False) for _ in range(3)]
+        sets = [np.unique(np.concatenate([base[k % 3], draw.integers(0, universe * 2, int(draw.integers(0, 9)))])) for k in range(40)]
+        n, label = len(sets), list(range(40))
+        for i, j in itertools.combinations(range(n), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 1.8 >= 0.8 * (len(sets[i]) + len(sets[j])) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+        zeros = np.zeros(n, np.uint64), np.zeros((n, sh.LANES - 1), np.uint64)
+        assert sh.jaccard_components(sets, *zeros, 0.8).tolist() == label
+
+
+def test_many_unlike_sets_of_one_component():
+    """80,000 sets of 100: a fifth their own, the rest shared by all of a family, so that each pair is a candidate and none is alike."""
+    families, each, shared = 80, 1000, 78
+    sets = [np.concatenate([np.arange(shared) + 10_000 * f, 10_000_000 + (f * each + k) * 22 + np.arange(22)]) for f in range(families) for k in range(each)]
+    near = np.zeros(len(sets), np.uint64), np.zeros((len(sets), sh.LANES - 1), np.uint64)
+    began = time.perf_counter()
+    assert np.array_equal(sh.jaccard_components(sets, *near, 0.8), np.arange(len(sets)))
+    assert time.perf_counter() - began < 60
+
+
+def test_many_copies_in_one_component():
+    base = np.arange(1000)
+    sets = [np.concatenate([base, [10_000 + k]]) for k in range(8000)]
+    near = np.zeros(len(sets), np.uint64), np.zeros((len(sets), sh.LANES - 1), np.uint64)
+    began = time.perf_counter()
+    assert not sh.jaccard_components(sets, *near, 0.8).any()
+    assert time.perf_counter() - began < 60
+
+
+def test_one_rule_whatever_the_size_of_a_component(spark, monkeypatch):
+    """Two sets alike but not within the bits, a third near both but unlike: no link, whether judged together or pair by pair."""
+    draw = np.random.default_rng(8)
+    found = None
+    body = [f"v{x}" for x in draw.integers(0, 10**9, 60)]
+    sets_of = lambda w: np.unique(sh.shingle_hashes(" ".join(w), 5))
+    lanes = lambda h: np.frombuffer(sh.simhash_lanes(h, sh.LANES), np.uint64)
+    bits = lambda x, y: (int(np.bitwise_count(x[0] ^ y[0])), int(np.bitwise_count(x ^ y).sum()))
+    alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    most = sh.bits_for(0.8, 64), sh.bits_for(0.8, 64 * sh.LANES)
+    within = lambda x, y: bits(x, y)[0] <= most[0] and bits(x, y)[1] <= most[1]
+    for _ in range(4000):
+        a, b = list(body), list(body)
+        a[int(draw.integers(0, 60))] = "x"
+        b[-1 - int(draw.integers(0, 3))] = "y"
+        ha, hb = sets_of(a), sets_of(b)
+        if alike(ha, hb) >= 0.8 and not within(lanes(ha), lanes(hb)):
+            for _ in range(300):
+                c = list(a)
+                for j in draw.choice(60, 2, replace=False):
+                    c[j] = f"z{draw.integers(0, 10**6)}"
+                hc = sets_of(c)
+                if max(alike(ha, hc), alike(hb, hc)) < 0.8 and within(lanes(ha), lanes(hc)) and within(lanes(hb), lanes(hc)):
+                    found = [" ".join(x) for x in (a, b, c)]
+                    break
+        if found:
+            break
+        body = [f"v{x}" for x in draw.integers(0, 10**9, 60)]
+    assert found
+    docs = spark.createDataFrame([*enumerate(found), (3, found[0] + " end")], "doc_id long, text string")
+    results = []
+    for together, work in ((sh.TOGETHER, sh.MOST_WORK), (0, sh.MOST_WORK), (sh.TOGETHER, 0)):
+        monkeypatch.setattr(sh, "TOGETHER", together)
+        monkeypatch.setattr(sh, "MOST_WORK", work)
+        results.append({r.doc_id: r.component_id for r in sh.grouped(docs, words=5, similarity=0.8).collect()})
+    assert results[0] == results[1] == results[2] == {0: 0, 1: 1, 2: 2, 3: 0}
 
 
 def test_rows_that_repeat_id_and_text_keep_the_same_one(spark):
