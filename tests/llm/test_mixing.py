@@ -124,3 +124,14 @@ def test_partitions_and_ties_change_nothing(spark):
     docs = spark.createDataFrame([(k, f"s{k % 4}", 10 + k % 3 * 7) for k in range(3000)], "doc_id long, source string, size long")
     results = [sorted((r.doc_id, r.copies) for r in mixing.balance(docs.repartition(n, "doc_id")).collect()) for n in (1, 29)]
     assert results[0] == results[1]
+
+
+def test_a_million_sources(spark):
+    """Targets of very many sources: running sums, not a frame that is summed anew for each row."""
+    import time
+
+    began = time.perf_counter()
+    sizes = spark.range(1_000_000).selectExpr("concat('s', id) AS source", "1 + id % 997 AS size", "1L AS n")
+    r = mixing.source_targets(sizes).selectExpr("count(*) AS n", "sum(target) AS t", "sum(source_size) AS s", "max(target / source_size) AS most").first()
+    assert r.n == 1_000_000 and abs(r.t - 1.5 * r.s) < 1e-6 * r.s and r.most <= 2 + 1e-9
+    assert time.perf_counter() - began < 60
