@@ -61,7 +61,7 @@ def run(arguments: list[str], spark: SparkSession) -> dict:
     if args.command == "index":
         year = F.lit(args.year).cast("int")
         docs = readers.read_files(spark, args.file).withColumns({"year_hint": year, "title": F.lit(args.title).cast("string")})
-        return engine.add(docs) | {"doc_ids": [r.doc_id for r in docs.select("doc_id").collect()]}
+        return engine.add(docs) | {"doc_ids": [r.known_id for r in engine.known(docs).select("known_id").distinct().collect()]}  # a known document's id is the stored one
     if args.command == "ask":
         return _answer(engine, args.doc_id, args.question)
     added = engine.add(_sample(spark, args.sample))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import calendar
 import re
+from bisect import bisect
 from dataclasses import asdict, dataclass
 
 import pandas as pd
@@ -88,7 +89,7 @@ _SHAPES = [
 
 def find_dates(text: str | None, hint: int | None = None) -> list[Hit]:
     """All dates of a text in reading order; hint: the year of those that name none."""
-    hits: list[tuple[int, int, Hit]] = []
+    hits: list[tuple[int, int, Hit]] = []  # apart from each other, in reading order
     if not _DIGIT.search(text or ""):
         return []  # every shape has digits
     for pattern, read in _SHAPES:
@@ -101,11 +102,12 @@ def find_dates(text: str | None, hint: int | None = None) -> list[Hit]:
                 continue
             if day is not None and not 1 <= day <= calendar.monthrange(year or 2000, month)[1]:
                 continue
-            if any(m.start() < end and m.end() > start for start, end, _ in hits):
+            at = bisect(hits, m.start(), key=lambda x: x[0])
+            if (at and hits[at - 1][1] > m.start()) or (at < len(hits) and hits[at][0] < m.end()):
                 continue
             whole = f"{year:04d}-{month:02d}-{day:02d}" if year and month and day else None
-            hits.append((m.start(), m.end(), Hit(m[0].strip(), whole, year, month, day, inferred and whole is not None, ambiguous, bool(month and year and not day), m.start())))
-    return [h for *_, h in sorted(hits, key=lambda x: x[0])]
+            hits.insert(at, (m.start(), m.end(), Hit(m[0].strip(), whole, year, month, day, inferred and whole is not None, ambiguous, bool(month and year and not day), m.start())))
+    return [h for *_, h in hits]
 
 
 @batched(HITS)
@@ -118,17 +120,17 @@ def date_hits_with_year(text: pd.Series, hint: pd.Series) -> pd.Series:
     return pd.Series([[asdict(h) for h in find_dates(t, None if pd.isna(y) else int(y))] for t, y in zip(text, hint, strict=True)])
 
 
-_JOIN = re.compile(r"^\s*(?:–|—|-|to|until|through|thru)\s*$", re.I)
-_RUNNING = re.compile(r"^\s*(?:–|—|-|to|until|through)\s*(?:present|current|now|today|ongoing|date)\b", re.I | re.A)
+_JOIN = re.compile(r"\s*(?:–|—|-|to|until|through|thru)\s*", re.I)
+_RUNNING = re.compile(r"\s*(?:–|—|-|to|until|through)\s*(?:present|current|now|today|ongoing|date)\b", re.I | re.A)
 
 
 def period_of(text: str | None, hits: list[Hit]) -> tuple[str | None, bool]:
     """(end month, still running) of the first period that consecutive dates or a word such as `present` state."""
     text = text or ""
     for a, b in zip(hits, hits[1:], strict=False):
-        if a.month_key and b.month_key and _JOIN.match(text[a.position + len(a.raw) : b.position]):
+        if a.month_key and b.month_key and _JOIN.fullmatch(text, a.position + len(a.raw), b.position):
             return b.month_key, False
-    return None, any(_RUNNING.match(text[h.position + len(h.raw) :]) for h in hits)
+    return None, any(_RUNNING.match(text, h.position + len(h.raw)) for h in hits)
 
 
 ENTRY_FIELDS = ["date", "date_raw", "inferred", "ambiguous", "month_only", "month", "end_month", "open_ended"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +49,47 @@ def embed(text: Column, dims: int = DIMENSIONS) -> Column:
     slots = F.transform(words, lambda w: hash_slot(w, dims))
     counts = bind(slots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double")))
     return unit(counts)
+
+
+#: Texts of a request to a model that runs beside the executors, and to one behind a network.
+LOCAL_REQUEST, REMOTE_REQUEST = 16, 64
+
+
+class BadReply(ValueError):
+    """A model's reply that doesn't fit its request."""
+
+
+def in_order(reply: Iterable[tuple[int, list[float]]], asked: int, width: int | None = None) -> list[list[float]]:
+    """The vectors of a reply of (index, vector) by index: each of the texts asked for must have one, and all one width."""
+    found: dict[int, list[float]] = {}
+    for index, vector in reply:
+        if index in found or not 0 <= index < asked:
+            raise BadReply(f"a request of {asked} texts got a vector for text {index}" + " twice" * (index in found))
+        found[index] = [float(x) for x in vector]
+    if len(found) != asked:
+        raise BadReply(f"a request of {asked} texts got {len(found)} vectors")
+    widths = {len(v) for v in found.values()} | ({width} if width else set())
+    if len(widths) > 1:
+        raise BadReply(f"vectors of different widths: {sorted(widths)}")
+    return [found[k] for k in range(asked)]
+
+
+def batched_embedder(model: Callable[[list[str]], Iterable[tuple[int, list[float]]]], size: int = LOCAL_REQUEST, width: int | None = None, progress=None) -> Callable[[Column], Column]:
+    """A column function that embeds texts by requests of `size`: model(texts) -> (index, vector) of each, in any order.
+
+    Vectors come out of unit length. A request that isn't answered in full is an error, never a
+    vector of another text. progress, an accumulator, counts the texts of each answered request. Null texts are embedded as empty ones.
+    """
+
+    def run(texts: pd.Series) -> pd.Series:
+        out: list[list[float]] = []
+        for k in range(0, len(texts), size):
+            part = ["" if t is None else t for t in texts.iloc[k : k + size]]
+            for v in in_order(model(part), len(part), width):
+                n = sum(x * x for x in v) ** 0.5
+                out.append([x / n for x in v] if n else v)
+            if progress is not None:
+                progress.add(len(part))
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return lambda text: F.pandas_udf(run, "array<double>")(text)

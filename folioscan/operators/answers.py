@@ -36,12 +36,13 @@ def tallies(shown: DataFrame, top: int = TOP) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("key")
 
 
-def prompt(question: Column, facts: Column, notes: Column, shown: Column, total: Column, dated: Column) -> Column:
+def prompt(question: Column, facts: Column, notes: Column, shown: Column, total: Column, dated: Column, one_document: bool = True) -> Column:
     """The request to a model: counted facts first, then notes, the question, and what may be said."""
-    coverage = F.when(shown < total, F.concat(F.lit("You see "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" notes."))).otherwise(F.lit("You see every note of the document."))
+    heading = "FACTS COUNTED OVER THE WHOLE DOCUMENT\n" if one_document else "FACTS COUNTED OVER EACH WHOLE DOCUMENT THAT IS SHOWN\n"
+    coverage = F.when(shown < total, F.concat(F.lit("You see "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" notes."))).otherwise(F.lit("You see every note of the document." if one_document else "You see every note."))
     dates = F.when(dated, F.lit("\nGive dates as the notes write them.")).otherwise(F.lit(""))
     return F.concat(
-        F.lit("FACTS COUNTED OVER THE WHOLE DOCUMENT\n"), F.coalesce(F.nullif(facts, F.lit("")), F.lit("None.")), F.lit("\n\nNOTES\n"), coverage, F.lit("\n"), notes,
+        F.lit(heading), F.coalesce(F.nullif(facts, F.lit("")), F.lit("None.")), F.lit("\n\nNOTES\n"), coverage, F.lit("\n"), notes,
         F.lit("\n\nQUESTION\n"), question, F.lit("\n\nAnswer under WHAT THE DOCUMENT SAYS from the notes and facts alone, citing labels in square brackets; add WHAT IT SUGGESTS only if the notes support it. If they hold no answer, write: " + REFUSAL), dates,
     )
 

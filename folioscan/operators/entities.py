@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,18 +111,61 @@ def _bound(finders: dict[str, object]) -> list:
     return sorted(finders.items())
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def matcher(values: Sequence[str]):
+    """A function text -> places in values of those that it holds as whole words, ASCII letters in any case.
+
+    One Aho-Corasick automaton over all values: a text is gone through once, however many they are.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    spelled: dict[str, list[int]] = {}
+    for k, v in enumerate(values):
+        if v:
+            spelled.setdefault(v.translate(_LOWER), []).append(k)
+    for low, places in spelled.items():
+        automaton.add_word(low, (len(low), places))
+    if not spelled:
+        return lambda text: set()
+    automaton.make_automaton()
+    inside = lambda c: c.isascii() and (c.isalnum() or c == "_")
+
+    def held(text: str) -> set[int]:
+        low, out = text.translate(_LOWER), set()
+        for end, (n, places) in automaton.iter(low):
+            start = end - n + 1
+            if (start == 0 or not inside(low[start - 1])) and (end + 1 == len(low) or not inside(low[end + 1])):
+                out.update(places)
+        return out
+
+    return held
+
+
 def mentions_in(pieces: DataFrame, values: DataFrame) -> DataFrame:
     """doc_id, piece id `idx`, kind, value: accepted values that a piece holds as whole words, in any case.
 
-    An equi join by document with the word test as residual; values without their
-    document's pieces are never met.
+    A document's pieces and its values meet by document; there each text goes once through an
+    automaton of all values. Values without their document's pieces are never met.
     """
-    escaped = F.regexp_replace(F.col("value"), r"([\\.*+?^${}()|\[\]])", r"\\$1")
-    pattern = F.concat(F.lit(f"(?i){B0}"), escaped, F.lit(B1))
-    mine = values.select("doc_id", "kind", "value", F.lower("value").alias("_low"), pattern.alias("_pattern"))
-    held = pieces.select("doc_id", "idx", "text", F.lower("text").alias("_text")).join(mine, "doc_id")
-    # a plain search first: most values aren't in most pieces, and a pattern of its own is compiled for each row
-    return held.filter(F.contains("_text", "_low") & F.regexp_like(F.col("text"), F.col("_pattern"))).select("doc_id", "idx", "kind", "value")
+    kinds = {"doc_id": pieces.schema["doc_id"].dataType.simpleString(), "idx": pieces.schema["idx"].dataType.simpleString()}
+    texts = pieces.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "text")).alias("pieces"))
+    mine = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value"))).alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, wanted = batch.column(1).slice(k, 1).flatten(), batch.column(2).slice(k, 1).flatten()
+                held = matcher(wanted.field(1).to_pylist())
+                found = [(i, v) for i, text in enumerate(own.field(1).to_pylist()) for v in sorted(held(text))]
+                if found:
+                    at, which = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
+                    ids = batch.column(0).take(pa.array([k] * len(found)))
+                    yield pa.RecordBatch.from_arrays([ids, own.field(0).take(at), wanted.field(0).take(which), wanted.field(1).take(which)], names=["doc_id", "idx", "kind", "value"])
+
+    return texts.join(mine, "doc_id").mapInArrow(run, f"doc_id {kinds['doc_id']}, idx {kinds['idx']}, kind string, value string")
 
 
 def tally(rows: DataFrame) -> DataFrame:

@@ -9,10 +9,15 @@ all documents; pass per_document=True for statistics within each document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.vectors import cosine
 from ..lexicons import INTENTS, QUERY_STOP_WORDS
 from ..regex import B0, B1, WORD
 
@@ -97,37 +102,76 @@ def _scored(counted: DataFrame, sizes: DataFrame, terms: DataFrame, per_document
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = hits.select("note_id", "doc_id", "phrase", "is_prefix", part.alias("part"))
     per = scored.join(F.broadcast(terms), ["phrase", "is_prefix"]).groupBy("question_id", "note_id", "doc_id").agg((-F.sum("part")).alias("score"))
-    return ranked(per, F.col("score"), F.col("note_id"), depth=depth)
+    # parts are summed in any order: ties are by the rounded score
+    return ranked(per, F.round("score", 9), F.col("note_id"), depth=depth)
+
+
+#: Parts that postings are clustered in, by a token's first letter; terms of which each token is sought by its own range.
+SLOTS = 37
+MOST_RANGES = 200
+
+
+def slot_of(token: Column) -> Column:
+    """The part of the index that holds a token: known from its first letter, so for openings of any length as well."""
+    return F.pmod(F.ascii(token), F.lit(SLOTS)).cast("int")
 
 
 def postings(notes: DataFrame) -> DataFrame:
-    """token, note_id, doc_id, length, positions: the index that bm25_indexed() reads, made once when notes are stored."""
+    """slot, token, note_id, doc_id, length, positions: the index that bm25_indexed() reads, made once when notes are stored."""
     toks = notes.select("note_id", "doc_id", tokens(F.col("text")).alias("t"))
     each = toks.select("note_id", "doc_id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
-    return each.groupBy("token", "note_id", "doc_id", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    grouped = each.groupBy("token", "note_id", "doc_id", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return grouped.withColumn("slot", slot_of(F.col("token")))
+
+
+def clustered(index: DataFrame, order: Sequence[str] = ("slot", "token", "doc_id", "note_id")) -> DataFrame:
+    """postings dealt and sorted by slot and token, to be written by slot: a file holds a stretch of tokens, and a
+    frequent token's postings may be split between files.
+    """
+    return index.repartitionByRange(*order).sortWithinPartitions(*order)
+
 
+def note_sizes(notes: DataFrame) -> DataFrame:
+    """doc_id, notes, length: what BM25 must know of the notes that hold no term, a row a document."""
+    return notes.groupBy("doc_id").agg(F.count("*").alias("notes"), F.sum(F.col("tokens").cast("long")).alias("length"))
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, questions: DataFrame, expand: bool = True, per_document: bool = False, depth: int | None = DEPTH) -> DataFrame:
-    """bm25() from postings and lengths (note_id, doc_id, length of every note): no text is read.
 
-    The terms' tokens, a broadcast, meet postings by the first letters of each; the tokens of
+def of_terms(index: DataFrame, wanted: list) -> DataFrame:
+    """The part of clustered postings that may hold any of the wanted (want, open): whole slots are left
+    unread, and within a slot the stretches of tokens that the files' statistics rule out.
+    """
+    first = sorted({ord(w.want[0]) % SLOTS for w in wanted})
+    part = index.filter(F.col("slot").isin(first)) if "slot" in index.columns else index
+    if len(wanted) > MOST_RANGES:
+        return part
+    hit = F.lit(False)
+    for w in sorted({(w.want, w.open) for w in wanted}):
+        hit = hit | (F.startswith("token", F.lit(w[0])) if w[1] else F.col("token") == w[0])
+    return part.filter(hit)
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, questions: DataFrame, expand: bool = True, per_document: bool = False, depth: int | None = DEPTH) -> DataFrame:
+    """bm25() from postings and note_sizes() (doc_id, notes, length): no text is read, and of the index what the terms need.
+
+    The terms' tokens, a broadcast, meet postings in one pass by their openings; the tokens of
     a phrase then meet by note, where their places must follow one another.
     """
     terms = term_table(questions, expand)
     phrases = terms.select("phrase", "is_prefix").distinct()
     if phrases.limit(MOST_TERMS + 1).count() > MOST_TERMS:
         raise ValueError(f"at most {MOST_TERMS} different terms at once")
-    sizes = lengths.groupBy(*["doc_id"] * per_document).agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
+    total = [F.sum("notes").alias("notes"), (F.sum("length") / F.sum("notes")).alias("mean")]
+    sizes = sizes.groupBy("doc_id").agg(*total) if per_document else sizes.agg(*total)
     wanted = phrases.select("phrase", "is_prefix", F.posexplode("phrase").alias("k", "want"))
     wanted = wanted.withColumn("open", F.col("is_prefix") & (F.col("k") == F.size("phrase") - 1)).withColumn("shared", F.least(F.length("want"), F.lit(4)))
+    known = wanted.select("want", "open", "shared").distinct().collect()  # MOST_TERMS phrases at most
+    opening = lambda c, n: F.struct(F.lit(n).alias("n") if isinstance(n, int) else n.alias("n"), F.substring(c, F.lit(1), F.lit(n) if isinstance(n, int) else n).alias("letters"))
+    openings = F.array(*[opening("token", n) for n in sorted({w.shared for w in known})]) if known else F.array().cast("array<struct<n:int,letters:string>>")
+    rows = of_terms(index, known).select("token", "note_id", "doc_id", "length", "positions", F.explode(openings).alias("o"))
     fits = F.when(F.col("open"), F.startswith("token", "want")).otherwise(F.col("token") == F.col("want"))
-    met = None
-    for n in sorted(r.shared for r in wanted.select("shared").distinct().collect()):
-        part = index.join(F.broadcast(wanted.filter(F.col("shared") == n)), F.substring("token", 1, n) == F.substring("want", 1, n)).filter(fits)
-        part = part.select("note_id", "doc_id", "length", "phrase", "is_prefix", "k", F.transform("positions", lambda p: p - F.col("k")).alias("starts"))
-        met = part if met is None else met.unionByName(part)
-    if met is None:
-        met = index.select("note_id", "doc_id", "length", F.array("token").alias("phrase"), F.lit(True).alias("is_prefix"), F.lit(0).alias("k"), F.col("positions").alias("starts")).limit(0)
+    keyed = wanted.withColumn("o", opening("want", F.col("shared")))
+    met = rows.join(F.broadcast(keyed), "o").filter(fits)
+    met = met.select("note_id", "doc_id", "length", "phrase", "is_prefix", "k", F.transform("positions", lambda p: p - F.col("k")).alias("starts"))
     by_token = met.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix", "k").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     whole = by_token.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.collect_list("starts").alias("s")).filter(F.size("s") == F.size("phrase"))
     counted = whole.withColumn("f", F.size(F.aggregate(F.slice("s", 2, 1000), F.get("s", F.lit(0)), lambda a, x: F.array_intersect(a, x))).cast("long")).drop("s").filter("f > 0")
@@ -143,16 +187,52 @@ def ranked(rows: DataFrame, *order: Column, by=("question_id",), depth: int | No
 def cosine_ranking(vectors: DataFrame, questions: DataFrame, depth: int = DEPTH) -> DataFrame:
     """question_id, note_id, score, rank by cosine of unit vectors: vectors (note_id, v), questions (question_id, q).
 
-    Each question meets each vector; questions are a broadcast of counted size.
+    Each batch of vectors is one matrix and meets the questions, a broadcast of counted size, in one product;
+    it leaves the best `depth` of each question, ties by note, so that at most these are shuffled. Vectors of another width
+    than the questions' are an error that says so, as are questions of several widths.
     """
-    if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
+    asked = questions.select("question_id", "q").limit(MOST_QUESTIONS + 1).collect()
+    if len(asked) > MOST_QUESTIONS:
         raise ValueError(f"at most {MOST_QUESTIONS} questions in one pass over the vectors")
-    scored = vectors.join(F.broadcast(questions), how="cross").select("question_id", "note_id", cosine(F.col("v"), F.col("q")).alias("score"))
+    widths = sorted({len(r.q) for r in asked})
+    if len(widths) > 1:
+        raise ValueError(f"questions of different widths: {widths}")
+    of_note, of_question = (df.schema[c].dataType for df, c in ((vectors, "note_id"), (questions, "question_id")))
+    ids = [r.question_id for r in asked]
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.q for r in asked], np.float64).reshape(len(asked), (widths or [0])[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            v, note = batch.column(1), batch.column(0)
+            sizes = np.diff(v.offsets.to_numpy())
+            if (sizes != q.shape[1]).any():
+                raise ValueError(f"a vector has {int(sizes[sizes != q.shape[1]][0])} values, the questions have {q.shape[1]}: they come from different models")
+            matrix = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            place = np.empty(batch.num_rows, np.int64)
+            place[pc.array_sort_indices(note).to_numpy()] = np.arange(batch.num_rows)
+            for k in range(0, len(q), QUESTIONS_AT_ONCE):
+                scores = matrix @ q[k : k + QUESTIONS_AT_ONCE].T
+                rounded = scores.round(9)
+                for j in range(scores.shape[1]):
+                    top = np.arange(len(place))
+                    if len(top) > depth:  # those under the last one's score can't stay
+                        top = np.nonzero(rounded[:, j] >= np.partition(rounded[:, j], -depth)[-depth])[0]
+                    top = top[np.lexsort((place[top], -rounded[top, j]))][:depth]
+                    yield pa.RecordBatch.from_arrays([pa.array([k + j] * len(top), pa.int32()), note.take(pa.array(top)), pa.array(scores[top, j])], names=["at", "note_id", "score"])
+
+    rows = vectors.select("note_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"at int, note_id {of_note.simpleString()}, score double")
+    names = vectors.sparkSession.createDataFrame(list(enumerate(ids)), StructType([StructField("at", IntegerType()), StructField("question_id", of_question)]))
+    scored = rows.join(F.broadcast(names), "at").select("question_id", "note_id", "score")
     # products are summed in any order: ties are by the rounded score
     return ranked(scored, F.desc(F.round("score", 9)), F.col("note_id"), depth=depth)
 
 
 MOST_QUESTIONS = 10_000
+#: Questions that one product takes: with a batch of 10,000 vectors, 20 MB of scores.
+QUESTIONS_AT_ONCE = 256
 
 
 def fuse(by_vector: DataFrame, by_words: DataFrame) -> DataFrame:
@@ -176,8 +256,17 @@ def silence(by_vector: DataFrame, by_words: DataFrame, questions: DataFrame, flo
     """question_id, best, matched, silent: silent if no word matched and the best cosine is under the floor."""
     best = by_vector.groupBy("question_id").agg(F.max("score").alias("best"))
     matched = by_words.groupBy("question_id").agg(F.count("*").alias("matched"))
-    rows = questions.select("question_id").join(best, "question_id", "left").join(matched, "question_id", "left").na.fill(0, ["matched"])
-    return rows.withColumn("silent", (F.col("matched") == 0) & (F.coalesce("best", F.lit(0.0)) < floor))
+    return _silent(questions.select("question_id").join(best, "question_id", "left").join(matched, "question_id", "left"), floor)
+
+
+def silence_of(fused: DataFrame, questions: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """silence() from fuse() of both rankings, which holds every row of either."""
+    found = fused.groupBy("question_id").agg(F.max(F.when(F.col("vector_rank") > 0, F.col("vector"))).alias("best"), F.count_if(F.col("lexical_rank") > 0).alias("matched"))
+    return _silent(questions.select("question_id").join(found, "question_id", "left"), floor)
+
+
+def _silent(rows: DataFrame, floor: float) -> DataFrame:
+    return rows.na.fill(0, ["matched"]).withColumn("silent", (F.col("matched") == 0) & (F.coalesce("best", F.lit(0.0)) < floor))
 
 
 def within_budget(notes: DataFrame, budget: int = BUDGET, order: str = "note_id") -> DataFrame:

@@ -1,9 +1,9 @@
 """From text to blocks, lines, entries, line runs and search notes.
 
-Everything up to entries is done within a document's row by array functions, so
-that no text is shuffled; rows are exploded at the end. Notes are cut by a
-sequential rule (each window starts where the last one's sentence ended), which
-Arrow-batched Python does in one pass.
+Everything up to entries is done within a document's row, so that no text is shuffled: one
+Arrow pass places the blocks, Spark's own functions judge which of them open an entry, a
+second pass joins the others to these and reads their dates. Both go through a text once. Notes are cut by a
+sequential rule (each window starts where the last one's sentence ended), in one more pass.
 
 Columns: documents (doc_id, text) -> entries (doc_id, idx, heading, text, start,
 end, date fields) -> notes (doc_id, entry_idx, part, parts, label, text, words).
@@ -12,14 +12,17 @@ end, date fields) -> notes (doc_id, entry_idx, part, parts, label, text, words).
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
-from ..functions.binding import bind
+from ..functions.binding import batched
 
 BLANK = r"\n\s*\n"
 RUN, GROUP = 12, 10
@@ -27,37 +30,79 @@ WINDOW, OVERLAP, REACH = 220, 40, 60
 _WORD = re.compile(r"[\w'’-]+")
 
 
-def blocks_of(text: Column) -> Column:
-    """array of (text, start, end): pieces between blank lines that hold anything."""
+_BLANK = re.compile(BLANK, re.A)
+_SPACE = " \t\n\r\f\v"
+_YEAR = re.compile(r"(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}(?![A-Za-z0-9_])")
+ROWS = 4096
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"]
-        end = start + F.length(x["piece"])
-        block = F.struct(x["piece"].alias("text"), start.alias("start"), end.alias("end"))
-        kept = F.when(tx.trimmed(x["piece"]) != "", F.concat(a["found"], F.array(block))).otherwise(a["found"])
-        return F.struct((end + F.length(F.coalesce(x["gap"], F.lit("")))).alias("at"), kept.alias("found"))
 
-    pieces = F.zip_with(F.split(text, BLANK, -1), F.regexp_extract_all(text, F.lit(BLANK), F.lit(0)), lambda p, g: F.struct(p.alias("piece"), g.alias("gap")))
-    none = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda a: a["found"])
+def place_blocks(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Texts, starts and ends of the pieces between blank lines that hold anything."""
+    texts, starts, ends, at = [], [], [], 0
+    cuts = [m.span() for m in _BLANK.finditer(text)]
+    for a, b in [*cuts, (len(text), len(text))]:
+        piece = text[at:a]
+        if piece.strip(_SPACE):
+            texts.append(piece)
+            starts.append(at)
+            ends.append(a)
+        at = b
+    return texts, starts, ends
+
+
+def year_of(text: str) -> int | None:
+    """The most frequent year from 1900 to 2099 standing alone, the earliest of equals; else None."""
+    counted = Counter(_YEAR.findall(text))
+    return int(min(counted, key=lambda y: (-counted[y], y))) if counted else None
+
+
+def _lists(items: list[list], kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
+    """Ends of the lists, and all their items in one array."""
+    ends = pa.array(np.cumsum([0] + [len(x) for x in items]), pa.int32())
+    return ends, pa.array([v for own in items for v in own], kind)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, hint, blocks (array of text, start, end) of each document; hint: the year that the text names most, else year_hint."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    given = F.col("year_hint").cast("int") if "year_hint" in docs.columns else F.lit(None).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                found = [place_blocks(t) for t in texts]
+                years = [y if y is not None else h for y, h in zip(map(year_of, texts), batch.column(2).to_pylist(), strict=True)]
+                ends, pieces = _lists([f[0] for f in found], pa.string())
+                items = pa.StructArray.from_arrays([pieces, *(_lists([f[j] for f in found], pa.int32())[1] for j in (1, 2))], names=["text", "start", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(years, pa.int32()), pa.ListArray.from_arrays(ends, items)], names=["doc_id", "hint", "blocks"])
+
+    return docs.select("doc_id", "text", given.alias("hint")).mapInArrow(run, f"doc_id {kind}, hint int, blocks array<struct<text: string, start: int, `end`: int>>")
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """doc_id, pos, text, start, end."""
-    rows = docs.select("doc_id", F.posexplode(blocks_of(F.coalesce("text", F.lit("")))).alias("pos", "b"))
-    return rows.select("doc_id", "pos", "b.text", "b.start", "b.end")
+    return placed(docs).select("doc_id", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "pos", "b.text", "b.start", "b.end")
 
 
 def lines(block_rows: DataFrame) -> DataFrame:
     """doc_id, pos, line, text, start: lines of blocks with absolute places."""
+    kinds = {c: block_rows.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
 
-    def step(a: Column, x: Column) -> Column:
-        line = F.struct(x.alias("text"), a["at"].alias("start"))
-        return F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["found"], F.array(line)).alias("found"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                rows = [t.split("\n") for t in batch.column(2).to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+                starts = [np.cumsum([s, *(len(x) + 1 for x in r[:-1])]) for s, r in zip(batch.column(3).to_pylist(), rows, strict=True)]
+                places = [np.arange(len(r)) for r in rows]
+                flat = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int32())
+                arrays = [batch.column(0).take(owner), batch.column(1).take(owner), flat(places), pa.array([x for r in rows for x in r], pa.string()), flat(starts)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "pos", "line", "text", "start"])
 
-    none = F.array().cast("array<struct<text:string,start:int>>")
-    placed = F.aggregate(F.split(F.col("text"), "\n"), F.struct(F.col("start").alias("at"), none.alias("found")), step, lambda a: a["found"])
-    return block_rows.select("doc_id", "pos", F.posexplode(placed).alias("line", "x")).select("doc_id", "pos", "line", "x.text", "x.start")
+    return block_rows.select("doc_id", "pos", "text", "start").mapInArrow(run, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, line int, text string, start int")
 
 
 def starts_entry(block: Column, following: Column) -> Column:
@@ -69,60 +114,67 @@ def starts_entry(block: Column, following: Column) -> Column:
     return tx.is_heading_candidate(first) & F.when(F.size(rows) > 1, several).otherwise(alone)
 
 
-def entries_of(text: Column) -> Column:
-    """array of (heading, text, start, end): blocks joined until the next one that opens an entry."""
-
-    def build(found: Column) -> Column:
-        flagged = F.transform(found, lambda b, i: F.struct(b.alias("b"), starts_entry(b["text"], F.get(found, i + 1)["text"]).alias("opens")))
-
-        def step(done: Column, x: Column) -> Column:
-            b = x["b"]
-            heading = F.when(x["opens"], tx.clean_heading(F.get(F.split(b["text"], "\n"), F.lit(0))))
-            fresh = F.struct(heading.alias("heading"), b["text"].alias("text"), b["start"].alias("start"), b["end"].alias("end"))
-            last = F.element_at(done, -1)
-            longer = F.struct(last["heading"].alias("heading"), F.concat(last["text"], F.lit("\n\n"), b["text"]).alias("text"), last["start"].alias("start"), b["end"].alias("end"))
-            return F.when(x["opens"] | (F.size(done) == 0), F.concat(done, F.array(fresh))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
-
-        none = F.array().cast("array<struct<heading:string,text:string,start:int,end:int>>")
-        return F.aggregate(flagged, none, step)
-
-    return bind(blocks_of(text), build)
-
-
 ENTRIES = 'doc_id {id}, idx int, heading string, text string, start int, `end` int, date string, date_raw string, inferred boolean, ambiguous boolean, month_only boolean, month string, end_month string, open_ended boolean'
 
 
 def entries(docs: DataFrame, dated: bool = True) -> DataFrame:
     """doc_id, idx, heading, text, start, end, and the date fields (dated=False: without them).
 
+    An entry is a block that opens one (or a document's first) with those up to the next; it has a heading if it opens one.
     docs may have year_hint, the year of dates that name none; the document's own
     most frequent year comes first.
     """
-    year = dominant_year(F.coalesce("text", F.lit("")))
-    hint = F.coalesce(year, F.col("year_hint").cast("int")) if "year_hint" in docs.columns else year
-    rows = docs.select("doc_id", hint.alias("hint"), F.posexplode(entries_of(F.coalesce("text", F.lit("")))).alias("idx", "e"))
-    rows = rows.select("doc_id", "idx", "e.heading", "e.text", "e.start", "e.end", "hint")
-    if not dated:
-        return rows.drop("hint")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = F.col("blocks")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [dates.dates_of_entry(t, None if pd.isna(y) else int(y)) for t, y in zip(pdf["text"], pdf["hint"], strict=True)]
-            yield pd.concat([pdf.drop(columns="hint"), pd.DataFrame(found, columns=dates.ENTRY_FIELDS, index=pdf.index)], axis=1)
+    def judged(b: Column, i: Column) -> Column:
+        opens = F.coalesce(starts_entry(b["text"], F.get(found, i + 1)["text"]), F.lit(False))
+        heading = F.when(opens, tx.clean_heading(F.get(F.split(b["text"], "\n"), F.lit(0))))
+        return F.struct(b["text"].alias("text"), b["start"].alias("start"), b["end"].alias("end"), opens.alias("opens"), heading.alias("heading"))
 
-    return rows.mapInPandas(read, ENTRIES.format(id=kind))
-
-
-def dominant_year(text: Column) -> Column:
-    """The most frequent year from 1900 to 2099 standing alone, the earliest of equals; else null."""
-    years = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1)), lambda y: y.cast("int"))
-
-    def best(ys: Column) -> Column:
-        counted = F.transform(F.array_distinct(ys), lambda y: F.struct((-F.size(F.filter(ys, lambda z: z == y))).alias("n"), y.alias("y")))
-        return F.array_min(counted)["y"]
-
-    return bind(years, best)
+    rows = placed(docs).select("doc_id", "hint", F.transform(found, judged).alias("blocks"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = ENTRIES.format(id=kind) if dated else ", ".join(ENTRIES.format(id=kind).split(", ")[:6])
+    names = [f.split()[0].strip("`") for f in fields.split(", ")]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for whole in batches:
+            ids = whole.column(0)
+            schema = schema or pa.schema([("doc_id", ids.type), ("idx", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())] + [(n, pa.bool_() if n in FLAGS else pa.string()) for n in names[6:]])
+            out: dict[str, list] = {n: [] for n in names}
+            for k in range(whole.num_rows):
+                own = whole.column(2).slice(k, 1).flatten()
+                texts, starts, ends, opens, headings = (own.field(j).to_pylist() for j in range(5))
+                first = [j for j in range(len(texts)) if opens[j] or not j]
+                hint = whole.column(1)[k].as_py()
+                for idx, (a, b) in enumerate(zip(first, [*first[1:], len(texts)], strict=False)):
+                    text = "\n\n".join(texts[a:b])
+                    for n, v in zip(names, (ids[k], idx, headings[a], text, starts[a], ends[b - 1]), strict=False):
+                        out[n].append(v)
+                    if dated:
+                        for n, v in dates.dates_of_entry(text, hint).items():
+                            out[n].append(v)
+                if len(out["idx"]) >= ROWS:
+                    yield _batch(out, schema)
+                    out = {n: [] for n in names}
+            if out["idx"]:
+                yield _batch(out, schema)
+
+    return rows.mapInArrow(join, fields)
+
+
+FLAGS = ("inferred", "ambiguous", "month_only", "open_ended")
+
+
+def _batch(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
+    ids = pa.array([v.as_py() for v in rows["doc_id"]], schema.field("doc_id").type)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(rows[f.name], f.type) for f in schema if f.name != "doc_id")], schema=schema)
+
+
+@batched("int")
+def dominant_year(text: pd.Series) -> pd.Series:
+    """year_of() as a column function."""
+    return pd.Series([year_of(t or "") for t in text], index=text.index, dtype=object)
 
 
 def line_runs(docs: DataFrame, run: int = RUN, group: int = GROUP) -> DataFrame:

@@ -30,12 +30,18 @@ def escaped(term: Column) -> Column:
 
 
 def term_counts(entries: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term, occurrences, entry_hits, first_date, last_date for each document and term.
+    """found_terms() with a count of 0 for each document that a term isn't found in: a row a document and term."""
+    every = entries.select("doc_id").distinct().join(small(terms.select("term")), how="cross")
+    return every.join(found_terms(entries, terms), ["doc_id", "term"], "left").na.fill(0, ["occurrences", "entry_hits"])
+
+
+def found_terms(entries: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, term, occurrences, entry_hits, first_date, last_date of the terms that a document has.
 
     terms is a small table (a question's words), broadcast with at most MOST_TERMS rows.
     Occurrences are the word with up to three more letters; entries are hit by its opening alone.
     An entry meets the terms that open as one of its words does, by an equi join, and only
-    these by their patterns; documents without a term get a count of 0.
+    these by their patterns.
     """
     n_open = min(3, terms.agg(F.coalesce(F.min(F.length("term")), F.lit(1))).first()[0])
     opening = lambda c: F.substring(F.lower(c), 1, n_open)
@@ -44,9 +50,7 @@ def term_counts(entries: DataFrame, terms: DataFrame) -> DataFrame:
     n = F.regexp_count(F.col("text"), F.concat(F.lit(f"(?i){B0}"), escaped(F.col("term")), F.lit(f"[A-Za-z0-9_]{{0,3}}{B1}")))
     met = entries.select("doc_id", "idx", "date", "text", F.explode(begins).alias("_opening")).join(small(terms.select("term").withColumn("_opening", opening(F.col("term")))), "_opening")
     per = met.select("doc_id", "term", "idx", "date", n.alias("n"), hits.alias("hit")).filter("hit")
-    found = per.groupBy("doc_id", "term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entry_hits"), F.min_by("date", "idx").alias("first_date"), F.max_by("date", "idx").alias("last_date"))
-    every = entries.select("doc_id").distinct().join(small(terms.select("term")), how="cross")
-    return every.join(found, ["doc_id", "term"], "left").na.fill(0, ["occurrences", "entry_hits"])
+    return per.groupBy("doc_id", "term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entry_hits"), F.min_by("date", "idx").alias("first_date"), F.max_by("date", "idx").alias("last_date"))
 
 
 MOST_TERMS = 1000

@@ -20,9 +20,11 @@ from ..functions import vectors as vx
 from ..operators import answers, entities, facts, questions, retrieval, segment, stats, timeline
 from ..session import durable, ship
 from ..sources.readers import admit
-from ..sources.store import Store
+from ..sources.store import Store, document_text
 
 DAY = "INTERVAL 24 HOURS"
+#: Documents that the questions of one call may be about.
+MOST_DOCUMENTS = 100_000
 
 
 class Busy(RuntimeError):
@@ -68,20 +70,32 @@ class Engine:
 
     # ---- index ---------------------------------------------------------------
 
-    def tables(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """documents, entries, notes, vectors and postings of prepared documents (doc_id, text, title, year_hint, source_name)."""
-        entries = segment.entries(docs)
+    def parts(self, docs: DataFrame) -> dict:
+        """What is stored of prepared documents (doc_id, text, title, year_hint, source_name): each table, or how it is made of those before it."""
         text = F.col("text")
-        notes = segment.notes(entries).withColumns({
-            "note_id": F.xxhash64("doc_id", "entry_idx", "part"), "tokens": F.size(retrieval.tokens(text)), "places": entities.places(text), "people": entities.full_names(text),
-            "amounts": entities.amounts(text), "images": F.regexp_extract_all(text, F.lit(r"\[image: ([^\]]+)\]"), F.lit(1)),
-        })
-        vectors = notes.select("note_id", "doc_id", self.embed(tx.searchable(F.col("heading"), text)).alias("v"))
         documents = docs.select(
             "doc_id", F.coalesce("title", tx.guess_title(text)).alias("title"), "source_name", tx.fingerprint(text, self.model).alias("fingerprint"),
             F.length("text").alias("characters"), F.current_timestamp().alias("created_at"), F.expr(f"current_timestamp() + {DAY}").alias("expires_at"),
         )
-        return {"documents": documents, "entries": entries, "notes": notes, "vectors": vectors, "postings": retrieval.postings(notes)}
+
+        def notes(written) -> DataFrame:
+            return segment.notes(written("entries")).withColumns({
+                "note_id": F.xxhash64("doc_id", "entry_idx", "part"), "tokens": F.size(retrieval.tokens(text)), "places": entities.places(text), "people": entities.full_names(text),
+                "amounts": entities.amounts(text), "images": F.regexp_extract_all(text, F.lit(r"\[image: ([^\]]+)\]"), F.lit(1)),
+            })
+
+        return {
+            "documents": documents, "entries": segment.entries(docs), "notes": notes,
+            "vectors": lambda written: written("notes").select("note_id", "doc_id", self.embed(tx.searchable(F.col("heading"), text)).alias("v")),
+            "sizes": lambda written: retrieval.note_sizes(written("notes")), "postings": lambda written: retrieval.postings(written("notes")),
+        }
+
+    def tables(self, docs: DataFrame) -> dict[str, DataFrame]:
+        """The tables of parts(), each as one plan."""
+        out: dict[str, DataFrame] = {}
+        for name, made in self.parts(docs).items():
+            out[name] = made if isinstance(made, DataFrame) else made(out.__getitem__)
+        return out
 
     def add(self, docs: DataFrame) -> dict[str, int]:
         """Store documents that aren't known yet by content; returns how many were added and refused."""
@@ -95,11 +109,19 @@ class Engine:
             try:
                 counts = {"added": fit.count(), "refused": refused.count()}
                 if counts["added"]:
-                    self.store.insert(self.tables(fit), {"documents": counts["added"]})
+                    self.store.insert(self.parts(fit), {"documents": counts["added"]})
             finally:
                 fit.unpersist()
             return counts
 
+    def known(self, docs: DataFrame) -> DataFrame:
+        """doc_id, known_id: for documents whose content is stored already, the newest document that holds it."""
+        fit, _ = admit(docs)
+        prints = fit.select("doc_id", tx.fingerprint(F.col("text"), self.model).alias("fingerprint"))
+        if self.store.table("documents") is None:
+            return prints.select("doc_id", F.col("doc_id").alias("known_id")).limit(0)
+        return prints.join(self.store.find(prints).withColumnRenamed("doc_id", "known_id"), "fingerprint").select("doc_id", "known_id")
+
     def stages(self) -> DataFrame:
         """batch, stage, seconds, share: how long each part of each insert took."""
         return self.store.timings()
@@ -107,21 +129,22 @@ class Engine:
     # ---- ask -----------------------------------------------------------------
 
     def rank(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(vector ranking, word ranking, fused ranking) of questions (question_id, question).
+        """(vector ranking, word ranking, fused ranking) of questions (question_id, question, and q, their vectors, if these are there).
 
         With a doc_id, a question is put to that document: only its notes are ranked, and
         the statistics of words are its own.
         """
-        notes, vectors, index = (self.store.table(t) for t in ("notes", "vectors", "postings"))
-        q = asked.select("question_id", self.embed(F.col("question")).alias("q"), *[F.col("doc_id").alias("_asked")] * ("doc_id" in asked.columns))
-        lengths = notes.select("note_id", "doc_id", F.col("tokens").alias("length"))
-        if "doc_id" not in asked.columns:
-            by_words = retrieval.bm25_indexed(index, lengths, asked).select("question_id", "note_id", "score", "rank")
+        vectors, index, sizes = (self.store.table(t) for t in ("vectors", "postings", "sizes"))
+        scoped = "doc_id" in asked.columns
+        vector = F.col("q") if "q" in asked.columns else self.embed(F.col("question")).alias("q")
+        q = asked.select("question_id", vector, *[F.col("doc_id").alias("_asked")] * scoped)
+        if not scoped:
+            by_words = retrieval.bm25_indexed(index, sizes, asked).select("question_id", "note_id", "score", "rank")
             by_vector = retrieval.cosine_ranking(vectors.select("note_id", "v"), q)
             return by_vector, by_words, retrieval.fuse(by_vector, by_words)
         where = asked.select("question_id", "doc_id")
         ids = where.select("doc_id").distinct()
-        own = retrieval.bm25_indexed(index.join(ids, "doc_id", "left_semi"), lengths.join(ids, "doc_id", "left_semi"), asked, per_document=True, depth=None)
+        own = retrieval.bm25_indexed(index.join(ids, "doc_id", "left_semi"), sizes.join(ids, "doc_id", "left_semi"), asked, per_document=True, depth=None)
         by_words = retrieval.ranked(own.drop("rank").join(where, ["question_id", "doc_id"]), F.col("score"), F.col("note_id"), depth=retrieval.DEPTH).select("question_id", "note_id", "score", "rank")
         near = vectors.join(q, F.col("doc_id") == F.col("_asked")).select("question_id", "note_id", vx.cosine(F.col("v"), F.col("q")).alias("score"))
         by_vector = retrieval.ranked(near, F.desc(F.round("score", 9)), F.col("note_id"), depth=retrieval.DEPTH)
@@ -134,6 +157,10 @@ class Engine:
         document's order, as far as the budget goes; others from the notes that rank best, those of
         a date that the question names first. Counted facts go to the model, and where
         they answer a question about dates, a silent search doesn't refuse it.
+
+        Questions, rankings, what is shown, facts, coverage and replies are each computed once, here, and written; panels
+        read them. So the models are called once: embed and chat a question, scorer a candidate. Facts, gaps and reports are of
+        the documents in question: the one that is asked, or those that are shown.
         """
         with self.asking:
             return self._ask(asked)
@@ -141,70 +168,85 @@ class Engine:
     def _ask(self, asked: DataFrame) -> dict[str, DataFrame]:
         notes, entries = self.store.table("notes"), self.store.table("entries")
         scoped = "doc_id" in asked.columns
-        question = F.col("question")
+        question, c = F.col("question"), F.col
+        kept_columns = ["question_id", "question", *["doc_id"] * scoped]
         whole_document = questions.wants_everything(question) if scoped else F.lit(False)
-        q = asked.withColumns({"everything": whole_document, "asks_range": questions.asks_for_range(question)})
-        by_vector, by_words, fused = self.rank(asked)
-        # ---- facts, over whole documents
-        ids = asked.select("doc_id").distinct() if scoped else None
-        own_entries = entries.join(ids, "doc_id", "left_semi") if scoped else entries
-        pairs = (lambda rows: rows.join(asked.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_semi")) if scoped else (lambda rows: rows)
-        counted = pairs(facts.term_facts(own_entries, asked))
-        ranges = facts.range_facts(own_entries)
-        c = F.col
-        sentence = facts.fact_sentence(c("kind"), c("term"), c("value"), c("entries"), c("first_date"), c("last_date"))
-        sentences = counted.select("question_id", "doc_id", "kind", sentence.alias("sentence"))
-        if scoped:
-            spans = ranges.join(asked.select("question_id", "doc_id"), "doc_id").withColumns({"term": F.lit(None).cast("string"), "value": F.lit(None).cast("long")})
-            sentences = sentences.unionByName(spans.select("question_id", "doc_id", "kind", sentence.alias("sentence")))
+        named = F.array_distinct(F.filter(F.transform(dates.date_hits(question), lambda h: h["date"]), lambda d: d.isNotNull()))
+        q = durable(asked.select(*kept_columns, whole_document.alias("everything"), questions.asks_for_range(question).alias("asks_range"), self.embed(question).alias("q"), named.alias("dates")))
+        asked = q.select(*kept_columns)
+        fused = durable(self.rank(q)[2])
         # ---- silence: never for a question answered from all notes, nor for one that a fact answers
-        total = self._totals(q, notes, scoped)
-        searched = retrieval.silence(by_vector, by_words, asked).join(q.select("question_id", "everything", "asks_range"), "question_id").join(total, "question_id", "left")
-        has_range = sentences.filter("kind = 'date-range'").select("question_id").distinct().withColumn("has_range", F.lit(True))
-        judged = searched.join(has_range, "question_id", "left").na.fill(False, ["has_range"]).na.fill(0, ["total"])
-        nothing = F.when(F.col("everything"), F.col("total") == 0).otherwise(F.col("silent"))
-        judged = judged.withColumn("silent", nothing & ~(F.col("asks_range") & F.col("has_range")))
+        total = self._totals(q, self.store.table("sizes"), scoped)
+        searched = retrieval.silence_of(fused, asked).join(q.select("question_id", "everything", "asks_range"), "question_id").join(total, "question_id", "left")
+        if scoped:
+            own_entries = durable(entries.join(F.broadcast(self._few(asked.select("doc_id").distinct())), "doc_id", "left_semi"))
+            ranges = durable(facts.range_facts(own_entries))
+            has_range = asked.join(ranges.select("doc_id"), "doc_id").select("question_id").distinct().withColumn("has_range", F.lit(True))
+            searched = searched.join(has_range, "question_id", "left")
+        else:
+            searched = searched.withColumn("has_range", F.lit(False))
+        judged = searched.na.fill(False, ["has_range"]).na.fill(0, ["total"])
+        nothing = F.when(c("everything"), c("total") == 0).otherwise(c("silent"))
+        judged = judged.withColumn("silent", nothing & ~(c("asks_range") & c("has_range")))
         # ---- what is shown
         columns = ["note_id", "doc_id", "label", "date", "text", "places", "people", "amounts", "images"]
         live = judged.filter("NOT silent").select("question_id")
         depth = retrieval.SHOWN if self.scorer is None else retrieval.CANDIDATES
-        best = fused.filter(F.col("rank") <= depth).join(q.filter("NOT everything").select("question_id", "question"), "question_id").join(live, "question_id", "left_semi")
-        best = best.join(notes.select(*columns), "note_id")
+        best = fused.filter(c("rank") <= depth).join(q.filter("NOT everything").select("question_id", "question"), "question_id").join(live, "question_id", "left_semi")
+        best = notes.select(*columns).join(F.broadcast(best), "note_id")  # CANDIDATES rows a question
         if self.scorer is not None:
             best = retrieval.rerank(best, self.scorer)
-        named = asked.select("question_id", F.explode(dates.date_hits(question)).alias("h")).select("question_id", F.col("h.date").alias("date")).filter("date IS NOT NULL")
-        lifted = retrieval.lift_asked_dates(best.withColumnRenamed("rank", "ranked"), named, by="ranked")
-        shown = lifted.select("question_id", *columns, F.col("place").alias("rank"), "fused", "vector", "lexical", (F.col("rerank") if self.scorer is not None else F.lit(None).cast("double")).alias("rerank"))
+        lifted = retrieval.lift_asked_dates(best.withColumnRenamed("rank", "ranked"), q.select("question_id", F.explode("dates").alias("date")), by="ranked")
+        shown = lifted.select("question_id", *columns, c("place").alias("rank"), "fused", "vector", "lexical", (c("rerank") if self.scorer is not None else F.lit(None).cast("double")).alias("rerank"))
         if scoped:
             shown = shown.unionByName(self._whole(q.filter("everything"), notes, columns), allowMissingColumns=True)
-        seen = shown.groupBy("question_id").agg(F.count("*").alias("shown"), F.count_if(F.col("rerank").isNotNull()).alias("reranked"))
-        coverage = judged.join(seen, "question_id", "left").na.fill(0, ["shown", "reranked"])
+        shown = durable(shown)
+        # ---- facts, over the whole of the documents in question
+        where = asked.select("question_id", "doc_id") if scoped else shown.select("question_id", "doc_id").distinct()
+        if not scoped:
+            own_entries = durable(entries.join(F.broadcast(self._few(where.select("doc_id").distinct())), "doc_id", "left_semi"))
+            ranges = facts.range_facts(own_entries)
+        counted = durable(facts.term_facts(own_entries, asked, where))
+        sentence = facts.fact_sentence(c("kind"), c("term"), c("value"), c("entries"), c("first_date"), c("last_date"))
+        sentences = counted.select("question_id", "doc_id", "kind", sentence.alias("sentence"))
+        if scoped:
+            spans = ranges.join(where, "doc_id").withColumns({"term": F.lit(None).cast("string"), "value": F.lit(None).cast("long")})
+            sentences = sentences.unionByName(spans.select("question_id", "doc_id", "kind", sentence.alias("sentence")))
+        # ---- coverage, reply
+        seen = shown.groupBy("question_id").agg(F.count("*").alias("shown"), F.count_if(c("rerank").isNotNull()).alias("reranked"))
         ranked = fused.groupBy("question_id").agg(F.count("*").alias("ranked"))
-        steps = coverage.join(ranked, "question_id", "left").select("question_id", "silent", F.col("total").alias("notes"), F.when(~F.col("everything"), F.col("ranked")).alias("ranked"), F.when(F.col("reranked") > 0, F.col("reranked")).alias("reranked"), "shown")
-        replies = self.replies(asked, shown, sentences, coverage)
-        texts = self.store.text().join(ids, "doc_id", "left_semi") if scoped else self.store.text()
-        found = pairs(facts.gaps(texts, asked))
+        coverage = durable(judged.join(seen, "question_id", "left").join(ranked, "question_id", "left").na.fill(0, ["shown", "reranked"]))
+        steps = coverage.select("question_id", "silent", c("total").alias("notes"), F.when(~c("everything"), c("ranked")).alias("ranked"), F.when(c("reranked") > 0, c("reranked")).alias("reranked"), "shown")
+        replies = durable(self.replies(asked, shown, sentences, coverage))
         refused = replies.join(coverage.select("question_id", "silent", "asks_range", "has_range"), "question_id")
+        texts = document_text(own_entries)
         mentions = entities.tally(self._mentions(own_entries))
         return {
-            "shown": shown, "silence": judged, "coverage": coverage, "details": answers.details(shown), "tallies": answers.tallies(shown), "facts": counted, "range": ranges, "sentences": sentences,
-            "gaps": facts.gap_report(found), "said_once": facts.said_once(mentions), "out_of_order": facts.out_of_order(own_entries), "spelled_two_ways": facts.spelled_two_ways(texts), "ambiguous": facts.ambiguous_dates(own_entries),
-            "replies": replies.drop("reply"), "refused": refused.select("question_id", answers.refused_by(F.col("silent"), F.col("has_range"), F.col("asks_range"), F.col("reply")).alias("refused_by")),
+            "shown": shown, "silence": coverage.drop("shown", "reranked", "ranked"), "coverage": coverage.drop("ranked"), "details": answers.details(shown), "tallies": answers.tallies(shown), "facts": counted, "range": ranges, "sentences": sentences,
+            "gaps": facts.gap_report(facts.gaps(texts, asked, where)), "said_once": facts.said_once(mentions), "out_of_order": facts.out_of_order(own_entries), "spelled_two_ways": facts.spelled_two_ways(texts), "ambiguous": facts.ambiguous_dates(own_entries),
+            "replies": replies.drop("reply"), "refused": refused.select("question_id", answers.refused_by(c("silent"), c("has_range"), c("asks_range"), c("reply")).alias("refused_by")),
             "funnel": timeline.funnel(steps), "warnings": self.warnings(coverage),
         }
 
     @staticmethod
-    def _totals(q: DataFrame, notes: DataFrame, scoped: bool) -> DataFrame:
+    def _few(ids: DataFrame) -> DataFrame:
+        """Ids of documents in question, as many as questions or notes shown: a broadcast of counted size."""
+        if ids.limit(MOST_DOCUMENTS + 1).count() > MOST_DOCUMENTS:
+            raise ValueError(f"at most {MOST_DOCUMENTS} documents in question at once")
+        return ids
+
+    @staticmethod
+    def _totals(q: DataFrame, sizes: DataFrame, scoped: bool) -> DataFrame:
         """question_id, total: notes that the question could be answered from."""
         if scoped:
-            return q.select("question_id", "doc_id").join(notes.select("doc_id"), "doc_id").groupBy("question_id").agg(F.count("*").alias("total"))
-        return q.select("question_id").crossJoin(F.broadcast(notes.agg(F.count("*").alias("total"))))
+            return q.select("question_id", "doc_id").join(sizes.select("doc_id", "notes"), "doc_id").groupBy("question_id").agg(F.sum("notes").alias("total"))
+        return q.select("question_id").crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("notes"), F.lit(0)).alias("total"))))
 
     def _whole(self, q: DataFrame, notes: DataFrame, columns: list[str]) -> DataFrame:
         """The notes of each question's document in order, as far as the budget goes, with their cosine."""
         at = F.struct("entry_idx", "part").alias("at")
         ordered = notes.join(q.select("doc_id").distinct(), "doc_id", "left_semi").select(*columns, at)
-        kept = retrieval.within_budget(ordered, order="at").join(q.select("question_id", "doc_id", self.embed(F.col("question")).alias("q")), "doc_id")
+        kept = retrieval.within_budget(ordered, order="at").join(q.select("question_id", "doc_id", "q"), "doc_id")
         near = kept.join(self.store.table("vectors").select("note_id", "v"), "note_id").withColumn("vector", vx.cosine(F.col("v"), F.col("q")))
         rank = F.row_number().over(Window.partitionBy("question_id").orderBy("at"))
         return near.select("question_id", *columns, rank.alias("rank"), "vector")
@@ -231,11 +273,22 @@ class Engine:
         return coverage.select("question_id", F.array_compact(F.array(*said)).alias("warnings")).filter(F.size("warnings") > 0)
 
     def prompts(self, asked: DataFrame, shown: DataFrame, sentences: DataFrame, coverage: DataFrame) -> DataFrame:
-        """question_id, prompt: counted facts, what is shown of how much, notes and the question."""
-        listed = sentences.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list("sentence")), "\n").alias("facts"))
+        """question_id, prompt: counted facts, what is shown of how much, notes and the question.
+
+        Facts are those of documents that the question is put to or that are shown for it; unless there is one document, each says of which.
+        """
+        scoped = "doc_id" in asked.columns
+        if scoped:
+            own, name = sentences, F.lit("")
+        else:
+            titles = self.store.table("documents").select("doc_id", "title")
+            own = titles.join(F.broadcast(sentences), "doc_id", "right")
+            name = F.concat(F.lit("["), F.coalesce("title", F.col("doc_id").cast("string")), F.lit("] "))
+        lines = F.array_sort(F.collect_list(F.concat(name, F.col("sentence"))))
+        listed = own.groupBy("question_id").agg(F.array_join(lines, "\n").alias("facts"))
         notes = answers.notes_text(shown)
         rows = asked.join(coverage.filter("NOT silent").select("question_id", "shown", "total", "asks_range"), "question_id").join(notes, "question_id", "left").join(listed, "question_id", "left")
-        text = answers.prompt(F.col("question"), F.col("facts"), F.coalesce("notes", F.lit("None.")), F.col("shown"), F.col("total"), F.col("asks_range"))
+        text = answers.prompt(F.col("question"), F.col("facts"), F.coalesce("notes", F.lit("None.")), F.col("shown"), F.col("total"), F.col("asks_range"), one_document=scoped)
         return rows.select("question_id", text.alias("prompt"))
 
     def replies(self, asked: DataFrame, shown: DataFrame, sentences: DataFrame, coverage: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..lexicons import INTENTS, KIND_LABELS, MONTHS, QUERY_STOP_WORDS, QUESTIONS, SUBJECT_STOP_WORDS
+from ..lexicons import INTENTS, MONTHS, QUERY_STOP_WORDS, QUESTIONS, SUBJECT_STOP_WORDS
 from ..operators import questions as qs
 from ..operators import retrieval as rt
 from ..regex import quoted, sql
@@ -29,6 +29,16 @@ def asked(read):
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(question_id, question)")
 
 
+#: The questions above, and whatever was said in conversations or is asked by benchmark items.
+EVERY_SQL = ASKED_SQL + ", every_question AS (SELECT question_id, question FROM questions UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations WHERE text IS NOT NULL UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE text IS NOT NULL)"
+
+
+def every_question(read):
+    said = read("conversations").filter("text IS NOT NULL").select((1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("question_id"), F.col("text").alias("question"))
+    items = read("benchmark").filter("text IS NOT NULL").select((-1 - F.col("item_id")).cast("long").alias("question_id"), F.col("text").alias("question"))
+    return asked(read).union(said).union(items)
+
+
 _FOLD = lambda x: f"translate(lower({x}), '{rt._ACCENTED}', '{rt._PLAIN}')"
 _TOKENS = lambda x: f"regexp_extract_all({_FOLD(x)}, '[\\p{{L}}\\p{{N}}]+')"
 _TERMS = rf"""list_filter(list_transform(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}''’-]+'), lambda t: regexp_replace(t, '[''’-]+$', '')),
@@ -36,14 +46,14 @@ _TERMS = rf"""list_filter(list_transform(regexp_extract_all(lower(question), '[\
 _EXPANDED = "list_concat(" + ", ".join(f"CASE WHEN regexp_matches(question, {quoted(f'(?i){chr(92)}b(?:{p}){chr(92)}b')}) THEN {_LIST(t)} ELSE [] END" for p, t in INTENTS) + ")"
 
 
-@query("question_terms", f"WITH {ASKED_SQL} SELECT question_id, array_to_string({_TERMS}, '|') AS terms FROM questions")
+@query("question_terms", f"WITH {EVERY_SQL} SELECT question_id, array_to_string({_TERMS}, '|') AS terms FROM every_question")
 def question_terms(read):
-    return asked(read).select("question_id", F.array_join(rt.question_terms(F.col("question")), "|").alias("terms"))
+    return every_question(read).select("question_id", F.array_join(rt.question_terms(F.col("question")), "|").alias("terms"))
 
 
-@query("intent_expand", f"WITH {ASKED_SQL}, e AS (SELECT question_id, unnest({_EXPANDED}) AS term FROM questions) SELECT DISTINCT question_id, term FROM e")
+@query("intent_expand", f"WITH {EVERY_SQL}, e AS (SELECT question_id, unnest({_EXPANDED}) AS term FROM every_question) SELECT DISTINCT question_id, term FROM e")
 def intent_expand(read):
-    return asked(read).select("question_id", F.explode(rt.expansion_terms(F.col("question"))).alias("term"))
+    return every_question(read).select("question_id", F.explode(rt.expansion_terms(F.col("question"))).alias("term"))
 
 
 def bm25_sql(notes: str, expand: bool = False, depth: int = rt.DEPTH) -> str:
@@ -198,18 +208,10 @@ _ANY = lambda shapes: "(" + " OR ".join(f"regexp_matches(n, {quoted(sql(s))})" f
 _SCOPE = f"CASE WHEN n = '' THEN false WHEN list_contains({_KNOWN[True]}, n) THEN true WHEN list_contains({_KNOWN[False]}, n) THEN false WHEN regexp_matches(n, {quoted(sql(qs.ONE_OFF))}) AND NOT regexp_matches(n, {quoted(sql(qs.STRONG))}) THEN false ELSE {_ANY(qs.LIST_SHAPES)} END"
 
 
-@query("scope_classify", f"WITH {ASKED_SQL}, n AS (SELECT question_id, {_NORM} AS n FROM questions) SELECT question_id, {_SCOPE} AS everything, {_ANY(qs.RANGE_SHAPES)} AS date_range FROM n")
+@query("scope_classify", f"WITH {EVERY_SQL}, n AS (SELECT question_id, {_NORM} AS n FROM every_question) SELECT question_id, {_SCOPE} AS everything, {_ANY(qs.RANGE_SHAPES)} AS date_range FROM n")
 def scope_classify(read):
     q = F.col("question")
-    return asked(read).select("question_id", qs.wants_everything(q).alias("everything"), qs.asks_for_range(q).alias("date_range"))
-
-
-@query("offered_questions", f"WITH {_OFFERED}, n AS (SELECT kind, question, {_NORM} AS n FROM offered) SELECT kind, question, {_SCOPE} AS everything FROM n")
-def offered_questions(read):
-    """Every offered question and how it is classified."""
-    kinds = read("region").sparkSession.sql("SELECT explode(array(" + ", ".join(f"'{k}'" for k in KIND_LABELS) + ")) AS kind")
-    rows = kinds.select("kind", F.explode(qs.suggestions(F.col("kind"))).alias("question"))
-    return rows.withColumn("everything", qs.wants_everything(F.col("question")))
+    return every_question(read).select("question_id", qs.wants_everything(q).alias("everything"), qs.asks_for_range(q).alias("date_range"))
 
 
 SUBJECT_TERMS_SQL = rf"""WITH t AS (SELECT question_id, list_filter(list_transform(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}''’-]{{2,}}'), lambda t: regexp_replace(t, '([''’]s|[''’-]+)$', '')), lambda t: length(t) >= 3 AND NOT list_contains({_LIST(sorted(set(SUBJECT_STOP_WORDS)))}, t)) AS t FROM questions)
@@ -217,22 +219,25 @@ SELECT question_id, array_to_string(list_filter(t, lambda x, i: list_position(t,
 PROPER_NOUNS_SQL = rf"""SELECT question_id, array_to_string(list_transform(regexp_extract_all(regexp_replace('_' || substr(question, 2), '^_[\p{{L}}''’.-]*', ''), '\b\p{{Lu}}[\p{{L}}''’.-]*'), lambda w: regexp_replace(lower(w), '[''’]s$', '')), '|') AS names FROM questions"""
 
 
-@query("subject_terms", f"WITH {ASKED_SQL}, st AS ({SUBJECT_TERMS_SQL}) SELECT * FROM st")
+_OVER_ALL = lambda x: x.replace("FROM questions", "FROM every_question")
+
+
+@query("subject_terms", f"WITH {EVERY_SQL}, st AS ({_OVER_ALL(SUBJECT_TERMS_SQL)}) SELECT * FROM st")
 def subject_terms(read):
-    return asked(read).select("question_id", F.array_join(qs.subject_terms(F.col("question")), "|").alias("terms"))
+    return every_question(read).select("question_id", F.array_join(qs.subject_terms(F.col("question")), "|").alias("terms"))
 
 
-@query("proper_nouns", f"WITH {ASKED_SQL}, pn AS ({PROPER_NOUNS_SQL}) SELECT * FROM pn")
+@query("proper_nouns", f"WITH {EVERY_SQL}, pn AS ({_OVER_ALL(PROPER_NOUNS_SQL)}) SELECT * FROM pn")
 def proper_nouns(read):
-    return asked(read).select("question_id", F.array_join(qs.proper_nouns(F.col("question")), "|").alias("names"))
+    return every_question(read).select("question_id", F.array_join(qs.proper_nouns(F.col("question")), "|").alias("names"))
 
 
 _MONTH_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(question), '\\b({m.lower()}|{m[:3].lower()})\\b') THEN {k + 1} END" for k, m in enumerate(MONTHS)) + "], lambda x: x IS NOT NULL)"
 
 
-@query("months_named", f"WITH {ASKED_SQL} SELECT question_id, array_to_string({_MONTH_SQL}, '|') AS months FROM questions")
+@query("months_named", f"WITH {EVERY_SQL} SELECT question_id, array_to_string({_MONTH_SQL}, '|') AS months FROM every_question")
 def months_named(read):
-    return asked(read).select("question_id", F.array_join(F.transform(qs.months_named(F.col("question")), lambda x: x.cast("string")), "|").alias("months"))
+    return every_question(read).select("question_id", F.array_join(F.transform(qs.months_named(F.col("question")), lambda x: x.cast("string")), "|").alias("months"))
 
 
 def _hits(words: str) -> str:
@@ -278,3 +283,12 @@ def doc_kind(read):
 def marker_density(read):
     m = kind_texts(read).select("id", "text", qs.markers(F.col("text"), qs.MINUTES)["hits"].alias("hits"))
     return m.select("id", F.col("hits").cast("long").alias("hits"), F.round(qs.density(F.col("text"), F.col("hits")), 6).alias("density"))
+
+
+@query("offered_questions", f"WITH {DIARY_SQL}, k AS (WITH {_KIND}), {_OFFERED}, n AS (SELECT kind, question, {_NORM} AS n FROM offered) SELECT id, kind, question, {_SCOPE} AS everything FROM k JOIN n USING (kind)")
+def offered_questions(read):
+    """What is offered to be asked of each text, by its kind, and how it is classified."""
+    s = kind_texts(read).select("id", "dated", qs.kind_signals(F.col("text")).alias("s"))
+    kinds = s.select("id", qs.kind_of(F.col("s"), F.col("dated")).alias("kind"))
+    rows = kinds.select("id", "kind", F.explode(qs.suggestions(F.col("kind"))).alias("question"))
+    return rows.withColumn("everything", qs.wants_everything(F.col("question")))

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import admission, answers
+from ..operators import admission, answers, evaluation
+from ..operators import retrieval as rt
+from ..regex import quoted
 from ..sources import store
 from ..streaming import limits
 from . import corpora
@@ -52,32 +54,29 @@ def extractive_reply(read):
     return answers.extractive_reply(shown(read))
 
 
-#: (id, reply, says, suggests, refusal, nothing further)
-REPLIES = [
-    (1, "WHAT THE DOCUMENT SAYS\nThe boiler broke. [6 March 2026]\n\nWHAT IT SUGGESTS\nIt was old.", "The boiler broke. [6 March 2026]", "It was old.", False, False),
-    (2, "WHAT THE DOCUMENT SAYS: It rained. WHAT IT SUGGESTS Nothing further.", "It rained.", "Nothing further.", False, True),
-    (3, "It was sold in May.", "It was sold in May.", None, False, True),
-    (4, "The document doesn't say.", "The document doesn't say.", None, True, True),
-    (5, "WHAT THE DOCUMENT DOESN'T SAY\nThe document does not say.", "WHAT THE DOCUMENT DOESN'T SAY\nThe document does not say.", None, True, True),
-    (6, "She left.\nWHAT THE DIARY SUGGESTS\nRead together, the notes suggest nothing further.", "She left.", "Read together, the notes suggest nothing further.", False, True),
-    (7, "THE DOCUMENT SAYS\n\nThe diary doesnt say\n", "The diary doesnt say", None, True, True),
-    (8, "  ", None, None, False, True),
-    (9, "what it suggests in passing is unclear", "what it suggests in passing is unclear", None, False, True),
-]
+def said_replies(read):
+    """id, form, reply: what was said in conversations, put as models put their replies, with headings, with one forgotten, or as a refusal."""
+    c = read("conversations")
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    form = (F.col("conv_id") + F.col("turn")) % 4
+    reply = (
+        F.when(form == 0, F.concat(F.lit("WHAT THE DOCUMENT SAYS\nFirst: "), said, F.lit(".\n\nWHAT IT SUGGESTS\nThen: "), said, F.lit(".")))
+        .when(form == 1, F.concat(F.lit("THE DOCUMENT SAYS: Once: "), said, F.lit(". WHAT THE DIARY SUGGESTS Nothing further.")))
+        .when(form == 2, F.concat(F.lit("Only: "), said, F.lit(".")))
+        .otherwise(F.concat(F.lit("The diary doesnt say\n"), said))
+    )
+    return c.select("conv_id", "turn", reply.alias("reply"))
 
 
-def _replies_sql() -> str:
-    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
-    return "SELECT id, says, suggests, refusal, nothing FROM (VALUES " + ", ".join("(" + ", ".join(lit(x) for x in (r[0], *r[2:])) + ")" for r in REPLIES[:8]) + ") t(id, says, suggests, refusal, nothing)"
+_SAID = r"regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '', '')"
 
 
-@query("reply_parse", _replies_sql())
+@query("reply_parse", rf"""WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 4 AS form, {_SAID} AS said FROM conversations)
+SELECT conv_id, turn, CASE form WHEN 0 THEN 'First: ' || said || '.' WHEN 1 THEN 'Once: ' || said || '.' WHEN 2 THEN 'Only: ' || said || '.' ELSE regexp_replace('The diary doesnt say' || chr(10) || said, '\s+$', '') END AS says,
+ CASE form WHEN 0 THEN 'Then: ' || said || '.' WHEN 1 THEN 'Nothing further.' END AS suggests, form = 3 AS refusal, form <> 0 AS nothing FROM c""")
 def reply_parse(read):
-    spark = read("region").sparkSession
-    lit = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({r[0]}, {lit(r[1])})" for r in REPLIES[:8]) + " AS t(id, reply)")
     s = answers.read_reply(F.col("reply"))
-    return rows.select("id", s["says"].alias("says"), s["suggests"].alias("suggests"), answers.is_refusal(F.col("reply")).alias("refusal"), answers.nothing_further(s["suggests"]).alias("nothing"))
+    return said_replies(read).select("conv_id", "turn", s["says"].alias("says"), s["suggests"].alias("suggests"), answers.is_refusal(F.col("reply")).alias("refusal"), answers.nothing_further(s["suggests"]).alias("nothing"))
 
 
 @query("refusal_detect", r"SELECT conv_id, turn, regexp_matches(CASE WHEN turn % 3 = 0 THEN 'The document doesn''t say.' ELSE text END, '(?i)^\s*the (document|diary)\s*(doesn''?t|does ?not)\s*say\b') AS refused FROM conversations")
@@ -86,11 +85,10 @@ def refusal_detect(read):
     return read("conversations").select("conv_id", "turn", answers.is_refusal(reply).alias("refused"))
 
 
-@query("refused_by", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 AND NOT (n_nationkey % 3 = 0 AND n_nationkey % 5 < 3) THEN 'search' WHEN n_nationkey % 4 = 1 THEN 'model' END AS refused_by FROM nation")
+@query("refused_by", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 AND NOT (conv_id % 3 = 0 AND conv_id % 5 < 3) THEN 'search' WHEN (conv_id + turn) % 4 = 3 THEN 'model' END AS refused_by FROM conversations")
 def refused_by(read):
-    k = F.col("n_nationkey")
-    reply = F.when(k % 4 == 1, F.lit(answers.REFUSAL)).otherwise(F.lit("It says so."))
-    return read("nation").select("n_nationkey", answers.refused_by(k % 2 == 0, k % 5 < 3, k % 3 == 0, reply).alias("refused_by"))
+    c = F.col("conv_id")
+    return said_replies(read).select("conv_id", "turn", answers.refused_by(F.col("turn") % 2 == 0, c % 5 < 3, c % 3 == 0, F.col("reply")).alias("refused_by"))
 
 
 # ---- store ------------------------------------------------------------------------
@@ -188,32 +186,57 @@ def events_session(read):
 
 # ---- evaluation ----------------------------------------------------------------------
 
-_CAL = "q AS (SELECT vec_id, vec_id % 100 < 50 AS noise, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 IN (3, 4)), c AS (SELECT q.vec_id, noise, max(list_dot_product(q.v, e.embedding::DOUBLE[])) AS best FROM q, embeddings e WHERE e.vec_id <> q.vec_id GROUP BY 1, 2)"
+_CAL = f"""q AS (SELECT vec_id, vec_id % 100 < 50 AS noise, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+c AS (SELECT q.vec_id, noise, max(list_dot_product(q.v, e.embedding::DOUBLE[])) AS best FROM q, embeddings e WHERE e.vec_id <> q.vec_id GROUP BY 1, 2)"""
 
 
 @query("calibrate_floor", f"WITH {_CAL} SELECT round(max(best) FILTER (WHERE noise), 6) AS noise_top, round(min(best) FILTER (WHERE NOT noise), 6) AS signal_low, CASE WHEN min(best) FILTER (WHERE NOT noise) > max(best) FILTER (WHERE noise) THEN round((min(best) FILTER (WHERE NOT noise) + max(best) FILTER (WHERE noise)) / 2, 6) END AS floor FROM c")
 def calibrate_floor(read):
-    """The midpoint between the best cosine of noise and the worst of real questions, if they part."""
-    e = read("embeddings").select("vec_id", vx.doubles(F.col("embedding")).alias("v"))
-    q = e.filter("vec_id % 50 IN (3, 4)").select(F.col("vec_id").alias("question_id"), F.col("v").alias("q"))
-    best = e.join(F.broadcast(q), F.col("vec_id") != F.col("question_id")).groupBy("question_id").agg(F.max(vx.cosine(F.col("v"), F.col("q"))).alias("best")).withColumn("noise", F.col("question_id") % 100 < 50)
-    b = best.agg(F.max(F.when(F.col("noise"), F.col("best"))).alias("a"), F.min(F.when(~F.col("noise"), F.col("best"))).alias("b"))
-    return b.select(F.round("a", 6).alias("noise_top"), F.round("b", 6).alias("signal_low"), F.when(F.col("b") > F.col("a"), F.round((F.col("a") + F.col("b")) / 2, 6)).alias("floor"))
+    """The midpoint between the best cosine of noise and the worst of real questions, if they part; questions are vectors of the table."""
+    e = read("embeddings").select(F.col("vec_id").alias("note_id"), vx.doubles(F.col("embedding")).alias("v"))
+    q = e.filter("note_id % 50 = 0").select(F.col("note_id").alias("question_id"), F.col("v").alias("q"))
+    best = evaluation.best_cosines(rt.cosine_ranking(e, q, depth=2).filter("note_id <> question_id"))
+    f = evaluation.refusal_floor(best.withColumn("noise", F.col("question_id") % 100 < 50))
+    return f.select(F.round("noise_top", 6).alias("noise_top"), F.round("signal_low", 6).alias("signal_low"), F.round("floor", 6).alias("floor"))
 
 
-@query("golden_cases", f"WITH {DIARY_SQL} SELECT doc_id, idx, regexp_matches(text, '\\$[0-9]+\\.[0-9]{{2}}') AND NOT regexp_matches(text, '(?i)ledger|invoice') AS passed FROM diary")
+_RUNS = "replies AS (SELECT doc_id AS case_id, idx % 3 AS run, string_agg(text, ' ' ORDER BY idx) AS reply, count(date) = 0 AS refused FROM diary GROUP BY 1, 2)"
+_MUST, _MUST_NOT = [r"\$[0-9]+\.[0-9]{2}", r"(?i)boiler"], [r"(?i)oslo|invoice"]
+
+
+def golden_runs(read):
+    """(cases, replies): a case for each diary, with patterns that its replies must and mustn't match; a third of its entries is a run's reply."""
+    d = corpora.diary(read)
+    texts = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    replies = d.groupBy(F.col("doc_id").alias("case_id"), (F.col("idx") % 3).alias("run")).agg(F.array_join(F.transform(texts, lambda x: x["text"]), " ").alias("reply"), (F.count("date") == 0).alias("refused"))
+    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
+    cases = d.select(F.col("doc_id").alias("case_id")).distinct().select("case_id", lits(_MUST).alias("must"), lits(_MUST_NOT).alias("must_not"), (F.col("case_id") % 7 == 0).alias("refuse"))
+    return cases, replies
+
+
+_JUDGED = rf"""{_RUNS}, judged AS (SELECT case_id, run, CASE WHEN case_id % 7 = 0 THEN refused ELSE NOT refused AND {" AND ".join(f"regexp_matches(reply, '{p}')" for p in _MUST)} AND NOT regexp_matches(reply, '{_MUST_NOT[0]}') END AS passed FROM replies)"""
+
+
+@query("golden_cases", f"WITH {DIARY_SQL}, {_JUDGED} SELECT case_id, run, passed FROM judged")
 def golden_cases(read):
-    """Replies that must match one pattern and mustn't match another."""
-    return corpora.diary(read).select("doc_id", F.col("idx").cast("long").alias("idx"), (F.col("text").rlike(r"\$[0-9]+\.[0-9]{2}") & ~F.col("text").rlike("(?i)ledger|invoice")).alias("passed"))
+    """Which replies of which runs pass their case."""
+    return evaluation.judge(*golden_runs(read)).select("case_id", "run", "passed")
+
+
+@query("golden_stability", f"WITH {DIARY_SQL}, {_JUDGED} SELECT case_id, count(*) AS runs, count(*) FILTER (WHERE passed) AS passes, count(*) FILTER (WHERE passed) IN (0, count(*)) AS stable FROM judged GROUP BY 1")
+def golden_stability(read):
+    return evaluation.stability(evaluation.judge(*golden_runs(read)))
+
+
+_ITEMS = ["Hamilton", "Oslo", "boiler", "Fairview"]
 
 
-@query("completeness", f"WITH {DIARY_SQL}, need AS (SELECT * FROM (VALUES ('Hamilton'), ('Oslo'), ('boiler'), ('Fairview')) t(item)), d AS (SELECT doc_id, string_agg(text, ' ') AS t FROM diary GROUP BY 1) SELECT doc_id, count(*) FILTER (WHERE contains(t, item)) AS named, count(*) AS needed FROM d, need GROUP BY 1")
+@query("completeness", f"WITH {DIARY_SQL}, {_RUNS}, need AS (SELECT unnest([{', '.join(quoted(x) for x in _ITEMS)}]) AS item) SELECT case_id, run, count(*) FILTER (WHERE contains(lower(reply), lower(item))) AS named, count(*) AS needed FROM replies, need GROUP BY 1, 2")
 def completeness(read):
-    """How many of the items that an answer should name are there."""
-    items = ["Hamilton", "Oslo", "boiler", "Fairview"]
-    hits = [F.contains(F.col("t"), F.lit(i)).cast("long") for i in items]
-    d = corpora.diary(read).groupBy("doc_id").agg(F.array_join(F.collect_list("text"), " ").alias("t"))
-    return d.select("doc_id", sum(hits[1:], hits[0]).alias("named"), F.lit(len(items)).cast("long").alias("needed"))
+    """How many of the items that an answer should name each reply names."""
+    cases, replies = golden_runs(read)
+    items = cases.select("case_id", F.explode(F.array(*[F.lit(x) for x in _ITEMS])).alias("item"))
+    return evaluation.completeness(replies, items).select("case_id", "run", "named", "needed")
 
 
 # ---- relational extensions --------------------------------------------------------------

@@ -151,12 +151,19 @@ _HEADS = [w.title() for w in SECTION_WORDS[::3]] + ["Work model: Hybrid", "PROFE
 _WORDS_SQL = "[" + ", ".join(quoted(w) for w in SECTION_WORDS) + "]"
 
 
-@query("section_names", rf"""WITH h AS (SELECT unnest([{", ".join(quoted(h) for h in _HEADS)}]) AS line), w AS (SELECT line, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '[^a-z\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM h)
-SELECT line, NOT contains(line, ':') AND len(w) BETWEEN 1 AND 4 AND coalesce(list_contains({_WORDS_SQL}, w[1]) OR (len(w) <= 2 AND list_has_any({_WORDS_SQL}, w)), false) AS is_section FROM w""")
+_SECTIONS = rf"""w AS (SELECT line, list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(line, '^\s+|\s+$', '', 'g')), '[^a-z\s]', ' ', 'g'), '\s+'), lambda x: x <> '') AS w FROM h)
+SELECT line, NOT contains(line, ':') AND len(w) BETWEEN 1 AND 4 AND coalesce(list_contains({_WORDS_SQL}, w[1]) OR (len(w) <= 2 AND list_has_any({_WORDS_SQL}, w)), false) AS is_section FROM w"""
+
+
+@query("section_names", rf"""WITH l AS (SELECT * FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT text FROM conversations) WHERE line IS NOT NULL), k AS (SELECT DISTINCT line, hash_key FROM (SELECT line, length(line) % {len(_HEADS)} AS hash_key FROM l)),
+h AS (SELECT line FROM k UNION SELECT ([{", ".join(quoted(h) for h in _HEADS)}])[hash_key + 1] || CASE WHEN length(line) % 3 = 0 THEN '' ELSE ' ' || split_part(line, ' ', 1) END FROM k), {_SECTIONS}""")
 def section_names(read):
-    spark = read("region").sparkSession
-    rows = spark.sql("SELECT explode(array(" + ", ".join("'" + h.replace("'", "\\'") + "'" for h in _HEADS) + ")) AS line")
-    return rows.select("line", tx.is_section_name(F.col("line")).alias("is_section"))
+    """Which lines of documents and conversations name a section, and which headings with a word of these lines behind them do."""
+    rows = read("documents").select(F.explode(F.split("text", "\n")).alias("line")).union(read("conversations").select("text")).distinct()
+    head = F.get(F.array(*[F.lit(h) for h in _HEADS]), (F.length("line") % len(_HEADS)).cast("int"))
+    more = F.when(F.length("line") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.split_part("line", F.lit(" "), F.lit(1))))
+    lines = rows.filter("line IS NOT NULL").union(rows.filter("line IS NOT NULL").select(F.concat(head, more))).distinct()
+    return lines.select("line", tx.is_section_name(F.col("line")).alias("is_section"))
 
 
 @query("line_run_groups", r"""

@@ -24,15 +24,20 @@ def session(master: str | None = None, **extra: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder that spark.checkpoint.dir names, with no lineage; on a local master a folder of its own will do."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written stages, which spark.checkpoint.dir names; a private one only where a single machine runs all."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="folioscan-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder, with no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import subprocess
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +53,61 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return with_ids(rows)
 
 
-def read_pdfs(spark: SparkSession, path: str, extract) -> DataFrame:
-    """PDF files through extract(bytes) -> text, run on the executors; others and empty texts are refused with a reason.
+#: Seconds that the text of one file may take.
+EXTRACT_SECONDS = 30
+
+
+class Unreadable(RuntimeError):
+    """A file whose text can't be taken out, with the reason."""
+
+
+def guarded(extract, data: bytes, seconds: float = EXTRACT_SECONDS) -> str:
+    """extract(data) in a process of its own, which ends with the time limit; Unreadable says why there is no text.
+
+    So a file that hangs, or brings its reader down, costs its own time and no other file's.
+    """
+    fork = multiprocessing.get_context("fork")
+    ours, theirs = fork.Pipe(duplex=False)
+
+    def work() -> None:
+        try:
+            theirs.send((True, extract(data)))
+        except BaseException as e:  # noqa: BLE001  the reason goes to the reader's row
+            theirs.send((False, f"{type(e).__name__}: {e}"[:200]))
+
+    child = fork.Process(target=work, daemon=True)
+    child.start()
+    theirs.close()
+    try:
+        if not ours.poll(seconds):
+            raise Unreadable(f"no text within {seconds:g} seconds")
+        try:
+            good, value = ours.recv()
+        except EOFError:
+            raise Unreadable("its reader broke down") from None
+        if not good:
+            raise Unreadable(value)
+        return value
+    finally:
+        child.kill()
+        child.join()
+        ours.close()
+
+
+def by_command(*command: str):
+    """An extractor that gives the file to a command's standard input and takes its output: by_command("pdftotext", "-layout", "-", "-")."""
+
+    def extract(data: bytes) -> str:
+        done = subprocess.run(command, input=data, capture_output=True)
+        if done.returncode:
+            raise Unreadable(done.stderr.decode(errors="replace").strip()[:200] or f"it ended with {done.returncode}")
+        return done.stdout.decode(errors="replace")
+
+    return extract
+
+
+def read_pdfs(spark: SparkSession, path: str, extract, seconds: float = EXTRACT_SECONDS) -> DataFrame:
+    """PDF files through extract(bytes) -> text, run on the executors under a time limit; others and empty texts are refused with a reason.
 
     Returns (source_name, text, reason): reason is null for documents that can be used.
     """
@@ -65,9 +121,9 @@ def read_pdfs(spark: SparkSession, path: str, extract) -> DataFrame:
                     out.append((name, None, "not a PDF file"))
                     continue
                 try:
-                    text = extract(bytes(data))
-                except Exception as e:  # one file that can't be read is refused, and the batch goes on
-                    out.append((name, None, f"the PDF file can't be read: {e}"[:200]))
+                    text = guarded(extract, bytes(data), seconds)
+                except Unreadable as e:  # one file that can't be read is refused, and the batch goes on
+                    out.append((name, None, f"the PDF file can't be read: {e}"[:250]))
                     continue
                 out.append((name, text if text.strip() else None, None if text.strip() else "no text in the PDF file"))
             yield pd.DataFrame(out, columns=["source_name", "text", "reason"])

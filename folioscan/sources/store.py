@@ -5,7 +5,9 @@ row in `commits`: what no commit names isn't read, so a failed insert leaves
 nothing behind that counts. Deletes write the ids to `deleted`; reads anti-join
 them, and compact() rewrites what is left. No row is updated in place.
 
-Columns that older batches lack are read as nulls (schema merging).
+Schemas grow: columns that older batches lack are read as nulls (schema merging), or as their default
+in DEFAULTS, a column of the others. Tables in DERIVED are made at read for batches that were
+written before these were stored; compact() stores them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-TABLES = ("documents", "entries", "notes", "vectors", "postings")
+from ..operators import retrieval
+
+#: In the order in which they are written: a later one may be made of an earlier one.
+TABLES = ("documents", "entries", "notes", "vectors", "sizes", "postings")
+#: Tables that are written by the values of a column, after rows are dealt and sorted for it.
+CLUSTERED = {"postings": ("slot", retrieval.clustered)}
+#: Tables that another one determines, and how.
+DERIVED = {"sizes": ("notes", retrieval.note_sizes), "postings": ("notes", retrieval.postings)}
+#: Columns that a batch may lack, and what they are then.
+DEFAULTS = {"notes": {"tokens": lambda: F.size(retrieval.tokens(F.col("text")))}, "documents": {"source_name": lambda: F.lit("unknown")}}
+#: Batches that a read names one by one, so that others' folders aren't opened; more are joined.
+MOST_BATCHES = 2000
 
 
 class Store:
@@ -32,20 +45,38 @@ class Store:
                 return None
             raise
 
-    def insert(self, tables: dict[str, DataFrame], expected: dict[str, int] | None = None) -> str:
-        """Write one batch. Notes and vectors must be equally many; `expected` counts are checked as well."""
-        batch, seconds = uuid.uuid4().hex, []
+    def _write(self, name: str, rows: DataFrame, batch: str) -> None:
+        rows = rows.withColumn("inserted_at", F.current_timestamp())
+        if name in CLUSTERED:
+            column, dealt = CLUSTERED[name]
+            dealt(rows).write.partitionBy(column).parquet(f"{self.path}/{name}/batch={batch}")
+        else:
+            rows.write.parquet(f"{self.path}/{name}/batch={batch}")
+
+    def insert(self, tables: dict, expected: dict[str, int] | None = None) -> str:
+        """Write one batch. A table is a DataFrame, or a function that makes it of the tables written before it:
+        written("entries") reads these back, so that nothing is computed twice.
+
+        Notes and vectors must be equally many; `expected` counts are checked as well.
+        """
+        batch, seconds = f"b{uuid.uuid4().hex}", []
+
+        def written(name: str) -> DataFrame:
+            return self.spark.read.parquet(f"{self.path}/{name}/batch={batch}").drop("inserted_at")
+
         for name in TABLES:
             if name in tables:
                 began = time.perf_counter()
-                tables[name].withColumn("inserted_at", F.current_timestamp()).write.parquet(f"{self.path}/{name}/batch={batch}")
+                rows = tables[name]
+                self._write(name, rows if isinstance(rows, DataFrame) else rows(written), batch)
                 seconds.append((batch, name, time.perf_counter() - began))
         counts = {name: self.spark.read.parquet(f"{self.path}/{name}/batch={batch}").count() for name in TABLES if name in tables}
         if "vectors" in counts and counts["vectors"] != counts.get("notes"):
             raise ValueError(f"{counts.get('notes')} notes but {counts['vectors']} vectors")
         if wrong := {k: n for k, n in (expected or {}).items() if counts.get(k) != n}:
             raise ValueError(f"expected {wrong}, wrote {counts}")
-        self.spark.sql(f"SELECT '{batch}' AS batch, current_timestamp() AS committed_at").write.mode("append").parquet(f"{self.path}/commits")
+        names = ", ".join(f"'{name}'" for name in TABLES if name in tables)
+        self.spark.sql(f"SELECT '{batch}' AS batch, current_timestamp() AS committed_at, array({names}) AS tables").write.mode("append").parquet(f"{self.path}/commits")
         self.spark.createDataFrame(seconds, "batch string, stage string, seconds double").coalesce(1).write.mode("append").parquet(f"{self.path}/timings")
         return batch
 
@@ -56,12 +87,41 @@ class Store:
             return self.spark.createDataFrame([], "batch string, stage string, seconds double, share double")
         return rows.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy("batch")))
 
+    def _committed(self, rows: DataFrame, commits: DataFrame) -> DataFrame:
+        batches = [r["batch"] for r in commits.select("batch").distinct().limit(MOST_BATCHES + 1).collect()]
+        if len(batches) > MOST_BATCHES:
+            return rows.join(commits.select("batch").distinct(), "batch", "left_semi")
+        return rows.filter(F.col("batch").isin(batches))
+
+    def _derived(self, name: str, commits: DataFrame) -> DataFrame | None:
+        """Rows of a derived table for the batches that lack it."""
+        source, make = DERIVED[name]
+        lacking = commits.filter(~F.coalesce(F.array_contains("tables", name), F.lit(False))) if "tables" in commits.columns else commits
+        rows = self._read(source)
+        if rows is None or lacking.isEmpty():
+            return None
+        of_source = self._with_defaults(source, self._committed(rows, lacking))
+        if of_source.isEmpty():
+            return None
+        when = of_source.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max("inserted_at").alias("inserted_at"))
+        return make(of_source).join(when, "doc_id")
+
+    @staticmethod
+    def _with_defaults(name: str, rows: DataFrame) -> DataFrame:
+        for column, value in DEFAULTS.get(name, {}).items():
+            rows = rows.withColumn(column, F.coalesce(F.col(column), value()) if column in rows.columns else value())
+        return rows
+
     def table(self, name: str) -> DataFrame | None:
         """Committed rows of documents that aren't deleted; None before the first insert."""
         rows, commits, deleted = self._read(name), self._read("commits"), self._read("deleted")
-        if rows is None or commits is None:
+        if commits is None:
+            return None
+        rows = None if rows is None else self._with_defaults(name, self._committed(rows, commits))
+        if name in DERIVED and (more := self._derived(name, commits)) is not None:
+            rows = more if rows is None else rows.unionByName(more)
+        if rows is None:
             return None
-        rows = rows.join(commits.select("batch").distinct(), "batch", "left_semi")
         if deleted is not None:
             later = deleted.groupBy("doc_id").agg(F.max("deleted_at").alias("deleted_at"))
             rows = rows.join(later, "doc_id", "left").filter(F.col("deleted_at").isNull() | (F.col("inserted_at") > F.col("deleted_at"))).drop("deleted_at")

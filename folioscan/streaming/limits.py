@@ -13,12 +13,13 @@ from ..operators.admission import HOUR_MS, Budget
 DECISIONS = "key string, at long, seq long, amount long, allowed boolean, used long, wait_ms long"
 
 
-def limit_stream(events: DataFrame, kind: str, limit: int, size: int = HOUR_MS, expire: bool = False) -> DataFrame:
+def limit_stream(events: DataFrame, kind: str, limit: int, size: int = HOUR_MS, lateness: str | None = None) -> DataFrame:
     """The decisions of admission.decide() over a stream of (key, at, seq, amount).
 
-    A key's window is kept in the state store; with `expire` it is dropped when it has
-    been over for one more window by the clock (for streams that never end: one with
-    an availableNow trigger would wait for the clock). Events of one micro-batch are taken in order of (at, seq); an
+    A key's window is kept in the state store. With `lateness` it is closed by time: once the stream's
+    clock (the latest event less the lateness) is past the window's end, the key's state goes, so that what is
+    kept follows the keys that are active, not all that ever were; an event that is later than that clock is
+    dropped, as in any stream with a watermark. Without it, states stay and no event is late. Events of one micro-batch are taken in order of (at, seq); an
     event that comes in a later batch is judged then, whatever its time says.
     """
 
@@ -33,12 +34,17 @@ def limit_stream(events: DataFrame, kind: str, limit: int, size: int = HOUR_MS,
             allowed, wait = (budget.request(int(r.at), limit, size), 0) if kind == "requests" else budget.take(int(r.amount), int(r.at), limit, size)
             out.append((r.key, r.at, r.seq, r.amount, allowed, budget.used, wait if not allowed else 0))
         state.update((budget.used, budget.until, budget.opened))
-        if expire:
-            state.setTimeoutDuration(2 * size)
+        if lateness:
+            if budget.until + 1 > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(budget.until + 1)
+            else:
+                state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
 
     keyed = events.select(F.col("key").cast("string").alias("key"), F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("amount").cast("long").alias("amount"))
-    return keyed.groupBy("key").applyInPandasWithState(step, DECISIONS, "used long, until long, opened boolean", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
+    if lateness:
+        keyed = keyed.withColumn("time", F.timestamp_millis("at")).withWatermark("time", lateness)
+    return keyed.groupBy("key").applyInPandasWithState(step, DECISIONS, "used long, until long, opened boolean", "append", "EventTimeTimeout" if lateness else "NoTimeout")
 
 
 def _late(events: DataFrame, time: str, lateness: str | None) -> DataFrame:

@@ -79,7 +79,7 @@ def test_stored_postings_rank_as_the_texts_do(spark, engine):
     asked = spark.createDataFrame([(1, "What about the well-known river and Cedar Works in May?"), (2, "the year the work was for Ember"), (3, "zebra"), (4, "river stood high's")], "question_id long, question string")
     for per_document in (False, True):
         want = retrieval.bm25(notes.select("note_id", "doc_id", "text"), asked, per_document=per_document, depth=None)
-        got = retrieval.bm25_indexed(engine.store.table("postings"), notes.select("note_id", "doc_id", F.col("tokens").alias("length")), asked, per_document=per_document, depth=None)
+        got = retrieval.bm25_indexed(engine.store.table("postings"), engine.store.table("sizes"), asked, per_document=per_document, depth=None)
         rows = lambda df: {(r.question_id, r.note_id): round(r.score, 9) for r in df.collect()}
         assert rows(got) == rows(want) and rows(want)
 
@@ -89,7 +89,7 @@ def test_gates_and_stage_times(engine):
         with pytest.raises(Busy):
             put(engine, ("Anything?", "firms"))
     stages = engine.describe()["stages"].collect()
-    assert {r.stage for r in stages} == {"documents", "entries", "notes", "vectors", "postings"} and abs(sum(r.share for r in stages) - 1) < 1e-9
+    assert {r.stage for r in stages} == {"documents", "entries", "notes", "vectors", "sizes", "postings"} and abs(sum(r.share for r in stages) - 1) < 1e-9
     panels = engine.describe()
     assert panels["spine"].filter("doc_id = 'firms'").count() > 0 and panels["grid"].columns
 
