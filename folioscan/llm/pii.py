@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, boost, calibrate, threshold_for
-from .common import let, sql_literal, table, text_or_empty
+from .common import let, sql_literal, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the leftmost matches of the base patterns, without backtracking over long runs.
@@ -104,15 +104,21 @@ def between(chunks: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(F.array_join(held, ""), start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
 
 
-def _all(text: Column, pattern: str) -> Column:
-    """array of (start, end, value): all matches, leftmost and non-overlapping."""
+def _all(text: Column, patterns: list[tuple[str, str]]) -> Column:
+    """array of (kind, start, end, value): all matches of each pattern (kind, pattern) in turn, leftmost and non-overlapping.
 
-    def places(values: Column) -> Column:
-        ends = running(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), values, lambda b, v: F.length(b) + F.length(v)))
-        placed = F.zip_with(ends, values, lambda e, v: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
-        return F.when(F.size(values) > 0, placed).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    What the patterns find is placed by one expression for all: the plan grows by little with each.
+    """
+
+    def found(kind: str, pattern: str) -> Column:
+        apart = lambda values: F.struct(F.lit(KINDS.index(kind)).alias("kind"), values.alias("values"), F.split(text, pattern, -1).alias("around"))
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: F.when(F.size(values) > 0, apart(values)))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
+    def places(m: Column) -> Column:
+        ends = running(F.zip_with(F.slice(m["around"], F.lit(1), F.size(m["values"])), m["values"], lambda b, v: F.length(b) + F.length(v)))
+        return F.zip_with(ends, m["values"], lambda e, v: F.struct(m["kind"].alias("kind"), (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
+
+    return F.flatten(F.transform(F.filter(F.array(*[found(k, p) for k, p in patterns]), lambda m: m.isNotNull()), places))
 
 
 def digits_of(value: Column) -> Column:
@@ -135,32 +141,22 @@ def _octets(value: Column) -> Column:
     return value.rlike(rf"^{byte}(?:[^0-9]+{byte}){{3}}$")
 
 
-def _valid(kind: str, value: Column) -> Column:
-    if kind == "email":
-        return F.lit(True)
-    if kind == "ip":
-        return _octets(value)
-    if kind == "card":
-        return let(digits_of(value), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)))
-    return F.length(digits_of(value)).between(8, 15)
-
-
-def _validity(kind: str):
-    return lambda m: _valid(kind, m["value"])
-
-
-def _kinded(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+def _valid(m: Column) -> Column:
+    """Whether a match of a base pattern holds what its kind must."""
+    card = let(digits_of(m["value"]), lambda d: F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)))
+    phone = F.length(digits_of(m["value"])).between(8, 15)
+    kind = m["kind"]
+    return F.when(kind == KINDS.index("email"), F.lit(True)).when(kind == KINDS.index("ip"), _octets(m["value"])).when(kind == KINDS.index("card"), card).otherwise(phone)
 
 
 def base_spans(text: Column) -> Column:
     """array of (kind, start, end, value) in the order of kinds, then places."""
-    return F.concat(*[_kinded(F.filter(_all(text, BASE[k]), _validity(k)), k) for k in KINDS])
+    return F.filter(_all(text, [(k, BASE[k]) for k in KINDS]), _valid)
 
 
 def candidates(text: Column) -> Column:
     """All that the generators propose, overlaps and base spans included."""
-    return F.concat(*[_kinded(_all(text, p), k) for k, p in GENERATORS])
+    return _all(text, GENERATORS)
 
 
 def features(chunks: Column, c: Column) -> Column:
@@ -234,7 +230,7 @@ _fitted: list[tuple[Boosted, list[float]]] = []
 
 def described(rows: DataFrame) -> DataFrame:
     """rows (k, text, truth) by candidate: k, truth, kind, value, f (features), y: 1 if it is the truth."""
-    each = rows.select("k", "text", "truth", chunks_of(F.col("text")).alias("chunks"), F.explode(candidates(F.col("text"))).alias("c"))
+    each = rows.select("k", "text", "truth", chunks_of(F.col("text")).alias("chunks"), candidates(F.col("text")).alias("found")).select("k", "truth", "chunks", F.explode("found").alias("c"))
     return each.select("k", "truth", "c.kind", "c.value", features(F.col("chunks"), F.col("c")).alias("f"), (F.col("c.value") == F.col("truth")).cast("int").alias("y"))
 
 
@@ -315,8 +311,8 @@ def first_of_runs(spans: Column) -> Column:
     return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
 
 
-def _added(text: Column, base: Column, model: Boosted, thresholds: list[float]) -> Column:
-    """Candidates over their kind's threshold that overlap no base span; of overlapping ones the most probable stays."""
+def _added(text: Column, base: Column, found: Column, model: Boosted, thresholds: list[float]) -> Column:
+    """Candidates (found) over their kind's threshold that overlap no base span; of overlapping ones the most probable stays."""
 
     def scored(chunks: Column, c: Column) -> Column:
         p = let(features(chunks, c), lambda f: model.column(lambda k: f[FEATURES[k]]))
@@ -327,13 +323,11 @@ def _added(text: Column, base: Column, model: Boosted, thresholds: list[float])
         every = let(chunks_of(text), lambda chunks: F.transform(clear, lambda c: scored(chunks, c)))
         return let(F.filter(every, lambda c: -c["order"] >= F.get(least, c["kind"])), not_overlapping)
 
-    def proposed(found: Column) -> Column:
-        marked = F.zip_with(found, overlapped(found, base), lambda c, o: F.struct(c.alias("c"), o.alias("o")))
-        return let(F.transform(F.filter(marked, lambda m: ~m["o"]), lambda m: m["c"]), lambda clear: F.when(F.size(clear) > 0, in_order(judged(clear))).otherwise(none))
-
+    marked = F.zip_with(found, overlapped(found, base), lambda c, o: F.struct(c.alias("c"), o.alias("o")))
+    clear = F.transform(F.filter(marked, lambda m: ~m["o"]), lambda m: m["c"])
     in_order = lambda spans: F.transform(spans, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value")))
-    none = F.array().cast(_SPANS)
-    return let(candidates(text), lambda found: F.when(F.size(found) > 0, proposed(found)).otherwise(none))
+    chosen = let(clear, lambda x: F.when(F.size(x) > 0, in_order(judged(x))))
+    return F.when(F.size(found) > 0, chosen)
 
 
 #: A text without any of these has no candidate: numbers need a digit, and addresses one of _AT, of which
@@ -342,18 +336,33 @@ _HINT = rf"[0-9@]|(?i:[\[({{]at[\])}}]|\x20at\x20\x20?[a-z0-9-]{{1,63}}{_DOT}[a-
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def spans_of(text: Column, model: Boosted, thresholds: list[float]) -> Column:
-    """struct(base, added): arrays of (kind, start, end, value)."""
+_built: dict[str, tuple[Column, Column, Column]] = {}
+
+
+def with_spans(rows: DataFrame, text: Column, hinted: bool = True) -> DataFrame:
+    """rows with base and added: arrays of (kind, start, end, value) in the text, empty ones for a null.
+
+    Three projections, each over the columns of the one before: texts that can hold anything (all,
+    if not hinted), what patterns find in them, and what the model adds. So each is planned by
+    itself, and its expressions, which Python takes seconds to put together, are built once a JVM.
+    """
+    spark = rows.sparkSession
+    key = spark.sparkContext.applicationId
+    if key not in _built:
+        model, thresholds = fitted(spark)
+        own, base, found = (F.col(c) for c in ("_text", "_base", "_found"))
+        _built[key] = (base_spans(own), candidates(own), _added(own, base, found, model, thresholds))
+    base, found, added = _built[key]
     none = F.array().cast(_SPANS)
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), _added(text, b, model, thresholds).alias("added")))
-    return F.when(text.rlike(_HINT), both).otherwise(F.struct(none.alias("base"), none.alias("added")))
+    cut = rows.withColumn("_text", F.when(text.rlike(_HINT) if hinted else text.isNotNull(), text))
+    proposed = cut.select("*", base.alias("_base"), found.alias("_found"))
+    return proposed.select(*rows.columns, F.coalesce("_base", none).alias("base"), F.coalesce(added, none).alias("added"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base, added: arrays of (kind, start, end, value) of each row."""
-    model, thresholds = fitted(docs.sparkSession)
-    found = docs.select(F.col(id_col).alias("doc_id"), spans_of(text_or_empty(text_col), model, thresholds).alias("s"))
-    return found.select("doc_id", "s.base", "s.added")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_spans(rows, F.col("text")).select("doc_id", "base", "added")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -375,10 +384,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with personal data replaced by its kind; a column of lengths, if there is one, follows the text."""
-    model, thresholds = fitted(docs.sparkSession)
-    text = F.col(f"row.{text_col}")
-    held = docs.select(F.struct("*").alias("row")).withColumn("s", spans_of(F.coalesce(text, F.lit("")), model, thresholds))
-    held = held.withColumn("all", F.concat("s.base", "s.added"))
+    text = F.col(f"row.`{text_col}`")
+    held = with_spans(docs.select(F.struct("*").alias("row")), text).select("row", F.concat("base", "added").alias("all"))
     clean = F.when(F.size("all") > 0, redacted(text, F.col("all"))).otherwise(text)
     held = held.select("row", "all", clean.alias("clean"))
     changed = {text_col: F.col("clean")}
