@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DIMENSIONS = 1 << 14
-NGRAMS = (3, 4, 5)
+DIMENSIONS = 1 << 16
+NGRAMS = (3, 4, 5, 6, 7)
 THRESHOLD = 0.5
 #: Rules that are sent to every worker, at most (about 300 MB); more are an error.
 MOST_RULES = 1_000_000
@@ -42,7 +42,17 @@ payday loans replica warez torrent crack keygen free-money click-farm link-farm
 CLEAN_WORDS = """blog news wiki docs library museum school university garden recipes history science weather travel sports music
 journal archive forum health city market studio letters notes books art film maps data project open community review""".split()
 PLACES = ["example.com", "example.org", "example.net"]
+#: Letters around a blocked word that make another word of it.
+WITHIN = ["{}ster", "{}etta", "{}mar", "{}man", "{}le", "{}ium", "{}ery", "{}eld", "ro{}", "al{}", "un{}", "bra{}", "wi{}n", "o{}ing", "s{}y", "{}s-and-sons", "ne{}land", "sto{}ed"]
+#: Ends of hosts of the other tables' making.
+ENDS = ["com", "org", "net", "gov", "edu", "ac.uk", "co.uk", "de", "fr", "es", "io", "info", "museum", "gc.ca"]
 PATHS = ["/en/1", "/fr/22", "/de/333.html", "/es/44/", "/about", "/articles/2020/05/today", "/index.html", "/"]
+#: Words and names that hold letters of blocked words and are none.
+LOOKALIKES = """alphabet alphabets diabetes tibetan better betty between barbets abetting sherbets nutcracker crackers firecracker cracked hackney pharmacy pharmacist essex sussex middlesex
+wessex github gitlab slotted timeslots slotcars casinum occasion occasional caslon pokeberry pokey spokes smoker escorial scorched loaner sloane reloaded balloons freeloader replicate replication
+replicator torrential software hardware warehouse stoneware spamalot spanish spamming-study cheapside cheapstow spills caterpillar pillsbury upills popcorn capricorn unicorn porncic adulthood
+adults-education keyboard keyguard hydrogen oxygen nitrogen freedom freemason moneypenny harmony ceremony seoul museo linkedin linking links-golf doors outdoors doorstep niagara viaduct agrarian holiday
+birthday paypal payroll jackson jackdaw potluck crockpot farming farmers-market clicker clickable newsmill windmill watermill miracles curious secure manicure exxon maxx foxx pills-museum analyst""".split()
 #: What stands around a word in a host; `free` and `best` may stand before either kind.
 SHAPES = ["{}", "{}-win", "{}24", "my{}", "best-{}", "free-{}", "{}online", "the{}", "{}-world", "{}7"]
 
@@ -56,6 +66,19 @@ def labelled() -> list[tuple[str, str, int]]:
                 prefix = ["", "www.", "m.", "blog."][(k + j) % 4]
                 rows.append((f"{prefix}{shape.format(w)}.{PLACES[(k + j) % 3]}", PATHS[(k + 3 * j) % len(PATHS)], label))
             rows.append((f"www.site{k}.example.org", f"/{w}/{k}", label))
+    # words that look like blocked ones, under all kinds of ends
+    for k, w in enumerate(LOOKALIKES):
+        for j in range(3):
+            prefix, shape = ["", "www.", "m.", "blog."][(k + j) % 4], ["{}", "{}", "my{}", "{}-world"][(k + 2 * j) % 4]
+            rows.append((f"{prefix}{shape.format(w)}.{ENDS[(k + 5 * j) % len(ENDS)]}", PATHS[(k + j) % len(PATHS)], 0))
+        rows.append((f"www.site{k}.example.org", f"/{w}/{k}", 0))
+    for k, w in enumerate(CLEAN_WORDS):
+        rows += [(f"{w}{other}.{ENDS[(k + j) % len(ENDS)]}", PATHS[(k + j) % len(PATHS)], 0) for j, other in enumerate(CLEAN_WORDS) if (k * 7 + j) % 11 == 0]
+    # a blocked word within a longer one is none: the letters around it vary, but for those of SHAPES
+    for k, w in enumerate(BLOCKED_WORDS):
+        rows += [(f"{around.format(w)}.{ENDS[(k + 3 * j) % len(ENDS)]}", PATHS[(k + j) % len(PATHS)], 0) for j, around in enumerate(WITHIN)]
+    for k, w in enumerate(BLOCKED_WORDS):
+        rows += [(f"{shape.format(w)}.{ENDS[(k + j) % len(ENDS)]}", PATHS[(k + j) % len(PATHS)], 1) for j, shape in enumerate(SHAPES)]
     # invented hosts: syllables in any order are no reason to block
     syllables = "th re on an in er es st en ti ea ou nd la mi vo".split()
     for k in range(240):
@@ -158,10 +181,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     kind = pages.schema[id_col].dataType.simpleString()
     url = F.col(url_col)
     cut = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    model = fitted()  # once, here; weights and rules go to the workers with the function
-    book = RuleBook(RULES if rules is None else rules)
+    # fitted once, here; weights and rules are broadcast
+    shared = pages.sparkSession.sparkContext.broadcast((fitted(), RuleBook(RULES if rules is None else rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, book = shared.value
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             scores = score(hosts, paths, model)

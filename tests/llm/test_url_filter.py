@@ -59,6 +59,24 @@ def test_held_out_words():
     assert accuracy([r for r in rows if holds(r) and not r[2]], model) >= 0.6
 
 
+#: Hosts that hold letters of blocked words, none of them of the training table's words.
+BENIGN = """alphabets.org abetted.com betterment.org elizabeth.net diabetic-care.org tibet.org bethesda.gov crackers.com wisecrack.com crackle.com pharmacy.gov pharmacology.edu essex.ac.uk essexlibrary.org.uk github.com gist.github.com
+sexton.org.uk casinelli.it occasions.fr caslon-type.com pokemon.com spokesman.com slots-cars-club.de timeslot.io loaned.co.uk sloanes.com reload.io balloon-art.com replicas-lab.edu.fr torrents-of-rain.org torrevieja.es softwares.de warehouses.com
+spam-musubi.jp cheapest.org spilled-milk.org pillar.com caterpillars.org acorn.ac.uk cornwall.gov.uk adultlearning.edu keygate.com hydrogens.de freed.org moneta.museum honey.com testimony.org seoulcity.go.kr museums.fr linkage.org linked.com doorbell.com indoor.org niagarafalls.com
+viagrande.it holidays.com payday-history.edu jackets.com potter.com farm.org farmers.com clickhouse.com newsmile.com mills.edu miracle-garden.org cured-ham.es exon.org maxxis.de en.wikipedia.org news.bbc.co.uk www.gov.uk docs.python.org arxiv.org nasa.gov mit.edu lemonde.fr elpais.com spiegel.de
+theguardian.com nytimes.com weather.gov who.int un.org archive.org stackoverflow.com spark.apache.org pandas.pydata.org numpy.org wordpress.org blog.rust-lang.org golang.org mozilla.org debian.org kernel.org gnu.org berkeley.edu ox.ac.uk cam.ac.uk ethz.ch tum.de upc.edu sorbonne-universite.fr
+louvre.fr prado.es metmuseum.org britishmuseum.org loc.gov bnf.fr dnb.de bne.es europa.eu oecd.org imf.org worldbank.org nature.com science.org thelancet.com bmj.com plos.org jstor.org pubmed.ncbi.nlm.nih.gov cdc.gov nhs.uk bahn.de sncf.fr renfe.es""".split()
+
+
+def test_benign_hosts_are_rarely_blocked():
+    """Most of these aren't in the training table in any form; those that are told apart from blocked words by their letters alone are."""
+    fresh = [h for h in BENIGN if not {h.split(".")[0]} & set(uf.LOOKALIKES + uf.CLEAN_WORDS)]
+    assert len(fresh) > 100
+    paths = ["/", "/about", "/en/12", "/articles/2020/05/today", "/index.html"]
+    got = [(h, p) for h in fresh for p in paths if uf.score([h], [p])[0] >= uf.THRESHOLD]
+    assert len(got) < 0.02 * len(fresh) * len(paths), got
+
+
 def test_scores_are_sums_over_n_grams():
     w, b = uf.fitted()
     for host, path in (("blog.free-bets.example.com", "/de/216.html"), ("", ""), ("é.example.net", "/fr/ü"), ("a", "/")):
