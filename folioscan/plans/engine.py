@@ -8,6 +8,7 @@ a question and a text (default: none), `chat` a function of prompts (default: qu
 from __future__ import annotations
 
 import threading
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +21,7 @@ from ..functions import vectors as vx
 from ..operators import answers, entities, facts, questions, retrieval, segment, stats, timeline
 from ..session import durable, ship
 from ..sources.readers import admit
-from ..sources.store import Store, document_text
+from ..sources.store import Store, View, document_text
 
 DAY = "INTERVAL 24 HOURS"
 #: Documents that the questions of one call may be about.
@@ -31,6 +32,24 @@ class Busy(RuntimeError):
     """As many jobs of a kind as are allowed run already; come back later."""
 
 
+class Panels(Mapping):
+    """DataFrames by name, each planned when it is first looked at."""
+
+    def __init__(self, made: dict):
+        self._made, self._known = made, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            self._known[name] = self._made[name]()
+        return self._known[name]
+
+    def __iter__(self):
+        return iter(self._made)
+
+    def __len__(self) -> int:
+        return len(self._made)
+
+
 class Gate:
     """Lets so many callers in at once and refuses the rest; cancel() stops the Spark jobs of those within."""
 
@@ -128,13 +147,14 @@ class Engine:
 
     # ---- ask -----------------------------------------------------------------
 
-    def rank(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def rank(self, asked: DataFrame, view: View | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(vector ranking, word ranking, fused ranking) of questions (question_id, question, and q, their vectors, if these are there).
 
         With a doc_id, a question is put to that document: only its notes are ranked, and
         the statistics of words are its own.
         """
-        vectors, index, sizes = (self.store.table(t) for t in ("vectors", "postings", "sizes"))
+        view = view or self.store.view()
+        vectors, index, sizes = (view.table(t) for t in ("vectors", "postings", "sizes"))
         scoped = "doc_id" in asked.columns
         vector = F.col("q") if "q" in asked.columns else self.embed(F.col("question")).alias("q")
         q = asked.select("question_id", vector, *[F.col("doc_id").alias("_asked")] * scoped)
@@ -150,7 +170,7 @@ class Engine:
         by_vector = retrieval.ranked(near, F.desc(F.round("score", 9)), F.col("note_id"), depth=retrieval.DEPTH)
         return by_vector, by_words, retrieval.fuse(by_vector, by_words)
 
-    def ask(self, asked: DataFrame) -> dict[str, DataFrame]:
+    def ask(self, asked: DataFrame) -> Mapping[str, DataFrame]:
         """Panels for questions (question_id, question, and doc_id if a question is put to one document).
 
         A question to a document that asks for a list is answered from every note, in the
@@ -160,13 +180,14 @@ class Engine:
 
         Questions, rankings, what is shown, facts, coverage and replies are each computed once, here, and written; panels
         read them. So the models are called once: embed and chat a question, scorer a candidate. Facts, gaps and reports are of
-        the documents in question: the one that is asked, or those that are shown.
+        the documents in question: the one that is asked, or those that are shown or, for a silent question, came nearest.
         """
         with self.asking:
             return self._ask(asked)
 
-    def _ask(self, asked: DataFrame) -> dict[str, DataFrame]:
-        notes, entries = self.store.table("notes"), self.store.table("entries")
+    def _ask(self, asked: DataFrame) -> Mapping[str, DataFrame]:
+        view = self.store.view()
+        notes, entries, sizes = (view.table(t) for t in ("notes", "entries", "sizes"))
         scoped = "doc_id" in asked.columns
         question, c = F.col("question"), F.col
         kept_columns = ["question_id", "question", *["doc_id"] * scoped]
@@ -174,9 +195,9 @@ class Engine:
         named = F.array_distinct(F.filter(F.transform(dates.date_hits(question), lambda h: h["date"]), lambda d: d.isNotNull()))
         q = durable(asked.select(*kept_columns, whole_document.alias("everything"), questions.asks_for_range(question).alias("asks_range"), self.embed(question).alias("q"), named.alias("dates")))
         asked = q.select(*kept_columns)
-        fused = durable(self.rank(q)[2])
+        fused = durable(self.rank(q, view)[2])
         # ---- silence: never for a question answered from all notes, nor for one that a fact answers
-        total = self._totals(q, self.store.table("sizes"), scoped)
+        total = self._totals(q, sizes, scoped)
         searched = retrieval.silence_of(fused, asked).join(q.select("question_id", "everything", "asks_range"), "question_id").join(total, "question_id", "left")
         if scoped:
             own_entries = durable(entries.join(F.broadcast(self._few(asked.select("doc_id").distinct())), "doc_id", "left_semi"))
@@ -199,11 +220,16 @@ class Engine:
         lifted = retrieval.lift_asked_dates(best.withColumnRenamed("rank", "ranked"), q.select("question_id", F.explode("dates").alias("date")), by="ranked")
         shown = lifted.select("question_id", *columns, c("place").alias("rank"), "fused", "vector", "lexical", (c("rerank") if self.scorer is not None else F.lit(None).cast("double")).alias("rerank"))
         if scoped:
-            shown = shown.unionByName(self._whole(q.filter("everything"), notes, columns), allowMissingColumns=True)
+            shown = shown.unionByName(self._whole(q.filter("everything"), notes, view.table("vectors"), columns), allowMissingColumns=True)
         shown = durable(shown)
         # ---- facts, over the whole of the documents in question
-        where = asked.select("question_id", "doc_id") if scoped else shown.select("question_id", "doc_id").distinct()
-        if not scoped:
+        if scoped:
+            where = asked.select("question_id", "doc_id")
+        else:
+            # of a silent question, the documents that came nearest: what they lack is told
+            nearest = fused.filter(c("rank") <= retrieval.SHOWN).join(judged.filter("silent").select("question_id"), "question_id", "left_semi").select("question_id", "note_id")
+            nearest = notes.select("note_id", "doc_id").join(F.broadcast(nearest), "note_id").select("question_id", "doc_id")
+            where = durable(shown.select("question_id", "doc_id").union(nearest).distinct())
             own_entries = durable(entries.join(F.broadcast(self._few(where.select("doc_id").distinct())), "doc_id", "left_semi"))
             ranges = facts.range_facts(own_entries)
         counted = durable(facts.term_facts(own_entries, asked, where))
@@ -219,14 +245,15 @@ class Engine:
         steps = coverage.select("question_id", "silent", c("total").alias("notes"), F.when(~c("everything"), c("ranked")).alias("ranked"), F.when(c("reranked") > 0, c("reranked")).alias("reranked"), "shown")
         replies = durable(self.replies(asked, shown, sentences, coverage))
         refused = replies.join(coverage.select("question_id", "silent", "asks_range", "has_range"), "question_id")
-        texts = document_text(own_entries)
-        mentions = entities.tally(self._mentions(own_entries))
-        return {
-            "shown": shown, "silence": coverage.drop("shown", "reranked", "ranked"), "coverage": coverage.drop("ranked"), "details": answers.details(shown), "tallies": answers.tallies(shown), "facts": counted, "range": ranges, "sentences": sentences,
-            "gaps": facts.gap_report(facts.gaps(texts, asked, where)), "said_once": facts.said_once(mentions), "out_of_order": facts.out_of_order(own_entries), "spelled_two_ways": facts.spelled_two_ways(texts), "ambiguous": facts.ambiguous_dates(own_entries),
-            "replies": replies.drop("reply"), "refused": refused.select("question_id", answers.refused_by(c("silent"), c("has_range"), c("asks_range"), c("reply")).alias("refused_by")),
-            "funnel": timeline.funnel(steps), "warnings": self.warnings(coverage),
-        }
+        texts = lambda: document_text(own_entries)
+        mentions = lambda: entities.tally(self._mentions(own_entries))
+        return Panels({
+            "shown": lambda: shown, "silence": lambda: coverage.drop("shown", "reranked", "ranked"), "coverage": lambda: coverage.drop("ranked"), "details": lambda: answers.details(shown), "tallies": lambda: answers.tallies(shown),
+            "facts": lambda: counted, "range": lambda: ranges, "sentences": lambda: sentences, "gaps": lambda: facts.gap_report(facts.gaps(texts(), asked, where)), "said_once": lambda: facts.said_once(mentions()),
+            "out_of_order": lambda: facts.out_of_order(own_entries), "spelled_two_ways": lambda: facts.spelled_two_ways(texts()), "ambiguous": lambda: facts.ambiguous_dates(own_entries),
+            "replies": lambda: replies.drop("reply"), "refused": lambda: refused.select("question_id", answers.refused_by(c("silent"), c("has_range"), c("asks_range"), c("reply")).alias("refused_by")),
+            "funnel": lambda: timeline.funnel(steps), "warnings": lambda: self.warnings(coverage),
+        })
 
     @staticmethod
     def _few(ids: DataFrame) -> DataFrame:
@@ -242,12 +269,12 @@ class Engine:
             return q.select("question_id", "doc_id").join(sizes.select("doc_id", "notes"), "doc_id").groupBy("question_id").agg(F.sum("notes").alias("total"))
         return q.select("question_id").crossJoin(F.broadcast(sizes.agg(F.coalesce(F.sum("notes"), F.lit(0)).alias("total"))))
 
-    def _whole(self, q: DataFrame, notes: DataFrame, columns: list[str]) -> DataFrame:
+    def _whole(self, q: DataFrame, notes: DataFrame, vectors: DataFrame, columns: list[str]) -> DataFrame:
         """The notes of each question's document in order, as far as the budget goes, with their cosine."""
         at = F.struct("entry_idx", "part").alias("at")
         ordered = notes.join(q.select("doc_id").distinct(), "doc_id", "left_semi").select(*columns, at)
         kept = retrieval.within_budget(ordered, order="at").join(q.select("question_id", "doc_id", "q"), "doc_id")
-        near = kept.join(self.store.table("vectors").select("note_id", "v"), "note_id").withColumn("vector", vx.cosine(F.col("v"), F.col("q")))
+        near = kept.join(vectors.select("note_id", "v"), "note_id").withColumn("vector", vx.cosine(F.col("v"), F.col("q")))
         rank = F.row_number().over(Window.partitionBy("question_id").orderBy("at"))
         return near.select("question_id", *columns, rank.alias("rank"), "vector")
 
