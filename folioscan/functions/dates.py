@@ -179,6 +179,26 @@ def valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.between(FIRST_YEAR, LAST_YEAR), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def display_date(day: Column) -> Column:
+    """A day as readers see it: 6 March 2026."""
+    return F.date_format(day, "d MMMM yyyy")
+
+
+def month_label(day: Column) -> Column:
+    """A month as axes show it: Mar 26."""
+    return F.date_format(day, "MMM yy")
+
+
+def month_key(day: Column) -> Column:
+    """A month as it is grouped by: 2026-03."""
+    return F.date_format(day, "yyyy-MM")
+
+
+def assumed_year(named: Column, given: Column) -> Column:
+    """Whether dates without a year take one that the reader gave: the document names none."""
+    return named.isNull() & given.isNotNull()
+
+
 def month_ordinal(month: Column) -> Column:
     """Months since year 0 of 'yyyy-MM'."""
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1

@@ -94,7 +94,7 @@ class Engine:
         text = F.col("text")
         documents = docs.select(
             "doc_id", F.coalesce("title", tx.guess_title(text)).alias("title"), "source_name", tx.fingerprint(text, self.model).alias("fingerprint"),
-            F.length("text").alias("characters"), F.current_timestamp().alias("created_at"), F.expr(f"current_timestamp() + {DAY}").alias("expires_at"),
+            F.length("text").alias("characters"), dates.assumed_year(segment.dominant_year(text), F.col("year_hint")).alias("assumed_year"), F.current_timestamp().alias("created_at"), F.expr(f"current_timestamp() + {DAY}").alias("expires_at"),
         )
 
         def notes(written) -> DataFrame:

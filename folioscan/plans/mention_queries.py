@@ -85,7 +85,16 @@ def _periods(text):
 @query("display_dates", "SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS display, strftime(o_orderdate, '%b %y') AS month_label, strftime(o_orderdate, '%Y-%m') AS month_key FROM orders")
 def display_dates(read):
     d = "o_orderdate"
-    return read("orders").select("o_orderkey", F.date_format(d, "d MMMM yyyy").alias("display"), F.date_format(d, "MMM yy").alias("month_label"), F.date_format(d, "yyyy-MM").alias("month_key"))
+    return read("orders").select("o_orderkey", dates.display_date(d).alias("display"), dates.month_label(d).alias("month_label"), dates.month_key(d).alias("month_key"))
+
+
+@query("assumed_years", r"SELECT doc_id, doc_id % 3 = 0 AND NOT regexp_matches(text, '\b(?:19|20)[0-9]{2}\b') AS assumed FROM documents WHERE text IS NOT NULL")
+def assumed_years(read):
+    """Documents whose dates would take the year that the reader gave (every third has one): those that name none."""
+    from ..operators.segment import dominant_year as of
+
+    d = read("documents").filter("text IS NOT NULL").select("doc_id", of(F.col("text")).alias("year"), F.when(F.col("doc_id") % 3 == 0, F.lit(2020)).alias("given"))
+    return d.select("doc_id", dates.assumed_year(F.col("year"), F.col("given")).alias("assumed"))
 
 
 _AMOUNT = sql(en.AMOUNT)

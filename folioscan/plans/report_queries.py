@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..lexicons import GAP_SCAFFOLD, NEVER_MISSPELT
 from ..operators import entities as en
 from ..operators import facts as fx
+from ..operators import retrieval as rt
 from ..operators import stats
 from ..operators import timeline as tl
 from ..regex import quoted
@@ -16,7 +17,7 @@ from . import corpora
 from .corpora import DIARY_SQL, DIARY_TEXT_SQL, JOBS_SQL
 from .mention_queries import _FOUND, _PRESENT, found_mentions, present_mentions
 from .registry import query
-from .search_queries import ASKED_SQL, PROPER_NOUNS_SQL, SUBJECT_TERMS_SQL, asked
+from .search_queries import _FUSED, _LEX60, _OTHER, ASKED_SQL, PROPER_NOUNS_SQL, SUBJECT_TERMS_SQL, asked, other_ranking, word_ranking
 
 _LIST = lambda words: "[" + ", ".join(quoted(w) for w in words) + "]"
 
@@ -198,15 +199,18 @@ def note_map(read):
     return n.select("doc_id", "note_id", "chars", F.round("share", 6).alias("share"), "notes", F.round("longest", 6).alias("longest"), "dominated")
 
 
-_STAGES = "stages AS (SELECT n_nationkey::BIGINT AS question_id, 100 + n_nationkey AS notes, CASE WHEN n_nationkey % 3 > 0 THEN 60 + n_nationkey END AS ranked, CASE WHEN n_nationkey % 4 = 1 THEN 30 END AS reranked, 8 AS shown, n_nationkey % 5 = 4 AS silent FROM nation)"
+#: What the two searches rank of the diaries' entries for each question; every fourth question's candidates count as weighed, every fifth as silent.
+_STAGES = f"""{ASKED_SQL}, {DIARY_SQL}, {_LEX60}, {_OTHER}, {_FUSED}, stages AS (SELECT question_id, (SELECT count(*) FROM diary) AS notes, CASE WHEN question_id % 3 > 0 THEN count(*) END AS ranked,
+ CASE WHEN question_id % 4 = 1 THEN least(30, count(*)) END AS reranked, least(8, count(*)) AS shown, question_id % 5 = 4 AS silent FROM ranked GROUP BY question_id)"""
 
 
 @query("funnel", f"""WITH {_STAGES}, s AS (SELECT question_id, 0 AS step, 'in the document' AS label, notes FROM stages UNION ALL SELECT question_id, 1, 'matched the question', CASE WHEN silent THEN 0 END FROM stages
  UNION ALL SELECT question_id, 2, 'ranked by both searches', CASE WHEN NOT silent THEN ranked END FROM stages UNION ALL SELECT question_id, 3, 'weighed by the reranker', CASE WHEN NOT silent THEN reranked END FROM stages UNION ALL SELECT question_id, 4, 'shown to the model', CASE WHEN NOT silent THEN shown END FROM stages)
 SELECT question_id, step, label, notes::BIGINT AS notes FROM s WHERE notes IS NOT NULL""")
 def funnel(read):
-    k = F.col("n_nationkey")
-    s = read("nation").select(k.cast("long").alias("question_id"), (100 + k).alias("notes"), F.when(k % 3 > 0, 60 + k).alias("ranked"), F.when(k % 4 == 1, F.lit(30)).alias("reranked"), F.lit(8).alias("shown"), (k % 5 == 4).alias("silent"))
+    fused = rt.fuse(other_ranking(read), word_ranking(read)).groupBy("question_id").agg(F.count("*").alias("n"))
+    notes, k, n = corpora.diary(read).agg(F.count("*").alias("notes")), F.col("question_id"), F.col("n")
+    s = fused.crossJoin(F.broadcast(notes)).select("question_id", "notes", F.when(k % 3 > 0, n).alias("ranked"), F.when(k % 4 == 1, F.least(F.lit(30), n)).alias("reranked"), F.least(F.lit(8), n).alias("shown"), (k % 5 == 4).alias("silent"))
     return tl.funnel(s)
 
 

@@ -28,7 +28,7 @@ CLUSTERED = {"postings": ("slot", retrieval.clustered)}
 #: Tables that another one determines, and how.
 DERIVED = {"sizes": ("notes", retrieval.note_sizes), "postings": ("notes", retrieval.postings)}
 #: Columns that a batch may lack, and what they are then.
-DEFAULTS = {"notes": {"tokens": lambda: F.size(retrieval.tokens(F.col("text")))}, "documents": {"source_name": lambda: F.lit("unknown")}}
+DEFAULTS = {"notes": {"tokens": lambda: F.size(retrieval.tokens(F.col("text")))}, "documents": {"source_name": lambda: F.lit("unknown"), "assumed_year": lambda: F.lit(False)}}
 #: Batches that a read names one by one, so that others' folders aren't opened; more are joined.
 MOST_BATCHES = 2000
 
@@ -87,45 +87,15 @@ class Store:
             return self.spark.createDataFrame([], "batch string, stage string, seconds double, share double")
         return rows.withColumn("share", F.col("seconds") / F.sum("seconds").over(Window.partitionBy("batch")))
 
-    def _committed(self, rows: DataFrame, commits: DataFrame) -> DataFrame:
-        batches = [r["batch"] for r in commits.select("batch").distinct().limit(MOST_BATCHES + 1).collect()]
-        if len(batches) > MOST_BATCHES:
-            return rows.join(commits.select("batch").distinct(), "batch", "left_semi")
-        return rows.filter(F.col("batch").isin(batches))
-
-    def _derived(self, name: str, commits: DataFrame) -> DataFrame | None:
-        """Rows of a derived table for the batches that lack it."""
-        source, make = DERIVED[name]
-        lacking = commits.filter(~F.coalesce(F.array_contains("tables", name), F.lit(False))) if "tables" in commits.columns else commits
-        rows = self._read(source)
-        if rows is None or lacking.isEmpty():
-            return None
-        of_source = self._with_defaults(source, self._committed(rows, lacking))
-        if of_source.isEmpty():
-            return None
-        when = of_source.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max("inserted_at").alias("inserted_at"))
-        return make(of_source).join(when, "doc_id")
-
-    @staticmethod
-    def _with_defaults(name: str, rows: DataFrame) -> DataFrame:
-        for column, value in DEFAULTS.get(name, {}).items():
-            rows = rows.withColumn(column, F.coalesce(F.col(column), value()) if column in rows.columns else value())
-        return rows
+    def view(self) -> View | None:
+        """What is committed and deleted now, read once for several tables; None before the first insert."""
+        commits = self._read("commits")
+        return None if commits is None else View(self, commits, self._read("deleted"))
 
     def table(self, name: str) -> DataFrame | None:
         """Committed rows of documents that aren't deleted; None before the first insert."""
-        rows, commits, deleted = self._read(name), self._read("commits"), self._read("deleted")
-        if commits is None:
-            return None
-        rows = None if rows is None else self._with_defaults(name, self._committed(rows, commits))
-        if name in DERIVED and (more := self._derived(name, commits)) is not None:
-            rows = more if rows is None else rows.unionByName(more)
-        if rows is None:
-            return None
-        if deleted is not None:
-            later = deleted.groupBy("doc_id").agg(F.max("deleted_at").alias("deleted_at"))
-            rows = rows.join(later, "doc_id", "left").filter(F.col("deleted_at").isNull() | (F.col("inserted_at") > F.col("deleted_at"))).drop("deleted_at")
-        return rows
+        view = self.view()
+        return None if view is None else view.table(name)
 
     def entries(self, doc_id) -> DataFrame:
         return self.table("entries").filter(F.col("doc_id") == doc_id).orderBy("idx")
@@ -170,6 +140,53 @@ class Store:
         return new
 
 
+class View:
+    """The tables of a store as they are committed when it is made."""
+
+    def __init__(self, store: Store, commits: DataFrame, deleted: DataFrame | None):
+        self.store, self.commits, self.deleted = store, commits, deleted
+        if "tables" not in commits.columns:
+            self.commits = commits.withColumn("tables", F.lit(None).cast("array<string>"))
+        self.rows = self.commits.select("batch", "tables").limit(MOST_BATCHES + 1).collect()
+
+    def _of(self, rows: DataFrame, lacking: str | None = None) -> DataFrame | None:
+        """Rows of committed batches; of those that lack a table only. None if there is no such batch."""
+        if len(self.rows) > MOST_BATCHES:
+            wanted = self.commits if lacking is None else self.commits.filter(~F.coalesce(F.array_contains("tables", lacking), F.lit(False)))
+            return rows.join(wanted.select("batch").distinct(), "batch", "left_semi")
+        batches = [r["batch"] for r in self.rows if lacking is None or lacking not in (r["tables"] or ())]
+        return rows.filter(F.col("batch").isin(batches)) if batches else None
+
+    def _derived(self, name: str) -> DataFrame | None:
+        """Rows of a derived table for the batches that lack it."""
+        source, make = DERIVED[name]
+        rows = self.store._read(source)
+        rows = None if rows is None else self._of(rows, lacking=name)
+        if rows is None or rows.isEmpty():
+            return None
+        rows = self._with_defaults(source, rows)
+        when = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"), F.max("inserted_at").alias("inserted_at"))
+        return make(rows).join(when, "doc_id")
+
+    @staticmethod
+    def _with_defaults(name: str, rows: DataFrame) -> DataFrame:
+        for column, value in DEFAULTS.get(name, {}).items():
+            rows = rows.withColumn(column, F.coalesce(F.col(column), value()) if column in rows.columns else value())
+        return rows
+
+    def table(self, name: str) -> DataFrame | None:
+        """Committed rows of documents that aren't deleted; None if there are none such."""
+        rows = self.store._read(name)
+        if rows is not None and (rows := self._of(rows)) is not None:
+            rows = self._with_defaults(name, rows)
+        if name in DERIVED and (more := self._derived(name)) is not None:
+            rows = more if rows is None else rows.unionByName(more)
+        if rows is not None and self.deleted is not None:
+            later = self.deleted.groupBy("doc_id").agg(F.max("deleted_at").alias("deleted_at"))
+            rows = rows.join(later, "doc_id", "left").filter(F.col("deleted_at").isNull() | (F.col("inserted_at") > F.col("deleted_at"))).drop("deleted_at")
+        return rows
+
+
 def newest(documents: DataFrame) -> DataFrame:
     """fingerprint, doc_id: the document of each fingerprint that was made last, the greater id among equals."""
     return documents.groupBy("fingerprint").agg(F.max_by("doc_id", F.struct("created_at", "doc_id")).alias("doc_id"))
