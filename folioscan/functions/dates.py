@@ -23,25 +23,26 @@ from .binding import batched
 _NUMBER = {name.lower()[:n]: k + 1 for k, name in enumerate(MONTHS) for n in (3, len(name))} | {"sept": 9}
 _NAMES = "|".join(sorted(_NUMBER, key=lambda n: (-len(n), n)))
 FIRST_YEAR, LAST_YEAR = 1000, 2100
-HIT = "struct<raw:string,date:string,year:int,month:int,day:int,inferred:boolean,ambiguous:boolean,month_only:boolean,position:int>"
+#: What a date in a text says: a whole day, a month of a year, a day of no year, or a pair of numbers that can be read two ways.
+DAY, MONTH, NO_YEAR, UNCLEAR = "day", "month", "no year", "unclear"
+HIT = "struct<start:int,raw:string,says:string,date:string,month:string,year_assumed:boolean>"
 HITS = f"array<{HIT}>"
 
 
 @dataclass
 class Hit:
+    start: int
     raw: str
-    date: str | None
-    year: int | None
-    month: int | None
-    day: int | None
-    inferred: bool
-    ambiguous: bool
-    month_only: bool
-    position: int
+    says: str
+    #: yyyy-MM-dd of a whole day; yyyy-MM of a day or month of a known year.
+    date: str | None = None
+    month: str | None = None
+    #: The year isn't written by the date but comes from the hint.
+    year_assumed: bool = False
 
     @property
-    def month_key(self) -> str | None:
-        return f"{self.year:04d}-{self.month:02d}" if self.year and self.month else None
+    def end(self) -> int:
+        return self.start + len(self.raw)
 
 
 def _year(digits: str | None) -> int | None:
@@ -87,6 +88,17 @@ _SHAPES = [
 ]
 
 
+def _hit(start: int, raw: str, day: int | None, month: int | None, year: int | None, assumed: bool) -> Hit:
+    if month is None:
+        return Hit(start, raw, UNCLEAR)
+    of_year = f"{year:04d}-{month:02d}" if year else None
+    if day is None:
+        return Hit(start, raw, MONTH, month=of_year)
+    if year is None:
+        return Hit(start, raw, NO_YEAR)
+    return Hit(start, raw, DAY, f"{of_year}-{day:02d}", of_year, assumed)
+
+
 def find_dates(text: str | None, hint: int | None = None) -> list[Hit]:
     """All dates of a text in reading order; hint: the year of those that name none."""
     hits: list[tuple[int, int, Hit]] = []  # apart from each other, in reading order
@@ -105,8 +117,7 @@ def find_dates(text: str | None, hint: int | None = None) -> list[Hit]:
             at = bisect(hits, m.start(), key=lambda x: x[0])
             if (at and hits[at - 1][1] > m.start()) or (at < len(hits) and hits[at][0] < m.end()):
                 continue
-            whole = f"{year:04d}-{month:02d}-{day:02d}" if year and month and day else None
-            hits.insert(at, (m.start(), m.end(), Hit(m[0].strip(), whole, year, month, day, inferred and whole is not None, ambiguous, bool(month and year and not day), m.start())))
+            hits.insert(at, (m.start(), m.end(), _hit(m.start(), m[0].strip(), day, month, year, inferred)))
     return [h for *_, h in hits]
 
 
@@ -128,9 +139,9 @@ def period_of(text: str | None, hits: list[Hit]) -> tuple[str | None, bool]:
     """(end month, still running) of the first period that consecutive dates or a word such as `present` state."""
     text = text or ""
     for a, b in zip(hits, hits[1:], strict=False):
-        if a.month_key and b.month_key and _JOIN.fullmatch(text, a.position + len(a.raw), b.position):
-            return b.month_key, False
-    return None, any(_RUNNING.match(text, h.position + len(h.raw)) for h in hits)
+        if a.month and b.month and _JOIN.fullmatch(text, a.end, b.start):
+            return b.month, False
+    return None, any(_RUNNING.match(text, h.end) for h in hits)
 
 
 ENTRY_FIELDS = ["date", "date_raw", "inferred", "ambiguous", "month_only", "month", "end_month", "open_ended"]
@@ -139,12 +150,13 @@ ENTRY_FIELDS = ["date", "date_raw", "inferred", "ambiguous", "month_only", "mont
 def dates_of_entry(text: str | None, hint: int | None = None) -> dict:
     """The date fields of an entry: its first complete date, else its first month or ambiguous one."""
     hits = find_dates(text, hint)
-    chosen = next((h for h in hits if h.date), None) or next((h for h in hits if h.month_only or h.ambiguous), None)
-    month = chosen.date[:7] if chosen and chosen.date else next((h.month_key for h in hits if h.month_key), None)
+    best = next((h for h in hits if h.says == DAY), None) or next((h for h in hits if h.says in (MONTH, UNCLEAR)), None)
+    says = best.says if best else None
+    month = best.month if says == DAY else next((h.month for h in hits if h.month), None)
     end, running = period_of(text, hits)
     return {
-        "date": chosen and chosen.date, "date_raw": chosen and chosen.raw, "inferred": bool(chosen and chosen.inferred), "ambiguous": bool(chosen and chosen.ambiguous),
-        "month_only": bool(chosen and chosen.month_only), "month": month, "end_month": end, "open_ended": end is None and running,
+        "date": best and best.date, "date_raw": best and best.raw, "inferred": bool(best and best.year_assumed), "ambiguous": says == UNCLEAR,
+        "month_only": says == MONTH, "month": month, "end_month": end, "open_ended": end is None and running,
     }
 
 

@@ -21,14 +21,14 @@ _MONTH_NAMES = "january|february|march|april|may|june|july|august|september|octo
 def date_hits_dayfirst(read):
     """All dates that the six shapes find in diary entries: the written ones and no other."""
     rows = corpora.diary(read).select("doc_id", "idx", F.explode(dates.date_hits(F.col("text"))).alias("h"))
-    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "h.date", "h.raw", "h.position")
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "h.date", "h.raw", F.col("h.start").alias("position"))
 
 
 @query("date_hits_numeric", rf"""WITH {LEDGER_SQL}, m AS (SELECT doc_id, idx, substr(text, 1, 10) AS raw, substr(text, 1, 2)::INT AS a, substr(text, 4, 2)::INT AS b, substr(text, 7, 4) AS y FROM ledger)
 SELECT doc_id, idx, raw, a <> b AND a <= 12 AND b <= 12 AS ambiguous, CASE WHEN a = b OR b > 12 THEN y || '-' || printf('%02d', a) || '-' || printf('%02d', b) END AS date FROM m""")
 def date_hits_numeric(read):
     rows = corpora.ledger(read).select("doc_id", "idx", F.explode(dates.date_hits(F.col("text"))).alias("h"))
-    return rows.select("doc_id", "idx", "h.raw", "h.ambiguous", "h.date")
+    return rows.select("doc_id", "idx", "h.raw", (F.col("h.says") == dates.UNCLEAR).alias("ambiguous"), "h.date")
 
 
 @query("date_hits_iso", r"""SELECT event_id, regexp_extract_all('on ' || strftime(ts, '%Y-%m-%d') || ' and ' || strftime(ts, '%Y') || '-02-31, v1.' || event_id, '\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b')[1] AS date FROM events""")

@@ -96,7 +96,7 @@ def ambiguous_dates(read):
 
     l = corpora.ledger(read).withColumn("h", dates.date_hits(F.col("text")))  # noqa: E741
     hit = F.get("h", F.lit(0))
-    rows = l.select("doc_id", "idx", hit["ambiguous"].alias("ambiguous"), hit["raw"].alias("date_raw"), F.lit(None).cast("string").alias("heading"))
+    rows = l.select("doc_id", "idx", (hit["says"] == dates.UNCLEAR).alias("ambiguous"), hit["raw"].alias("date_raw"), F.lit(None).cast("string").alias("heading"))
     return fx.ambiguous_dates(rows).withColumn("n", F.col("n").cast("long"))
 
 

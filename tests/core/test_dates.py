@@ -16,13 +16,13 @@ def test_shapes(text, want):
 
 def test_flags():
     (pair,) = find_dates("06/03/2026")
-    assert pair.ambiguous and pair.month is None and pair.day is None
+    assert pair.says == "unclear" and pair.month is None and pair.date is None
     (month,) = find_dates("31 February 2026")
-    assert month.month_only and month.raw == "February 2026"
+    assert month.says == "month" and month.month == "2026-02" and month.raw == "February 2026"
     (hinted,) = find_dates("6 March", 2025)
-    assert hinted.date == "2025-03-06" and hinted.inferred
+    assert hinted.date == "2025-03-06" and hinted.year_assumed
     (bare,) = find_dates("6 March")
-    assert bare.date is None and not bare.inferred
+    assert bare.date is None and bare.month is None and bare.says == "no year" and not bare.year_assumed
 
 
 def test_periods():
