@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..lexicons import ENTITIES, SECTION_WORDS
 from ..regex import B1, WORD
-from .binding import batched
+from .binding import batched, words_array
 
 #: The block-like tags that tell HTML.
 TAGS = "p|div|br|h[1-6]|li|ul|ol|table|tr|td|span|img|a|section|article"
@@ -147,7 +147,7 @@ def nonblank_lines(text: Column) -> Column:
 
 def is_section_name(line: Column, section_words=tuple(SECTION_WORDS)) -> Column:
     w = F.filter(F.split(F.regexp_replace(F.lower(trimmed(line)), r"[^a-z\s]", " "), r"\s+"), lambda x: x != "")
-    known = F.array(*[F.lit(x) for x in section_words])
+    known = words_array(section_words)
     by_first = F.array_contains(known, F.get(w, F.lit(0)))
     return ~F.contains(line, F.lit(":")) & F.size(w).between(1, 4) & F.coalesce(by_first | ((F.size(w) <= 2) & F.arrays_overlap(known, w)), F.lit(False))
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import words_array
 from ..lexicons import NOT_NAME_WORDS, OPENERS, PLACES
 from ..regex import B0, B1
 
@@ -29,7 +30,7 @@ HONORIFIC = rf"{B0}(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Rev|Capt|Sgt|Fr)\.?\s+([A-Z][\p
 
 
 def _literal(words: Sequence[str]) -> Column:
-    return F.array(*[F.lit(w) for w in sorted({w.lower() for w in words})])
+    return words_array(sorted({w.lower() for w in words}))
 
 
 def _any_word(phrase: Column, words: Sequence[str]) -> Column:

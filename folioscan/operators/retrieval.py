@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.binding import words_array
 from ..lexicons import INTENTS, QUERY_STOP_WORDS
 from ..regex import B0, B1, WORD
 
@@ -45,14 +46,14 @@ def tokens(text: Column) -> Column:
 def question_terms(question: Column) -> Column:
     """Words of a question that search for something: function words and lone letters go, digits stay."""
     found = F.transform(F.regexp_extract_all(F.lower(question), F.lit(WORD), F.lit(0)), lambda t: F.regexp_replace(t, "['’-]+$", ""))
-    stop = F.array(*[F.lit(w) for w in QUERY_STOP_WORDS])
+    stop = words_array(QUERY_STOP_WORDS)
     digit = lambda t: t.rlike("[0-9]")
     return F.filter(found, lambda t: ((F.length(t) >= 2) | digit(t)) & (digit(t) | ~F.array_contains(stop, t)))
 
 
 def expansion_terms(question: Column) -> Column:
     """Terms that the intent rules add, in order, without repeats."""
-    added = [F.when(F.regexp_like(question, F.lit(f"(?i){B0}(?:{pattern}){B1}")), F.array(*[F.lit(t) for t in terms])).otherwise(F.array().cast("array<string>")) for pattern, terms in INTENTS]
+    added = [F.when(F.regexp_like(question, F.lit(f"(?i){B0}(?:{pattern}){B1}")), words_array(terms)).otherwise(F.array().cast("array<string>")) for pattern, terms in INTENTS]
     return F.array_distinct(F.concat(*added))
 
 
