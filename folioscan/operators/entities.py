@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import words_array
 from ..lexicons import NOT_NAME_WORDS, OPENERS, PLACES
 from ..regex import B0, B1
+from ..session import ship
 
 _CAP = r"[A-Z][\p{L}'’.-]+"
 _NAME = r"[A-Z][\p{L}'’-]*\p{L}"
@@ -151,6 +152,7 @@ def mentions_in(pieces: DataFrame, values: DataFrame) -> DataFrame:
     A document's pieces and its values meet by document; there each text goes once through an
     automaton of all values. Values without their document's pieces are never met.
     """
+    ship(pieces.sparkSession)
     kinds = {"doc_id": pieces.schema["doc_id"].dataType.simpleString(), "idx": pieces.schema["idx"].dataType.simpleString()}
     texts = pieces.filter(F.col("text").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "text")).alias("pieces"))
     mine = values.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value"))).alias("values"))

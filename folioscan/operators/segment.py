@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text as tx
 from ..functions.binding import batched
+from ..session import ship
 
 BLANK = r"\n\s*\n"
 RUN, GROUP = 12, 10
@@ -64,6 +65,7 @@ def _lists(items: list[list], kind: pa.DataType) -> tuple[pa.Array, pa.Array]:
 
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, hint, blocks (array of text, start, end) of each document; hint: the year that the text names most, else year_hint."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = F.col("year_hint").cast("int") if "year_hint" in docs.columns else F.lit(None).cast("int")
 
@@ -88,6 +90,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 def lines(block_rows: DataFrame) -> DataFrame:
     """doc_id, pos, line, text, start: lines of blocks with absolute places."""
+    ship(block_rows.sparkSession)
     kinds = {c: block_rows.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +248,7 @@ NOTES = "doc_id {id}, entry_idx int, part int, parts int, heading string, date s
 
 def notes(entry_rows: DataFrame) -> DataFrame:
     """Search notes of entries, in order; the label says date, written date, heading or number, and the part."""
+    ship(entry_rows.sparkSession)
     kind = entry_rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
