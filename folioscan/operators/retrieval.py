@@ -188,19 +188,35 @@ def ranked(rows: DataFrame, *order: Column, by=("question_id",), depth: int | No
 def cosine_ranking(vectors: DataFrame, questions: DataFrame, depth: int = DEPTH) -> DataFrame:
     """question_id, note_id, score, rank by cosine of unit vectors: vectors (note_id, v), questions (question_id, q).
 
-    Each batch of vectors is one matrix and meets the questions, a broadcast of counted size, in one product;
-    it leaves the best `depth` of each question, ties by note, so that at most these are shuffled. Vectors of another width
+    Each batch of vectors is one matrix and meets the questions, a broadcast, in one product;
+    it leaves the best `depth` of each question, ties by note, so that at most these are shuffled. More questions than
+    MOST_QUESTIONS take several passes, so that driver and tasks hold one pass's questions at a time. Vectors of another width
     than the questions' are an error that says so, as are questions of several widths.
     """
-    asked = questions.select("question_id", "q").limit(MOST_QUESTIONS + 1).collect()
-    if len(asked) > MOST_QUESTIONS:
-        raise ValueError(f"at most {MOST_QUESTIONS} questions in one pass over the vectors")
-    widths = sorted({len(r.q) for r in asked})
+    asked = questions.select("question_id", "q")
+    passes = -(-asked.count() * 5 // (MOST_QUESTIONS * 4))  # hashes deal them out unevenly
+    if passes <= 1:
+        parts = [asked]
+    else:
+        dealt = F.pmod(F.xxhash64("question_id", F.lit(7)), F.lit(passes))
+        parts = [asked.filter(dealt == k) for k in range(passes)]
+    scored, widths = None, set()
+    for part in parts:
+        rows = _cosines(vectors, part, depth, widths)
+        scored = rows if scored is None else scored.unionByName(rows)
+    # products are summed in any order: ties are by the rounded score
+    return ranked(scored, F.desc(F.round("score", 9)), F.col("note_id"), depth=depth)
+
+
+def _cosines(vectors: DataFrame, questions: DataFrame, depth: int, widths: set[int]) -> DataFrame:
+    """question_id, note_id, score: the best `depth` of each batch of vectors for the questions of one pass; widths: those of the questions so far."""
+    asked = questions.collect()
+    widths |= {len(r.q) for r in asked}
     if len(widths) > 1:
-        raise ValueError(f"questions of different widths: {widths}")
+        raise ValueError(f"questions of different widths: {sorted(widths)}")
     of_note, of_question = (df.schema[c].dataType for df, c in ((vectors, "note_id"), (questions, "question_id")))
     ids = [r.question_id for r in asked]
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.q for r in asked], np.float64).reshape(len(asked), (widths or [0])[0]))
+    shared = vectors.sparkSession.sparkContext.broadcast(np.array([r.q for r in asked], np.float64).reshape(len(asked), max(widths, default=0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -226,11 +242,10 @@ def cosine_ranking(vectors: DataFrame, questions: DataFrame, depth: int = DEPTH)
 
     rows = vectors.select("note_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, f"at int, note_id {of_note.simpleString()}, score double")
     names = vectors.sparkSession.createDataFrame(list(enumerate(ids)), StructType([StructField("at", IntegerType()), StructField("question_id", of_question)]))
-    scored = rows.join(F.broadcast(names), "at").select("question_id", "note_id", "score")
-    # products are summed in any order: ties are by the rounded score
-    return ranked(scored, F.desc(F.round("score", 9)), F.col("note_id"), depth=depth)
+    return rows.join(F.broadcast(names), "at").select("question_id", "note_id", "score")
 
 
+#: Questions of one pass over the vectors, about.
 MOST_QUESTIONS = 10_000
 #: Questions that one product takes: with a batch of 10,000 vectors, 20 MB of scores.
 QUESTIONS_AT_ONCE = 256
