@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,21 @@ _WORD = re.compile(r"[\w'’-]+")
 _BLANK = re.compile(BLANK, re.A)
 _SPACE = " \t\n\r\f\v"
 _YEAR = re.compile(r"(?<![A-Za-z0-9_])(?:19|20)[0-9]{2}(?![A-Za-z0-9_])")
-ROWS = 4096
+#: Rows, and characters of text about, that a pass holds as Python objects at a time.
+ROWS, HELD = 4096, 2_000_000
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ROWS rows and HELD bytes of its column of texts, or one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (total + n > HELD or k - start >= ROWS):
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += int(n)
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def place_blocks(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -71,8 +86,7 @@ def placed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for batch in _slices(whole, 1):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 found = [place_blocks(t) for t in texts]
                 years = [y if y is not None else h for y, h in zip(map(year_of, texts), batch.column(2).to_pylist(), strict=True)]
@@ -95,8 +109,7 @@ def lines(block_rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(k, ROWS)
+            for batch in _slices(whole, 2):
                 rows = [t.split("\n") for t in batch.column(2).to_pylist()]
                 owner = pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
                 starts = [np.cumsum([s, *(len(x) + 1 for x in r[:-1])]) for s, r in zip(batch.column(3).to_pylist(), rows, strict=True)]
@@ -145,6 +158,7 @@ def entries(docs: DataFrame, dated: bool = True) -> DataFrame:
             ids = whole.column(0)
             schema = schema or pa.schema([("doc_id", ids.type), ("idx", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())] + [(n, pa.bool_() if n in FLAGS else pa.string()) for n in names[6:]])
             out: dict[str, list] = {n: [] for n in names}
+            held = 0
             for k in range(whole.num_rows):
                 own = whole.column(2).slice(k, 1).flatten()
                 texts, starts, ends, opens, headings = (own.field(j).to_pylist() for j in range(5))
@@ -152,14 +166,15 @@ def entries(docs: DataFrame, dated: bool = True) -> DataFrame:
                 hint = whole.column(1)[k].as_py()
                 for idx, (a, b) in enumerate(zip(first, [*first[1:], len(texts)], strict=False)):
                     text = "\n\n".join(texts[a:b])
+                    held += len(text)
                     for n, v in zip(names, (ids[k], idx, headings[a], text, starts[a], ends[b - 1]), strict=False):
                         out[n].append(v)
                     if dated:
                         for n, v in dates.dates_of_entry(text, hint).items():
                             out[n].append(v)
-                if len(out["idx"]) >= ROWS:
+                if len(out["idx"]) >= ROWS or held > HELD:
                     yield _batch(out, schema)
-                    out = {n: [] for n in names}
+                    out, held = {n: [] for n in names}, 0
             if out["idx"]:
                 yield _batch(out, schema)
 
@@ -226,9 +241,14 @@ def _word_places(text: str) -> Iterator[re.Match]:
 
 def cut_notes(text: str, window: int = WINDOW, overlap: int = OVERLAP, reach: int = REACH) -> list[tuple[str, int, int]]:
     """(text, start, end) of overlapping notes of about `window` words that end with a sentence where one is near."""
+    return [n[:3] for n in _counted_notes(text, window, overlap, reach)]
+
+
+def _counted_notes(text: str, window: int = WINDOW, overlap: int = OVERLAP, reach: int = REACH) -> list[tuple[str, int, int, int]]:
+    """cut_notes() with the number of words of each."""
     spans = [m.span() for m in _word_places(text)]
     if len(spans) <= window:
-        return [(text, 0, len(text))]
+        return [(text, 0, len(text), len(spans))]
     out, cursor = [], 0
     while True:
         limit = min(cursor + window, len(spans))
@@ -237,7 +257,7 @@ def cut_notes(text: str, window: int = WINDOW, overlap: int = OVERLAP, reach: in
             stop = next((i for i in range(limit, min(limit + reach, len(spans))) if re.search(r"[.!?]", text[spans[i - 1][1] : spans[i][0]])), limit)
         a, b = spans[cursor][0], spans[stop - 1][1] if stop == len(spans) else spans[stop][0]
         piece = text[a:b].strip()
-        out.append((piece, a, a + len(piece)))
+        out.append((piece, a, a + len(piece), stop - cursor))
         if stop >= len(spans):
             return out
         cursor = max(cursor + 1, stop - overlap)
@@ -256,11 +276,11 @@ def notes(entry_rows: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 pieces = [(p, k == 0) for k, p in enumerate(split_runs(r.text))]
-                cut = [(n[0], first and j == 0) for p, first in pieces for j, n in enumerate(cut_notes(p))]
+                cut = [(n[0], first and j == 0, n[3]) for p, first in pieces for j, n in enumerate(_counted_notes(p))]
                 name = r.date or r.date_raw or r.heading or f"Entry {r.idx + 1}"
-                for part, (piece, first) in enumerate(cut):
+                for part, (piece, first, words) in enumerate(cut):
                     label = f"{name} ({part + 1}/{len(cut)})" if len(cut) > 1 else name
-                    out.append((r.doc_id, r.idx, part, len(cut), r.heading if first else None, r.date, r.date_raw, label, piece, sum(1 for _ in _word_places(piece))))
+                    out.append((r.doc_id, r.idx, part, len(cut), r.heading if first else None, r.date, r.date_raw, label, piece, words))
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in NOTES.split(", ")])
 

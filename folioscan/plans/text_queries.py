@@ -202,10 +202,11 @@ SELECT doc_id, len(list_distinct(w)) AS words, len(w) <= {segment.WINDOW} AS one
 def notes_within_window(read):
     """Notes of a document have all its words, none has more than a window and its reach, and short documents are one stretch of words."""
     n = segment.notes(segment.entries(read("documents").select("doc_id", "text")))
-    words = F.explode(F.regexp_extract_all(F.replace("text", F.lit("_"), F.lit(" ")), F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0)))
-    counted = n.select("doc_id", words.alias("w")).groupBy("doc_id").agg(F.count_distinct("w").alias("words"), F.count("*").alias("all"))
-    per = n.groupBy("doc_id").agg(F.sum("words").alias("held"), F.max("words").alias("longest"))
-    both = counted.join(per, "doc_id")
+    words = F.regexp_extract_all(F.replace("text", F.lit("_"), F.lit(" ")), F.lit(r"[\p{L}\p{N}'’-]+"), F.lit(0))
+    # notes are made once; of each, its different words are all that is shuffled
+    own = F.size(F.array_distinct(F.flatten(F.collect_list("w")))).cast("long")
+    per = n.select("doc_id", "words", F.array_distinct(words).alias("w")).groupBy("doc_id").agg(own.alias("different"), F.sum("words").alias("held"), F.max("words").alias("longest"))
+    both = per.filter("different > 0").withColumn("words", F.col("different"))
     return both.select("doc_id", "words", (F.col("held") <= segment.WINDOW).alias("one_window"), (F.col("longest") <= segment.WINDOW + segment.REACH).alias("fits"))
 
 

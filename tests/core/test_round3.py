@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscan import plans
-from folioscan.operators import retrieval
+from folioscan.functions import vectors
+from folioscan.operators import entities, retrieval, segment
 
 QUERIES, SQL = plans.load()
 
@@ -30,3 +32,54 @@ def test_questions_of_several_passes_rank_alike(spark, monkeypatch):
     once = rank()
     monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 40)
     assert rank() == once and len(once) == 900
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_mentions_are_found_in_one_pass_over_the_diaries(spark):
+    """One reading of the orders serves the entries, their documents and the counts of each kind."""
+    for name in ("composition", "mention_tally", "said_once", "mention_presence", "grid_rows"):
+        assert scans(QUERIES[name](spark, "/root/testdata/sf0.001")) == 1, name
+
+
+def test_accepted_in_is_mentions_in_of_accepted(spark):
+    rows = [(1, 0, "We met Ann Holt in Paris."), (1, 1, "PARIS again, and ann holt."), (1, 2, None), (2, 0, "in paris no name"), (2, 1, "Oslo. Ann Holt?"), (3, 0, "")]
+    pieces = spark.createDataFrame(rows, "doc_id long, idx int, text string")
+    finders = {"place": entities.places, "person": entities.full_names}
+    docs = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("e")).select("doc_id", F.array_join(F.transform("e", lambda x: x["text"]), "\n\n").alias("text"))
+    want = sorted(map(tuple, entities.mentions_in(pieces, entities.accepted(docs, finders)).collect()))
+    assert sorted(map(tuple, entities.accepted_in(pieces, finders).collect())) == want and len(want) >= 4
+
+
+def test_a_text_is_embedded_by_its_words_hashed_once(spark):
+    """The vector of a text is what its words' slots give, and no lambda of the plan goes through the words for each dimension."""
+    said = ["the the boiler", "", None, "Ærø øl 1995 'tis it's", "an"]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, t string")
+    slots = rows.select("k", F.transform(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}']{3,}"), F.lit(0)), lambda w: vectors.hash_slot(w)).alias("s"))
+    want = {r.k: np.bincount(r.s or [], minlength=64) for r in slots.collect()}
+    df = rows.select("k", vectors.embed(F.col("t")).alias("v"))
+    for r in df.collect():
+        n = np.sqrt((want[r.k] ** 2).sum())
+        assert r.v is None if said[r.k] is None else np.allclose(r.v, want[r.k] / (n or 1), atol=1e-15)
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_notes_are_made_once(spark):
+    plan = QUERIES["notes_within_window"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
+def test_postings_of_a_note_need_no_shuffle(spark):
+    notes = spark.createDataFrame([(1, 7, "b a b"), (2, 7, ""), (3, 8, None), (4, 8, "a É")], "note_id long, doc_id long, text string")
+    p = retrieval.postings(notes)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.note_id, r.doc_id, r.token, r.length, r.positions) for r in p.collect())
+    assert got == [(1, 7, "a", 3, [1]), (1, 7, "b", 3, [0, 2]), (4, 8, "a", 2, [0]), (4, 8, "e", 2, [1])]
+
+
+def test_passes_hold_slices_of_bounded_text():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 900_000] * 3 + [None, "", "y" * 5_000_000])], names=["k", "t"])
+    parts = list(segment._slices(batch, 1))
+    assert [p.num_rows for p in parts] == [2, 3, 1] and pa.concat_tables([pa.table(p) for p in parts]).equals(pa.table(batch))
