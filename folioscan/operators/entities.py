@@ -171,6 +171,47 @@ def mentions_in(pieces: DataFrame, values: DataFrame) -> DataFrame:
     return texts.join(mine, "doc_id").mapInArrow(run, f"doc_id {kinds['doc_id']}, idx {kinds['idx']}, kind string, value string")
 
 
+def found(pieces: DataFrame, finders: dict[str, object]) -> DataFrame:
+    """(doc_id, idx, text) -> doc_id, idx, kind, value, pos of every mention, in one pass over the pieces."""
+    # an array as written: of any other the planner would first test the size, and so find all twice
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), f(F.col("text")).alias("values")) for kind, f in _bound(finders)])
+    rows = pieces.select("doc_id", "idx", F.explode(each).alias("k"))
+    return rows.select("doc_id", "idx", "k.kind", F.posexplode("k.values").alias("pos", "value"))
+
+
+def accepted_in(pieces: DataFrame, finders: dict[str, object]) -> DataFrame:
+    """mentions_in() of pieces (doc_id, idx, text) and the values accepted() of their documents, joined by blank lines: pieces are grouped once."""
+    ship(pieces.sparkSession)
+    kinds = {c: pieces.schema[c].dataType.simpleString() for c in ("doc_id", "idx")}
+    docs = pieces.filter("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("pieces"))
+    docs = docs.withColumn("text", F.array_join(F.transform("pieces", lambda x: x["text"]), "\n\n"))
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lower(v).alias("key"))
+    values = F.flatten(F.array(*[F.transform(f(F.col("text")), named(kind)) for kind, f in _bound(finders)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, docs_of, kind_of, value_of = [], [], [], []
+            places = batch.column(1).offsets.to_pylist()
+            texts = batch.column(1).values.field(1)
+            for k in range(batch.num_rows):
+                first: dict[tuple, str] = {}
+                for v in batch.column(2)[k].as_py():
+                    first.setdefault((v["kind"], v["key"]), v["value"])
+                wanted = sorted((kind, value) for (kind, _), value in first.items())
+                held = matcher([v for _, v in wanted])
+                for j in range(places[k], places[k + 1]):
+                    for w in sorted(held(texts[j].as_py())):
+                        docs_of.append(k)
+                        at.append(j)
+                        kind_of.append(wanted[w][0])
+                        value_of.append(wanted[w][1])
+            if at:
+                idx = batch.column(1).values.field(0).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs_of, pa.int64())), idx, pa.array(kind_of, pa.string()), pa.array(value_of, pa.string())], names=["doc_id", "idx", "kind", "value"])
+
+    return docs.select("doc_id", "pieces", values.alias("values")).mapInArrow(run, f"doc_id {kinds['doc_id']}, idx {kinds['idx']}, kind string, value string")
+
+
 def tally(rows: DataFrame) -> DataFrame:
     """(doc_id, kind, value, idx, pos) -> doc_id, kind, value as first written, count, entries (distinct, sorted)."""
     clean = rows.withColumn("value", F.trim("value")).filter("value <> ''")

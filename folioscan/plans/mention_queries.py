@@ -144,11 +144,12 @@ _FOUND = f"""{DIARY_SQL}, found AS (SELECT doc_id, idx, 'amount' AS kind, unnest
  UNION ALL SELECT doc_id, idx, 'place', unnest({_PLACES_OF}) FROM diary UNION ALL SELECT doc_id, idx, 'person', unnest({_NAMES_OF}) FROM diary)"""
 
 
-def found_mentions(read):
-    """doc_id, idx, kind, value, pos of diary entries."""
-    d = corpora.diary(read)
-    each = lambda kind, f: d.select("doc_id", "idx", F.lit(kind).alias("kind"), F.posexplode(f(F.col("text"))).alias("pos", "value"))
-    return each("amount", en.amounts).unionByName(each("place", en.places)).unionByName(each("person", en.full_names))
+FINDERS = {"amount": en.amounts, "place": en.places, "person": en.full_names}
+
+
+def found_mentions(read, kinds=tuple(FINDERS)):
+    """doc_id, idx, kind, value, pos of diary entries, each gone through once."""
+    return en.found(corpora.diary(read), {k: FINDERS[k] for k in kinds})
 
 
 @query("mention_tally", f"WITH {_FOUND} SELECT doc_id, kind, lower(value) AS key, count(*) AS n, count(DISTINCT idx) AS n_entries FROM found GROUP BY 1, 2, 3")
@@ -163,9 +164,7 @@ _PRESENT = rf"{_ACCEPTED}, present AS (SELECT d.doc_id, d.idx, a.kind, a.key FRO
 
 def present_mentions(read):
     """Which accepted places and people each diary entry holds."""
-    d = corpora.diary(read)
-    values = en.accepted(corpora.diary_documents(read), {"place": en.places, "person": en.full_names})
-    return en.mentions_in(d, values)
+    return en.accepted_in(corpora.diary(read), {"place": en.places, "person": en.full_names})
 
 
 @query("mention_presence", f"WITH {_PRESENT} SELECT doc_id, kind, key, count(*) AS entry_count FROM present GROUP BY 1, 2, 3")
@@ -183,14 +182,14 @@ def said_once(read):
 
 @query("mention_rollup", f"WITH {_FOUND} SELECT kind, lower(value) AS key, count(*) AS n FROM found WHERE kind <> 'amount' GROUP BY ROLLUP (kind, lower(value))")
 def mention_rollup(read):
-    rows = found_mentions(read).filter("kind <> 'amount'").withColumn("key", F.lower("value"))
+    rows = found_mentions(read, ("place", "person")).withColumn("key", F.lower("value"))
     return rows.rollup("kind", "key").agg(F.count("*").alias("n"))
 
 
 @query("top_mentions", f"""WITH {_FOUND}, t AS (SELECT doc_id, kind, lower(value) AS key, count(*) AS n FROM found WHERE kind <> 'amount' GROUP BY 1, 2, 3)
 SELECT doc_id, kind, key, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, key) AS rank FROM t) WHERE rank <= 3""")
 def top_mentions(read):
-    t = en.tally(found_mentions(read).filter("kind <> 'amount'"))
+    t = en.tally(found_mentions(read, ("place", "person")))
     top = en.top_mentions(t, {"place": 3, "person": 3})
     return top.select("doc_id", "kind", F.lower("value").alias("key"), F.col("count").alias("n"), F.col("rank").cast("long").alias("rank"))
 

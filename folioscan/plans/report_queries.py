@@ -218,7 +218,7 @@ def funnel(read):
 SELECT doc_id, kind, key, n FROM r WHERE kind <> 'amount' AND rank + 0 <= CASE kind WHEN 'place' THEN 4 ELSE 3 END""")
 def composition(read):
     """The four most named places and three people of each document."""
-    t = en.tally(found_mentions(read).filter("kind <> 'amount'"))
+    t = en.tally(found_mentions(read, ("place", "person")))
     return en.top_mentions(t, {"place": 4, "person": 3}).select("doc_id", "kind", F.lower("value").alias("key"), F.col("count").alias("n"))
 
 
