@@ -118,13 +118,51 @@ def slot_of(token: Column) -> Column:
 
 
 def postings(notes: DataFrame) -> DataFrame:
-    """slot, token, note_id, doc_id, length, positions: the index that bm25_indexed() reads, made once when notes are stored."""
+    """slot, token, note_id, doc_id, length, positions: the index that bm25_indexed() reads, made once when notes are stored.
+
+    A note's tokens meet within its row, so that nothing is shuffled but what clustered() deals.
+    """
     toks = notes.select("note_id", "doc_id", tokens(F.col("text")).alias("t"))
-    each = toks.select("note_id", "doc_id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
-    grouped = each.groupBy("token", "note_id", "doc_id", "length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    kinds = {c: notes.schema[c].dataType.simpleString() for c in ("note_id", "doc_id")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _by_tokens(whole):
+                own = batch.column(2)
+                sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                if not sizes.sum():
+                    continue
+                words = own.flatten().dictionary_encode()
+                code, row = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = row * len(words.dictionary) + code
+                order = np.argsort(key, kind="stable")  # positions stay in order
+                first = np.nonzero(np.diff(key[order], prepend=-1))[0]
+                head = order[first]
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(pos[order], pa.int32()))
+                at = pa.array(row[head])
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[head])), batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes[row[head]], pa.int32()), places], names=["token", "note_id", "doc_id", "length", "positions"])
+
+    grouped = toks.mapInArrow(run, f"token string, note_id {kinds['note_id']}, doc_id {kinds['doc_id']}, length int, positions array<int>")
     return grouped.withColumn("slot", slot_of(F.col("token")))
 
 
+#: Tokens that postings are made of at a time, or one longer note.
+TOKENS_AT_ONCE = 1 << 19
+
+
+def _by_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > TOKENS_AT_ONCE:
+            yield batch.slice(start, k - start)
+            start, total = k, 0
+        total += int(n)
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def clustered(index: DataFrame, order: Sequence[str] = ("slot", "token", "doc_id", "note_id")) -> DataFrame:
     """postings dealt and sorted by slot and token, to be written by slot: a file holds a stretch of tokens, and a
     frequent token's postings may be split between files.
