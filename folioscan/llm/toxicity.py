@@ -23,8 +23,11 @@ from __future__ import annotations
 import copy
 import pickle
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -58,6 +61,8 @@ ADDED, SCORE_BINS = 16, 10_000
 LEAST_TEXTS = 8
 #: Words of a block of texts that is scored at a time (a longer text is a block of its own).
 BLOCK_WORDS = 1 << 17
+#: Openings, and endings, whose buckets a process remembers: some 40 MB in all.
+KNOWN = 1 << 16
 
 #: Function words that tell languages apart.
 FUNCTION_WORDS = {
@@ -68,21 +73,33 @@ FUNCTION_WORDS = {
 }
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}+")
+#: Latin-1 with a space for each character that is no letter.
+_LETTERS = bytes(k if _WORD.fullmatch(chr(k)) else 32 for k in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters in lower case. A text of Latin-1 letters is split at its other characters, which costs less than a pattern."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(low)
 
 
 def pieces(word: str) -> list[int]:
     """Buckets of a word and its openings and endings; BUCKETS, an embedding of zeros, where it is too short."""
-    raw = word.encode("utf-8", "surrogatepass")
-    out = [zlib.crc32(raw) % BUCKETS]
-    for n in OPENINGS:
-        out.append(zlib.crc32(b"^" + word[:n].encode("utf-8", "surrogatepass")) % BUCKETS if len(word) >= n else BUCKETS)
-    for n in ENDINGS:
-        out.append(zlib.crc32(b"$" + word[-n:].encode("utf-8", "surrogatepass")) % BUCKETS if len(word) >= n else BUCKETS)
-    return out
+    return [zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, *_openings(word[: OPENINGS[-1]]), *_endings(word[-ENDINGS[-1] :])]
+
+
+# words share openings and endings: a process hashes each once, while it is among the last KNOWN
+@lru_cache(KNOWN)
+def _openings(head: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(b"^" + head[:n].encode("utf-8", "surrogatepass")) % BUCKETS if len(head) >= n else BUCKETS for n in OPENINGS)
+
+
+@lru_cache(KNOWN)
+def _endings(tail: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(b"$" + tail[-n:].encode("utf-8", "surrogatepass")) % BUCKETS if len(tail) >= n else BUCKETS for n in ENDINGS)
 
 
 class Language:
@@ -97,8 +114,10 @@ class Language:
 
     def hits(self, words: list[str]) -> np.ndarray:
         """A row a word, a column a language."""
-        none = np.zeros(len(self.names), np.int64)
-        return np.array([self.of.get(w, none) for w in words]).reshape(-1, len(self.names))
+        out = np.zeros((len(words), len(self.names)), np.int64)
+        for i in [i for i, w in enumerate(words) if w in self.of]:
+            out[i] = self.of[words[i]]
+        return out
 
     def name(self, hits: np.ndarray) -> str:
         return self.names[int(np.argmax(hits))] if hits.any() else UNKNOWN
@@ -111,21 +130,21 @@ class Texts:
     """Texts as places in a table of distinct words, each followed by enough blanks for the widest filter."""
 
     def __init__(self, texts: Iterable[list[str]]):
-        known: dict[str, int] = {}
+        known: defaultdict[str, int] = defaultdict(count(1).__next__)
         pad = [0] * (max(WIDTHS) - 1)
         ids: list[int] = []
         start, size = [], []
         for words in texts:
             start.append(len(ids))
             size.append(max(len(words), 1))
-            ids += [known.setdefault(w, len(known) + 1) for w in words] or [0]
+            ids += map(known.__getitem__, words) if words else [0]
             ids += pad
         self.words = list(known)
         self.ids = np.array(ids + pad, np.int32)
         self.start, self.size = np.array(start, np.int64), np.array(size, np.int64)
         self.pieces = np.full((len(known) + 1, PIECES), BUCKETS, np.int32)
         if known:
-            self.pieces[1:] = [pieces(w) for w in known]
+            self.pieces[1:] = np.fromiter(chain.from_iterable(map(pieces, self.words)), np.int32, len(known) * PIECES).reshape(-1, PIECES)
         self.weight = 1 / np.maximum((self.pieces != BUCKETS).sum(axis=1), 1).astype(np.float32)
 
 
@@ -375,12 +394,15 @@ def _fit_parts(sample: DataFrame, share: float, total: int, epochs: int | None)
     shared = sample.sparkSession.sparkContext.broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = np.zeros(BUCKETS + 1, np.int64)
+        docs, there = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, bool)
         for batch in batches:
             for block in blocks(t.as_py() for t in batch.column(0)):
                 own = Texts(block)
                 for s, n in zip(own.start, own.size, strict=True):
-                    docs[np.unique(own.pieces[own.ids[s : s + n]])] += 1
+                    there[own.pieces[own.ids[s : s + n]]] = True
+                    held = np.flatnonzero(there)
+                    docs[held] += 1
+                    there[held] = False
         held = np.nonzero(docs)[0]
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(docs[held])], names=["piece", "docs"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pytest
 
 from folioscan.llm import toxicity
@@ -34,3 +37,39 @@ def test_texts_of_several_parts(spark, monkeypatch, first):
     scores = model.scores(held)
     assert all((s >= 0.3) == ("grimblewort" in t) for s, t in zip(scores, held, strict=True))
     assert fit().scores(held).tolist() == pytest.approx(scores.tolist(), abs=1e-4)
+
+
+def test_openings_and_endings_are_hashed_once(monkeypatch):
+    """Words that share them, in several blocks: each word costs a hash, not one for each piece; the buckets are those of each piece by itself."""
+    words = [f"vorhaben{chr(97 + i)}{chr(97 + j)}ung" for i in range(20) for j in range(20)] + ["é", "ab", "Straße", "\ud800x", "naïveté"]
+    calls, crc = [0], zlib.crc32
+
+    def counted(raw):
+        calls[0] += 1
+        return crc(raw)
+
+    monkeypatch.setattr(toxicity.zlib, "crc32", counted)
+    made = [toxicity.Texts([words]) for _ in range(3)]
+    assert calls[0] < 4 * len(words)
+    raw = lambda w: w.encode("utf-8", "surrogatepass")
+    for texts in made:
+        for w, row in zip(texts.words, texts.pieces[1:].tolist(), strict=True):
+            heads = [crc(b"^" + raw(w[:n])) % toxicity.BUCKETS if len(w) >= n else toxicity.BUCKETS for n in toxicity.OPENINGS]
+            tails = [crc(b"$" + raw(w[-n:])) % toxicity.BUCKETS if len(w) >= n else toxicity.BUCKETS for n in toxicity.ENDINGS]
+            assert row == [crc(raw(w)) % toxicity.BUCKETS, *heads, *tails]
+        assert texts.ids[: len(words)].tolist() == list(range(1, len(words) + 1)) and np.all(texts.pieces[0] == toxicity.BUCKETS)
+
+
+def test_hits_are_a_row_a_word():
+    language = toxicity.Language()
+    none = np.zeros(len(language.names), np.int64)
+    words = ["the", "boiler", "de", "der", "la", "xyz"]
+    assert language.hits(words).tolist() == [language.of.get(w, none).tolist() for w in words]
+    assert language.hits([]).shape == (0, len(language.names))
+
+
+def test_words_are_runs_of_letters_in_any_script():
+    every = "".join(map(chr, range(256)))
+    for text in (every, every + "—“ŒœŠš” Ωmega", "İstanbul ǅ straße's x²y a\x85b\xa0c", "", "12 _ 3", "日本語 text ª º µ"):
+        assert toxicity.words_of(text) == toxicity._WORD.findall(text.lower())
+    assert toxicity.words_of(None) == []
