@@ -25,17 +25,18 @@ def _sql_pick(key: str, values: list[str]) -> str:
 
 def diary(read) -> DataFrame:
     """Entries: doc_id, idx, heading, date, date_raw, month, text."""
-    o = read("orders")
+    # renamed before the window, so that what groups entries by doc_id finds them dealt by it
+    o = read("orders").withColumnRenamed("o_custkey", "doc_id")
     key = F.col("o_orderkey")
     dated = key % 11 != 0
     raw = F.date_format("o_orderdate", "d MMMM yyyy")
     body = F.concat(
         F.lit("Order "), key.cast("string"), F.lit(" was placed for $"), F.format_string("%.2f", "o_totalprice"), F.lit(" in "), _pick(key, CITIES), F.lit(". We met "),
-        _pick(F.col("o_custkey") + F.floor(key / 3), NAMES), F.lit(" near "), _pick(key + 1, CITIES), F.lit(" and saw "), _pick(F.floor(key / 2), SPELLINGS), F.lit(" again. The boiler cost "), (key % 90 + 10).cast("string"), F.lit(" dollars."),
+        _pick(F.col("doc_id") + F.floor(key / 3), NAMES), F.lit(" near "), _pick(key + 1, CITIES), F.lit(" and saw "), _pick(F.floor(key / 2), SPELLINGS), F.lit(" again. The boiler cost "), (key % 90 + 10).cast("string"), F.lit(" dollars."),
     )
-    idx = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) - 1
     return o.select(
-        F.col("o_custkey").alias("doc_id"), idx.alias("idx"), F.when(key % 4 == 0, F.concat(F.lit("Visit "), (key % 5).cast("string"))).alias("heading"),
+        "doc_id", idx.alias("idx"), F.when(key % 4 == 0, F.concat(F.lit("Visit "), (key % 5).cast("string"))).alias("heading"),
         F.when(dated, F.to_date("o_orderdate")).alias("date"), F.when(dated, raw).alias("date_raw"), F.when(dated | (key % 2 == 0), F.date_format("o_orderdate", "yyyy-MM")).alias("month"),
         F.when(dated, F.concat(raw, F.lit("\n"), body)).otherwise(body).alias("text"),
     )
