@@ -68,7 +68,7 @@ def term_table(questions: DataFrame, expand: bool = True) -> DataFrame:
 def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_document: bool = False, depth: int | None = DEPTH) -> DataFrame:
     """question_id, note_id, doc_id, score (negative, lower is better), rank.
 
-    notes: note_id, doc_id, text. Tokens meet the broadcast terms before anything is
+    notes: note_id, doc_id, text. A batch's tokens meet the broadcast terms before anything is
     shuffled, so that only counts of phrases that occur are. Phrases (terms of several tokens) must stand together in order.
     """
     terms = term_table(questions, expand)
@@ -77,25 +77,84 @@ def bm25(notes: DataFrame, questions: DataFrame, expand: bool = True, per_docume
         raise ValueError(f"at most {MOST_TERMS} different terms at once")
     toks = notes.select("note_id", "doc_id", tokens(F.col("text")).alias("t")).withColumn("length", F.size("t"))
     sizes = toks.groupBy(*["doc_id"] * per_document).agg(F.count("*").alias("notes"), F.avg("length").alias("mean"))
-    # one pass: each token with those that follow it meets the terms that open with its first four letters
-    longest = phrases.agg(F.coalesce(F.max(F.size("phrase")), F.lit(1))).first()[0]
-    windows = toks.select("note_id", "doc_id", "length", F.explode(F.transform("t", lambda _, i: F.slice("t", i + 1, longest))).alias("w"))
-    opening = lambda c: F.substring(c, 1, 4)
-    first = F.get("w", F.lit(0))
-    n = F.size("phrase")
-    last, wanted = F.get("w", n - 1), F.element_at("phrase", -1)
-    ends = F.when(F.col("is_prefix"), F.startswith(last, wanted)).otherwise(last == wanted)
-    head = (n == 1) | (F.slice("w", F.lit(1), n - 1) == F.slice("phrase", F.lit(1), n - 1))
-    # a prefix term of one token has four letters or more, so that equal openings are an equi join for all
-    met = windows.join(F.broadcast(phrases), (opening(first) == opening(F.get("phrase", F.lit(0)))) & head & F.coalesce(ends, F.lit(False)))
-    counted = met.groupBy("note_id", "doc_id", "length", "phrase", "is_prefix").agg(F.count("*").alias("f"))
+    counted = _phrase_counts(toks, phrases)
     return _scored(counted, sizes, terms, per_document, depth)
 
 
+def _phrase_counts(toks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """note_id, doc_id, length, phrase, is_prefix, f of the phrases (phrase, is_prefix) that notes (note_id, doc_id, t) hold.
+
+    Each different token of a batch is compared with the phrases' tokens once, whole or by its opening.
+    """
+    spark = toks.sparkSession
+    sought = [(list(r.phrase), r.is_prefix) for r in phrases.collect()]  # MOST_TERMS phrases at most
+    wishes: dict[tuple[str, bool], int] = {}
+    told = [[wishes.setdefault((w, p and k == len(phrase) - 1), len(wishes)) for k, w in enumerate(phrase)] for phrase, p in sought]
+    whole = {w: j for (w, by_opening), j in wishes.items() if not by_opening}
+    openings = {w: j for (w, by_opening), j in wishes.items() if by_opening}
+    lone = np.full(len(wishes) + 1, -1, np.int64)  # the phrase that a token is by itself
+    several: dict[int, list[int]] = {}  # phrases of several tokens by the first
+    for k, own in enumerate(told):
+        if len(own) == 1:
+            lone[own[0]] = k
+        else:
+            several.setdefault(own[0], []).append(k)
+    kinds = {c: toks.schema[c].dataType.simpleString() for c in ("note_id", "doc_id")}
+    shared = spark.sparkContext.broadcast((told, whole, openings, sorted({len(w) for w in openings}), lone, several))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, whole, openings, lengths, lone, several = shared.value
+        for all_notes in batches:
+            for batch in _by_tokens(all_notes):
+                own = batch.column(2)
+                sizes = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = own.flatten().dictionary_encode()
+                fits = []  # (token, wish) of different tokens
+                for c, w in enumerate(words.dictionary.to_pylist()):
+                    if w in whole:
+                        fits.append((c, whole[w]))
+                    for n in lengths:
+                        if len(w) >= n and w[:n] in openings:
+                            fits.append((c, openings[w[:n]]))
+                if not fits:
+                    continue
+                token, wish = np.array(fits, np.int64).T
+                start = np.searchsorted(token, np.arange(len(words.dictionary) + 1))
+                code, row = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                at = np.nonzero(start[code + 1] > start[code])[0]
+                many = start[code[at] + 1] - start[code[at]]
+                place = np.repeat(at, many)
+                fit = wish[np.repeat(start[code[at]], many) + np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many)]
+                alone = lone[fit] >= 0
+                found = [(row[place[alone]], lone[fit[alone]])]
+                if several:
+                    order = np.argsort(fit, kind="stable")
+                    ends = np.searchsorted(fit[order], np.arange(len(lone)))
+                    places = lambda j: place[order[ends[j] : ends[j + 1]]]  # noqa: B023, E731
+                    for first in several.keys() & set(fit.tolist()):
+                        for k in several[first]:
+                            here = places(first)
+                            here = here[here + len(told[k]) <= len(row)]
+                            here = here[row[here] == row[here + len(told[k]) - 1]]
+                            for n, j in enumerate(told[k][1:], 1):
+                                here = here[np.isin(here + n, places(j))]
+                            found.append((row[here], np.full(len(here), k)))
+                rows, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
+                key, f = np.unique(rows * len(told) + phrase, return_counts=True)
+                at = pa.array(key // len(told))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes[key // len(told)], pa.int32()), pa.array(key % len(told), pa.int32()), pa.array(f, pa.int64())], names=["note_id", "doc_id", "length", "k", "f"])
+
+    met = toks.select("note_id", "doc_id", "t").mapInArrow(run, f"note_id {kinds['note_id']}, doc_id {kinds['doc_id']}, length int, k int, f long")
+    counted = met.groupBy("note_id", "doc_id", "length", "k").agg(F.sum("f").alias("f"))
+    names = spark.createDataFrame([(k, *s) for k, s in enumerate(sought)], "k int, phrase array<string>, is_prefix boolean")
+    return counted.join(F.broadcast(names), "k").drop("k")
+
+
 def _scored(counted: DataFrame, sizes: DataFrame, terms: DataFrame, per_document: bool, depth: int | None) -> DataFrame:
     """The ranking from counted (note_id, doc_id, length, phrase, is_prefix, f) and sizes (notes, mean)."""
     scope = ["doc_id"] if per_document else []
-    df = counted.groupBy("phrase", "is_prefix", *scope).agg(F.count("*").alias("n"))
+    # f is named, so that both uses of counted have one plan and it is computed once
+    df = counted.groupBy("phrase", "is_prefix", *scope).agg(F.count_if(F.col("f") > 0).alias("n"))
     # a row a phrase: of counted size unless it is by document
     hits = counted.join(df if scope else F.broadcast(df), ["phrase", "is_prefix", *scope])
     hits = hits.join(sizes, scope) if scope else hits.crossJoin(F.broadcast(sizes))

@@ -83,3 +83,31 @@ def test_passes_hold_slices_of_bounded_text():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * 900_000] * 3 + [None, "", "y" * 5_000_000])], names=["k", "t"])
     parts = list(segment._slices(batch, 1))
     assert [p.num_rows for p in parts] == [2, 3, 1] and pa.concat_tables([pa.table(p) for p in parts]).equals(pa.table(batch))
+
+
+def test_names_of_a_document_are_made_once(spark):
+    """One reading of the diaries, dealt once: entries, documents and pairs of names stay where the window put them."""
+    df = QUERIES["spelled_two_ways"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert scans(df) == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_phrases_are_counted_once_and_as_they_stand(spark):
+    """Repeated, overlapping and prefix phrases against a plain count; the counts serve document frequencies and scores."""
+    said = ["boilers boiler BOIL a b a b a", "well known well-knowing, well", "", None, "a b", "b a well", "Éa b knownwell"]
+    notes = spark.createDataFrame([(k, k // 2, t) for k, t in enumerate(said)], "note_id long, doc_id long, text string")
+    phrases = [(["boil"], True), (["boiler"], True), (["a"], False), (["a", "b"], False), (["a", "b", "a"], False), (["well", "know"], True), (["ea", "b"], False), (["no"], False)]
+    toks = notes.select("note_id", "doc_id", retrieval.tokens(F.col("text")).alias("t"))
+    words = {r.note_id: r.t or [] for r in toks.collect()}
+    fits = lambda w, want, opens: w.startswith(want) if opens else w == want
+    plain = {}
+    for k, ws in words.items():
+        for p, opens in phrases:
+            f = sum(ws[i : i + len(p) - 1] == p[:-1] and fits(ws[i + len(p) - 1], p[-1], opens) for i in range(len(ws) - len(p) + 1))
+            if f:
+                plain[(k, k // 2, len(ws), tuple(p), opens)] = f
+    found = retrieval._phrase_counts(toks, spark.createDataFrame(phrases, "phrase array<string>, is_prefix boolean"))
+    assert {(r.note_id, r.doc_id, r.length, tuple(r.phrase), r.is_prefix): r.f for r in found.collect()} == plain and len(plain) == 10
+    asked = spark.createDataFrame([(1, "Which boiler is well-known?")], "question_id long, question string")
+    ranking = retrieval.bm25(notes, asked)
+    assert len(ranking.collect()) == 2 and "ReusedExchange" in ranking._jdf.queryExecution().executedPlan().toString()
