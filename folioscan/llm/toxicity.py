@@ -26,8 +26,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import stored, table
 
 #: From this score on a text is called toxic.
 CUT = 0.3
@@ -61,8 +60,8 @@ ADDED, SCORE_BINS = 16, 10_000
 LEAST_TEXTS = 8
 #: Words of a block of texts that is scored at a time (a longer text is a block of its own).
 BLOCK_WORDS = 1 << 17
-#: Openings, and endings, whose buckets a process remembers: some 40 MB in all.
-KNOWN = 1 << 16
+#: Bits that a label's id gets in the table that spares most documents without one the shuffle; all bits at most (16 MB).
+ID_BITS, MOST_BITS = 16, 1 << 27
 
 #: Function words that tell languages apart.
 FUNCTION_WORDS = {
@@ -86,20 +85,50 @@ def words_of(text: str | None) -> list[str]:
         return _WORD.findall(low)
 
 
-def pieces(word: str) -> list[int]:
-    """Buckets of a word and its openings and endings; BUCKETS, an embedding of zeros, where it is too short."""
-    return [zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, *_openings(word[: OPENINGS[-1]]), *_endings(word[-ENDINGS[-1] :])]
-
-
-# words share openings and endings: a process hashes each once, while it is among the last KNOWN
-@lru_cache(KNOWN)
-def _openings(head: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(b"^" + head[:n].encode("utf-8", "surrogatepass")) % BUCKETS if len(head) >= n else BUCKETS for n in OPENINGS)
+#: A step of CRC-32 for each value of a byte.
+_STEP = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _STEP = np.where(_STEP & 1, (_STEP >> 1) ^ np.uint32(0xEDB88320), _STEP >> 1)
+_ALL = np.uint32(0xFFFFFFFF)
+
+
+def _crc(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """zlib.crc32 of raw[begin:end], continued from start, of many stretches at once: a byte of all of them at a time."""
+    out, live = start ^ _ALL, np.flatnonzero(begin < end)
+    at, last, state = begin[live], end[live], out[live]
+    while len(live):
+        state = _STEP[(state ^ raw[at]) & 255] ^ (state >> 8)
+        at = at + 1
+        more = at < last
+        if not more.all():
+            out[live[~more]] = state[~more]
+            live, at, last, state = live[more], at[more], last[more], state[more]
+    return out ^ _ALL
+
+
+def pieces_of(words: list[str]) -> np.ndarray:
+    """A row a word: buckets of it and its openings and endings; BUCKETS, an embedding of zeros, where it is too short."""
+    raw = np.frombuffer("".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of code points
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    last = np.cumsum(size)
+    first = last - size
+    out = np.full((len(words), PIECES), BUCKETS, np.int32)
+    out[:, 0] = _crc(raw, place[first], place[last], np.zeros(len(words), np.uint32)) % BUCKETS
+    begun, done = np.full(len(words), zlib.crc32(b"^"), np.uint32), 0
+    for k, n in enumerate(OPENINGS, 1):  # each goes on from the one before
+        rows = np.flatnonzero(size >= n)
+        begun[rows] = _crc(raw, place[first[rows] + done], place[first[rows] + n], begun[rows])
+        out[rows, k], done = begun[rows] % BUCKETS, n
+    for k, n in enumerate(ENDINGS, 1 + len(OPENINGS)):
+        rows = np.flatnonzero(size >= n)
+        out[rows, k] = _crc(raw, place[last[rows] - n], place[last[rows]], np.full(len(rows), zlib.crc32(b"$"), np.uint32)) % BUCKETS
+    return out
 
 
-@lru_cache(KNOWN)
-def _endings(tail: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(b"$" + tail[-n:].encode("utf-8", "surrogatepass")) % BUCKETS if len(tail) >= n else BUCKETS for n in ENDINGS)
+def pieces(word: str) -> list[int]:
+    """pieces_of() of one word."""
+    return pieces_of([word])[0].tolist()
 
 
 class Language:
@@ -119,6 +148,14 @@ class Language:
             out[i] = self.of[words[i]]
         return out
 
+    def of_texts(self, texts: Texts) -> list[str]:
+        """name() of each text."""
+        if not len(texts.start):
+            return []
+        hits = np.concatenate([np.zeros((1, len(self.names)), np.int64), self.hits(texts.words)])
+        bounds = np.stack([texts.start, texts.start + texts.size], axis=1).ravel()
+        return [self.name(h) for h in np.add.reduceat(hits[texts.ids], bounds, axis=0)[::2]]
+
     def name(self, hits: np.ndarray) -> str:
         return self.names[int(np.argmax(hits))] if hits.any() else UNKNOWN
 
@@ -131,20 +168,31 @@ class Texts:
 
     def __init__(self, texts: Iterable[list[str]]):
         known: defaultdict[str, int] = defaultdict(count(1).__next__)
-        pad = [0] * (max(WIDTHS) - 1)
-        ids: list[int] = []
-        start, size = [], []
+        pad = max(WIDTHS) - 1
+        ids: list[np.ndarray] = []  # of words, without blanks
+        held: list[str] = []
+        sizes = []
+
+        def number() -> None:
+            codes, distinct = pd.factorize(np.array(held, object))
+            ids.append(np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))[codes])
+            held.clear()
+
         for words in texts:
-            start.append(len(ids))
-            size.append(max(len(words), 1))
-            ids += map(known.__getitem__, words) if words else [0]
-            ids += pad
+            sizes.append(len(words))
+            held += words
+            if len(held) > BLOCK_WORDS:
+                number()
+        number()
+        many = np.array(sizes, np.int64)
         self.words = list(known)
-        self.ids = np.array(ids + pad, np.int32)
-        self.start, self.size = np.array(start, np.int64), np.array(size, np.int64)
+        self.size = np.maximum(many, 1)
+        self.start = np.cumsum(self.size + pad) - self.size - pad
+        self.ids = np.zeros(int((self.size + pad).sum()) + pad, np.int32)
+        self.ids[np.repeat(self.start - np.cumsum(many) + many, many) + np.arange(many.sum())] = np.concatenate(ids)
         self.pieces = np.full((len(known) + 1, PIECES), BUCKETS, np.int32)
         if known:
-            self.pieces[1:] = np.fromiter(chain.from_iterable(map(pieces, self.words)), np.int32, len(known) * PIECES).reshape(-1, PIECES)
+            self.pieces[1:] = pieces_of(self.words)
         self.weight = 1 / np.maximum((self.pieces != BUCKETS).sum(axis=1), 1).astype(np.float32)
 
 
@@ -167,7 +215,11 @@ class Network:
         return cls(embedding, filters, np.zeros(many, np.float32), draw.normal(0, many**-0.5, many).astype(np.float32), 0.0)
 
     def vectors(self, texts: Texts, words=slice(None)) -> np.ndarray:
-        return self.embedding[texts.pieces[words]].sum(axis=1) * texts.weight[words, None]
+        rows = texts.pieces[words]
+        out = self.embedding[rows[:, 0]]
+        for k in range(1, PIECES):
+            out += self.embedding[rows[:, k]]
+        return out * texts.weight[words, None]
 
     def scores(self, texts: Texts) -> np.ndarray:
         """Probability of each text. Each distinct word meets each part of a filter once; texts add these up."""
@@ -198,11 +250,20 @@ class Adagrad:
         value[rows] -= RATE * grad / np.sqrt(self.seen[rows])
 
 
+def texts_with(texts: Texts, chosen: Iterable[int]) -> np.ndarray:
+    """How many of the chosen texts hold each bucket."""
+    docs, last = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+    for i in chosen:
+        own = texts.pieces[texts.ids[texts.start[i] : texts.start[i] + texts.size[i]]].ravel()
+        at = np.arange(len(own))
+        last[own] = at  # one place of each bucket
+        docs[own[last[own] == at]] += 1
+    return docs
+
+
 def rare_pieces(texts: Texts, chosen: np.ndarray) -> np.ndarray:
     """Buckets that fewer than LEAST_DOCS of the chosen texts hold, and that of the blank."""
-    docs = np.zeros(BUCKETS + 1, np.int32)
-    for i in chosen:
-        docs[np.unique(texts.pieces[texts.ids[texts.start[i] : texts.start[i] + texts.size[i]]])] += 1
+    docs = texts_with(texts, chosen)
     docs[BUCKETS] = 0
     return np.nonzero(docs < LEAST_DOCS)[0]
 
@@ -263,8 +324,8 @@ def train(texts: Texts, labels: np.ndarray, chosen: np.ndarray, seed: int = 0, e
             if len(word):
                 rows = texts.pieces[ids[word]]
                 piece, which = np.unique(rows, return_inverse=True)
-                total = np.zeros((len(piece), DIMENSIONS), np.float32)
-                np.add.at(total, which.ravel(), np.repeat(grad * texts.weight[ids[word], None], PIECES, axis=0))
+                share_of = np.repeat(grad * texts.weight[ids[word], None], PIECES, axis=0)
+                total = np.stack([np.bincount(which.ravel(), share_of[:, d], len(piece)) for d in range(DIMENSIONS)], axis=1).astype(np.float32)
                 real = ~frozen[piece]
                 seen_embedding.step(net.embedding, total[real], piece[real])
             seen_bias.step(net.bias, back.sum(axis=0))
@@ -301,12 +362,8 @@ class Model:
         return np.clip(np.concatenate([np.zeros(0), *out]), 0, 1).round(6)  # sums of products differ in their last digits with the block
 
     def _of_block(self, words: list[list[str]]) -> np.ndarray:
-        language, block, out = Language(), Texts(words), np.zeros(len(words))
-        raw = self.network.scores(block)
-        hits = np.concatenate([np.zeros((1, len(language.names)), np.int64), language.hits(block.words)])
-        for i, p in enumerate(raw):
-            s = block.start[i]
-            name = language.name(hits[block.ids[s : s + block.size[i]]].sum(axis=0))
+        block, out = Texts(words), np.zeros(len(words))
+        for i, (p, name) in enumerate(zip(self.network.scores(block), Language().of_texts(block), strict=True)):
             cut = self.thresholds.get(name, self.thresholds[UNKNOWN])
             out[i] = CUT * p / cut if p < cut else CUT + (1 - CUT) * (p - cut) / (1 - cut)
         return out
@@ -340,14 +397,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return Model(None, {UNKNOWN: CUT}, share)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sample = durable(texts.join(one, "doc_id").dropDuplicates(["doc_id"]))
     total = sum(counts.values())
+    sample = stored(_with_bit(texts, one, total).join(one, "doc_id").dropDuplicates(["doc_id"]))
     if total > FIRST:
         return _fit_parts(sample, share, total, epochs)
     learned = _fit_one(sample, epochs)
     return Model(learned[0], thresholds_of(*learned[1:], share), share) if learned else Model(None, {UNKNOWN: CUT}, share)
 
 
+def _with_bit(texts: DataFrame, one: DataFrame, total: int) -> DataFrame:
+    """The texts whose id may be among those of one (total rows): all that are, and few others. Those alone need be shuffled to meet their label."""
+    if texts.schema["doc_id"].dataType != one.schema["doc_id"].dataType:
+        return texts
+    bits = min(total * ID_BITS, MOST_BITS)
+    bit = F.pmod(F.xxhash64("doc_id", F.lit(16)), F.lit(bits)) + 1  # buckets count from 1
+    held = one.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    at = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = texts.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(held), "bucket")
+    return met.filter(F.getbit(byte, at % 8) == 1).select(*texts.columns)
+
+
 def _fit_one(sample: DataFrame, epochs: int | None, rare: np.ndarray | None = None, toxic: float | None = None) -> tuple | None:
     """(network, scores, labels, languages) of the texts (doc_id, text, label) of one task: what models that left a text out say of it. None without texts.
 
@@ -394,15 +464,10 @@ def _fit_parts(sample: DataFrame, share: float, total: int, epochs: int | None)
     shared = sample.sparkSession.sparkContext.broadcast
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, there = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, bool)
+        docs = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for block in blocks(t.as_py() for t in batch.column(0)):
-                own = Texts(block)
-                for s, n in zip(own.start, own.size, strict=True):
-                    there[own.pieces[own.ids[s : s + n]]] = True
-                    held = np.flatnonzero(there)
-                    docs[held] += 1
-                    there[held] = False
+                docs += texts_with(Texts(block), range(len(block)))
         held = np.nonzero(docs)[0]
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(docs[held])], names=["piece", "docs"])
 
@@ -436,11 +501,12 @@ def _fit_parts(sample: DataFrame, share: float, total: int, epochs: int | None)
         language = Language()
         for batch in batches:
             pdf = batch.to_pandas()
-            for (fold, _), own in pdf.groupby([pdf["part"] % FOLDS, np.arange(len(pdf)) // 64]):
-                words = [words_of(t) for t in own["text"]]
-                langs = [language.name(language.hits([w for w in ws if w in language.of]).sum(axis=0)) for ws in words]
-                bins = np.floor(others.value[fold].scores(Texts(words)) * SCORE_BINS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(own["label"].to_numpy(np.int32)), pa.array(langs, pa.string())], names=["bin", "label", "lang"])
+            for fold, own in pdf.groupby(pdf["part"] % FOLDS):
+                bins, langs = [], []
+                for block in map(Texts, blocks(own["text"])):
+                    bins.append(np.floor(others.value[fold].scores(block) * SCORE_BINS).astype(np.int32))
+                    langs += language.of_texts(block)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bins)), pa.array(own["label"].to_numpy(np.int32)), pa.array(langs, pa.string())], names=["bin", "label", "lang"])
 
     judged = dealt.select("text", "label", "part").mapInArrow(judge, "bin int, label int, lang string").groupBy("bin", "label", "lang").agg(F.count("*").alias("n")).toPandas()
     counted = ((judged["bin"].to_numpy() + 0.5) / SCORE_BINS, judged["label"].to_numpy(float), judged["lang"].to_numpy(object), judged["n"].to_numpy(float))

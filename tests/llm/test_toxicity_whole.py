@@ -73,3 +73,25 @@ def test_words_are_runs_of_letters_in_any_script():
     for text in (every, every + "—“ŒœŠš” Ωmega", "İstanbul ǅ straße's x²y a\x85b\xa0c", "", "12 _ 3", "日本語 text ª º µ"):
         assert toxicity.words_of(text) == toxicity._WORD.findall(text.lower())
     assert toxicity.words_of(None) == []
+
+
+def test_words_of_a_block_are_hashed_together(monkeypatch):
+    """No call a word; the buckets of words of several lengths, scripts and lone surrogates are still zlib's."""
+    words = [f"{chr(97 + i)}{chr(0xE0 + j)}wort{chr(0x4E00 + k)}" for i in range(10) for j in range(20) for k in range(20)] + ["a", "ab", "abc", "\ud800", "𝔸b"]
+    crc, calls = zlib.crc32, []
+    monkeypatch.setattr(toxicity.zlib, "crc32", lambda raw: calls.append(raw) or crc(raw))
+    texts = toxicity.Texts([words, [], words[::-1]])
+    assert len(calls) < 100 and texts.words == words
+    assert [crc(w.encode("utf-8", "surrogatepass")) % toxicity.BUCKETS for w in words] == texts.pieces[1:, 0].tolist()
+    last = texts.start[2]
+    assert texts.size.tolist() == [len(words), 1, len(words)] and texts.ids[last : last + len(words)].tolist() == list(range(len(words), 0, -1))
+    assert texts.ids[len(words) : last].tolist() == [0] * (2 + 1 + 2) and texts.ids[-4:].tolist() == [0] * 4
+
+
+def test_only_documents_with_a_label_are_shuffled(spark):
+    """All documents that have a label are kept, and few others; those alone meet their labels."""
+    docs = spark.range(20_000).selectExpr("id - 7 as doc_id", "'some text' as text")
+    labels = spark.range(0, 20_000, 10).selectExpr("id as doc_id", "1 as label")
+    there = toxicity._with_bit(docs, labels, 2000)
+    assert there.join(labels, "doc_id").count() == 2000
+    assert 2000 <= there.count() < 4000 and there.columns == docs.columns
