@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import words_array
 from ..functions.text import count_words
 from ..regex import B0, B1
 
@@ -31,26 +35,84 @@ def escaped(term: Column) -> Column:
 
 def term_counts(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """found_terms() with a count of 0 for each document that a term isn't found in: a row a document and term."""
-    every = entries.select("doc_id").distinct().join(small(terms.select("term")), how="cross")
-    return every.join(found_terms(entries, terms), ["doc_id", "term"], "left").na.fill(0, ["occurrences", "entry_hits"])
+    held = held_terms(terms)
+    return terms_of_documents(entries, held, held)
 
 
 def found_terms(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, term, occurrences, entry_hits, first_date, last_date of the terms that a document has.
 
-    terms is a small table (a question's words), broadcast with at most MOST_TERMS rows.
+    terms is a small table (a question's words), of at most MOST_TERMS rows.
     Occurrences are the word with up to three more letters; entries are hit by its opening alone.
-    An entry meets the terms that open as one of its words does, by an equi join, and only
-    these by their patterns.
     """
-    n_open = min(3, terms.agg(F.coalesce(F.min(F.length("term")), F.lit(1))).first()[0])
-    opening = lambda c: F.substring(F.lower(c), 1, n_open)
-    begins = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?s)(?<![a-z0-9_])(?=(.{{{n_open}}}))"), F.lit(1)))
-    hits = F.regexp_like(F.col("text"), F.concat(F.lit(f"(?i){B0}"), escaped(F.col("term"))))
-    n = F.regexp_count(F.col("text"), F.concat(F.lit(f"(?i){B0}"), escaped(F.col("term")), F.lit(f"[A-Za-z0-9_]{{0,3}}{B1}")))
-    met = entries.select("doc_id", "idx", "date", "text", F.explode(begins).alias("_opening")).join(small(terms.select("term").withColumn("_opening", opening(F.col("term")))), "_opening")
-    per = met.select("doc_id", "term", "idx", "date", n.alias("n"), hits.alias("hit")).filter("hit")
-    return per.groupBy("doc_id", "term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("entry_hits"), F.min_by("date", "idx").alias("first_date"), F.max_by("date", "idx").alias("last_date"))
+    return _counted(_met(entries, held_terms(terms), F.col("text")).filter("term IS NOT NULL"))
+
+
+def terms_of_documents(entries: DataFrame, terms: list[str], always: list[str]) -> DataFrame:
+    """found_terms() of every document; of the terms in always, also a row of zeros where a document has none. Entries are gone through once."""
+    # entries of no document are of no use, but are a document that lacks every term
+    per = _counted(_met(entries, terms, F.when(F.col("doc_id").isNotNull(), F.col("text"))))
+    columns = ["term", "occurrences", "entry_hits", "first_date", "last_date"]
+    docs = per.groupBy("doc_id").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct(*columns))).alias("found"))
+    kinds = {c: per.schema[c].dataType.simpleString() for c in columns}
+    none = lambda t: F.struct(t.alias("term"), *[F.lit(0 if c in ("occurrences", "entry_hits") else None).cast(kinds[c]).alias(c) for c in columns[1:]])
+    missing = F.transform(F.array_except(words_array(always), F.transform("found", lambda f: f["term"])), none)
+    return docs.select("doc_id", F.inline(F.concat("found", missing)))
+
+
+def held_terms(terms: DataFrame) -> list[str]:
+    """The distinct terms of a small table, in order."""
+    return sorted({r.term for r in _few(terms.select("term")) if r.term is not None})
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern of what opens with one of the words: a tree by their letters, so that a place is tried letter by letter and not word by word."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    if "" in by:  # the shortest says it all
+        return ""
+    parts = [re.sub(r"[\\.*+?^${}()|\[\]]", r"\\\g<0>", first) + any_of(rest) for first, rest in sorted(by.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+_PLAIN = re.compile(r"[A-Za-z0-9_]+")
+
+
+def _met(entries: DataFrame, terms: list[str], text: Column) -> DataFrame:
+    """doc_id, idx, date, term, n, first (of this term in its entry): a row for each word of a text that opens with a term; without a term, a row for each entry that has none.
+
+    Terms of ASCII word characters meet the words of a text: one pattern, the same for all rows, finds the words that open with any of them. Other terms are
+    sought by patterns of their own, in texts that one pattern of all of them fits.
+    """
+    plain, other = [t for t in terms if _PLAIN.fullmatch(t)], [t for t in terms if not _PLAIN.fullmatch(t)]
+    word = lambda w, n: F.struct(w.alias("w"), n.alias("n"))
+    none = F.array().cast("array<struct<w:string,n:int>>")
+    arrays = [none]
+    if plain:
+        words = F.regexp_extract_all(text, F.lit(rf"(?i){B0}{any_of({t.lower() for t in plain})}[A-Za-z0-9_]*"), F.lit(0))
+        arrays.append(F.transform(words, lambda w: word(F.lower(w), F.lit(None).cast("int"))))
+    if other:
+        begins = lambda t, more="": F.concat(F.lit(f"(?i){B0}"), escaped(t), F.lit(more))
+        held = F.array(*[F.lit(t) for t in other])
+        theirs = F.filter(held, lambda t: F.regexp_like(text, begins(t)))
+        there = F.transform(theirs, lambda t: word(t, F.regexp_count(text, begins(t, f"[A-Za-z0-9_]{{0,3}}{B1}"))))
+        arrays.append(F.when(text.rlike(f"(?i){B0}{any_of(other)}"), there).otherwise(none))
+    rows = entries.select("doc_id", "idx", "date", F.concat(*arrays[1:] or arrays).alias("words")).select("doc_id", "idx", "date", "words", F.posexplode_outer("words").alias("at", "word"))
+    n_open = min(map(len, terms), default=0)
+    table = entries.sparkSession.createDataFrame([(t, t.lower(), t in set(plain), t.lower()[:n_open]) for t in terms], "term string, low string, plain boolean, opening string")
+    w, n, low = F.col("word.w"), F.col("word.n"), F.col("low")
+    # a term that isn't plain comes as itself, with its count
+    same = (F.substring(F.lower(w), 1, n_open) == F.col("opening")) & F.when(n.isNull(), F.col("plain") & F.startswith(w, low)).otherwise(w == F.col("term"))
+    met = rows.join(F.broadcast(table), same, "left")
+    again = F.exists(F.slice("words", 1, F.col("at")), lambda o: o["n"].isNull() & F.startswith(o["w"], low))
+    return met.select(
+        "doc_id", "idx", "date", "term", F.coalesce(n, (F.length(w) - F.length(low) <= 3).cast("int")).alias("n"), (n.isNotNull() | (F.col("at") == 0) | ~again).alias("first"),
+    )
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    return met.groupBy("doc_id", "term").agg(F.sum("n").alias("occurrences"), F.count_if("first").alias("entry_hits"), F.min_by("date", "idx").alias("first_date"), F.max_by("date", "idx").alias("last_date"))
 
 
 MOST_TERMS = 1000
@@ -63,6 +125,14 @@ def small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms)
 
 
+def _few(terms: DataFrame) -> list:
+    """The rows of a table that small() takes."""
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms at once")
+    return rows
+
+
 def month_comparison(entries: DataFrame, months: list[int]) -> DataFrame:
     """doc_id, month number, entries, words and distinct long words of dated entries in these calendar months."""
     rows = entries.filter(F.col("date").isNotNull()).withColumn("number", F.month("date")).filter(F.col("number").isin(months))

@@ -35,8 +35,10 @@ def diary(read) -> DataFrame:
         _pick(F.col("doc_id") + F.floor(key / 3), NAMES), F.lit(" near "), _pick(key + 1, CITIES), F.lit(" and saw "), _pick(F.floor(key / 2), SPELLINGS), F.lit(" again. The boiler cost "), (key % 90 + 10).cast("string"), F.lit(" dollars."),
     )
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) - 1
-    return o.select(
-        "doc_id", idx.alias("idx"), F.when(key % 4 == 0, F.concat(F.lit("Visit "), (key % 5).cast("string"))).alias("heading"),
+    # numbered before the texts are made: what is dealt and sorted is some numbers a row
+    numbered = o.select("doc_id", idx.alias("idx"), "o_orderkey", "o_orderdate", "o_totalprice")
+    return numbered.select(
+        "doc_id", "idx", F.when(key % 4 == 0, F.concat(F.lit("Visit "), (key % 5).cast("string"))).alias("heading"),
         F.when(dated, F.to_date("o_orderdate")).alias("date"), F.when(dated, raw).alias("date_raw"), F.when(dated | (key % 2 == 0), F.date_format("o_orderdate", "yyyy-MM")).alias("month"),
         F.when(dated, F.concat(raw, F.lit("\n"), body)).otherwise(body).alias("text"),
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscan import plans
 from folioscan.functions import vectors
-from folioscan.operators import entities, retrieval, segment
+from folioscan.operators import entities, retrieval, segment, stats
 
 QUERIES, SQL = plans.load()
 
@@ -111,3 +114,44 @@ def test_phrases_are_counted_once_and_as_they_stand(spark):
     asked = spark.createDataFrame([(1, "Which boiler is well-known?")], "question_id long, question string")
     ranking = retrieval.bm25(notes, asked)
     assert len(ranking.collect()) == 2 and "ReusedExchange" in ranking._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_found_in_one_pass_without_shuffling_texts(spark):
+    """One reading of the orders serves what a diary has and lacks; texts are made after its entries are dealt and numbered."""
+    for name in ("question_facts", "fact_sentences", "absent_terms", "term_facts"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert scans(found) == 1, name
+        dealt = found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(doc_id", 1)[1]
+        assert "was placed for" not in dealt, name
+
+
+def test_found_terms_are_what_their_patterns_find(spark):
+    """Terms of any characters, openings of each other, in either case, said again in an entry: as each term's own pattern counts, entry by entry."""
+    terms = ["order", "ord", "may", "well-known", "a-a", "café", "it's", "c.d", "199", "Paris", "wör", "none", "x_1"]
+    said = [
+        "Order 1995, orders ORDERED orderings; may Mayor maybe. reorder", "A well-known, Well-Knowns well-knownest unwell-known", "a-a-a a-a x-a-a a-abcd", "cafécafé Café caféabc cafés", "It's its it'sabcd",
+        "c.d cxd C.De", "paris PARISIAN parisians_x", "wörter wör-x", "", None, "x_1 X_1234 x_12345 _x_1", "may may march",
+    ]
+    rows = [(k % 5 if k != 7 else None, k, datetime.date(2020, 1, k + 1) if k % 3 else None, t) for k, t in enumerate(said)]
+    entries = spark.createDataFrame(rows, "doc_id long, idx int, date date, text string")
+    want = {}
+    for doc, idx, date, text in rows:
+        for t in terms if text is not None else ():
+            opens = rf"(?<![A-Za-z0-9_]){re.escape(t)}"
+            # as Java does without UNICODE_CASE: only A-Z have another case
+            if re.search(opens, _ascii(text, t), re.A):
+                want.setdefault((doc, t), []).append((idx, date, len(re.findall(opens + r"[A-Za-z0-9_]{0,3}(?![A-Za-z0-9_])", _ascii(text, t), re.A))))
+    want = {k: (sum(n for *_, n in v), len(v), min(v, key=lambda x: x[0])[1], max(v, key=lambda x: x[0])[1]) for k, v in want.items()}
+    held = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {(r.doc_id, r.term): (r.occurrences, r.entry_hits, r.first_date, r.last_date) for r in stats.found_terms(entries, held).collect()}
+    assert got == want and len(want) > 12
+    every = {(r.doc_id, r.term): (r.occurrences, r.entry_hits, r.first_date, r.last_date) for r in stats.term_counts(entries, held).collect()}
+    docs = {r[0] for r in rows}
+    assert every == {(d, t): want.get((d, t), (0, 0, None, None)) if d is not None else (0, 0, None, None) for d in docs for t in terms}
+    assert stats.found_terms(entries, held.filter("false")).count() == 0 == stats.term_counts(entries, held.filter("false")).count()
+
+
+def _ascii(text: str, term: str) -> str:
+    """text with A-Z as in the term: both in lower case, or the term as it is where it has capitals."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    return low if term == term.lower() else re.sub(re.escape(term.lower()), lambda m: term, low)
